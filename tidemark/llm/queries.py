@@ -2,14 +2,28 @@
 
 from __future__ import annotations
 
-from tidemark.llm import line_dedup, quality_rules
+from tidemark.llm import byte_bpe, line_dedup, lm_score, mixing, one_bit_search, ppm_lang, quality_rules, sharding, simhash, url_reputation
 
 QUERIES = {
+    "op1_url_reputation": url_reputation.op1_url_reputation,
+    "op2_lm_score": lm_score.op2_lm_score,
+    "op3_one_bit_search": one_bit_search.op3_one_bit_search,
+    "op4_pfair_mix": mixing.op4_pfair_mix,
+    "op5_rendezvous_shards": sharding.op5_rendezvous_shards,
+    "op6_byte_bpe": byte_bpe.op6_byte_bpe,
     "op7_line_dedup": line_dedup.op7_line_dedup,
+    "op8_simhash": simhash.op8_simhash,
+    "op9_ppm_lang": ppm_lang.op9_ppm_lang,
     "op10_quality_rules": quality_rules.op10_quality_rules,
 }
 
+#: The others are held against plain Python in tests/llm.
 ORACLE_SQL = {
+    "op1_url_reputation": url_reputation.ORACLE,
+    "op2_lm_score": lm_score.ORACLE,
+    "op3_one_bit_search": one_bit_search.ORACLE,
+    "op4_pfair_mix": mixing.ORACLE,
+    "op5_rendezvous_shards": sharding.ORACLE,
     "op7_line_dedup": line_dedup.ORACLE,
     "op10_quality_rules": quality_rules.ORACLE,
 }
