@@ -19,7 +19,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import fresh, table
+from tidemark.llm.common import checkpointed, fresh, table
 
 
 @dataclass(frozen=True)
@@ -55,7 +55,7 @@ def spread_lines(lines: DataFrame, rule: Spread = Spread()) -> DataFrame:
 def removed_lines(docs: DataFrame, rule: Spread = Spread(), doc: str = "doc_id", text: str = "text", site: str = "source") -> DataFrame:
     """Columns doc_id, th, gone: the positions of the lines that each document loses, where it loses any."""
     lines = site_lines(docs, doc, text, site)
-    found = spread_lines(lines, rule)
+    found = checkpointed(spread_lines(lines, rule))  # apart from the lines' own grouping, so that a very common line is split
     here = F.struct("doc_id", "pos")
     hits = lines.join(found, "line").filter(~here.eqNullSafe(F.col("first")))
     return hits.groupBy("doc_id", "th").agg(F.collect_set("pos").alias("gone"))

@@ -60,15 +60,16 @@ def fingerprint(text: str | None, words: int = 3) -> int:
 
 
 def fingerprints(docs: DataFrame, doc: str = "doc_id", text: str = "text", words: int = 3) -> DataFrame:
-    """Columns doc_id, fp (the fingerprint as a signed long), a row for each row."""
+    """Columns doc_id, th (hash of the text), fp (the fingerprint as a signed long), a row for each row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for x in batches:
             fps = np.fromiter((fingerprint(t.as_py(), words) for t in x.column("text")), np.uint64, x.num_rows)
-            yield pa.RecordBatch.from_arrays([x.column("doc_id"), pa.array(fps.view(np.int64))], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([x.column("doc_id"), x.column("th"), pa.array(fps.view(np.int64))], ["doc_id", "th", "fp"])
 
     kind = docs.schema[doc].dataType.simpleString()
-    return docs.select(docs[doc].alias("doc_id"), docs[text].alias("text")).mapInArrow(run, f"doc_id {kind}, fp long")
+    rows = docs.select(docs[doc].alias("doc_id"), F.xxhash64(docs[text]).alias("th"), docs[text].alias("text"))
+    return rows.mapInArrow(run, f"doc_id {kind}, th long, fp long")
 
 
 def near(fps: np.ndarray, runs: np.ndarray, radius: int = RADIUS) -> tuple[np.ndarray, np.ndarray]:
@@ -247,22 +248,24 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, doc: str = "doc_id", text: str = "text") -> DataFrame:
-    """Columns doc_id, fp, component_id (the least id that links reach), a row for each row."""
+    """Columns doc_id, th, fp, root (a fingerprint that names the component) and component_id (its least id), a row for each row."""
     marked = checkpointed(fingerprints(docs, doc, text))
     least = marked.groupBy("fp").agg(F.min("doc_id").alias("least"))
     roots = components(links(least.select("fp")))
     known = least.join(roots, least["fp"] == roots["a"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     best = known.groupBy("root").agg(F.min("least").alias("component_id")).withColumnRenamed("root", "r")
-    by_fp = known.join(best, known["root"] == best["r"]).select(F.col("fp").alias("f"), "component_id")
-    return marked.join(by_fp, marked["fp"] == by_fp["f"]).select("doc_id", "fp", "component_id")
+    by_fp = known.join(best, known["root"] == best["r"]).select(F.col("fp").alias("f"), "root", "component_id")
+    return marked.join(by_fp, marked["fp"] == by_fp["f"]).select("doc_id", "th", "fp", "root", "component_id")
 
 
 def keep_one(docs: DataFrame, doc: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of docs, all columns, that stand for their component: the one with its least id, once."""
-    ids = near_duplicates(docs, doc, text).filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_k")).distinct()
-    rows = docs.join(ids, docs[doc].eqNullSafe(ids["_k"]), "left_semi")
-    (key,) = fresh(docs, "_one")
-    return rows.withColumn(key, F.coalesce(F.col(doc).cast("string"), F.lit("null"))).dropDuplicates([key]).drop(key)
+    """A row of docs, all columns, for each component: one with its least id (and of these, the least hash of its text)."""
+    best = near_duplicates(docs, doc, text).filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("root").agg(F.min(F.struct("doc_id", "th")).alias("x"))
+    best = best.select(F.col("x.doc_id").alias("_b_doc"), F.col("x.th").alias("_b_th"))
+    th, key = fresh(docs, "_text_hash", "_key")
+    rows = docs.withColumn(th, F.xxhash64(docs[text])).withColumn(key, F.coalesce(docs[doc].cast("string"), F.lit("null")))
+    rows = rows.join(best, rows[doc].eqNullSafe(best["_b_doc"]) & (rows[th] == best["_b_th"]), "left_semi")
+    return rows.dropDuplicates([key, th]).drop(key, th)
 
 
 def op8_simhash(spark, sf_dir: str) -> DataFrame:
