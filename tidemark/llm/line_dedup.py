@@ -46,7 +46,8 @@ def site_lines(docs: DataFrame, doc: str, text: str, site: str) -> DataFrame:
 def spread_lines(lines: DataFrame, rule: Spread = Spread()) -> DataFrame:
     """Columns line, first: the lines on min_sites sites or more, with the (doc_id, pos) that stays."""
     sketches = lines.groupBy("line").agg(F.hll_sketch_agg("site", rule.lg_k).alias("sketch"), F.min(F.struct("doc_id", "pos")).alias("first"))
-    judged = sketches.select("line", "first", F.hll_sketch_estimate("sketch").alias("sites")).filter(F.col("sites") >= rule.min_sites * (1 - rule.slack))
+    # Written apart from the lines' own grouping, so that the joins with all lines can split a very common one.
+    judged = checkpointed(sketches.select("line", "first", F.hll_sketch_estimate("sketch").alias("sites")).filter(F.col("sites") >= rule.min_sites * (1 - rule.slack)))
     near = judged.filter(F.col("sites") <= rule.min_sites * (1 + rule.slack))
     exact = lines.join(near.select("line"), "line", "left_semi").select("line", "site").distinct().groupBy("line").agg(F.count("site").alias("exact"))
     return judged.join(exact, "line", "left").filter(F.coalesce("exact", F.col("sites")) >= rule.min_sites).select("line", "first")
@@ -55,7 +56,7 @@ def spread_lines(lines: DataFrame, rule: Spread = Spread()) -> DataFrame:
 def removed_lines(docs: DataFrame, rule: Spread = Spread(), doc: str = "doc_id", text: str = "text", site: str = "source") -> DataFrame:
     """Columns doc_id, th, gone: the positions of the lines that each document loses, where it loses any."""
     lines = site_lines(docs, doc, text, site)
-    found = checkpointed(spread_lines(lines, rule))  # apart from the lines' own grouping, so that a very common line is split
+    found = checkpointed(spread_lines(lines, rule))
     here = F.struct("doc_id", "pos")
     hits = lines.join(found, "line").filter(~here.eqNullSafe(F.col("first")))
     return hits.groupBy("doc_id", "th").agg(F.collect_set("pos").alias("gone"))
