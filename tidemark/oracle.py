@@ -340,7 +340,7 @@ FROM states LEFT JOIN market_breadth USING (market, session) WHERE symbol LIKE '
 FROM bars WHERE symbol LIKE '^%' WINDOW w AS ({W} ROWS BETWEEN {P.breakout} PRECEDING AND 1 PRECEDING)""",
     "digest": "SELECT market, session, position, symbol, score, industry, round(stopw_adr, 8) AS stopw_adr, close, trigger, round(pct_through, 8) AS pct_through, last_reported IS NOT NULL AS repeat, last_reported FROM digests",
     "digest_report": """, rows AS (
-  SELECT market, session, string_agg('| ' || symbol || ' | ' || regexp_replace(printf('%.1f', score), '\\.0$', '') || '★ | ' || coalesce(nullif(industry, ''), '—') || ' | ' || CAST(CAST(round(CAST(stopw_adr AS DECIMAL(24,12)), 2) AS DECIMAL(18,2)) AS VARCHAR) || ' | '
+  SELECT market, session, string_agg('| ' || symbol || ' | ' || regexp_replace(printf('%.1f', score), '\\.0$', '') || '★ | ' || coalesce(nullif(industry, ''), '—') || ' | ' || CASE WHEN stopw_adr < 0 AND stopw_adr > -0.005 THEN '-' ELSE '' END || CAST(CAST(round(CAST(stopw_adr AS DECIMAL(24,12)), 2) AS DECIMAL(18,2)) AS VARCHAR) || ' | '
          || CAST(CAST(round(CAST(close AS DECIMAL(24,12)), 2) AS DECIMAL(18,2)) AS VARCHAR) || ' | ' || CAST(CAST(round(CAST(trigger AS DECIMAL(24,12)), 2) AS DECIMAL(18,2)) AS VARCHAR) || ' | ' || '+' || CAST(CAST(round(CAST(pct_through AS DECIMAL(24,12)), 2) AS DECIMAL(18,2)) AS VARCHAR) || '% | '
          || CASE WHEN last_reported IS NULL THEN '' ELSE '↺ last reported ' || CAST(last_reported AS VARCHAR) END || ' |', chr(10) ORDER BY position) AS t
   FROM digests GROUP BY market, session)
