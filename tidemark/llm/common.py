@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import math
 import tempfile
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 #: Words are runs of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -26,14 +28,6 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def same(a: DataFrame, b: DataFrame, *keys: str) -> Column:
-    """a and b agree in all keys, null matching null."""
-    cond = a[keys[0]].eqNullSafe(b[keys[0]])
-    for k in keys[1:]:
-        cond &= a[k].eqNullSafe(b[k])
-    return cond
-
-
 def fresh(df: DataFrame, *names: str) -> list[str]:
     """The names, each lengthened until df has no such column."""
     have = {c.lower() for c in df.columns}
@@ -45,7 +39,21 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
-def keyed(docs: DataFrame, doc: str, text: str) -> tuple[DataFrame, str, str]:
-    """docs with a key for its documents, (doc, hash of the text): rows equal in both are one document."""
-    k, h = fresh(docs, "_key", "_text_hash")
-    return docs.withColumn(k, docs[doc]).withColumn(h, F.xxhash64(docs[text])), k, h
+def ranked_by_hash(rows: DataFrame, group: str, digest: str, ties: list[str], per_bucket: int, total: int) -> DataFrame:
+    """rows with place: the place of each in its group, from 0, in the order of a hex digest (then of ties).
+
+    No group is sorted in one task: rows are ranked within buckets of the digest's first digits, of about
+    per_bucket rows, and a bucket starts where the ones before it end. The buckets' counts are added up in
+    two steps, by the first half of those digits and within it.
+    """
+    digits = min(8, max(1, math.ceil(math.log(max(2, total / per_bucket), 16))))
+    half = digits // 2
+    b, c, n, first = fresh(rows, "_bucket", "_coarse", "_n", "_first")
+    rows = rows.withColumn(b, F.substring(digest, 1, digits))
+    fine = rows.groupBy(group, b).agg(F.count("*").alias(n)).withColumn(c, F.substring(b, 1, half))
+    coarse = fine.groupBy(group, c).agg(F.sum(n).alias(n))
+    before = lambda *by: F.sum(n).over(Window.partitionBy(*by).orderBy(c if by == (group,) else b)) - F.col(n)
+    coarse = coarse.select(group, c, before(group).alias("_a"))
+    fine = fine.select(group, b, c, before(group, c).alias("_b")).join(coarse, [group, c]).select(group, b, (F.col("_a") + F.col("_b")).alias(first))
+    own = F.row_number().over(Window.partitionBy(group, b).orderBy(digest, *ties)) - 1
+    return rows.withColumn("place", own).join(fine, [group, b]).withColumn("place", (F.col("place") + F.col(first)).cast("long")).drop(b, first)

@@ -20,38 +20,29 @@ the input pass through :func:`mixed` unchanged.
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tidemark.llm.common import fresh, table
+from tidemark.llm.common import fresh, ranked_by_hash, table
 
 #: Parts of 100 for the sources of the test tables; every other source is in the rest.
 PARTS = {"src0": 20, "src1": 15, "src2": 12, "src3": 10, "src4": 8, "src5": 5}
 REST = 30
 BLOCK_ROWS = 8
-BUCKET_ROWS = 20_000  #: rows that are ranked in one task, about
+BUCKET_ROWS = 2_000  #: rows that are ranked in one task, about
 
 
 def ranked(docs: DataFrame, parts: dict[str, int], doc: str, text: str, source: str) -> DataFrame:
-    """Columns doc_id, source, src, th, rank: the place of each row in its source, from 0.
-
-    Rows are ranked within buckets of the hash's first digits, and each bucket starts where the ones
-    before it end: no source is sorted in one task.
-    """
+    """Columns doc_id, source, src, th, rank: the place of each row in its source, from 0."""
     names = F.array(*[F.lit(x) for x in parts]) if parts else F.array().cast("array<string>")
     src = F.when(F.array_contains(names, docs[source].cast("string")), docs[source].cast("string")).otherwise(F.lit("*"))
-    digits = min(7, max(1, math.ceil(math.log(max(2, docs.count() / BUCKET_ROWS), 16))))
     rows = docs.select(
         docs[doc].alias("doc_id"), docs[source].alias("source"), F.coalesce(src, F.lit("*")).alias("src"), F.xxhash64(docs[text]).alias("th"),
         F.md5(F.coalesce(docs[doc].cast("string"), F.lit("")).cast("binary")).alias("h"), F.crc32(docs[text]).alias("crc"),
-    ).withColumn("bucket", F.substring("h", 1, digits))
-    sizes = rows.groupBy("src", "bucket").agg(F.count("*").alias("n"))
-    before = sizes.select("src", "bucket", (F.sum("n").over(Window.partitionBy("src").orderBy("bucket")) - F.col("n")).alias("before"))
-    own = F.row_number().over(Window.partitionBy("src", "bucket").orderBy("h", "doc_id", "crc"))
-    return rows.withColumn("own", own).join(before, ["src", "bucket"]).select("doc_id", "source", "src", "th", (F.col("own") - 1 + F.col("before")).alias("rank"))
+    )
+    placed = ranked_by_hash(rows, "src", "h", ["doc_id", "crc"], BUCKET_ROWS, docs.count())
+    return placed.select("doc_id", "source", "src", "th", F.col("place").alias("rank"))
 
 
 def schedule(blocks: DataFrame, parts: dict[str, int], rest: int) -> tuple[DataFrame, DataFrame]:

@@ -14,16 +14,13 @@ gives an empty result. Further columns of the input are not looked at.
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from tidemark.llm.common import table
+from tidemark.llm.common import ranked_by_hash, table
 
 SHARDS = 16
-BUCKET_ROWS = 5_000  #: rows of a shard that are ranked in one task, about
+BUCKET_ROWS = 1_000  #: rows of a shard that are ranked in one task, about
 
 
 def rendezvous(key: Column, weights: list[float]) -> Column:
@@ -40,17 +37,13 @@ def rendezvous(key: Column, weights: list[float]) -> Column:
 def shard(docs: DataFrame, weights: list[float] | int = SHARDS, doc: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, size, text_crc32, law, shard, slot, grown_shard, for each row."""
     weights = [1.0] * weights if isinstance(weights, int) else list(weights)
-    digits = min(7, max(1, math.ceil(math.log(max(2, docs.count() / len(weights) / BUCKET_ROWS), 16))))
     key = F.coalesce(docs[doc].cast("string"), F.lit("null"))
     rows = docs.select(
         docs[doc].alias("doc_id"), (F.coalesce(F.octet_length(docs[text]), F.lit(0)) + 1).cast("long").alias("size"), F.crc32(docs[text]).alias("text_crc32"),
         rendezvous(key, weights).alias("shard"), rendezvous(key, [*weights, sum(weights) / len(weights)]).alias("grown_shard"), F.md5(key.cast("binary")).alias("h"),
-    ).withColumn("bucket", F.substring("h", 1, digits))
-    sizes = rows.groupBy("shard", "bucket").agg(F.count("*").alias("n"))
-    before = sizes.select("shard", "bucket", (F.sum("n").over(Window.partitionBy("shard").orderBy("bucket")) - F.col("n")).alias("before"))
-    own = F.row_number().over(Window.partitionBy("shard", "bucket").orderBy("h", "doc_id", "text_crc32"))
-    out = rows.withColumn("own", own).join(before, ["shard", "bucket"])
-    return out.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", (F.col("own") - 1 + F.col("before")).cast("long").alias("slot"), "grown_shard")
+    )
+    out = ranked_by_hash(rows, "shard", "h", ["doc_id", "text_crc32"], BUCKET_ROWS * len(weights), docs.count())
+    return out.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", F.col("place").alias("slot"), "grown_shard")
 
 
 def op5_rendezvous_shards(spark, sf_dir: str) -> DataFrame:
