@@ -3,7 +3,8 @@
 Labelled page outcomes (bad or not) are counted for each host, registered domain and suffix. A beta-binomial
 prior is fitted by moments at each level from all groups below one parent level: suffixes shrink towards the
 whole, domains towards their suffix, hosts towards their domain. The prior's strength comes from how much
-rates differ between groups beyond what chance explains, so a host with few labels leans on its domain. A
+rates differ between groups beyond what chance explains, and from how well the parent's rate is known, so a
+host with few labels leans on its domain, and one in a domain without any has a wide posterior. A
 url is blocked if the lower posterior bound of its host's bad rate is above a limit. Hosts without a label
 have the posterior of their domain, or of their suffix.
 
@@ -80,8 +81,20 @@ def _strength(groups: DataFrame, bound: Bound) -> Column:
     )
     # Expected deviation: sum of m (1 - m) (1 + (n - 1) rho), with rho = 1 / (strength + 1).
     rho = F.expr("try_divide(dev * n / var - g, n - g)")
-    strength = F.when((F.col("n") <= F.col("g")) | rho.isNull(), bound.most).when(rho <= 0, bound.most).otherwise(F.greatest(F.lit(bound.least), F.least(F.lit(bound.most), 1 / rho - 1)))
-    return s.select(F.coalesce(strength, F.lit(bound.most)).alias("s")).scalar()
+    fitted = F.when((F.col("n") > F.col("g")) & (rho > 0), F.greatest(F.lit(bound.least), 1 / rho - 1)).otherwise(F.lit(bound.most))
+    # No prior is stronger than all that has been observed.
+    return s.select(F.least(fitted, F.lit(bound.most), F.coalesce("n", F.lit(0.0)) + 1).alias("s")).scalar()
+
+
+def _prior(groups: DataFrame, bound: Bound) -> Column:
+    """The prior strength of each group: of its level's and of what is known of its parent's mean (of), half the harmonic mean."""
+    s = _strength(groups.filter("n > 0"), bound)
+    return s * F.col("of") / (s + F.col("of"))
+
+
+def _posterior(groups: DataFrame, bound: Bound) -> DataFrame:
+    """groups with their posterior mean m, and its strength of, in the place of their parents'."""
+    return groups.withColumn("s", _prior(groups, bound)).withColumn("m", F.expr("(k + s * m) / (n + s)")).withColumn("of", F.expr("n + s"))
 
 
 def reputations(outcomes: DataFrame, bound: Bound = Bound()) -> DataFrame:
@@ -93,15 +106,13 @@ def reputations(outcomes: DataFrame, bound: Bound = Bound()) -> DataFrame:
     suffixes = domains.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("k").alias("k"))
     # Half a bad and half a good page in advance keep the overall rate off 0 and 1.
     whole = suffixes.agg(((F.coalesce(F.sum("k"), F.lit(0.0)) + 0.5) / (F.coalesce(F.sum("n"), F.lit(0.0)) + 1)).alias("m"))
-    suffixes = suffixes.withColumn("m", whole.scalar())
-    suffixes = suffixes.withColumn("s_suffix", _strength(suffixes.filter("n > 0"), bound))
-    suffixes = suffixes.select("suffix", F.expr("(k + s_suffix * m) / (n + s_suffix)").alias("m"))
-    domains = domains.join(suffixes, "suffix")
-    domains = domains.withColumn("s_domain", _strength(domains.filter("n > 0"), bound))
-    domains = domains.select("domain", F.expr("(k + s_domain * m) / (n + s_domain)").alias("m"))
+    every = suffixes.agg((F.coalesce(F.sum("n"), F.lit(0.0)) + 1).alias("n"))
+    suffixes = suffixes.withColumn("m", whole.scalar()).withColumn("of", every.scalar())
+    suffixes = _posterior(suffixes, bound).select("suffix", "m", "of")
+    domains = _posterior(domains.join(suffixes, "suffix"), bound).select("domain", "m", "of")
     hosts = hosts.join(domains, "domain")
-    hosts = hosts.withColumn("s_host", _strength(hosts.filter("n > 0"), bound))
-    out = hosts.select("host", F.col("n").cast("long").alias("labelled"), F.col("k").cast("long").alias("bad"), F.expr("k + s_host * m").alias("alpha"), F.expr("n - k + s_host * (1 - m)").alias("beta"))
+    hosts = hosts.withColumn("s", _prior(hosts, bound))
+    out = hosts.select("host", F.col("n").cast("long").alias("labelled"), F.col("k").cast("long").alias("bad"), F.expr("k + s * m").alias("alpha"), F.expr("n - k + s * (1 - m)").alias("beta"))
     odds = F.log(F.col("alpha") / F.col("beta")) - bound.z * F.sqrt(1 / F.col("alpha") + 1 / F.col("beta"))
     return out.withColumn("lower", 1 / (1 + F.exp(-odds))).withColumn("blocked", F.col("lower") > bound.max_bad)
 
@@ -131,8 +142,8 @@ def op1_url_reputation(spark, sf_dir: str) -> DataFrame:
 
 def _moments(groups: str, level: str, b: Bound = Bound()) -> str:
     return f"""s_{level} AS (
-  SELECT CASE WHEN n IS NULL OR n <= g OR var = 0 OR dev * n / var - g <= 0 THEN {b.most}
-              ELSE greatest({b.least}, least({b.most}, 1 / ((dev * n / var - g) / (n - g)) - 1)) END AS s
+  SELECT least(CASE WHEN n > g AND (dev * n / nullif(var, 0) - g) / nullif(n - g, 0) > 0 THEN greatest({b.least}, 1 / ((dev * n / var - g) / (n - g)) - 1) ELSE {b.most} END,
+               {b.most}, coalesce(n, 0) + 1) AS s
   FROM (SELECT sum(n) AS n, count(*) AS g, sum(n * pow(k / n - m, 2)) AS dev, sum(n * m * (1 - m)) AS var FROM {groups} WHERE n > 0))"""
 
 
@@ -151,13 +162,15 @@ h AS (
   FROM o GROUP BY host),
 d0 AS (SELECT domain, suffix, sum(n) AS n, sum(k) AS k FROM h GROUP BY domain, suffix),
 f0 AS (SELECT suffix, sum(n) AS n, sum(k) AS k FROM d0 GROUP BY suffix),
-f AS (SELECT *, (SELECT (sum(k) + 0.5) / (sum(n) + 1) FROM f0) AS m FROM f0),
-{_moments("f", "suffix")},
-d AS (SELECT d0.*, (f.k + s * m) / (f.n + s) AS m FROM d0 JOIN f USING (suffix), s_suffix),
-{_moments("d", "domain")},
-hh AS (SELECT h.host, h.n, h.k, (d.k + s * m) / (d.n + s) AS m FROM h JOIN d USING (domain), s_domain),
+f1 AS (SELECT *, (SELECT (sum(k) + 0.5) / (sum(n) + 1) FROM f0) AS m, (SELECT sum(n) + 1 FROM f0) AS known FROM f0),
+{_moments("f1", "suffix")},
+f AS (SELECT suffix, (k + p * m) / (n + p) AS m, n + p AS known FROM (SELECT *, s * known / (s + known) AS p FROM f1, s_suffix)),
+d1 AS (SELECT d0.*, m, known FROM d0 JOIN f USING (suffix)),
+{_moments("d1", "domain")},
+d AS (SELECT domain, (k + p * m) / (n + p) AS m, n + p AS known FROM (SELECT *, s * known / (s + known) AS p FROM d1, s_domain)),
+hh AS (SELECT h.host, h.n, h.k, m, known FROM h JOIN d USING (domain)),
 {_moments("hh", "host")},
-post AS (SELECT host, k + s * m AS a, n - k + s * (1 - m) AS b FROM hh, s_host),
+post AS (SELECT host, k + p * m AS a, n - k + p * (1 - m) AS b FROM (SELECT *, s * known / (s + known) AS p FROM hh, s_host)),
 low AS (SELECT host, 1 / (1 + exp(-(ln(a / b) - {Bound.z} * sqrt(1 / a + 1 / b)))) AS lower FROM post),
 fit AS (
   SELECT page_id, host, path, lower,
