@@ -28,6 +28,11 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def small(df: DataFrame, rows: int) -> DataFrame:
+    """A checkpointed df, marked to be sent to all tasks if it has so many rows at most; else joins shuffle."""
+    return F.broadcast(df) if df.count() <= rows else df
+
+
 def fresh(df: DataFrame, *names: str) -> list[str]:
     """The names, each lengthened until df has no such column."""
     have = {c.lower() for c in df.columns}

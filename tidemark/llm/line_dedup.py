@@ -19,7 +19,9 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import checkpointed, fresh, table
+from tidemark.llm.common import checkpointed, fresh, small, table
+
+SMALL = 500_000  #: lines up to this many (16 MB) are sent to all tasks; more are joined by a shuffle
 
 
 @dataclass(frozen=True)
@@ -46,10 +48,9 @@ def site_lines(docs: DataFrame, doc: str, text: str, site: str) -> DataFrame:
 def spread_lines(lines: DataFrame, rule: Spread = Spread()) -> DataFrame:
     """Columns line, first: the lines on min_sites sites or more, with the (doc_id, pos) that stays."""
     sketches = lines.groupBy("line").agg(F.hll_sketch_agg("site", rule.lg_k).alias("sketch"), F.min(F.struct("doc_id", "pos")).alias("first"))
-    # Written apart from the lines' own grouping, so that the joins with all lines can split a very common one.
     judged = checkpointed(sketches.select("line", "first", F.hll_sketch_estimate("sketch").alias("sites")).filter(F.col("sites") >= rule.min_sites * (1 - rule.slack)))
-    near = judged.filter(F.col("sites") <= rule.min_sites * (1 + rule.slack))
-    exact = lines.join(near.select("line"), "line", "left_semi").select("line", "site").distinct().groupBy("line").agg(F.count("site").alias("exact"))
+    near = judged.filter(F.col("sites") <= rule.min_sites * (1 + rule.slack)).select("line")
+    exact = lines.join(small(near, SMALL), "line", "left_semi").select("line", "site").distinct().groupBy("line").agg(F.count("site").alias("exact"))
     return judged.join(exact, "line", "left").filter(F.coalesce("exact", F.col("sites")) >= rule.min_sites).select("line", "first")
 
 
@@ -58,7 +59,7 @@ def removed_lines(docs: DataFrame, rule: Spread = Spread(), doc: str = "doc_id",
     lines = site_lines(docs, doc, text, site)
     found = checkpointed(spread_lines(lines, rule))
     here = F.struct("doc_id", "pos")
-    hits = lines.join(found, "line").filter(~here.eqNullSafe(F.col("first")))
+    hits = lines.join(small(found, SMALL), "line").filter(~here.eqNullSafe(F.col("first")))
     return hits.groupBy("doc_id", "th").agg(F.collect_set("pos").alias("gone"))
 
 
