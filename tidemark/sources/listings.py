@@ -23,7 +23,7 @@ def us_listing(lines: DataFrame) -> DataFrame:
     head = rows.filter(is_header).agg(F.min("f").alias("f"))
     place = lambda *names: F.coalesce(*[F.nullif(F.array_position("f", n), F.lit(0)) for n in names]).cast("int")
     at = head.select(place("Symbol", "ACT Symbol").alias("s"), place("Security Name").alias("n"), place("ETF").alias("e"), place("Test Issue").alias("t")).first()
-    if at is None or None in at:
+    if at is None or any(x is None for x in at):
         raise ValueError("the header lacks a column")
     cell = lambda i: F.trim(F.col("f")[i - 1])
     body = rows.filter(~is_header & ~F.col("line").startswith("File Creation Time") & (F.size("f") >= max(at)))
