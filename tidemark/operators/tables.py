@@ -83,11 +83,13 @@ def append_bars(spark: SparkSession, base: str, delivered: DataFrame) -> None:
 
 def append_once(spark: SparkSession, base: str, table: str, rows: DataFrame) -> None:
     """Appends sessions; raises if any of them is stored already."""
-    rows = schemas.reconcile(rows, table)
+    rows = schemas.reconcile(rows, table).persist()  # read by the check and by the write
     both = rows.select("market", "session").distinct().join(read(spark, base, table).select("market", "session"), ["market", "session"], "left_semi").take(1)
     if both:
+        rows.unpersist()
         raise ValueError(f"{table}: {both[0]['market']} {both[0]['session']} is already written")
     rows.write.mode("append").partitionBy(*_partitions(table)).parquet(path(base, table))
+    rows.unpersist()
 
 
 def discard_session(spark: SparkSession, base: str, table: str, market: str, session: str) -> int:
