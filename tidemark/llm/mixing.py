@@ -92,13 +92,13 @@ def mix(docs: DataFrame, parts: dict[str, int] | None = None, rest: int = REST,
 
 def mixed(docs: DataFrame, parts: dict[str, int] | None = None, rest: int = REST, block_rows: int = BLOCK_ROWS, doc: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
     """All rows and columns of docs, sorted in the order of the mix."""
-    th, n = fresh(docs, "_text_hash", "_again")
-    order = mix(docs, parts, rest, block_rows, doc, text, source).select(F.col("doc_id").alias("_m_doc"), F.col("source").alias("_m_source"), F.col("th").alias("_m_th"), "slot", "offset")
-    # Rows that agree in all three are numbered on either side, and only where there are any does it matter.
-    order = order.groupBy("_m_doc", "_m_source", "_m_th").agg(F.array_sort(F.collect_list(F.struct("slot", "offset"))).alias("_m_at"))
+    (th,) = fresh(docs, "_text_hash")
+    order = mix(docs, parts, rest, block_rows, doc, text, source)
+    # Rows that agree in id, source and text stand together, at the first of their places.
+    order = order.groupBy(F.col("doc_id").alias("_m_doc"), F.col("source").alias("_m_source"), F.col("th").alias("_m_th")).agg(F.min(F.struct("slot", "offset")).alias("_m_at"))
     rows = docs.withColumn(th, F.xxhash64(docs[text]))
     rows = rows.join(order, rows[doc].eqNullSafe(order["_m_doc"]) & rows[source].eqNullSafe(order["_m_source"]) & (rows[th] == order["_m_th"]))
-    return rows.orderBy(F.col("_m_at")[0]["slot"], F.col("_m_at")[0]["offset"]).drop("_m_doc", "_m_source", "_m_th", "_m_at", th)
+    return rows.orderBy("_m_at").drop("_m_doc", "_m_source", "_m_th", "_m_at", th)
 
 
 def op4_pfair_mix(spark, sf_dir: str) -> DataFrame:
