@@ -148,3 +148,12 @@ def test_acceptance_deviation(spark):
     got = {r["symbol"] for r in acceptance.spot_check(members).filter("present").collect()}
     assert got == {"BABA", "SE"} and acceptance.spot_check(members).count() == 12
     assert Params().board_size == 30
+
+
+def test_report_files(spark, tmp_path):
+    nights = spark.createDataFrame([("US", DAY), ("IDX", DAY)], "market string, session date")
+    none = digest.digest(detections(spark, {}).limit(0), bars(spark, rows("A", [1.0])), ranked(spark, [(DAY, "A", "1m", 0.1, 0.1)]), labelled(spark, {"A": "X"}), nights)
+    digest.write_report(digest.report(none, nights), str(tmp_path / "digests"))
+    files = list((tmp_path / "digests" / "market=US" / "session=2026-07-15").glob("*.txt"))
+    text = files[0].read_text()
+    assert len(files) == 1 and text.startswith("# US digest — 2026-07-15\n\n") and text.endswith("\nNo breaks tonight.\n")
