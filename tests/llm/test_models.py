@@ -14,32 +14,40 @@ DATA = "/root/testdata/sf0.001"
 def plain_losses(texts, target, size):
     words = {i: re.findall(r"\w+", (t or "").lower()) for i, t in texts.items()}
     freq = Counter(w for x in words.values() for w in x)
-    vocab = {w for w, _ in sorted(freq.items(), key=lambda kv: (-kv[1], kv[0]))[:size]}
-    pairs = {i: [(a, b) for a, b in zip(["<s>", *x], x, strict=False)] for i, x in ((i, [w if w in vocab else "<unk>" for w in x]) for i, x in words.items())}
+    head = {w for w, _ in sorted(((w, n) for w, n in freq.items() if len(w) <= 64), key=lambda kv: (-kv[1], kv[0]))[:size]}
+    pairs = {}
+    for i, x in words.items():
+        y = [w if w in head else "<rest>" for w in x]
+        pairs[i] = list(zip(["<s>", *y], y, x, strict=False))
 
     def model(ids):
-        c = Counter(p for i in ids for p in pairs[i])
+        c = Counter((a, b) for i in ids for a, b, _ in pairs[i])
         one, ctx = Counter(), Counter()
         for (a, b), n in c.items():
             one[b] += n
             ctx[a] += n
-        total = sum(one.values()) + 0.5 * (len(vocab) + 1)
-        return lambda a, b: -math.log((c[a, b] + 50 * (one[b] + 0.5) / total) / (ctx[a] + 50))
+        total = sum(one.values()) + 0.5 * (len(head) + 1)
+        seen = Counter(w for i in ids for w in words[i] if w not in head)
+        rest = sum(seen.values()) + 0.5 * len(freq.keys() - head)
+        return lambda a, b, w: -math.log((c[a, b] + 50 * (one[b] + 0.5) / total) / (ctx[a] + 50)) - (math.log((seen[w] + 0.5) / rest) if b == "<rest>" else 0)
 
     t, b = model(target), model(texts)
     return {i: (len(p), *((sum(f(*x) for x in p) / len(p)) if p else None for f in (t, b))) for i, p in pairs.items()}
 
 
-def test_lm_score_against_plain_models(spark):
-    texts = {i: " ".join(f"w{(i * j) % 13}" for j in range(i % 29)) for i in range(60)} | {60: None, 61: "", 62: "Rare WORDS w1 w1"}
-    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string").selectExpr("*", "1 AS target", "2 AS n")
+@pytest.mark.parametrize("common", [0, 4, 1000])
+def test_lm_score_against_plain_models(spark, common):
+    texts = {i: " ".join(f"w{(i * j) % 13}" for j in range(i % 29)) for i in range(60)} | {60: None, 61: "", 62: "Rare WORDS w1 w1", 63: ("x" * 70 + " w2 ") * 40}
+    df = spark.createDataFrame([*texts.items(), (62, texts[62]), (None, texts[62])], "doc_id long, text string").selectExpr("*", "1 AS target", "2 AS n", "3 AS word")
     ids = spark.createDataFrame([(i,) for i in (3, 5, 5, 62, None, 999)], "x long")
-    want = plain_losses(texts, [3, 5, 62], 8)
-    for r in lm_score.score(df, ids, size=8).collect():
+    want = plain_losses(texts | {"again": texts[62], None: texts[62]}, [3, 5, 62, "again"], 8)
+    got = lm_score.score(df, ids, size=8, common=common).collect()
+    assert len(got) == len(texts) + 2
+    for r in got:
         n, a, b = want[r["doc_id"]]
         assert r["n_tokens"] == n
         assert (r["target_loss"], r["background_loss"]) == (pytest.approx(a), pytest.approx(b)) if n else r["target_loss"] is None
-    assert lm_score.score(df.limit(0), ids.limit(0)).count() == 0
+    assert lm_score.score(df.limit(0), ids.limit(0), common=common).count() == 0
 
 
 def brute(vectors, every=100, k=10):
