@@ -106,7 +106,8 @@ class Queries:
 
     def _rerank(self, q: np.ndarray, c: np.ndarray, ids: np.ndarray, v: np.ndarray) -> None:
         gap = self.v[q] - v[c]
-        d = np.sqrt((gap * gap).sum(axis=1))
+        gap *= gap
+        d = np.sqrt(np.cumsum(gap, axis=1, out=gap)[:, -1])  # added from left to right, as SQL adds
         n, k = self.best.shape
         q = np.concatenate((np.repeat(np.arange(n), k), q))
         d = np.concatenate((self.best.ravel(), d))
