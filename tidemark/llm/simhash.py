@@ -250,8 +250,12 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
 def near_duplicates(docs: DataFrame, doc: str = "doc_id", text: str = "text") -> DataFrame:
     """Columns doc_id, th, fp, root (a fingerprint that names the component) and component_id (its least id), a row for each row."""
     marked = checkpointed(fingerprints(docs, doc, text))
+    return named(marked, components(links(marked.select("fp").distinct())))
+
+
+def named(marked: DataFrame, roots: DataFrame) -> DataFrame:
+    """marked (doc_id, th, fp) with root and component_id, by the roots of components."""
     least = marked.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    roots = components(links(least.select("fp")))
     known = least.join(roots, least["fp"] == roots["a"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     best = known.groupBy("root").agg(F.min("least").alias("component_id")).withColumnRenamed("root", "r")
     by_fp = known.join(best, known["root"] == best["r"]).select(F.col("fp").alias("f"), "root", "component_id")
@@ -260,7 +264,12 @@ def near_duplicates(docs: DataFrame, doc: str = "doc_id", text: str = "text") ->
 
 def keep_one(docs: DataFrame, doc: str = "doc_id", text: str = "text") -> DataFrame:
     """A row of docs, all columns, for each component: one with its least id (and of these, the least hash of its text)."""
-    best = near_duplicates(docs, doc, text).filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("root").agg(F.min(F.struct("doc_id", "th")).alias("x"))
+    return first_of_each(docs, near_duplicates(docs, doc, text), doc, text)
+
+
+def first_of_each(docs: DataFrame, groups: DataFrame, doc: str = "doc_id", text: str = "text") -> DataFrame:
+    """A row of docs, all columns, for each root of groups (as near_duplicates gives them)."""
+    best = groups.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("root").agg(F.min(F.struct("doc_id", "th")).alias("x"))
     best = best.select(F.col("x.doc_id").alias("_b_doc"), F.col("x.th").alias("_b_th"))
     th, key = fresh(docs, "_text_hash", "_key")
     rows = docs.withColumn(th, F.xxhash64(docs[text])).withColumn(key, F.coalesce(docs[doc].cast("string"), F.lit("null")))
