@@ -14,8 +14,8 @@ from tidemark.llm import byte_bpe, line_dedup, mixing, near_copies, quality_rule
 
 
 def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents that the quality rules keep."""
-    return quality_rules.keep_good(docs)
+    """The documents that the quality rules keep, without the boilerplate lines of their host."""
+    return quality_rules.clean_good(docs, n_chars="n_chars")
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

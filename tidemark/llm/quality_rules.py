@@ -4,7 +4,8 @@ Every text is measured by itself (word count, symbols, repeated lines, repeated
 every line is hashed after trimming and lower-casing. A line is boilerplate of a host if the number of
 the host's distinct texts that hold it is above both an absolute limit and a share of the host's distinct
 texts. Boilerplate lines are taken out; a document that loses more than ``max_lost`` of its characters is
-depleted and rejected.
+depleted and rejected. :func:`judge` gives measures and verdicts, :func:`keep_good` the rows that are kept,
+as they are, and :func:`clean_good` the rows that are kept, without their boilerplate lines.
 
 Copies of one text count once, so that a much copied article isn't mistaken for boilerplate.
 
@@ -93,13 +94,13 @@ def frequent_lines(lines: DataFrame, limits: LineLimits = LineLimits()) -> DataF
 
 
 def judge(docs: DataFrame, limits: LineLimits = LineLimits(), doc: str = "doc_id", text: str = "text", host: str = "source") -> DataFrame:
-    """doc_id, th, host, the measures, line_chars, lost_chars, base_failed and kept, a row for each row."""
+    """doc_id, th, host, the measures, line_chars, lost_chars, base_failed, kept and gone (hashes of the boilerplate lines, null if none), a row for each row."""
     lines = host_lines(docs, doc, text, host)
     bad = frequent_lines(lines, limits)
     hit = lines.join(bad, lines["host"].eqNullSafe(bad["host"]) & (lines["line"] == bad["line"]), "left_semi")
     # Rows that are one document bring the same lines again.
-    lost = hit.select("doc_id", "th", "host", "pos", "chars").distinct().groupBy("doc_id", "th", "host").agg(F.sum("chars").alias("lost"))
-    lost = lost.select(F.col("doc_id").alias("l_doc"), F.col("th").alias("l_th"), F.col("host").alias("l_host"), "lost")
+    lost = hit.select("doc_id", "th", "host", "pos", "line", "chars").distinct().groupBy("doc_id", "th", "host").agg(F.sum("chars").alias("lost"), F.collect_set("line").alias("gone"))
+    lost = lost.select(F.col("doc_id").alias("l_doc"), F.col("th").alias("l_th"), F.col("host").alias("l_host"), "lost", "gone")
     stats = text_stats(docs, doc, text, host)
     out = stats.join(lost, stats["doc_id"].eqNullSafe(lost["l_doc"]) & (stats["th"] == lost["l_th"]) & stats["host"].eqNullSafe(lost["l_host"]), "left")
     base_failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
@@ -117,6 +118,22 @@ def keep_good(docs: DataFrame, limits: LineLimits = LineLimits(), doc: str = "do
     return rows.join(rejected, cond, "left_anti").drop(th)
 
 
+def clean_good(docs: DataFrame, limits: LineLimits = LineLimits(), doc: str = "doc_id", text: str = "text", host: str = "source", n_chars: str | None = None) -> DataFrame:
+    """The rows of docs, all columns, that the rules keep, with the boilerplate lines of their host cut from the text and the count of characters in n_chars renewed."""
+    judged = judge(docs, limits, doc, text, host).filter(~F.col("kept") | F.col("gone").isNotNull())
+    judged = judged.groupBy("doc_id", "th", "host").agg(F.min("kept").alias("_j_kept"), F.first("gone").alias("_j_gone"))
+    judged = judged.select(F.col("doc_id").alias("_j_doc"), F.col("th").alias("_j_th"), F.col("host").alias("_j_host"), "_j_kept", "_j_gone")
+    (th,) = fresh(docs, "_text_hash")
+    rows = docs.withColumn(th, F.xxhash64(docs[text]))
+    rows = rows.join(judged, rows[doc].eqNullSafe(judged["_j_doc"]) & (rows[th] == judged["_j_th"]) & rows[host].eqNullSafe(judged["_j_host"]), "left")
+    rows = rows.filter(F.coalesce("_j_kept", F.lit(True)))
+    left = F.filter(F.split(F.col(text), "\n"), lambda x: ~(x.rlike(r"[^\x20\x09-\x0D]") & F.array_contains("_j_gone", F.xxhash64(F.lower(F.trim(x))))))
+    rows = rows.withColumn(text, F.when(F.col("_j_gone").isNull(), F.col(text)).otherwise(F.array_join(left, "\n")))
+    if n_chars:
+        rows = rows.withColumn(n_chars, F.when(F.col("_j_gone").isNull(), F.col(n_chars)).otherwise(F.length(text)).cast(docs.schema[n_chars].dataType))
+    return rows.select(*docs.columns)
+
+
 def op10_quality_rules(spark, sf_dir: str) -> DataFrame:
     columns = ("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "line_chars", "lost_chars")
     return judge(table(spark, sf_dir, "documents")).select(*columns)
