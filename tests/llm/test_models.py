@@ -11,43 +11,41 @@ from tidemark.llm import lm_score, one_bit_search, ppm_lang, url_reputation
 DATA = "/root/testdata/sf0.001"
 
 
-def plain_losses(texts, target, size):
+def plain_losses(texts, target):
+    """Bigram losses by models that haven't seen the text itself."""
     words = {i: re.findall(r"\w+", (t or "").lower()) for i, t in texts.items()}
-    freq = Counter(w for x in words.values() for w in x)
-    head = {w for w, _ in sorted(((w, n) for w, n in freq.items() if len(w) <= 64), key=lambda kv: (-kv[1], kv[0]))[:size]}
-    pairs = {}
-    for i, x in words.items():
-        y = [w if w in head else "<rest>" for w in x]
-        pairs[i] = list(zip(["<s>", *y], y, x, strict=False))
-
-    def model(ids):
-        c = Counter((a, b) for i in ids for a, b, _ in pairs[i])
-        one, ctx = Counter(), Counter()
-        for (a, b), n in c.items():
-            one[b] += n
-            ctx[a] += n
-        total = sum(one.values()) + 0.5 * (len(head) + 1)
-        seen = Counter(w for i in ids for w in words[i] if w not in head)
-        rest = sum(seen.values()) + 0.5 * len(freq.keys() - head)
-        return lambda a, b, w: -math.log((c[a, b] + 50 * (one[b] + 0.5) / total) / (ctx[a] + 50)) - (math.log((seen[w] + 0.5) / rest) if b == "<rest>" else 0)
-
-    t, b = model(target), model(texts)
-    return {i: (len(p), *((sum(f(*x) for x in p) / len(p)) if p else None for f in (t, b))) for i, p in pairs.items()}
-
-
-@pytest.mark.parametrize("common", [0, 4, 1000])
-def test_lm_score_against_plain_models(spark, common):
-    texts = {i: " ".join(f"w{(i * j) % 13}" for j in range(i % 29)) for i in range(60)} | {60: None, 61: "", 62: "Rare WORDS w1 w1", 63: ("x" * 70 + " w2 ") * 40}
+    size = len({w for x in words.values() for w in x})
+    count = {i: (Counter(x), Counter(zip(["", *x], x, strict=False)), len(x)) for i, x in words.items()}
+    for x in (c for c, _, n in count.values() if n):
+        x[""] = 1  # the start
+
+    def losses(i, ids):
+        others = [count[j] for j in ids if j != i]
+        one, two, n = sum((x for x, _, _ in others), Counter()), sum((x for _, x, _ in others), Counter()), sum(x for _, _, x in others)
+        return sum(-math.log((two[h, w] + 50 * (one[w] + 0.5) / (n + 0.5 * size)) / (one[h] + 50)) for h, w in zip(["", *words[i]], words[i], strict=False))
+
+    return {i: (len(x), *((losses(i, ids) / len(x)) if x else None for ids in (target, list(texts)))) for i, x in words.items()}
+
+
+@pytest.mark.parametrize(("head", "sent", "pairs"), [(0, 0, 0), (2, 4, 3), (8, 10, 1000), (1000, 1000, 1000)])
+def test_lm_score_against_plain_models(spark, monkeypatch, head, sent, pairs):
+    monkeypatch.setattr(lm_score, "TOKENS", 300)
+    texts = {i: " ".join(f"w{(i * j) % 13}" for j in range(i % 29)) for i in range(60)} | {60: None, 61: "", 62: "Rare WORDS w1 w1", 63: ("x" * 70 + " w2 ") * 40, 64: "\u0416\u00dc w1 Rare", 65: "w1 \u00fc\u00b2 " + "y" * 65}
     df = spark.createDataFrame([*texts.items(), (62, texts[62]), (None, texts[62])], "doc_id long, text string").selectExpr("*", "1 AS target", "2 AS n", "3 AS word")
     ids = spark.createDataFrame([(i,) for i in (3, 5, 5, 62, None, 999)], "x long")
-    want = plain_losses(texts | {"again": texts[62], None: texts[62]}, [3, 5, 62, "again"], 8)
-    got = lm_score.score(df, ids, size=8, common=common).collect()
+    want = plain_losses(texts | {"again": texts[62], None: texts[62]}, [3, 5, 62, "again"])
+    got = lm_score.score(df, ids, head=head, words_sent=sent, pairs_sent=pairs).collect()
     assert len(got) == len(texts) + 2
     for r in got:
         n, a, b = want[r["doc_id"]]
         assert r["n_tokens"] == n
         assert (r["target_loss"], r["background_loss"]) == (pytest.approx(a), pytest.approx(b)) if n else r["target_loss"] is None
-    assert lm_score.score(df.limit(0), ids.limit(0), common=common).count() == 0
+    assert lm_score.score(df.limit(0), ids.limit(0)).count() == 0
+
+
+def test_words_are_those_of_the_pattern():
+    for t in [None, "", "".join(map(chr, range(256))) * 2, "A_b-C \u00c0\u00df\u00b5x\u00aa", "\u0130x \u0416y \u03a3"]:
+        assert lm_score.words(t) == re.findall(r"\w+", (t or "").lower())
 
 
 def brute(vectors, every=100, k=10):

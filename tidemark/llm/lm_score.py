@@ -1,22 +1,24 @@
 """Cross-entropy difference between matched target and background n-gram models.
 
-Both models share one vocabulary, every word of the corpus, and are class bigram models: each of the
-``HEAD`` most frequent words is a class of its own, all other words are one class, and a word of that class
-costs what the class costs after the class before it, and what the word costs within the class. Class
-bigrams have Dirichlet smoothing towards their own unigrams, words within the class have additive smoothing
-over the vocabulary. The background model counts every document; the target model counts every document
-of the target set. A document's score is the mean over its tokens of target loss less background loss, in
-nats: the lower, the more it is like the target.
-
-The counts take in the whole corpus, grow with it, and are added up in each task before they are shuffled.
-Only two bounded things are sent to the tasks: the (HEAD + 2) ** 2 class bigrams, and the costs of at most
-``COMMON`` words of the shared class, which merely saves their lookup. The words beyond are looked up by a
-join with the table of all words, on the few tokens that they are.
+Both models share one vocabulary, every word of the corpus, and are bigram models over all of it: a word's
+probability after the word before it is (pairs + PRIOR * unigram) / (times of that word + PRIOR), and its
+unigram probability has additive smoothing over the vocabulary. The end of a text is an outcome too, counted
+but not scored. The background model counts every document, the target model every document of the target
+set. A document is scored by models that haven't seen it: its own counts are taken out of both. Its score is
+the mean over its tokens of target loss less background loss, in nats: the lower, the more it is like the
+target.
+
+All counts take in the whole corpus and grow with it. What is sent to the tasks is bounded: the counts of at
+most ``WORDS_SENT`` frequent words, and of at most ``PAIRS_SENT`` frequent pairs among the ``HEAD`` most
+frequent words; sending them merely saves their lookup. Every other pair or word of a document is a row that
+meets the others of its key in a shuffle, where all are added up and each takes its own share out. No such
+key is in over 1 / HEAD of the tokens, as one of its words is outside the head, or it was too rare to send.
+Keys are 64-bit hashes.
 
 Edge cases: null and texts without a word have no tokens and null losses. Repeated rows are counted and
-scored each. Ties in frequency go to the lesser word. A word of over ``LONGEST`` characters is in the shared
-class, however frequent. Without a target document the target model is uniform. An empty table gives an
-empty result. Further columns of the input are not looked at.
+scored each, so that each is known from the other. A word of over ``LONG`` characters stands as its digest.
+Very long texts are read whole. Without a target document the target model is uniform. An empty table gives
+an empty result. Further columns of the input are not looked at.
 """
 
 from __future__ import annotations
@@ -27,27 +29,46 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import xxhash
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from tidemark.llm.common import checkpointed, fresh, table
 
-HEAD = 2046  #: words that are classes of their own
-COMMON = 1 << 18  #: other words, at most, whose costs are sent to all tasks (about 10 MB); the rest are joined
-LONGEST = 64  #: characters of a word that is sent to all tasks
-PRIOR = 50.0  #: tokens that the unigrams count for in each bigram context
+HEAD = 8192  #: words whose pairs may be sent
+WORDS_SENT = 1 << 18  #: words, at most, whose counts are sent to all tasks (about 10 MB)
+PAIRS_SENT = 1 << 20  #: pairs, at most, whose counts are sent to all tasks (24 MB)
+LONG = 64  #: characters of a word that stands for itself
+PRIOR = 50.0  #: tokens that the unigrams count for after each word
 ADD = 0.5  #: what each word's unigram count has in advance
 SMALL_SET = 4_000_000  #: target documents up to this many are sent to all tasks (their ids: 32 MB); more are joined by a shuffle
 FLUSH = 400_000  #: distinct words that a task counts before it hands its counts on
+TOKENS = 1 << 20  #: tokens, about, that are worked on together
 WORDS = re.compile(r"\w+")
+START = 1 << 62  #: stands before the first word
+_LATIN = bytes(ord(chr(i).lower()) if WORDS.match(chr(i).lower()) else 32 for i in range(256))
 
 
 def words(text: str | None) -> list[str]:
-    return WORDS.findall((text or "").lower())
+    """The runs of word characters of the lower-cased text."""
+    if not text:
+        return []
+    try:
+        w = text.encode("latin-1").translate(_LATIN).decode("latin-1").split()
+    except UnicodeEncodeError:
+        w = WORDS.findall(text.lower())
+    if max(map(len, w), default=0) > LONG:
+        w = [x if len(x) <= LONG else " " + xxhash.xxh3_128_hexdigest(x.encode("utf-8", "surrogatepass")) for x in w]
+    return w
+
+
+def _marked(docs: DataFrame, text: str, target: str, *more: Column) -> DataFrame:
+    return docs.select(*more, docs[text].alias("text"), F.coalesce(docs[target].cast("int"), F.lit(0)).alias("target"))
 
 
 def word_counts(docs: DataFrame, text: str = "text", target: str = "target") -> DataFrame:
-    """Columns word, n, n_target: how often each word comes in all documents, and in those of the target."""
+    """Columns word, n, n_target: how often each word comes in all documents, and in those of the target; '' comes once in each text that has a word."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: tuple[Counter[str], Counter[str]] = (Counter(), Counter())  # outside the target, in it
@@ -60,143 +81,254 @@ def word_counts(docs: DataFrame, text: str = "text", target: str = "target") ->
 
         for x in batches:
             for t, flag in zip(x.column("text"), x.column("target").to_pylist(), strict=True):
-                seen[flag].update(words(t.as_py()))
+                if w := words(t.as_py()):
+                    seen[flag].update(w)
+                    seen[flag][""] += 1
                 if len(seen[0]) + len(seen[1]) > FLUSH:
                     yield from flush()
         yield from flush()
 
-    rows = docs.select(docs[text].alias("text"), F.coalesce(docs[target].cast("int"), F.lit(0)).alias("target"))
-    return rows.mapInArrow(run, "word string, n long, n_target long").groupBy("word").agg(F.sum("n").alias("n"), F.sum("n_target").alias("n_target"))
-
-
-def shared_class(counts: DataFrame, head: list[str]) -> DataFrame:
-    """Columns word, n, target_loss, background_loss: what each word outside the head costs within its class."""
-    first = counts.sparkSession.createDataFrame([(w,) for w in head], "word string")
-    rest = counts.join(F.broadcast(first), "word", "left_anti")
-    total = rest.agg(F.sum("n").alias("n"), F.sum("n_target").alias("n_target"), F.count("*").alias("v")).first()
-    loss = lambda c: -F.log((F.col(c) + ADD) / F.lit(float((total[c] or 0) + ADD * total["v"])))
-    return rest.select("word", "n", loss("n_target").alias("target_loss"), loss("n").alias("background_loss"))
+    return _marked(docs, text, target).mapInArrow(run, "word string, n long, n_target long").groupBy("word").agg(F.sum("n").alias("n"), F.sum("n_target").alias("n_target"))
 
 
-def split_common(rest: DataFrame, most: int) -> tuple[DataFrame, DataFrame]:
-    """The words of shared_class, parted by frequency into at most so many that are common and short, and the others."""
-    level = F.when(F.length("word") <= LONGEST, F.floor(F.log2("n") * 8).cast("int")).otherwise(-1)
-    kept = 0
-    cut = 1 << 30
-    for r in sorted(rest.groupBy(level.alias("level")).agg(F.count("*").alias("c")).collect(), reverse=True):  # 512 levels at most
+def frequent(counts: DataFrame, most: int) -> pa.Table:
+    """The rows of counts with the greatest n: so many at most, by steps of an eighth of a power of two, the greatest first."""
+    level = F.floor(F.log2("n") * 8).cast("int")
+    kept, cut = 0, 1 << 30
+    for r in sorted(counts.groupBy(level.alias("level")).agg(F.count("*").alias("c")).collect(), reverse=True):  # 512 levels at most
         kept += r["c"]
-        if kept > most or r["level"] < 0:
+        if kept > most:
             break
         cut = r["level"]
-    return rest.filter(level >= cut), rest.filter(level < cut)
-
-
-def numbers(w: list[str], ids: dict[str, int]) -> np.ndarray:
-    """The number of each word in ids, or -1."""
-    return np.fromiter((ids.get(x, -1) for x in w), np.int64, len(w))
-
+    got = counts.filter(level >= cut).toArrow()
+    return got.take(np.argsort(-got.column("n").to_numpy(), kind="stable"))
+
+
+class Vocabulary:
+    """The words that are sent, numbered by frequency; every other word has a negative number from its hash."""
+
+    def __init__(self, sent: pa.Table, head: int):
+        self.ids = {w: i for i, w in enumerate(sent.column("word").to_pylist())}
+        self.head = min(head, len(self.ids))
+
+    def numbers(self, w: list[str]) -> np.ndarray:
+        got = np.fromiter(map(self.ids.get, w, [-1] * len(w)), np.int64, len(w))
+        for i in np.flatnonzero(got < 0):
+            got[i] = -1 - (xxhash.xxh64_intdigest(w[i].encode("utf-8", "surrogatepass")) >> 1)
+        return got
+
+
+def pieces(batches: Iterator[pa.RecordBatch], vocabulary: Vocabulary) -> Iterator[tuple[list[pa.RecordBatch], np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """Documents of about TOKENS tokens: their rows, each one's target flag and length, and each token's number and the one before."""
+    rows, w, n, size = [], [], [], 0
+
+    def piece():
+        n_tokens = np.array(n, np.int64)
+        number = np.concatenate([np.empty(0, np.int64), *w])
+        before = np.empty_like(number)
+        before[1:] = number[:-1]
+        before[(np.cumsum(n_tokens) - n_tokens)[n_tokens > 0]] = START
+        return rows, np.concatenate([x.column("target").to_numpy() for x in rows]), n_tokens, number, before
+
+    for x in batches:
+        at = 0
+        for i, t in enumerate(x.column("text")):
+            w.append(vocabulary.numbers(words(t.as_py())))
+            n.append(len(w[-1]))
+            size += n[-1]
+            if size >= TOKENS:
+                rows.append(x.slice(at, i + 1 - at))
+                yield piece()
+                rows, w, n, size, at = [], [], [], 0, i + 1
+        if at < x.num_rows:
+            rows.append(x.slice(at))
+    if rows:
+        yield piece()
+
+
+def pair_counts(docs: DataFrame, vocabulary, text: str = "text", target: str = "target") -> DataFrame:
+    """Columns pair, n, n_target: how often each pair of words of the head comes in all documents, and in the target's.
+
+    A pair is the number of the first word (or of the start, the last) times head + 1, and the number of the second.
+    """
 
-def cells(number: np.ndarray, head: int) -> np.ndarray:
-    """The class bigrams of a text, as previous * side + class; words of the head are numbered below head."""
-    side = head + 2
-    got = np.where((number >= 0) & (number < head), number, head)
-    before = np.empty_like(got)
-    before[:1], before[1:] = head + 1, got[:-1]
-    return before * side + got
-
-
-def pair_counts(docs: DataFrame, head: list[str], text: str = "text", target: str = "target") -> DataFrame:
-    """Columns cell, n, n_target: how often each class bigram comes in all documents, and in those of the target."""
-    ids = docs.sparkSession.sparkContext.broadcast({w: i for i, w in enumerate(head)})
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, flag, n_tokens, number, before in pieces(batches, vocabulary.value):
+            pair = head_pair(before, number, vocabulary.value.head)
+            pair, n = np.unique(pair * 2 + np.repeat(flag, n_tokens), return_counts=True)
+            pair, n = pair[pair >= 0], n[pair >= 0]
+            yield pa.RecordBatch.from_arrays([pa.array(pair >> 1), pa.array(n), pa.array(n * (pair & 1))], ["pair", "n", "n_target"])
+
+    return _marked(docs, text, target).mapInArrow(run, "pair long, n long, n_target long").groupBy("pair").agg(F.sum("n").alias("n"), F.sum("n_target").alias("n_target"))
+
+
+def head_pair(before: np.ndarray, number: np.ndarray, head: int) -> np.ndarray:
+    """The pair as one number, or -1 if a word is outside the head."""
+    first = np.where(before == START, head, before)
+    inside = (number >= 0) & (number < head) & (before >= 0) & ((before < head) | (before == START))
+    return np.where(inside, first * (head + 1) + number, -1)
+
+
+def _mix(x: np.ndarray) -> np.ndarray:
+    """A 64-bit finaliser, so that keys spread."""
+    x = x.astype(np.uint64)
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def pair_key(before: np.ndarray, number: np.ndarray) -> np.ndarray:
+    return _mix(_mix(before.view(np.uint64)) + number.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+
+
+class Models:
+    """What is sent of both models. Arrays of two stand for target and background."""
+
+    def __init__(self, sent: pa.Table, pairs: pa.Table, tokens: np.ndarray, texts: np.ndarray, size: int, vocabulary: Vocabulary):
+        two = lambda t: np.array([t.column("n_target").to_numpy(), t.column("n").to_numpy()], np.float64)
+        order = np.argsort(pairs.column("pair").to_numpy())
+        self.pair, self.pair_n = pairs.column("pair").to_numpy()[order], two(pairs)[:, order]
+        self.word_n, self.vocabulary = two(sent), vocabulary
+        self.tokens, self.texts, self.size = tokens, texts, size
+
+    def tally(self, flag, n_tokens, number, before):
+        """By token: its document and its document's count of it; by different pair of a document: its first token, its count, its place in pair (or -1)."""
+        d = np.repeat(np.arange(len(n_tokens)), n_tokens)
+        mark = _mix(d + (1 << 40))
+        _, inverse, count = np.unique(_mix(number.view(np.uint64)) ^ mark, return_inverse=True, return_counts=True)
+        _, first, n = np.unique(pair_key(before, number) ^ mark, return_index=True, return_counts=True)
+        order = np.argsort(first)
+        first, n = first[order], n[order]
+        p = head_pair(before[first], number[first], self.vocabulary.head)
+        at = np.minimum(np.searchsorted(self.pair, p), max(len(self.pair) - 1, 0))
+        at = np.where((p >= 0) & (self.pair[at] == p), at, -1) if len(self.pair) else np.full(len(p), -1)
+        return d, count[inverse], first, n, at
+
+    def base(self, flag, n_tokens, number, before) -> tuple[np.ndarray, np.ndarray]:
+        """Target and background loss of each document, but for what its other words and pairs add."""
+        d, own, first, n, at = self.tally(flag, n_tokens, number, before)
+        starts = before == START
+        before_own = np.concatenate((own[:1], own[:-1]))
+        sent, after = number >= 0, (before >= 0) & ~starts
+        losses = []
+        for k in (0, 1):
+            mine = flag if k == 0 else np.ones_like(flag)
+            total = (self.tokens[k] - mine * n_tokens + ADD * self.size)[d]
+            q = np.ones(len(number))
+            q[sent] = PRIOR * (self.word_n[k][number[sent]] - (mine[d] * own)[sent] + ADD) / total[sent]
+            context = np.ones(len(number))
+            context[after] = self.word_n[k][before[after]] - (mine[d] * before_own)[after] + PRIOR
+            context[starts] = (self.texts[k] - mine[d] + PRIOR)[starts]
+            loss = np.log(context) - np.log(q)
+            i = at >= 0
+            f = first[i]
+            loss[f] -= n[i] * np.log1p(np.maximum(0, self.pair_n[k][at[i]] - mine[d[f]] * n[i]) / q[f])
+            losses.append(np.bincount(d, loss, len(n_tokens)))
+        return losses[0], losses[1]
+
+    def others(self, flag, n_tokens, number, before) -> dict[str, np.ndarray]:
+        """The pairs and words of each document that weren't sent; see asked()."""
+        d, own, first, n, at = self.tally(flag, n_tokens, number, before)
+        f, n = first[at < 0], n[at < 0]
+        key = pair_key(before[f], number[f])
+        by_word = number[f] < 0
+        # Each word's first place in its document, and how often it stands before another.
+        rare = np.flatnonzero(number < 0)
+        _, at, inverse = np.unique(_mix(number[rare].view(np.uint64)) ^ _mix(d[rare]), return_index=True, return_inverse=True)
+        last = np.zeros(len(number), bool)
+        last[np.cumsum(n_tokens)[n_tokens > 0] - 1] = True
+        leads = np.bincount(inverse, ~last[rare], len(at)).astype(np.int64)
+        u = rare[at]
+        join = np.concatenate
+        whole = lambda x: _mix(x.view(np.uint64) + np.uint64(1)).view(np.int64)
+        doc = join((d[f], d[u]))
+        out = {
+            "g": join((np.where(by_word, whole(number[f]), key.view(np.int64)), whole(number[u]))),
+            "h": join((np.where(by_word, key.view(np.int64), 0), np.zeros(len(u), np.int64))),
+            "d": doc,
+            "w": join((np.where(by_word, -1, number[f]), np.full(len(u), -2))),
+            "n": join((n, leads)), "own": join((own[f], own[u])), "target": flag[doc].astype(np.int64), "n_tokens": n_tokens[doc],
+        }
+        order = np.argsort(doc, kind="stable")
+        return {k: v[order] for k, v in out.items()}
+
+
+def asked(rows: DataFrame, models) -> DataFrame:
+    """A row for each pair or word of each document of rows (r, text, target) that wasn't sent.
+
+    g: the key that it is dealt by (of the pair; of the second word, if that wasn't sent); h: the pair's, if
+    g is the word's; w: the second word's number, -1 if it wasn't sent, -2 in the row of a word itself; n: how
+    often the pair comes in the document (the word stands before another); own: how often the (second) word does.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        side = len(ids.value) + 2
-        dense = np.zeros((2, side * side), np.int64)
-        for x in batches:
-            for flag in (0, 1):
-                pending, size = [], 0
-                for t, f in zip(x.column("text"), x.column("target").to_pylist(), strict=True):
-                    if f == flag:
-                        pending.append(cells(numbers(words(t.as_py()), ids.value), side - 2))
-                        size += len(pending[-1])
-                        if size > 1 << 21:
-                            _add(dense, flag, pending)
-                            pending, size = [], 0
-                _add(dense, flag, pending)
-        at = np.flatnonzero(dense.any(axis=0))
-        for i in range(0, len(at), 1 << 18):
-            c = at[i : i + (1 << 18)]
-            yield pa.RecordBatch.from_arrays([pa.array(c), pa.array(dense[:, c].sum(axis=0)), pa.array(dense[1, c])], ["cell", "n", "n_target"])
-
-    rows = docs.select(docs[text].alias("text"), F.coalesce(docs[target].cast("int"), F.lit(0)).alias("target"))
-    return rows.mapInArrow(run, "cell long, n long, n_target long").groupBy("cell").agg(F.sum("n").alias("n"), F.sum("n_target").alias("n_target"))
-
-
-def _add(dense: np.ndarray, flag: int, pending: list[np.ndarray]) -> None:
-    if pending:
-        c, n = np.unique(np.concatenate(pending), return_counts=True)
-        dense[flag, c] += n
-
-
-def losses(counts: np.ndarray) -> np.ndarray:
-    """-log p(class | previous class) for a square of counts, in nats."""
-    side = len(counts)
-    one = counts.sum(axis=0) + ADD
-    one[side - 1] = 0  # the start is never a word
-    one /= one.sum()
-    p = counts + PRIOR * one
-    p /= p.sum(axis=1, keepdims=True)
-    return -np.log(np.maximum(p, 1e-300)).ravel()
-
-
-def score(docs: DataFrame, target_ids: DataFrame, doc: str = "doc_id", text: str = "text", size: int = HEAD, common: int = COMMON) -> DataFrame:
+        for got, *tokens in pieces(batches, models.value.vocabulary):
+            x = models.value.others(*tokens)
+            x["d"] = np.concatenate([b.column("r").to_numpy() for b in got])[x["d"]]
+            for i in range(0, len(x["d"]), 1 << 16):
+                yield pa.RecordBatch.from_arrays([pa.array(v[i : i + (1 << 16)]) for v in x.values()], ["g", "h", "r", "w", "n", "own", "target", "n_tokens"])
+
+    return rows.mapInArrow(run, "g long, h long, r long, w long, n long, own long, target long, n_tokens long")
+
+
+def answered(rows: DataFrame, sent: pa.Table, tokens: np.ndarray, size: int) -> DataFrame:
+    """r, a, b: what the rows of asked() add to each document's target and background loss."""
+    of = lambda x: F.col(x) * F.col("target")
+    alone = F.when(F.col("w") == -2, F.col("own"))
+    together = F.when(F.col("w") != -2, F.col("n"))
+    by_word, by_pair = Window.partitionBy("g"), Window.partitionBy("g", "h")
+    rows = rows.select(
+        "*", F.sum(together * F.col("target")).over(by_pair).alias("ca"), F.sum(together).over(by_pair).alias("cb"),
+        F.sum(alone * F.col("target")).over(by_word).alias("ua"), F.sum(alone).over(by_word).alias("ub"),
+    ).filter("w = -2 OR cb > n")
+    known = pa.table({"w": pa.array(np.arange(len(sent))), "na": sent.column("n_target"), "nb": sent.column("n")})
+    known = rows.sparkSession.createDataFrame(known) if len(sent) else rows.sparkSession.createDataFrame([], "w long, na long, nb long")
+    rows = rows.join(F.broadcast(known), "w", "left")
+
+    def loss(k: int, c: str, u: str, n: str, mine: Column) -> Column:
+        count = F.coalesce(n, u) - mine * F.col("own")
+        q = PRIOR * (count + ADD) / (float(tokens[k]) - mine * F.col("n_tokens") + ADD * size)
+        word = F.col("n") * F.log(count + PRIOR) - F.col("own") * F.log(q)
+        return F.when(F.col("w") == -2, word).otherwise(-F.col("n") * F.log1p((F.col(c) - mine * F.col("n")) / q))
+
+    return rows.groupBy("r").agg(F.sum(loss(0, "ca", "ua", "na", F.col("target"))).alias("more_a"), F.sum(loss(1, "cb", "ub", "nb", F.lit(1))).alias("more_b"))
+
+
+def score(docs: DataFrame, target_ids: DataFrame, doc: str = "doc_id", text: str = "text", head: int = HEAD, words_sent: int = WORDS_SENT, pairs_sent: int = PAIRS_SENT) -> DataFrame:
     """doc_id, n_tokens, target_loss, background_loss, difference; target_ids: one column, the target documents' ids."""
     spark = docs.sparkSession
     (flag,) = fresh(docs, "target")
     wanted = target_ids.toDF("_id").filter("_id IS NOT NULL").distinct()
-    small = wanted.count() <= SMALL_SET
+    few = wanted.count() <= SMALL_SET
     marked = wanted.withColumn(flag, F.lit(1))
-    rows = docs.select(docs[doc], docs[text]).join(F.broadcast(marked) if small else marked, docs[doc] == marked["_id"], "left")
+    rows = docs.select(docs[doc], docs[text]).join(F.broadcast(marked) if few else marked, docs[doc] == marked["_id"], "left")
     counts = checkpointed(word_counts(rows, text, flag))
-    head = [r["word"] for r in counts.filter(F.length("word") <= LONGEST).orderBy(F.desc("n"), "word").limit(size).collect()]
-    often, seldom = split_common(shared_class(counts, head), common)
-    often = often.drop("n").toArrow()
-    side = len(head) + 2
-    got = pair_counts(rows, head, text, flag).toArrow()
-    square = np.zeros((2, side * side))
-    at = got.column("cell").to_numpy()
-    square[0, at], square[1, at] = got.column("n_target").to_numpy(), got.column("n").to_numpy()
-    # Costs within the class by number: none for the head, nor (at the end, number -1) for what is joined.
-    within = [np.concatenate((np.zeros(len(head)), often.column(c).to_numpy(), [0.0])) for c in ("target_loss", "background_loss")]
-    ids = {w: i for i, w in enumerate([*head, *often.column("word").to_pylist()])}
-    model = spark.sparkContext.broadcast((ids, len(head), [losses(x.reshape(side, side)) for x in square], within))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, n_head, bigram, word = model.value
-        for x in batches:
-            n, sums, others, times = [], ([], []), [], []
-            for t in x.column("text"):
-                w = words(t.as_py())
-                number = numbers(w, ids)
-                c = cells(number, n_head)
-                n.append(len(w))
-                for k in (0, 1):
-                    sums[k].append(float(bigram[k][c].sum() + word[k][number].sum()))
-                rest = Counter(w[i] for i in np.flatnonzero(number < 0))
-                others.append(list(rest))
-                times.append(list(rest.values()))
-            columns = {"doc_id": x.column("doc_id"), "th": x.column("th"), "n_tokens": pa.array(n, pa.int64()), "a": pa.array(sums[0], pa.float64()), "b": pa.array(sums[1], pa.float64()), "word": pa.array(others, pa.list_(pa.string())), "times": pa.array(times, pa.list_(pa.int64()))}
-            yield pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
-
-    kind = docs.schema[doc].dataType.simpleString()
-    texts = docs.select(docs[doc].alias("doc_id"), F.xxhash64(docs[text]).alias("th"), docs[text].alias("text"))
-    partly = checkpointed(texts.mapInArrow(run, f"doc_id {kind}, th long, n_tokens long, a double, b double, word array<string>, times array<long>"))
-    # Rows that agree in id and text bring the same words again.
-    asked = partly.select(F.col("doc_id").alias("_doc"), F.col("th").alias("_th"), F.explode(F.arrays_zip("word", "times")).alias("x")).select("_doc", "_th", "x.word", "x.times").distinct()
-    more = asked.join(seldom, "word").groupBy("_doc", "_th").agg(*[F.sum(F.col("times") * F.col(c)).alias(c) for c in ("target_loss", "background_loss")])
-    out = partly.join(more, partly["doc_id"].eqNullSafe(more["_doc"]) & (partly["th"] == more["_th"]), "left")
-    mean = lambda have, add: F.when(F.col("n_tokens") > 0, (F.col(have) + F.coalesce(F.col(add), F.lit(0.0))) / F.col("n_tokens"))
-    out = out.select("doc_id", "n_tokens", mean("a", "target_loss").alias("target_loss"), mean("b", "background_loss").alias("background_loss"))
+    texts = counts.filter("word = ''").first()  # counted once for each text that has a word
+    counts = counts.filter("word <> ''")
+    total = counts.agg(F.sum("n_target").alias("a"), F.sum("n").alias("b"), F.count("*").alias("v")).first()
+    tokens, size = np.array([total["a"] or 0, total["b"] or 0], np.float64), total["v"]
+    sent = frequent(counts, words_sent)
+    vocabulary = Vocabulary(sent, head)
+    shared = spark.sparkContext.broadcast(vocabulary)
+    # A pair that comes once is never another document's.
+    pairs = frequent(checkpointed(pair_counts(rows, shared, text, flag).filter("n > 1")), pairs_sent)
+    texts = np.array([texts["n_target"], texts["n"]] if texts else [0, 0], np.float64)
+    models = spark.sparkContext.broadcast(Models(sent, pairs, tokens, texts, size, vocabulary))
+
+    def base(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for got, flag, n, number, before in pieces(batches, models.value.vocabulary):
+            a, b = models.value.base(flag, n, number, before)
+            ends = np.cumsum([0, *[x.num_rows for x in got]])
+            for x, i, j in zip(got, ends[:-1], ends[1:], strict=True):
+                yield pa.RecordBatch.from_arrays([x.column("doc_id"), x.column("r"), pa.array(n[i:j]), pa.array(a[i:j]), pa.array(b[i:j])], ["doc_id", "r", "n_tokens", "a", "b"])
+
+    keyed = _marked(rows, text, flag, docs[doc].alias("doc_id"), F.xxhash64(docs[doc], docs[text]).alias("r"))
+    partly = keyed.mapInArrow(base, f"doc_id {docs.schema[doc].dataType.simpleString()}, r long, n_tokens long, a double, b double")
+    more = answered(asked(keyed, models), sent, tokens, size)
+    # Rows that agree in id and text have one r, and each has asked.
+    partly = partly.withColumn("same", F.count("*").over(Window.partitionBy("r")))
+    mean = lambda have, add: F.when(F.col("n_tokens") > 0, (F.col(have) + F.coalesce(F.col(add), F.lit(0.0)) / F.col("same")) / F.col("n_tokens"))
+    out = partly.join(more, "r", "left").select("doc_id", "n_tokens", mean("a", "more_a").alias("target_loss"), mean("b", "more_b").alias("background_loss"))
     return out.withColumn("difference", F.col("target_loss") - F.col("background_loss"))
 
 
@@ -207,32 +339,27 @@ def op2_lm_score(spark, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_tokens", *[F.round(c, 6).alias(c) for c in ("target_loss", "background_loss", "difference")])
 
 
-def _model(name: str, n: str) -> str:
-    """Losses of one model, by bigram; n is the count that it goes by."""
-    return f"""
-{name}_one AS (SELECT w, (coalesce(sum({n}), 0) + {ADD}) / (SELECT sum({n}) + {ADD} * (SELECT count(*) + 1 FROM vocab) FROM cells) AS p FROM cells GROUP BY w),
-{name} AS (
-  SELECT c.h, c.w, -ln(({n} + {PRIOR} * p) / (total + {PRIOR})) AS loss
-  FROM cells c JOIN {name}_one USING (w) JOIN (SELECT h, sum({n}) AS total FROM cells GROUP BY h) USING (h))"""
+def _loss(pair: str, word: str, context: str, tokens: str, mine: str) -> str:
+    q = f"{PRIOR} * ({word} - {mine} * own + {ADD}) / ({tokens} - {mine} * len + {ADD} * v)"
+    return f"sum(n * (ln({context} + {PRIOR}) - ln({pair} - {mine} * n + {q}))) / any_value(len)"
 
 
 ORACLE = rf"""
 WITH good AS (SELECT DISTINCT doc_id FROM labels WHERE quality = 1 AND coalesce(toxic, 0) = 0),
 lists AS (SELECT doc_id, regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}_]+') AS l FROM documents),
-tokens AS (SELECT doc_id, i, l[i] AS word FROM (SELECT doc_id, l, unnest(range(1, len(l) + 1)) AS i FROM lists)),
-freq AS (SELECT word, count(*) AS n, count(g.doc_id) AS n_target FROM tokens LEFT JOIN good g USING (doc_id) GROUP BY word),
-vocab AS (SELECT word FROM freq WHERE length(word) <= {LONGEST} ORDER BY n DESC, word LIMIT {HEAD}),
-rest AS (
-  SELECT word, -ln((n_target + {ADD}) / (sum(n_target) OVER () + {ADD} * count(*) OVER ())) AS a, -ln((n + {ADD}) / (sum(n) OVER () + {ADD} * count(*) OVER ())) AS b
-  FROM freq ANTI JOIN vocab USING (word)),
-named AS (SELECT doc_id, i, word, coalesce(v.word, '(rest)') AS w FROM tokens t LEFT JOIN vocab v USING (word)),
-pairs AS (SELECT doc_id, word, w, coalesce(lag(w) OVER (PARTITION BY doc_id ORDER BY i), '(start)') AS h FROM named),
-cells AS (SELECT h, w, count(*) AS n, count(g.doc_id) AS n_target FROM pairs p LEFT JOIN good g USING (doc_id) GROUP BY h, w),
-{_model("target", "n_target")},
-{_model("background", "n")},
-scores AS (
-  SELECT doc_id, count(*) AS n_tokens, avg(t.loss + coalesce(r.a, 0)) AS a, avg(b.loss + coalesce(r.b, 0)) AS b
-  FROM pairs p JOIN target t USING (h, w) JOIN background b USING (h, w) LEFT JOIN rest r ON r.word = p.word GROUP BY doc_id)
+tokens AS (SELECT doc_id, l[i] AS w, CASE WHEN i > 1 THEN l[i - 1] ELSE '' END AS h FROM (SELECT doc_id, l, unnest(range(1, len(l) + 1)) AS i FROM lists)),
+sizes AS (SELECT t.doc_id, count(*) AS len, CASE WHEN any_value(g.doc_id) IS NULL THEN 0 ELSE 1 END AS f FROM tokens t LEFT JOIN good g USING (doc_id) GROUP BY t.doc_id),
+-- What stands before a word: another word, or the start of a text.
+own AS (SELECT doc_id, w, count(*) AS n FROM tokens GROUP BY ALL UNION ALL SELECT doc_id, '', 1 FROM sizes),
+freq AS (SELECT w, sum(n) AS b, sum(n * f) AS a FROM own JOIN sizes USING (doc_id) GROUP BY w),
+total AS (SELECT sum(a) AS ta, sum(b) AS tb, count(*) AS v FROM freq WHERE w <> ''),
+pairs AS (SELECT doc_id, h, w, count(*) AS n FROM tokens GROUP BY ALL),
+cells AS (SELECT h, w, sum(n) AS b, sum(n * f) AS a FROM pairs JOIN sizes USING (doc_id) GROUP BY h, w),
+all_of AS (
+  SELECT p.doc_id, p.n, f, len, o.n AS own, c.a AS ca, c.b AS cb, x.a AS xa, x.b AS xb, y.a - f * q.n AS ya, y.b - q.n AS yb, ta, tb, v
+  FROM pairs p JOIN sizes s USING (doc_id) JOIN cells c USING (h, w) JOIN own o ON o.doc_id = p.doc_id AND o.w = p.w JOIN own q ON q.doc_id = p.doc_id AND q.w = p.h
+  JOIN freq x ON x.w = p.w JOIN freq y ON y.w = p.h, total),
+scores AS (SELECT doc_id, any_value(len) AS n_tokens, {_loss("ca", "xa", "ya", "ta", "f")} AS a, {_loss("cb", "xb", "yb", "tb", "1")} AS b FROM all_of GROUP BY doc_id)
 SELECT doc_id, CAST(coalesce(n_tokens, 0) AS BIGINT) AS n_tokens, round(a, 6) AS target_loss, round(b, 6) AS background_loss, round(a - b, 6) AS difference
 FROM documents LEFT JOIN scores USING (doc_id)
 """
