@@ -6,13 +6,15 @@ whole, domains towards their suffix, hosts towards their domain. The prior's str
 rates differ between groups beyond what chance explains, and from how well the parent's rate is known, so a
 host with few labels leans on its domain, and one in a domain without any has a wide posterior. A
 url is blocked if the lower posterior bound of its host's bad rate is above a limit. Hosts without a label
-have the posterior of their domain, or of their suffix.
+have the posterior of their domain, or of their suffix. Registered domains go by a rule, not by a list of
+all suffixes: the last two labels, or three if the last is a country's and the second a common second level.
 
 Explicit rules, (host, path prefix) pairs that hold for a host and its subdomains, come before the method;
 of the rules that fit, the longest wins, and of equally long ones the first by name.
 
 Edge cases: a url that is null or has no ``://`` has empty host and path, and its own group of outcomes. A
-host without a dot, or an IP address, is its own domain and suffix. Outcomes with a null value count for
+host without a dot, or an IP address, is its own domain and suffix; ports count for the host only. Very
+long urls are read whole. Outcomes with a null value count for
 nothing. Repeated rows give a row each and count each. An empty table gives an empty result; with no
 outcomes at all everything is allowed. Further columns of the input are not looked at.
 """
@@ -29,8 +31,8 @@ from tidemark.llm.common import checkpointed, table
 
 #: The rules of the query, in fixed text: verdict and rule.
 RULES = (("block", "com/en/"), ("allow", "example.com/en/7"), ("allow", "net/de/"), ("block", "example.net/de/8"), ("block", "org/es/"))
-#: Suffixes of two labels; every other suffix is the last label.
-TWO_LABELS = ("co.uk", "org.uk", "ac.uk", "com.au", "co.jp", "com.br", "co.in", "co.id", "co.nz", "com.cn")
+#: Labels that make a suffix of two labels with a country's two letters after them; every other suffix is the last label.
+SECOND_LEVEL = ("ac", "co", "com", "edu", "go", "gob", "gov", "ltd", "mil", "ne", "net", "nhs", "or", "org", "plc", "sch")
 MAX_RULES = 1000
 
 
@@ -50,9 +52,10 @@ def host_path(url: Column) -> tuple[Column, Column]:
 
 
 def domain_suffix(host: Column) -> tuple[Column, Column]:
-    """Registered domain and suffix of a host."""
+    """Registered domain and suffix of a host, whose port doesn't count."""
+    host = F.regexp_replace(host, r":[0-9]*$", "")
     two, three = F.substring_index(host, ".", -2), F.substring_index(host, ".", -3)
-    long = two.isin(*TWO_LABELS)
+    long = two.rlike(rf"^({'|'.join(SECOND_LEVEL)})\.[a-z][a-z]$")
     ip = host.rlike(r"^[0-9.]+$") | host.contains(":")
     return F.when(ip, host).when(long, three).otherwise(two), F.when(ip, host).when(long, two).otherwise(F.substring_index(host, ".", -1))
 
@@ -69,49 +72,50 @@ def rule_of(host: Column, path: Column, rules: tuple = RULES) -> Column:
     return F.array_min(F.array(*fits)) if fits else F.lit(None).cast("struct<n:int,rule:string,verdict:string>")
 
 
-def _strength(groups: DataFrame, bound: Bound) -> Column:
-    """The strength of the prior from which groups (n, k, and their prior mean m) come, as a scalar subquery.
+def _strength(groups: DataFrame, bound: Bound) -> float:
+    """The strength of the prior from which groups (n, k, and their prior mean m) come.
 
     By moments: of the squared deviations of rates from their prior means, weighted by n, what is beyond
     the binomial variance is the variance between groups.
     """
-    s = groups.agg(
-        F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("nn"), F.count("*").alias("g"),
+    s = groups.filter("n > 0").agg(
+        F.coalesce(F.sum("n"), F.lit(0.0)).alias("n"), F.count("*").alias("g"),
         F.sum(F.expr("n * pow(k / n - m, 2)")).alias("dev"), F.sum(F.expr("n * m * (1 - m)")).alias("var"),
-    )
+    ).first()
     # Expected deviation: sum of m (1 - m) (1 + (n - 1) rho), with rho = 1 / (strength + 1).
-    rho = F.expr("try_divide(dev * n / var - g, n - g)")
-    fitted = F.when((F.col("n") > F.col("g")) & (rho > 0), F.greatest(F.lit(bound.least), 1 / rho - 1)).otherwise(F.lit(bound.most))
+    rho = (s["dev"] * s["n"] / s["var"] - s["g"]) / (s["n"] - s["g"]) if s["n"] > s["g"] and s["var"] else 0.0
+    fitted = max(bound.least, 1 / rho - 1) if rho > 0 else bound.most
     # No prior is stronger than all that has been observed.
-    return s.select(F.least(fitted, F.lit(bound.most), F.coalesce("n", F.lit(0.0)) + 1).alias("s")).scalar()
+    return min(fitted, bound.most, s["n"] + 1)
 
 
-def _prior(groups: DataFrame, bound: Bound) -> Column:
-    """The prior strength of each group: of its level's and of what is known of its parent's mean (of), half the harmonic mean."""
-    s = _strength(groups.filter("n > 0"), bound)
-    return s * F.col("of") / (s + F.col("of"))
+def _with_prior(groups: DataFrame, bound: Bound) -> DataFrame:
+    """groups with s, the strength of their prior: of their level's and of what is known of their parent's mean (of), half the harmonic mean."""
+    s = F.lit(_strength(groups, bound))
+    return groups.withColumn("s", s * F.col("of") / (s + F.col("of")))
 
 
 def _posterior(groups: DataFrame, bound: Bound) -> DataFrame:
     """groups with their posterior mean m, and its strength of, in the place of their parents'."""
-    return groups.withColumn("s", _prior(groups, bound)).withColumn("m", F.expr("(k + s * m) / (n + s)")).withColumn("of", F.expr("n + s"))
+    return _with_prior(groups, bound).withColumn("m", F.expr("(k + s * m) / (n + s)")).withColumn("of", F.expr("n + s"))
 
 
 def reputations(outcomes: DataFrame, bound: Bound = Bound()) -> DataFrame:
-    """host, alpha, beta, blocked for each host of outcomes (host, bad: 0, 1 or null); groups nest host, domain, suffix."""
+    """host, alpha, beta, blocked for each host of outcomes (host, bad: 0, 1 or null); groups nest host, domain, suffix.
+
+    The counts of a level are one aggregation; its prior's strength, one number, comes to the driver.
+    """
     dom, suf = domain_suffix(F.col("host"))
     hosts = outcomes.groupBy("host").agg(F.count("bad").cast("double").alias("n"), F.coalesce(F.sum("bad"), F.lit(0)).cast("double").alias("k"))
     hosts = checkpointed(hosts.withColumn("domain", dom).withColumn("suffix", suf))  # pages are read once
-    domains = hosts.groupBy("domain", "suffix").agg(F.sum("n").alias("n"), F.sum("k").alias("k"))
+    domains = checkpointed(hosts.groupBy("domain", "suffix").agg(F.sum("n").alias("n"), F.sum("k").alias("k")))
     suffixes = domains.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("k").alias("k"))
+    every = suffixes.agg(F.coalesce(F.sum("n"), F.lit(0.0)).alias("n"), F.coalesce(F.sum("k"), F.lit(0.0)).alias("k")).first()
     # Half a bad and half a good page in advance keep the overall rate off 0 and 1.
-    whole = suffixes.agg(((F.coalesce(F.sum("k"), F.lit(0.0)) + 0.5) / (F.coalesce(F.sum("n"), F.lit(0.0)) + 1)).alias("m"))
-    every = suffixes.agg((F.coalesce(F.sum("n"), F.lit(0.0)) + 1).alias("n"))
-    suffixes = suffixes.withColumn("m", whole.scalar()).withColumn("of", every.scalar())
+    suffixes = suffixes.withColumn("m", F.lit((every["k"] + 0.5) / (every["n"] + 1))).withColumn("of", F.lit(every["n"] + 1))
     suffixes = _posterior(suffixes, bound).select("suffix", "m", "of")
     domains = _posterior(domains.join(suffixes, "suffix"), bound).select("domain", "m", "of")
-    hosts = hosts.join(domains, "domain")
-    hosts = hosts.withColumn("s", _prior(hosts, bound))
+    hosts = _with_prior(hosts.join(domains, "domain"), bound)
     out = hosts.select("host", F.col("n").cast("long").alias("labelled"), F.col("k").cast("long").alias("bad"), F.expr("k + s * m").alias("alpha"), F.expr("n - k + s * (1 - m)").alias("beta"))
     odds = F.log(F.col("alpha") / F.col("beta")) - bound.z * F.sqrt(1 / F.col("alpha") + 1 / F.col("beta"))
     return out.withColumn("lower", 1 / (1 + F.exp(-odds))).withColumn("blocked", F.col("lower") > bound.max_bad)
@@ -157,9 +161,12 @@ o AS (
   FROM p JOIN labels ON doc_id = TRY_CAST(regexp_extract(url, '://[^/?#]*/[^/?#]*/([0-9]+)', 1) AS BIGINT)
   UNION ALL SELECT host, NULL FROM p),
 h AS (
-  SELECT host, CAST(count(bad) AS DOUBLE) AS n, CAST(coalesce(sum(bad), 0) AS DOUBLE) AS k, string_split(host, '.') AS parts,
-         array_to_string(parts[-2:], '.') AS domain, parts[-1] AS suffix
-  FROM o GROUP BY host),
+  SELECT host, n, k, array_to_string(CASE WHEN ip THEN parts WHEN long THEN parts[-3:] ELSE parts[-2:] END, '.') AS domain,
+         array_to_string(CASE WHEN ip THEN parts WHEN long THEN parts[-2:] ELSE parts[-1:] END, '.') AS suffix
+  FROM (SELECT host, CAST(count(bad) AS DOUBLE) AS n, CAST(coalesce(sum(bad), 0) AS DOUBLE) AS k, regexp_replace(host, ':[0-9]*$', '') AS name,
+               string_split(name, '.') AS parts, regexp_full_match(name, '[0-9.]+') OR contains(name, ':') AS ip,
+               regexp_full_match(array_to_string(parts[-2:], '.'), '({"|".join(SECOND_LEVEL)})[.][a-z][a-z]') AS long
+        FROM o GROUP BY host)),
 d0 AS (SELECT domain, suffix, sum(n) AS n, sum(k) AS k FROM h GROUP BY domain, suffix),
 f0 AS (SELECT suffix, sum(n) AS n, sum(k) AS k FROM d0 GROUP BY suffix),
 f1 AS (SELECT *, (SELECT (sum(k) + 0.5) / (sum(n) + 1) FROM f0) AS m, (SELECT sum(n) + 1 FROM f0) AS known FROM f0),
