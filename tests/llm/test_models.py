@@ -98,6 +98,31 @@ def test_search_edges(spark, monkeypatch):
     assert one_bit_search.search(empty, empty).count() == 0
 
 
+@pytest.mark.parametrize(("d", "share"), [(64, 0.2), (300, 0.6)])  # normal vectors: the more coordinates, the less distances differ
+def test_codes_decide_what_is_reranked(d, share):
+    rng = np.random.default_rng(d)
+    v = rng.normal(size=(2000, d))
+    space = one_bit_search.Space(v.mean(axis=0), float(np.abs(v).max()))
+    q = one_bit_search.Queries(np.arange(20), v[:20], space, 10, np.full(20, np.inf))
+    q.take(np.arange(2000), v, *space.codes(v))
+    want = brute(list(enumerate(v)), every=100)
+    assert q.reranked < share * 20 * 2000
+    assert set(q.best_id[0]) == {i for _, i in want[0]}
+
+
+def test_search_of_enormous_components(spark):
+    rng = np.random.default_rng(5)
+    v = rng.normal(size=(300, 8))
+    rows = [(i, x.tolist()) for i, x in enumerate(v)]
+    rows[7] = (7, [1e200, *rows[7][1][1:]])
+    rows[8] = (8, [-1e308, *rows[8][1][1:]])
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    with np.errstate(over="ignore"):
+        assert {q: [i for _, i in x] for q, x in found(one_bit_search.search(df, df.filter("vec_id % 100 = 0"))).items()} == {q: [i for _, i in x] for q, x in brute(rows).items()}
+    few = df.filter("vec_id IN (7, 8, 100)")
+    assert found(one_bit_search.search(few, few.filter("vec_id % 100 = 0")))[100] == [(math.inf, 7), (math.inf, 8)]
+
+
 def test_ppm_costs_are_exact(spark):
     texts = ["abracadabra", "abba abba", "cab"]
     df = spark.createDataFrame([("x", t) for t in texts], "lang string, text string")
@@ -170,6 +195,30 @@ def test_url_parts_and_rules(spark):
     assert url_reputation.judge(df.limit(0), none).count() == 0
 
 
+def test_domains_and_suffixes(spark):
+    hosts = {"a.b.example.com": ("example.com", "com"), "x.gov.uk": ("x.gov.uk", "gov.uk"), "a.b.co.kr:8080": ("b.co.kr", "co.kr"), "www.shop.de": ("shop.de", "de"), "10.0.0.1:80": ("10.0.0.1", "10.0.0.1"), "[::1]:80": ("[::1]", "[::1]"), "local": ("local", "local"), "": ("", ""), "a.co.com": ("co.com", "com")}
+    df = spark.createDataFrame([(h,) for h in hosts], "host string")
+    assert {r["host"]: (r["d"], r["s"]) for r in df.select("host", *[c.alias(n) for c, n in zip(url_reputation.domain_suffix(F.col("host")), "ds", strict=True)]).collect()} == hosts
+
+
+def test_held_out_outcomes(spark):
+    """Hosts with bad rates of 0.6 and 0.1: those that half of the labels block are bad in the other half."""
+    rng = np.random.default_rng(1)
+    rate = {f"h{i}.site{i % 20}.{'com' if i % 2 else 'co.uk'}": 0.6 if i % 5 == 0 else 0.1 for i in range(200)}
+    rows = [(f"http://{h}/{j}", int(rng.random() < r)) for h, r in rate.items() for j in range(40)]
+    pages = spark.createDataFrame([(i, f"http://{h}/") for i, h in enumerate(rate)], "page_id int, url string")
+    got = {r["host"]: r["verdict"] for r in url_reputation.judge(pages, spark.createDataFrame(rows[::2], "url string, bad int")).collect()}
+    blocked = [b for u, b in rows[1::2] if got[u.split("/")[2]] == "block"]
+    allowed = [b for u, b in rows[1::2] if got[u.split("/")[2]] == "allow"]
+    assert np.mean(blocked) > 0.55 and np.mean(allowed) < 0.15
+    assert sum(got[h] == "block" for h, r in rate.items() if r > 0.5) >= 36
+
+
+def test_reputation_is_a_small_plan(spark):
+    plan = url_reputation.op1_url_reputation(spark, DATA)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") < 20
+
+
 def test_reputation_shrinks(spark):
     rows = [(f"http://bad{i}.evil.test/{j}", 1) for i in range(4) for j in range(12)] + [(f"http://h{i}.fine.test/{j}", 0) for i in range(6) for j in range(12)] + [("http://one.other.test/1", 1), ("http://x.fine.test/1", None)]
     out = spark.createDataFrame(rows, "url string, bad int")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,14 +18,30 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """df, written once to the folder in spark.checkpoint.dir, which every executor can read.
+def shared(spark: SparkSession) -> str:
+    """The folder in spark.checkpoint.dir, which every executor can read.
 
-    The folder is set here only where the session names none, as in tests.
+    Only a session that runs in one process, as in tests, may name none: it gets a temporary folder.
     """
-    sc = df.sparkSession.sparkContext
+    sc = spark.sparkContext
+    folder = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+    if not folder:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
+        folder = tempfile.mkdtemp(prefix="checkpoints-")
     if not sc.getCheckpointDir():
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoints-"))
+        sc.setCheckpointDir(folder)
+    return folder.rstrip("/")
+
+
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new name in the shared folder."""
+    return f"{shared(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """df, written once to the shared folder."""
+    shared(df.sparkSession)
     return df.checkpoint()
 
 
