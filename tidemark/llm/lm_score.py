@@ -10,10 +10,11 @@ target.
 
 All counts take in the whole corpus and grow with it. What is sent to the tasks is bounded: the counts of at
 most ``WORDS_SENT`` frequent words, and of at most ``PAIRS_SENT`` frequent pairs among the ``HEAD`` most
-frequent words; sending them merely saves their lookup. Every other pair or word of a document is a row that
-meets the others of its key in a shuffle, where all are added up and each takes its own share out. No such
-key is in over 1 / HEAD of the tokens, as one of its words is outside the head, or it was too rare to send.
-Keys are 64-bit hashes.
+frequent words; sending them merely saves their lookup. Every other pair or word of a document meets the
+others of its key in a shuffle, where all are added up and each takes its own share out. A task hands them
+on in bundles, one for each bucket of keys, and there are as many buckets as ``BUCKET`` needs. No such key
+is in over 1 / HEAD of the tokens, as one of its words is outside the head, or it was too rare to send. Keys
+are 64-bit hashes.
 
 Edge cases: null and texts without a word have no tokens and null losses. Repeated rows are counted and
 scored each, so that each is known from the other. A word of over ``LONG`` characters stands as its digest.
@@ -32,7 +33,6 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from tidemark.llm.common import checkpointed, fresh, table
 
@@ -45,6 +45,8 @@ ADD = 0.5  #: what each word's unigram count has in advance
 SMALL_SET = 4_000_000  #: target documents up to this many are sent to all tasks (their ids: 32 MB); more are joined by a shuffle
 FLUSH = 400_000  #: distinct words that a task counts before it hands its counts on
 TOKENS = 1 << 20  #: tokens, about, that are worked on together
+BUCKET = 1 << 20  #: tokens of the corpus to a bucket of keys, whose rows meet in one task
+LEAST_BUCKETS = 16
 WORDS = re.compile(r"\w+")
 START = 1 << 62  #: stands before the first word
 _LATIN = bytes(ord(chr(i).lower()) if WORDS.match(chr(i).lower()) else 32 for i in range(256))
@@ -191,107 +193,172 @@ class Models:
         self.word_n, self.vocabulary = two(sent), vocabulary
         self.tokens, self.texts, self.size = tokens, texts, size
 
-    def tally(self, flag, n_tokens, number, before):
-        """By token: its document and its document's count of it; by different pair of a document: its first token, its count, its place in pair (or -1)."""
+    def tally(self, n_tokens, number, before):
+        """By token: its document and its document's count of it; by different pair of a document: one of its tokens, its count, its place in pair (or -1)."""
         d = np.repeat(np.arange(len(n_tokens)), n_tokens)
         mark = _mix(d + (1 << 40))
-        _, inverse, count = np.unique(_mix(number.view(np.uint64)) ^ mark, return_inverse=True, return_counts=True)
-        _, first, n = np.unique(pair_key(before, number) ^ mark, return_index=True, return_counts=True)
-        order = np.argsort(first)
-        first, n = first[order], n[order]
-        p = head_pair(before[first], number[first], self.vocabulary.head)
-        at = np.minimum(np.searchsorted(self.pair, p), max(len(self.pair) - 1, 0))
-        at = np.where((p >= 0) & (self.pair[at] == p), at, -1) if len(self.pair) else np.full(len(p), -1)
-        return d, count[inverse], first, n, at
-
-    def base(self, flag, n_tokens, number, before) -> tuple[np.ndarray, np.ndarray]:
+        order, _, count = groups(_mix(number.view(np.uint64)) ^ mark)
+        own = np.empty(len(number), np.int64)
+        own[order] = np.repeat(count, count)
+        _, one, n = groups(pair_key(before, number) ^ mark)
+        p = head_pair(before[one], number[one], self.vocabulary.head)
+        at = np.full(len(p), -1)
+        if len(self.pair):
+            inside = np.flatnonzero(p >= 0)
+            found = np.minimum(np.searchsorted(self.pair, p[inside]), len(self.pair) - 1)
+            at[inside] = np.where(self.pair[found] == p[inside], found, -1)
+        return d, own, one, n, at
+
+    def unigram(self, k: int, count, own, mine, n_tokens):
+        """PRIOR times the probability of words that come so often, without a document's own."""
+        return PRIOR * (count - mine * own + ADD) / (self.tokens[k] - mine * n_tokens + ADD * self.size)
+
+    def base(self, flag, n_tokens, number, before, tally) -> tuple[np.ndarray, np.ndarray]:
         """Target and background loss of each document, but for what its other words and pairs add."""
-        d, own, first, n, at = self.tally(flag, n_tokens, number, before)
+        d, own, one, n, at = tally
         starts = before == START
         before_own = np.concatenate((own[:1], own[:-1]))
-        sent, after = number >= 0, (before >= 0) & ~starts
+        sent, after = np.flatnonzero(number >= 0), np.flatnonzero((before >= 0) & ~starts)
+        i = np.flatnonzero(at >= 0)
+        f, p = one[i], at[i]
         losses = []
         for k in (0, 1):
             mine = flag if k == 0 else np.ones_like(flag)
-            total = (self.tokens[k] - mine * n_tokens + ADD * self.size)[d]
-            q = np.ones(len(number))
-            q[sent] = PRIOR * (self.word_n[k][number[sent]] - (mine[d] * own)[sent] + ADD) / total[sent]
-            context = np.ones(len(number))
-            context[after] = self.word_n[k][before[after]] - (mine[d] * before_own)[after] + PRIOR
-            context[starts] = (self.texts[k] - mine[d] + PRIOR)[starts]
-            loss = np.log(context) - np.log(q)
-            i = at >= 0
-            f = first[i]
-            loss[f] -= n[i] * np.log1p(np.maximum(0, self.pair_n[k][at[i]] - mine[d[f]] * n[i]) / q[f])
+            q, context = np.ones(len(number)), np.ones(len(number))
+            q[sent] = self.unigram(k, self.word_n[k][number[sent]], own[sent], mine[d[sent]], n_tokens[d[sent]])
+            context[after] = self.word_n[k][before[after]] - mine[d[after]] * before_own[after] + PRIOR
+            context[starts] = (self.texts[k] - mine + PRIOR)[d[starts]]
+            loss = np.log(context / q)
+            loss[f] -= n[i] * np.log1p(np.maximum(0, self.pair_n[k][p] - mine[d[f]] * n[i]) / q[f])
             losses.append(np.bincount(d, loss, len(n_tokens)))
         return losses[0], losses[1]
 
-    def others(self, flag, n_tokens, number, before) -> dict[str, np.ndarray]:
-        """The pairs and words of each document that weren't sent; see asked()."""
-        d, own, first, n, at = self.tally(flag, n_tokens, number, before)
-        f, n = first[at < 0], n[at < 0]
-        key = pair_key(before[f], number[f])
-        by_word = number[f] < 0
-        # Each word's first place in its document, and how often it stands before another.
+    def others(self, flag, n_tokens, number, before, tally) -> dict[str, np.ndarray]:
+        """The pairs and words of each document that weren't sent, as columns of equal length.
+
+        key: of the pair, 0 for a word itself; word: of the second word if that wasn't sent, else 0; d: the
+        document; w: the second word's number, -1 if it wasn't sent; n: how often the pair comes in the document
+        (the word stands before another); own: how often the (second) word does.
+        """
+        d, own, one, n, at = tally
+        f, n = one[at < 0], n[at < 0]
         rare = np.flatnonzero(number < 0)
-        _, at, inverse = np.unique(_mix(number[rare].view(np.uint64)) ^ _mix(d[rare]), return_index=True, return_inverse=True)
+        order, u, count = groups(_mix(number[rare].view(np.uint64)) ^ _mix(d[rare]))
         last = np.zeros(len(number), bool)
         last[np.cumsum(n_tokens)[n_tokens > 0] - 1] = True
-        leads = np.bincount(inverse, ~last[rare], len(at)).astype(np.int64)
-        u = rare[at]
-        join = np.concatenate
-        whole = lambda x: _mix(x.view(np.uint64) + np.uint64(1)).view(np.int64)
-        doc = join((d[f], d[u]))
-        out = {
-            "g": join((np.where(by_word, whole(number[f]), key.view(np.int64)), whole(number[u]))),
-            "h": join((np.where(by_word, key.view(np.int64), 0), np.zeros(len(u), np.int64))),
-            "d": doc,
-            "w": join((np.where(by_word, -1, number[f]), np.full(len(u), -2))),
-            "n": join((n, leads)), "own": join((own[f], own[u])), "target": flag[doc].astype(np.int64), "n_tokens": n_tokens[doc],
+        leads = np.add.reduceat(~last[rare][order], np.cumsum(count) - count, dtype=np.int64) if len(u) else count
+        u = rare[u]
+        join, word = np.concatenate, _mix(number.view(np.uint64) + np.uint64(1)).view(np.int64)
+        return {
+            "key": join((pair_key(before[f], number[f]).view(np.int64), np.zeros(len(u), np.int64))),
+            "word": join((np.where(number[f] < 0, word[f], 0), word[u])),
+            "d": join((d[f], d[u])), "w": np.maximum(join((number[f], number[u])), -1), "n": join((n, leads)), "own": join((own[f], own[u])),
         }
-        order = np.argsort(doc, kind="stable")
-        return {k: v[order] for k, v in out.items()}
 
+    def answers(self, x: dict[str, np.ndarray], r: np.ndarray, flag: np.ndarray, n_tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """r, and what is added to its target and background loss, from all that others() gave under some keys."""
+        d, n, own, word = x["d"], x["n"], x["own"], x["key"] == 0
+        two = (flag[d], np.ones(len(d), np.int64))
+        by_word = groups(x["word"].view(np.uint64))
+        by_pair = groups(_mix(x["word"].view(np.uint64)) + x["key"].view(np.uint64))
+        added = []
+        for k in (0, 1):
+            count = _sums(by_word, np.where(word, own * two[k], 0))
+            if len(self.word_n[k]):
+                count = np.where(x["w"] >= 0, self.word_n[k][x["w"]], count)
+            q = self.unigram(k, count, own, two[k], n_tokens[d])
+            pair = _sums(by_pair, n * two[k]) - n * two[k]
+            added.append(np.where(word, n * np.log(count - two[k] * own + PRIOR) - own * np.log(q), -n * np.log1p(pair / q)))
+        sums = [np.bincount(d, y, len(r)) for y in added]
+        some = (sums[0] != 0) | (sums[1] != 0)
+        return r[some], sums[0][some], sums[1][some]
 
-def asked(rows: DataFrame, models) -> DataFrame:
-    """A row for each pair or word of each document of rows (r, text, target) that wasn't sent.
 
-    g: the key that it is dealt by (of the pair; of the second word, if that wasn't sent); h: the pair's, if
-    g is the word's; w: the second word's number, -1 if it wasn't sent, -2 in the row of a word itself; n: how
-    often the pair comes in the document (the word stands before another); own: how often the (second) word does.
-    """
+def groups(k: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The order that sorts k, the index of one of each group of equals, the groups' sizes."""
+    order = np.argsort(k)
+    s = k[order]
+    first = np.flatnonzero(np.concatenate((np.ones(min(1, len(s)), bool), s[1:] != s[:-1])))
+    return order, order[first], np.diff(np.append(first, len(s)))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for got, *tokens in pieces(batches, models.value.vocabulary):
-            x = models.value.others(*tokens)
-            x["d"] = np.concatenate([b.column("r").to_numpy() for b in got])[x["d"]]
-            for i in range(0, len(x["d"]), 1 << 16):
-                yield pa.RecordBatch.from_arrays([pa.array(v[i : i + (1 << 16)]) for v in x.values()], ["g", "h", "r", "w", "n", "own", "target", "n_tokens"])
 
-    return rows.mapInArrow(run, "g long, h long, r long, w long, n long, own long, target long, n_tokens long")
+def _sums(of: tuple[np.ndarray, np.ndarray, np.ndarray], x: np.ndarray) -> np.ndarray:
+    """For each x, the sum over its group."""
+    order, _, count = of
+    out = np.empty(len(x), np.int64)
+    out[order] = np.repeat(np.add.reduceat(x[order], np.cumsum(count) - count), count) if len(x) else x
+    return out
 
 
-def answered(rows: DataFrame, sent: pa.Table, tokens: np.ndarray, size: int) -> DataFrame:
-    """r, a, b: what the rows of asked() add to each document's target and background loss."""
-    of = lambda x: F.col(x) * F.col("target")
-    alone = F.when(F.col("w") == -2, F.col("own"))
-    together = F.when(F.col("w") != -2, F.col("n"))
-    by_word, by_pair = Window.partitionBy("g"), Window.partitionBy("g", "h")
-    rows = rows.select(
-        "*", F.sum(together * F.col("target")).over(by_pair).alias("ca"), F.sum(together).over(by_pair).alias("cb"),
-        F.sum(alone * F.col("target")).over(by_word).alias("ua"), F.sum(alone).over(by_word).alias("ub"),
-    ).filter("w = -2 OR cb > n")
-    known = pa.table({"w": pa.array(np.arange(len(sent))), "na": sent.column("n_target"), "nb": sent.column("n")})
-    known = rows.sparkSession.createDataFrame(known) if len(sent) else rows.sparkSession.createDataFrame([], "w long, na long, nb long")
-    rows = rows.join(F.broadcast(known), "w", "left")
+#: What tasks hand on. Either a document (doc, r, n_tokens, a and b), or, under a bucket of keys, what several
+#: documents ask: their rs, targets and lengths, and the columns of Models.others(), d counting within rs.
+ASKED = "bucket int, doc {}, r long, n_tokens long, a double, b double, rs array<long>, targets array<int>, lengths array<int>, key array<long>, word array<long>, d array<int>, w array<int>, n array<int>, own array<int>"
 
-    def loss(k: int, c: str, u: str, n: str, mine: Column) -> Column:
-        count = F.coalesce(n, u) - mine * F.col("own")
-        q = PRIOR * (count + ADD) / (float(tokens[k]) - mine * F.col("n_tokens") + ADD * size)
-        word = F.col("n") * F.log(count + PRIOR) - F.col("own") * F.log(q)
-        return F.when(F.col("w") == -2, word).otherwise(-F.col("n") * F.log1p((F.col(c) - mine * F.col("n")) / q))
 
-    return rows.groupBy("r").agg(F.sum(loss(0, "ca", "ua", "na", F.col("target"))).alias("more_a"), F.sum(loss(1, "cb", "ub", "nb", F.lit(1))).alias("more_b"))
+def asked(rows: DataFrame, models, buckets: int) -> DataFrame:
+    """For documents (doc, r, text, target): what is known of each, and what must be looked up, in bundles by bucket; see ASKED."""
+    kind = rows.schema["doc"].dataType.simpleString()
+    schema = rows.sparkSession.createDataFrame([], ASKED.format(kind)).toArrow().schema
+
+    def bundle(**columns) -> pa.RecordBatch:
+        size = max(map(len, columns.values()))
+        return pa.RecordBatch.from_arrays([pa.array(columns[f.name], f.type) if f.name in columns else pa.nulls(size, f.type) for f in schema], schema=schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for got, *tokens in pieces(batches, models.value.vocabulary):
+            flag, n_tokens = tokens[:2]
+            tally = models.value.tally(*tokens[1:])
+            a, b = models.value.base(*tokens, tally)
+            r = np.concatenate([x.column("r").to_numpy() for x in got])
+            doc = pa.concat_arrays([x.column("doc") for x in got])
+            yield bundle(doc=doc, r=r, n_tokens=n_tokens, a=a, b=b, bucket=(r % buckets).astype(np.int32))
+            x = models.value.others(*tokens, tally)
+            bucket = np.where(x["word"] != 0, x["word"], x["key"]).view(np.uint64) % np.uint64(buckets)
+            order = np.argsort(bucket.astype(np.int64) * len(r) + x["d"])
+            x, bucket = {k: v[order] for k, v in x.items()}, bucket[order]
+            ends = np.flatnonzero(np.append(bucket[1:] != bucket[:-1], True)) + 1
+            for i, j in zip([0, *ends[:-1]], ends if len(order) else [], strict=False):
+                docs, d = np.unique(x["d"][i:j], return_inverse=True)
+                one = {k: [v[i:j]] for k, v in x.items()} | {"d": [d], "rs": [r[docs]], "targets": [flag[docs]], "lengths": [n_tokens[docs]]}
+                yield bundle(bucket=bucket[i : i + 1].astype(np.int32), **one)
+
+    return rows.mapInArrow(run, ASKED.format(kind))
+
+
+def answered(rows: DataFrame, models) -> DataFrame:
+    """The documents of asked() and the answers to what they ask, as doc, r, n_tokens, a, b, times (0 in an answer), the losses to be added up by r."""
+    kind = rows.schema["doc"].dataType.simpleString()
+    names = ["doc", "r", "n_tokens", "a", "b", "times"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bucket, kept = None, []
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            if kept:
+                flat = {c: np.concatenate([y.column(c).flatten().to_numpy() for y in kept]).astype(np.int64) for c in ("key", "word", "w", "n", "own", "rs", "targets", "lengths")}
+                sizes = np.concatenate([y.column("rs").value_lengths().to_numpy() for y in kept])
+                times = np.concatenate([y.column("d").value_lengths().to_numpy() for y in kept])
+                d = np.concatenate([y.column("d").flatten().to_numpy() for y in kept]) + np.repeat(np.cumsum(sizes) - sizes, times)
+                r, a, b = models.value.answers(flat | {"d": d}, flat["rs"], flat["targets"], flat["lengths"])
+                zero = np.zeros(len(r), np.int64)
+                yield pa.RecordBatch.from_arrays([pa.nulls(len(r), doc_type), pa.array(r), pa.array(zero), pa.array(a), pa.array(b), pa.array(zero)], names)
+
+        doc_type = pa.null()
+        for x in batches:
+            doc_type = x.schema.field("doc").type
+            known = x.filter(x.column("rs").is_null())
+            yield pa.RecordBatch.from_arrays([*(known.column(c) for c in names[:5]), pa.array(np.ones(known.num_rows, np.int64))], names)
+            x = x.filter(x.column("rs").is_valid())
+            at = x.column("bucket").to_numpy()
+            ends = np.flatnonzero(np.append(at[1:] != at[:-1], True)) + 1 if len(at) else []
+            for i, j in zip([0, *ends[:-1]], ends, strict=False):
+                if at[i] != bucket:
+                    yield from flush()
+                    bucket, kept = at[i], []
+                kept.append(x.slice(i, j - i))
+        yield from flush()
+
+    return rows.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(run, f"doc {kind}, r long, n_tokens long, a double, b double, times long")
 
 
 def score(docs: DataFrame, target_ids: DataFrame, doc: str = "doc_id", text: str = "text", head: int = HEAD, words_sent: int = WORDS_SENT, pairs_sent: int = PAIRS_SENT) -> DataFrame:
@@ -306,29 +373,19 @@ def score(docs: DataFrame, target_ids: DataFrame, doc: str = "doc_id", text: str
     texts = counts.filter("word = ''").first()  # counted once for each text that has a word
     counts = counts.filter("word <> ''")
     total = counts.agg(F.sum("n_target").alias("a"), F.sum("n").alias("b"), F.count("*").alias("v")).first()
-    tokens, size = np.array([total["a"] or 0, total["b"] or 0], np.float64), total["v"]
+    tokens = np.array([total["a"] or 0, total["b"] or 0], np.float64)
     sent = frequent(counts, words_sent)
     vocabulary = Vocabulary(sent, head)
-    shared = spark.sparkContext.broadcast(vocabulary)
     # A pair that comes once is never another document's.
-    pairs = frequent(checkpointed(pair_counts(rows, shared, text, flag).filter("n > 1")), pairs_sent)
+    pairs = frequent(checkpointed(pair_counts(rows, spark.sparkContext.broadcast(vocabulary), text, flag).filter("n > 1")), pairs_sent)
     texts = np.array([texts["n_target"], texts["n"]] if texts else [0, 0], np.float64)
-    models = spark.sparkContext.broadcast(Models(sent, pairs, tokens, texts, size, vocabulary))
-
-    def base(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for got, flag, n, number, before in pieces(batches, models.value.vocabulary):
-            a, b = models.value.base(flag, n, number, before)
-            ends = np.cumsum([0, *[x.num_rows for x in got]])
-            for x, i, j in zip(got, ends[:-1], ends[1:], strict=True):
-                yield pa.RecordBatch.from_arrays([x.column("doc_id"), x.column("r"), pa.array(n[i:j]), pa.array(a[i:j]), pa.array(b[i:j])], ["doc_id", "r", "n_tokens", "a", "b"])
-
-    keyed = _marked(rows, text, flag, docs[doc].alias("doc_id"), F.xxhash64(docs[doc], docs[text]).alias("r"))
-    partly = keyed.mapInArrow(base, f"doc_id {docs.schema[doc].dataType.simpleString()}, r long, n_tokens long, a double, b double")
-    more = answered(asked(keyed, models), sent, tokens, size)
+    models = spark.sparkContext.broadcast(Models(sent, pairs, tokens, texts, total["v"], vocabulary))
+    keyed = _marked(rows, text, flag, docs[doc].alias("doc"), F.xxhash64(docs[doc], docs[text]).alias("r"))
+    got = answered(asked(keyed, models, max(LEAST_BUCKETS, int(tokens[1]) // BUCKET)), models)
+    out = got.groupBy("r").agg(F.max("doc").alias("doc_id"), F.max("n_tokens").alias("n_tokens"), F.sum("a").alias("a"), F.sum("b").alias("b"), F.sum("times").alias("times"))
     # Rows that agree in id and text have one r, and each has asked.
-    partly = partly.withColumn("same", F.count("*").over(Window.partitionBy("r")))
-    mean = lambda have, add: F.when(F.col("n_tokens") > 0, (F.col(have) + F.coalesce(F.col(add), F.lit(0.0)) / F.col("same")) / F.col("n_tokens"))
-    out = partly.join(more, "r", "left").select("doc_id", "n_tokens", mean("a", "more_a").alias("target_loss"), mean("b", "more_b").alias("background_loss"))
+    loss = lambda c: F.when(F.col("n_tokens") > 0, F.col(c) / F.col("times") / F.col("n_tokens"))
+    out = out.select("doc_id", "n_tokens", loss("a").alias("target_loss"), loss("b").alias("background_loss"), F.explode(F.expr("array_repeat(0, cast(times AS int))")).alias("_i")).drop("_i")
     return out.withColumn("difference", F.col("target_loss") - F.col("background_loss"))
 
 
