@@ -44,7 +44,7 @@ PRIOR = 50.0  #: tokens that the unigrams count for after each word
 ADD = 0.5  #: what each word's unigram count has in advance
 SMALL_SET = 4_000_000  #: target documents up to this many are sent to all tasks (their ids: 32 MB); more are joined by a shuffle
 FLUSH = 400_000  #: distinct words that a task counts before it hands its counts on
-TOKENS = 1 << 20  #: tokens, about, that are worked on together
+TOKENS = 1 << 19  #: tokens, about, that are worked on together
 BUCKET = 1 << 20  #: tokens of the corpus to a bucket of keys, whose rows meet in one task
 LEAST_BUCKETS = 16
 WORDS = re.compile(r"\w+")
@@ -307,12 +307,13 @@ def asked(rows: DataFrame, models, buckets: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for got, *tokens in pieces(batches, models.value.vocabulary):
             flag, n_tokens = tokens[:2]
+            doc, r = pa.concat_arrays([x.column("doc") for x in got]), np.concatenate([x.column("r").to_numpy() for x in got])
+            del got  # the texts
             tally = models.value.tally(*tokens[1:])
             a, b = models.value.base(*tokens, tally)
-            r = np.concatenate([x.column("r").to_numpy() for x in got])
-            doc = pa.concat_arrays([x.column("doc") for x in got])
             yield bundle(doc=doc, r=r, n_tokens=n_tokens, a=a, b=b, bucket=(r % buckets).astype(np.int32))
             x = models.value.others(*tokens, tally)
+            del tally, tokens
             bucket = np.where(x["word"] != 0, x["word"], x["key"]).view(np.uint64) % np.uint64(buckets)
             order = np.argsort(bucket.astype(np.int64) * len(r) + x["d"])
             x, bucket = {k: v[order] for k, v in x.items()}, bucket[order]
@@ -325,7 +326,7 @@ def asked(rows: DataFrame, models, buckets: int) -> DataFrame:
     return rows.mapInArrow(run, ASKED.format(kind))
 
 
-def answered(rows: DataFrame, models) -> DataFrame:
+def answered(rows: DataFrame, models, buckets: int) -> DataFrame:
     """The documents of asked() and the answers to what they ask, as doc, r, n_tokens, a, b, times (0 in an answer), the losses to be added up by r."""
     kind = rows.schema["doc"].dataType.simpleString()
     names = ["doc", "r", "n_tokens", "a", "b", "times"]
@@ -358,7 +359,7 @@ def answered(rows: DataFrame, models) -> DataFrame:
                 kept.append(x.slice(i, j - i))
         yield from flush()
 
-    return rows.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(run, f"doc {kind}, r long, n_tokens long, a double, b double, times long")
+    return rows.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(run, f"doc {kind}, r long, n_tokens long, a double, b double, times long")
 
 
 def score(docs: DataFrame, target_ids: DataFrame, doc: str = "doc_id", text: str = "text", head: int = HEAD, words_sent: int = WORDS_SENT, pairs_sent: int = PAIRS_SENT) -> DataFrame:
@@ -381,7 +382,8 @@ def score(docs: DataFrame, target_ids: DataFrame, doc: str = "doc_id", text: str
     texts = np.array([texts["n_target"], texts["n"]] if texts else [0, 0], np.float64)
     models = spark.sparkContext.broadcast(Models(sent, pairs, tokens, texts, total["v"], vocabulary))
     keyed = _marked(rows, text, flag, docs[doc].alias("doc"), F.xxhash64(docs[doc], docs[text]).alias("r"))
-    got = answered(asked(keyed, models, max(LEAST_BUCKETS, int(tokens[1]) // BUCKET)), models)
+    buckets = max(LEAST_BUCKETS, int(tokens[1]) // BUCKET)
+    got = answered(asked(keyed, models, buckets), models, buckets)
     out = got.groupBy("r").agg(F.max("doc").alias("doc_id"), F.max("n_tokens").alias("n_tokens"), F.sum("a").alias("a"), F.sum("b").alias("b"), F.sum("times").alias("times"))
     # Rows that agree in id and text have one r, and each has asked.
     loss = lambda c: F.when(F.col("n_tokens") > 0, F.col(c) / F.col("times") / F.col("n_tokens"))
