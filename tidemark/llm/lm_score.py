@@ -11,8 +11,9 @@ target.
 All counts take in the whole corpus and grow with it. What is sent to the tasks is bounded: the counts of at
 most ``WORDS_SENT`` frequent words, and of at most ``PAIRS_SENT`` frequent pairs among the ``HEAD`` most
 frequent words; sending them merely saves their lookup. Every other pair or word of a document meets the
-others of its key in a shuffle, where all are added up and each takes its own share out. A task hands them
-on in bundles, one for each bucket of keys, and there are as many buckets as ``BUCKET`` needs. No such key
+others of its key in a shuffle, where all are added up and each takes its own share out, and what others add
+goes back to the document's piece of the corpus. Tasks hand these on in bundles, one for each piece and bucket
+of keys; there are as many buckets as ``BUCKET`` needs. No such key
 is in over 1 / HEAD of the tokens, as one of its words is outside the head, or it was too rare to send. Keys
 are 64-bit hashes.
 
@@ -31,6 +32,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -233,12 +235,12 @@ class Models:
             losses.append(np.bincount(d, loss, len(n_tokens)))
         return losses[0], losses[1]
 
-    def others(self, flag, n_tokens, number, before, tally) -> dict[str, np.ndarray]:
+    def others(self, n_tokens, number, before, tally) -> dict[str, np.ndarray]:
         """The pairs and words of each document that weren't sent, as columns of equal length.
 
-        key: of the pair, 0 for a word itself; word: of the second word if that wasn't sent, else 0; d: the
-        document; w: the second word's number, -1 if it wasn't sent; n: how often the pair comes in the document
-        (the word stands before another); own: how often the (second) word does.
+        key: of the pair (the second word's number, if that was sent, and 46 bits of the pair's hash; else its
+        hash), 0 for a word itself; word: of the second word if that wasn't sent, else 0; d: the document; n: how
+        often the pair comes in the document (the word stands before another); own: how often the (second) word does.
         """
         d, own, one, n, at = tally
         f, n = one[at < 0], n[at < 0]
@@ -248,30 +250,22 @@ class Models:
         last[np.cumsum(n_tokens)[n_tokens > 0] - 1] = True
         leads = np.add.reduceat(~last[rare][order], np.cumsum(count) - count, dtype=np.int64) if len(u) else count
         u = rare[u]
+        key, w = pair_key(before[f], number[f]), number[f]
+        key = np.where(w < 0, key | np.uint64(1), (w.view(np.uint64) << np.uint64(46)) | (key >> np.uint64(18)) | np.uint64(1)).view(np.int64)
         join, word = np.concatenate, _mix(number.view(np.uint64) + np.uint64(1)).view(np.int64)
-        return {
-            "key": join((pair_key(before[f], number[f]).view(np.int64), np.zeros(len(u), np.int64))),
-            "word": join((np.where(number[f] < 0, word[f], 0), word[u])),
-            "d": join((d[f], d[u])), "w": np.maximum(join((number[f], number[u])), -1), "n": join((n, leads)), "own": join((own[f], own[u])),
-        }
-
-    def answers(self, x: dict[str, np.ndarray], r: np.ndarray, flag: np.ndarray, n_tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """r, and what is added to its target and background loss, from all that others() gave under some keys."""
-        d, n, own, word = x["d"], x["n"], x["own"], x["key"] == 0
-        two = (flag[d], np.ones(len(d), np.int64))
-        by_word = groups(x["word"].view(np.uint64))
-        by_pair = groups(_mix(x["word"].view(np.uint64)) + x["key"].view(np.uint64))
-        added = []
+        return {"key": join((key, np.zeros(len(u), np.int64))), "word": join((np.where(w < 0, word[f], 0), word[u])), "d": join((d[f], d[u])), "n": join((n, leads)), "own": join((own[f], own[u]))}
+
+    def add(self, x: dict[str, np.ndarray], losses: tuple[np.ndarray, np.ndarray], flag: np.ndarray, n_tokens: np.ndarray) -> None:
+        """Adds to documents' losses what counts() says of their pairs and words."""
+        d, n, own, alone = x["d"], x["n"], x["own"], x["w"] == -2
         for k in (0, 1):
-            count = _sums(by_word, np.where(word, own * two[k], 0))
-            if len(self.word_n[k]):
+            mine = flag[d] if k == 0 else 1
+            count = x["words_b" if k else "words_a"]
+            if self.word_n.size:
                 count = np.where(x["w"] >= 0, self.word_n[k][x["w"]], count)
-            q = self.unigram(k, count, own, two[k], n_tokens[d])
-            pair = _sums(by_pair, n * two[k]) - n * two[k]
-            added.append(np.where(word, n * np.log(count - two[k] * own + PRIOR) - own * np.log(q), -n * np.log1p(pair / q)))
-        sums = [np.bincount(d, y, len(r)) for y in added]
-        some = (sums[0] != 0) | (sums[1] != 0)
-        return r[some], sums[0][some], sums[1][some]
+            q = self.unigram(k, count, own, mine, n_tokens[d])
+            more = np.where(alone, n * np.log(count - mine * own + PRIOR) - own * np.log(q), -n * np.log1p(x["pairs_b" if k else "pairs_a"] / q))
+            losses[k][:] += np.bincount(d, more, len(flag))
 
 
 def groups(k: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -290,76 +284,128 @@ def _sums(of: tuple[np.ndarray, np.ndarray, np.ndarray], x: np.ndarray) -> np.nd
     return out
 
 
-#: What tasks hand on. Either a document (doc, r, n_tokens, a and b), or, under a bucket of keys, what several
-#: documents ask: their rs, targets and lengths, and the columns of Models.others(), d counting within rs.
-ASKED = "bucket int, doc {}, r long, n_tokens long, a double, b double, rs array<long>, targets array<int>, lengths array<int>, key array<long>, word array<long>, d array<int>, w array<int>, n array<int>, own array<int>"
+def counts_of(x: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+    """For all that others() gave under some keys (and t, the documents' flags): the counts that other documents add.
 
+    w: the second word's number, -1 if it wasn't sent, -2 in the row of a word itself; pairs_a and pairs_b: how
+    often the pair comes in other documents, of the target and of all; words_a and words_b: how often the word
+    does, its own document included, if it wasn't sent. Pairs that no other document has are left out.
+    """
+    t, n, own, alone = x["t"], x["n"], x["own"], x["key"] == 0
+    by_word = groups(x["word"].view(np.uint64))
+    by_pair = groups(_mix(x["word"].view(np.uint64)) + x["key"].view(np.uint64))
+    out = {
+        "d": x["d"], "w": np.where(alone, -2, np.where(x["word"] != 0, -1, (x["key"].view(np.uint64) >> np.uint64(46)).view(np.int64))), "n": n, "own": own,
+        "pairs_a": _sums(by_pair, n * t) - n * t, "pairs_b": _sums(by_pair, n) - n,
+        "words_a": np.where(x["word"] != 0, _sums(by_word, np.where(alone, own * t, 0)), 0), "words_b": np.where(x["word"] != 0, _sums(by_word, np.where(alone, own, 0)), 0),
+    }
+    keep = alone | (out["pairs_b"] > 0)
+    return {k: v[keep] for k, v in out.items()} | {"keep": keep}
+
+
+#: What tasks hand on, under the number of a piece of the corpus and a bucket of keys: a document (d, its place in
+#: the piece, and what is known of it), or a bundle of what the piece's documents ask.
+DOCUMENT = "piece long, bucket int, doc {}, d0 int, target int, n_tokens long, a double, b double, "
+ASKED = DOCUMENT + "key array<long>, word array<long>, d array<int>, t array<int>, n array<int>, own array<int>"
+#: The same with the answers in the place of the keys.
+ANSWERED = DOCUMENT + "d array<int>, w array<int>, n array<int>, own array<int>, pairs_a array<long>, pairs_b array<long>, words_a array<long>, words_b array<long>"
+
+
+def _types(spark, schema: str) -> pa.Schema:
+    return spark.createDataFrame([], schema).toArrow().schema
+
+
+def _batch(schema: pa.Schema, columns: dict) -> pa.RecordBatch:
+    """A batch of these columns, with nulls in the others."""
+    size = max(map(len, columns.values()))
+    return pa.RecordBatch.from_arrays([pa.array(columns[f.name], f.type) if f.name in columns else pa.nulls(size, f.type) for f in schema], schema=schema)
+
+
+def _flat(batches: list[pa.RecordBatch], names: list[str]) -> dict[str, np.ndarray]:
+    return {c: np.concatenate([y.column(c).flatten().to_numpy() for y in batches]).astype(np.int64) for c in names}
+
+
+def _runs(batches: Iterator[pa.RecordBatch], by: str) -> Iterator[tuple[int, list[pa.RecordBatch]]]:
+    """The rows of a sorted partition, a list of slices for each value of by."""
+    value, kept = None, []
+    for x in batches:
+        at = x.column(by).to_numpy()
+        ends = np.flatnonzero(np.append(at[1:] != at[:-1], True)) + 1 if len(at) else []
+        for i, j in zip([0, *ends[:-1]], ends, strict=False):
+            if kept and at[i] != value:
+                yield value, kept
+                kept = []
+            value = at[i]
+            kept.append(x.slice(i, j - i))
+    if kept:
+        yield value, kept
 
-def asked(rows: DataFrame, models, buckets: int) -> DataFrame:
-    """For documents (doc, r, text, target): what is known of each, and what must be looked up, in bundles by bucket; see ASKED."""
-    kind = rows.schema["doc"].dataType.simpleString()
-    schema = rows.sparkSession.createDataFrame([], ASKED.format(kind)).toArrow().schema
 
-    def bundle(**columns) -> pa.RecordBatch:
-        size = max(map(len, columns.values()))
-        return pa.RecordBatch.from_arrays([pa.array(columns[f.name], f.type) if f.name in columns else pa.nulls(size, f.type) for f in schema], schema=schema)
+def asked(rows: DataFrame, models, buckets: int) -> DataFrame:
+    """For documents (doc, text, target): what is known of each, and what must be looked up, in bundles by bucket; see ASKED."""
+    form = ASKED.format(rows.schema["doc"].dataType.simpleString())
+    schema = _types(rows.sparkSession, form)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for got, *tokens in pieces(batches, models.value.vocabulary):
+        first = TaskContext.get().partitionId() << 32
+        for piece, (got, *tokens) in enumerate(pieces(batches, models.value.vocabulary), first):
             flag, n_tokens = tokens[:2]
-            doc, r = pa.concat_arrays([x.column("doc") for x in got]), np.concatenate([x.column("r").to_numpy() for x in got])
+            doc = pa.concat_arrays([x.column("doc") for x in got])
             del got  # the texts
             tally = models.value.tally(*tokens[1:])
             a, b = models.value.base(*tokens, tally)
-            yield bundle(doc=doc, r=r, n_tokens=n_tokens, a=a, b=b, bucket=(r % buckets).astype(np.int32))
-            x = models.value.others(*tokens, tally)
+            same = lambda x: np.full(len(doc), x)
+            yield _batch(schema, {"piece": same(piece), "bucket": same(piece % buckets), "doc": doc, "d0": np.arange(len(doc)), "target": flag, "n_tokens": n_tokens, "a": a, "b": b})
+            x = models.value.others(*tokens[1:], tally)
+            x["t"] = flag[x["d"]]
             del tally, tokens
-            bucket = np.where(x["word"] != 0, x["word"], x["key"]).view(np.uint64) % np.uint64(buckets)
-            order = np.argsort(bucket.astype(np.int64) * len(r) + x["d"])
+            bucket = (_mix(np.where(x["word"] != 0, x["word"], x["key"]).view(np.uint64)) % np.uint64(buckets)).astype(np.int64)
+            order = np.argsort(bucket * len(doc) + x["d"])
             x, bucket = {k: v[order] for k, v in x.items()}, bucket[order]
             ends = np.flatnonzero(np.append(bucket[1:] != bucket[:-1], True)) + 1
             for i, j in zip([0, *ends[:-1]], ends if len(order) else [], strict=False):
-                docs, d = np.unique(x["d"][i:j], return_inverse=True)
-                one = {k: [v[i:j]] for k, v in x.items()} | {"d": [d], "rs": [r[docs]], "targets": [flag[docs]], "lengths": [n_tokens[docs]]}
-                yield bundle(bucket=bucket[i : i + 1].astype(np.int32), **one)
+                yield _batch(schema, {"piece": [piece], "bucket": bucket[i : i + 1]} | {k: [v[i:j]] for k, v in x.items()})
 
-    return rows.mapInArrow(run, ASKED.format(kind))
+    return rows.mapInArrow(run, form)
 
 
-def answered(rows: DataFrame, models, buckets: int) -> DataFrame:
-    """The documents of asked() and the answers to what they ask, as doc, r, n_tokens, a, b, times (0 in an answer), the losses to be added up by r."""
-    kind = rows.schema["doc"].dataType.simpleString()
-    names = ["doc", "r", "n_tokens", "a", "b", "times"]
+def answered(rows: DataFrame, buckets: int) -> DataFrame:
+    """The documents of asked(), and what the bundles ask; see ANSWERED."""
+    form = ANSWERED.format(rows.schema["doc"].dataType.simpleString())
+    schema = _types(rows.sparkSession, form)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bucket, kept = None, []
+        for _, got in _runs(batches, "bucket"):
+            bundles = []
+            for x in got:
+                known = x.filter(x.column("key").is_null())
+                yield _batch(schema, {f.name: known.column(f.name) for f in schema if f.name in known.schema.names and not pa.types.is_list(f.type)})
+                bundles.append(x.filter(x.column("key").is_valid()))
+            size = np.concatenate([x.column("key").value_lengths().to_numpy() for x in bundles])
+            x = counts_of(_flat(bundles, ["key", "word", "d", "t", "n", "own"]))
+            kept = np.add.reduceat(x.pop("keep"), np.cumsum(size) - size, dtype=np.int64) if len(size) else size
+            piece = np.concatenate([x.column("piece").to_numpy() for x in bundles])
+            ends = pa.array(np.concatenate(([0], np.cumsum(kept))), pa.int32())
+            yield _batch(schema, {"piece": piece} | {f.name: pa.ListArray.from_arrays(ends, pa.array(x[f.name], f.type.value_type)) for f in schema if f.name in x})
 
-        def flush() -> Iterator[pa.RecordBatch]:
-            if kept:
-                flat = {c: np.concatenate([y.column(c).flatten().to_numpy() for y in kept]).astype(np.int64) for c in ("key", "word", "w", "n", "own", "rs", "targets", "lengths")}
-                sizes = np.concatenate([y.column("rs").value_lengths().to_numpy() for y in kept])
-                times = np.concatenate([y.column("d").value_lengths().to_numpy() for y in kept])
-                d = np.concatenate([y.column("d").flatten().to_numpy() for y in kept]) + np.repeat(np.cumsum(sizes) - sizes, times)
-                r, a, b = models.value.answers(flat | {"d": d}, flat["rs"], flat["targets"], flat["lengths"])
-                zero = np.zeros(len(r), np.int64)
-                yield pa.RecordBatch.from_arrays([pa.nulls(len(r), doc_type), pa.array(r), pa.array(zero), pa.array(a), pa.array(b), pa.array(zero)], names)
-
-        doc_type = pa.null()
-        for x in batches:
-            doc_type = x.schema.field("doc").type
-            known = x.filter(x.column("rs").is_null())
-            yield pa.RecordBatch.from_arrays([*(known.column(c) for c in names[:5]), pa.array(np.ones(known.num_rows, np.int64))], names)
-            x = x.filter(x.column("rs").is_valid())
-            at = x.column("bucket").to_numpy()
-            ends = np.flatnonzero(np.append(at[1:] != at[:-1], True)) + 1 if len(at) else []
-            for i, j in zip([0, *ends[:-1]], ends, strict=False):
-                if at[i] != bucket:
-                    yield from flush()
-                    bucket, kept = at[i], []
-                kept.append(x.slice(i, j - i))
-        yield from flush()
+    return rows.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(run, form)
+
+
+def summed(rows: DataFrame, models, buckets: int) -> DataFrame:
+    """doc, n_tokens, a, b: each document with its losses."""
 
-    return rows.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(run, f"doc {kind}, r long, n_tokens long, a double, b double, times long")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["doc", "n_tokens", "a", "b"]
+        for _, got in _runs(batches, "piece"):
+            docs = pa.Table.from_batches([x.filter(x.column("d").is_null()) for x in got]).sort_by("d0")
+            bundles = [x.filter(x.column("d").is_valid()) for x in got]
+            losses = docs.column("a").to_numpy().copy(), docs.column("b").to_numpy().copy()
+            x = _flat(bundles, ["d", "w", "n", "own", "pairs_a", "pairs_b", "words_a", "words_b"])
+            models.value.add(x, losses, docs.column("target").to_numpy().astype(np.int64), docs.column("n_tokens").to_numpy())
+            yield from pa.table([docs.column("doc"), docs.column("n_tokens"), *losses], names).to_batches()
+
+    kind = rows.schema["doc"].dataType.simpleString()
+    return rows.repartition(buckets, "piece").sortWithinPartitions("piece").mapInArrow(run, f"doc {kind}, n_tokens long, a double, b double")
 
 
 def score(docs: DataFrame, target_ids: DataFrame, doc: str = "doc_id", text: str = "text", head: int = HEAD, words_sent: int = WORDS_SENT, pairs_sent: int = PAIRS_SENT) -> DataFrame:
@@ -381,13 +427,10 @@ def score(docs: DataFrame, target_ids: DataFrame, doc: str = "doc_id", text: str
     pairs = frequent(checkpointed(pair_counts(rows, spark.sparkContext.broadcast(vocabulary), text, flag).filter("n > 1")), pairs_sent)
     texts = np.array([texts["n_target"], texts["n"]] if texts else [0, 0], np.float64)
     models = spark.sparkContext.broadcast(Models(sent, pairs, tokens, texts, total["v"], vocabulary))
-    keyed = _marked(rows, text, flag, docs[doc].alias("doc"), F.xxhash64(docs[doc], docs[text]).alias("r"))
     buckets = max(LEAST_BUCKETS, int(tokens[1]) // BUCKET)
-    got = answered(asked(keyed, models, buckets), models, buckets)
-    out = got.groupBy("r").agg(F.max("doc").alias("doc_id"), F.max("n_tokens").alias("n_tokens"), F.sum("a").alias("a"), F.sum("b").alias("b"), F.sum("times").alias("times"))
-    # Rows that agree in id and text have one r, and each has asked.
-    loss = lambda c: F.when(F.col("n_tokens") > 0, F.col(c) / F.col("times") / F.col("n_tokens"))
-    out = out.select("doc_id", "n_tokens", loss("a").alias("target_loss"), loss("b").alias("background_loss"), F.explode(F.expr("array_repeat(0, cast(times AS int))")).alias("_i")).drop("_i")
+    known = answered(asked(_marked(rows, text, flag, docs[doc].alias("doc")), models, buckets), buckets)
+    loss = lambda c: F.when(F.col("n_tokens") > 0, F.col(c) / F.col("n_tokens"))
+    out = summed(known, models, buckets).select(F.col("doc").alias("doc_id"), "n_tokens", loss("a").alias("target_loss"), loss("b").alias("background_loss"))
     return out.withColumn("difference", F.col("target_loss") - F.col("background_loss"))
 
 
