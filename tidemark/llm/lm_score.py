@@ -32,11 +32,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark import TaskContext
+from pyspark import StorageLevel, TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import checkpointed, fresh, table
+from tidemark.llm.common import fresh, table
 
 HEAD = 8192  #: words whose pairs may be sent
 WORDS_SENT = 1 << 18  #: words, at most, whose counts are sent to all tasks (about 10 MB)
@@ -355,7 +355,8 @@ def asked(rows: DataFrame, models, buckets: int) -> DataFrame:
             tally = models.value.tally(*tokens[1:])
             a, b = models.value.base(*tokens, tally)
             same = lambda x: np.full(len(doc), x)
-            yield _batch(schema, {"piece": same(piece), "bucket": same(piece % buckets), "doc": doc, "d0": np.arange(len(doc)), "target": flag, "n_tokens": n_tokens, "a": a, "b": b})
+            spread = (_mix(np.uint64(piece) + (np.arange(len(doc), dtype=np.uint64) << np.uint64(48))) % np.uint64(buckets)).astype(np.int64)
+            yield _batch(schema, {"piece": same(piece), "bucket": spread, "doc": doc, "d0": np.arange(len(doc)), "target": flag, "n_tokens": n_tokens, "a": a, "b": b})
             x = models.value.others(*tokens[1:], tally)
             x["t"] = flag[x["d"]]
             del tally, tokens
@@ -416,15 +417,18 @@ def score(docs: DataFrame, target_ids: DataFrame, doc: str = "doc_id", text: str
     few = wanted.count() <= SMALL_SET
     marked = wanted.withColumn(flag, F.lit(1))
     rows = docs.select(docs[doc], docs[text]).join(F.broadcast(marked) if few else marked, docs[doc] == marked["_id"], "left")
-    counts = checkpointed(word_counts(rows, text, flag))
-    texts = counts.filter("word = ''").first()  # counted once for each text that has a word
-    counts = counts.filter("word <> ''")
+    stored = word_counts(rows, text, flag).persist(StorageLevel.DISK_ONLY)
+    texts = stored.filter("word = ''").first()  # counted once for each text that has a word
+    counts = stored.filter("word <> ''")
     total = counts.agg(F.sum("n_target").alias("a"), F.sum("n").alias("b"), F.count("*").alias("v")).first()
     tokens = np.array([total["a"] or 0, total["b"] or 0], np.float64)
     sent = frequent(counts, words_sent)
+    stored.unpersist()
     vocabulary = Vocabulary(sent, head)
     # A pair that comes once is never another document's.
-    pairs = frequent(checkpointed(pair_counts(rows, spark.sparkContext.broadcast(vocabulary), text, flag).filter("n > 1")), pairs_sent)
+    stored = pair_counts(rows, spark.sparkContext.broadcast(vocabulary), text, flag).filter("n > 1").persist(StorageLevel.DISK_ONLY)
+    pairs = frequent(stored, pairs_sent)
+    stored.unpersist()
     texts = np.array([texts["n_target"], texts["n"]] if texts else [0, 0], np.float64)
     models = spark.sparkContext.broadcast(Models(sent, pairs, tokens, texts, total["v"], vocabulary))
     buckets = max(LEAST_BUCKETS, int(tokens[1]) // BUCKET)
