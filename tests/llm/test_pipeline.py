@@ -3,7 +3,8 @@ import hashlib
 import corpus_pipeline
 from test_byte_bpe import ENC
 from test_line_operators import plain_dedup, plain_stats
-from test_simhash import plain_components, plain_fingerprint
+
+from tidemark.llm.simhash import shingles
 
 DATA = "/root/testdata/sf0.001"
 
@@ -18,15 +19,32 @@ def plain_rules(rows):
     return out
 
 
+def plain_first_of_each(texts):
+    """The least id of each group that links at a similarity of 0.8 or more connect; sets of five-word shingles, all pairs."""
+    sets, root = {i: frozenset(shingles(t, 5)) for i, t in texts.items()}, {i: i for i in texts}
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for a in texts:
+        for b in texts:
+            if b < a and 10 * len(sets[a] & sets[b]) >= 8 * len(sets[a] | sets[b]):
+                x, y = find(a), find(b)
+                root[max(x, y)] = min(x, y)
+    return {i for i in texts if find(i) == i}
+
+
 def test_run_against_plain_python(spark):
     docs = [(r["doc_id"], r["text"], r["source"]) for r in spark.read.parquet(f"{DATA}/documents.parquet").collect()]
     rows = plain_rules(docs)
     text = plain_dedup(rows, 10)
     rows = [(i, text[i], s) for i, _, s in rows]
-    comp = plain_components({i: plain_fingerprint(t) for i, t, _ in rows})
+    first = plain_first_of_each({i: t for i, t, _ in rows})
     want = {}
     for i, t, _ in rows:
-        if comp[i] == i:
+        if i in first:
             ids = ENC.encode_ordinary(t)
             want[i] = (len(ids), hashlib.sha256(t.encode()).hexdigest())
     got = {r["doc_id"]: (r["n_tokens"], r["decoded_sha256"]) for r in corpus_pipeline.run(spark, DATA).collect()}
