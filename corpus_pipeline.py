@@ -1,16 +1,19 @@
 """The corpus pipeline: documents pass five stages, each written as Parquet and read again as the next one's input.
 
 Each stage works on all that the one before it kept. All but the last return the columns of documents.
+
+Edge cases, beside those of the operators: null, empty and blank texts fail the quality rules. Very long texts
+pass every stage whole. Rows that agree in id and text are one document and share its fate; the near-duplicate
+stage keeps one of them, as it does of texts with the same words under different ids: the least id. An empty
+table gives an empty result. Further columns pass through all stages but the last.
 """
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
 from tidemark.llm import byte_bpe, line_dedup, mixing, near_copies, quality_rules
+from tidemark.llm.common import shared_folder
 
 
 def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -46,8 +49,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stages over documents; between stages the rows are written to the folder that the cluster shares."""
-    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="pipeline-")
-    out = f"{shared.rstrip('/')}/pipeline-{uuid.uuid4().hex}"
+    out = shared_folder(spark, "pipeline")
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for i, (_, stage) in enumerate(STAGES[:-1]):
         stage(spark, docs, sf_dir).write.parquet(f"{out}/{i}")
