@@ -60,6 +60,42 @@ def test_backfill_equals_nightly_runs(spark, market, tmp_path):
     assert len(one["runs"]) == 3 and one["detections"]
 
 
+def test_a_broken_run_is_repeated(spark, market, tmp_path, monkeypatch):
+    days, df, who, labels = market
+    base, now = str(tmp_path), F.lit("2026-12-01").cast("timestamp")
+    assert tables.append_bars(spark, base, df) == df.count() and tables.append_bars(spark, base, df) == 0
+    target = spark.createDataFrame([("US", days[104])], "market string, target date")
+    fetched = spark.createDataFrame([("US", s, "resolved", "Tech", "Chips", days[104]) for s in ("LEAD", "NONE")], "market string, symbol string, status string, sector string, industry string, as_of date")
+    go = lambda: nights.run_market(spark, base, who, outcomes(spark, [days[104]]), labels.filter("symbol <> 'LEAD'"), target, now, P, fetched)
+    with monkeypatch.context() as m:
+        m.setattr(nights.detection, "detections", lambda *_: 1 / 0)
+        with pytest.raises(ZeroDivisionError):
+            go()
+    assert tables.read(spark, base, "universe").count() == 3 and tables.read(spark, base, "runs").count() == 0
+    assert go().count() == 1
+    assert tables.read(spark, base, "universe").count() == 3 and tables.read(spark, base, "detections").count() == 1
+    assert {r["symbol"]: r["sector"] for r in tables.read(spark, base, "labels").collect()} == {"LEAD": "Tech", "FLAT": "Energy", "LEVEL": "Energy"}
+    text = "\n".join(r["value"] for r in spark.read.text(tables.path(base, "reports")).collect())
+    assert text.startswith(f"# US digest — {days[104]}")
+
+
+def test_ranks_beyond_retention_go(spark, tmp_path):
+    base = str(tmp_path)
+    row = lambda d: ("US", d, "A", "1w", 1.0, 0.1)
+    tables.append_once(spark, base, "ranks", spark.createDataFrame([row(date(2024, 1, 5)), row(date(2024, 7, 1)), row(date(2026, 6, 30))], schemas.TABLES["ranks"]))
+    tables.prune(spark, base, "ranks", 24)
+    assert sorted(r["session"] for r in tables.read(spark, base, "ranks").collect()) == [date(2024, 7, 1), date(2026, 6, 30)]
+
+
+def test_shared_relations_are_read_once(spark):
+    """Composite queries read the order tables through bars that are written once."""
+    from tidemark.queries import QUERIES
+
+    for name in ("candidates", "digest", "acceptance", "chart_bundle"):
+        plan = QUERIES[name](spark, DATA)._jdf.queryExecution().executedPlan().toString()
+        assert "lineitem" not in plan and plan.count("Exchange ") <= 40, name
+
+
 def test_incomplete_pulls_are_quarantined(spark, market, tmp_path):
     days, df, who, labels = market
     base = str(tmp_path)

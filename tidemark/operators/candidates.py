@@ -7,8 +7,6 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tidemark.operators.detection import dist_adr
-from tidemark.operators.ranks import breadth_counts, detection_gate
-from tidemark.operators.sectors import leave_one_out
 from tidemark.params import DIMENSIONS, Params
 
 KEY = ["market", "session", "symbol"]
@@ -33,13 +31,20 @@ def star_score(prior_move: Column, sector_share: Column, params: Params = Params
 
 def scored(detections: DataFrame, ranks: DataFrame, labels: DataFrame, params: Params = Params()) -> DataFrame:
     """detections with sector_share, prior_move, score, breakdown, breadth, industry and sector."""
-    shares = leave_one_out(ranks, labels, params)
-    gate = detection_gate(ranks, params).withColumn("_gate", F.lit(True))
-    out = detections.join(shares, KEY, "left").join(gate, KEY, "left").join(breadth_counts(ranks, params), KEY, "left")
-    out = out.join(labels.select("market", "symbol", "industry", "sector"), ["market", "symbol"], "left")
-    out = out.withColumn("sector_share", F.coalesce("share", F.lit(0.0))).withColumn("prior_move", F.coalesce("_gate", F.lit(False))).withColumn("breadth", F.coalesce("breadth", F.lit(0)))
+    # One pass over ranks gives each name's breadth, gate and hit; a sector's other members are counted by window.
+    top = F.col("percentile") >= params.top_decile
+    own = ranks.groupBy(*KEY).agg(
+        F.count_if(top).cast("int").alias("breadth"), F.max(top & F.col("lookback").isin(*params.gate_lookbacks)).alias("_gate"),
+        F.max((top & (F.col("lookback") == params.delta_lookback)).cast("int")).alias("_hit"),
+    )
+    named = labels.filter("sector <> ''").select("market", "symbol", F.col("sector").alias("_axis"))
+    w = Window.partitionBy("market", "session", "_axis")
+    share = F.when(F.col("_axis").isNotNull(), F.try_divide(F.sum("_hit").over(w) - F.col("_hit"), F.count("*").over(w) - 1))
+    own = own.join(named, ["market", "symbol"], "left").withColumn("_share", share).select(*KEY, "breadth", "_gate", "_share")
+    out = detections.join(own, KEY, "left").join(labels.select("market", "symbol", "industry", "sector"), ["market", "symbol"], "left")
+    out = out.withColumn("sector_share", F.coalesce("_share", F.lit(0.0))).withColumn("prior_move", F.coalesce("_gate", F.lit(False))).withColumn("breadth", F.coalesce("breadth", F.lit(0)))
     stars, rows = star_score(F.col("prior_move"), F.col("sector_share"), params)
-    return out.withColumn("score", stars).withColumn("breakdown", rows).drop("share", "_gate")
+    return out.withColumn("score", stars).withColumn("breakdown", rows).drop("_share", "_gate")
 
 
 def candidates(detections: DataFrame, ranks: DataFrame, labels: DataFrame, params: Params = Params()) -> DataFrame:

@@ -69,5 +69,6 @@ def report(digests: DataFrame, nights: DataFrame) -> DataFrame:
 
 
 def write_report(reports: DataFrame, path: str) -> None:
-    """One text file for each market and session, in folders of those names."""
-    reports.withColumn("text", F.regexp_replace("text", r"\n$", "")).repartition("market", "session").write.partitionBy("market", "session").mode("append").text(path)
+    """One text file for each market and session, in folders of those names; a report that is written again takes the old one's place."""
+    rows = reports.withColumn("text", F.regexp_replace("text", r"\n$", "")).repartition("market", "session")
+    rows.write.partitionBy("market", "session").option("partitionOverwriteMode", "dynamic").mode("overwrite").text(path)

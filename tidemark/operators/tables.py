@@ -7,24 +7,26 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tidemark import schemas
+from tidemark.sources.shared import stored
 
 
 def keep_first(delivered: DataFrame, stored: DataFrame | None = None, order: str = "delivery") -> DataFrame:
     """What an append adds: the first delivery of each bar that isn't stored yet.
 
-    order is the column that numbers deliveries; without it a batch holds a bar once, or any of its copies.
+    order is the column that numbers deliveries; without it the copy of a bar with the least values is the first.
     """
     key = list(schemas.KEYS["bars"])
     if order in delivered.columns:
         w = Window.partitionBy(*key).orderBy(order)
         new = delivered.withColumn("_n", F.row_number().over(w)).filter("_n = 1").drop("_n", order)
     else:
-        new = delivered.dropDuplicates(key)
+        rest = [c for c in delivered.columns if c not in key]
+        new = delivered.groupBy(*key).agg(F.min(F.struct(*rest)).alias("_bar")).select(*key, "_bar.*").select(*delivered.columns)
     return new if stored is None else new.join(stored.select(*key), key, "left_anti")
 
 
@@ -66,19 +68,28 @@ def read(spark: SparkSession, base: str, table: str, *keep: Callable[[DataFrame]
     """A stored table with its declared columns; empty if nothing has been stored."""
     where = path(base, table)
     wanted = schemas.schema(table)
-    rows = spark.read.schema(wanted).parquet(where) if exists(spark, where) else spark.createDataFrame([], wanted)
+    whole = wanted.add("month", "date") if table == "bars" else wanted
+    rows = spark.read.schema(whole).parquet(where) if exists(spark, where) else spark.createDataFrame([], whole)
     for f in keep:
         rows = f(rows)
-    return rows.select(*wanted.names)
+    return rows.select(*schemas.schema(table).names)
 
 
 def _partitions(table: str) -> list[str]:
-    return ["market"] if table in ("bars", "labels") else ["market", "session"]
+    return {"bars": ["market", "month"], "labels": ["market"]}.get(table, ["market", "session"])
 
 
-def append_bars(spark: SparkSession, base: str, delivered: DataFrame) -> None:
-    new = keep_first(delivered, read(spark, base, "bars"))
-    schemas.reconcile(new, "bars").write.mode("append").partitionBy("market").parquet(path(base, "bars"))
+def append_bars(spark: SparkSession, base: str, delivered: DataFrame) -> int:
+    """Appends what isn't stored, and gives the number of bars that were new. Only the months of the batch are read."""
+    delivered = delivered.withColumn("month", F.trunc("session", "month"))
+    span = delivered.agg(F.min("month"), F.max("month")).first()
+    if span[0] is None:
+        return 0
+    held = read(spark, base, "bars", lambda x: x.filter(F.col("month").between(*span)))
+    added = Observation()
+    new = keep_first(delivered, held).observe(added, F.count("*").alias("n"))
+    schemas.reconcile(new, "bars").write.mode("append").partitionBy(*_partitions("bars")).parquet(path(base, "bars"))
+    return added.get["n"]
 
 
 def append_once(spark: SparkSession, base: str, table: str, rows: DataFrame) -> None:
@@ -92,6 +103,11 @@ def append_once(spark: SparkSession, base: str, table: str, rows: DataFrame) ->
     rows.unpersist()
 
 
+def _delete(spark: SparkSession, base: str, table: str, market: str, session: str) -> None:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path(base, table)}/market={market}/session={session}")
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def discard_session(spark: SparkSession, base: str, table: str, market: str, session: str) -> int:
     """Deletes a session's rows, only if no run record stands; gives the number of rows that went."""
     here = (F.col("market") == market) & (F.col("session") == F.lit(session).cast("date"))
@@ -99,6 +115,26 @@ def discard_session(spark: SparkSession, base: str, table: str, market: str, ses
         raise ValueError(f"{market} {session} has a run record")
     n = read(spark, base, table).filter(here).count()
     if n:
-        p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path(base, table)}/market={market}/session={session}")
-        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+        _delete(spark, base, table, market, session)
     return n
+
+
+def discard_debris(spark: SparkSession, base: str, names: tuple[str, ...]) -> int:
+    """Deletes what broken runs left in these tables, a session at a time; gives the number of rows that went."""
+    known = read(spark, base, "runs")
+    left = [(t, r["market"], str(r["session"])) for t in names for r in debris(read(spark, base, t), known).collect()]  # sessions of a run that broke off
+    return sum(discard_session(spark, base, *x) for x in left)
+
+
+def prune(spark: SparkSession, base: str, table: str, months: int) -> None:
+    """Deletes the sessions that retained() leaves out."""
+    days = read(spark, base, table).select("market", "session").distinct()
+    for r in days.join(retained(days, months), ["market", "session"], "left_anti").collect():  # sessions since the last pruning
+        _delete(spark, base, table, r["market"], str(r["session"]))
+
+
+def replace(spark: SparkSession, base: str, table: str, rows: DataFrame) -> DataFrame:
+    """Puts rows, which may be read from the table, in its place."""
+    rows = stored(schemas.reconcile(rows, table), table)
+    rows.write.mode("overwrite").partitionBy(*_partitions(table)).parquet(path(base, table))
+    return rows

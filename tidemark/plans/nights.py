@@ -12,10 +12,16 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.operators import calendar, candidates, detection, digest, hygiene, ranks, regime, runs, tables, universe
+from tidemark.operators import labels as label_rules
 from tidemark.params import Params
+from tidemark.sources import shared
 from tidemark.sources.bars import parse_bars
 
 
+#: The tables that a night adds to, in the order of their writing; its run record comes after them.
+DERIVED = ("universe", "ranks", "detections", "follow_through", "digest_breaks")
+
+
 @dataclass
 class Nights:
     universe: DataFrame
@@ -46,17 +52,22 @@ def compute(instruments: DataFrame, bars: DataFrame, resolutions: DataFrame, lab
     return Nights(limit(members), limit(all_ranks), limit(found), limit(regime.follow_through(bars, params)), digest.digest(found, bars, all_ranks, labels, days, reported, params))
 
 
-def ingest(spark: SparkSession, base: str, raw: DataFrame, now: Column, params: Params = Params()) -> None:
-    """Raw rows to stored bars: parse, drop phantoms and what isn't final, append what isn't stored."""
-    tables.append_bars(spark, base, hygiene.clean(parse_bars(raw), now, params))
+def ingest(spark: SparkSession, base: str, raw: DataFrame, now: Column, params: Params = Params()) -> int:
+    """Raw rows to stored bars: parse, drop phantoms and what isn't final, append what isn't stored; gives the number of new bars."""
+    return tables.append_bars(spark, base, hygiene.clean(parse_bars(raw), now, params))
 
 
-def run_market(spark: SparkSession, base: str, instruments: DataFrame, resolutions: DataFrame, labels: DataFrame, targets: DataFrame, now: Column, params: Params = Params()) -> DataFrame:
+def run_market(spark: SparkSession, base: str, instruments: DataFrame, resolutions: DataFrame, labels: DataFrame, targets: DataFrame, now: Column, params: Params = Params(), fetched: DataFrame | None = None) -> DataFrame:
     """Computes and stores every session that a run for targets (market, target) lacks; gives the new run records.
 
+    What a run that broke off has left is discarded first. Ranks beyond their retention go. Each night has a
+    report under reports. fetched: outcomes of label fetches; those that the target sessions' members ask for
+    go into labels, and the stored labels are replaced.
+
     resolutions: the fetch outcomes of the target sessions, which hold for every session that is filled in.
     A market whose pull is incomplete gets a quarantined run for its target and nothing else. Bars must be stored already.
     """
+    tables.discard_debris(spark, base, DERIVED)
     bars = tables.read(spark, base, "bars")
     stored = tables.read(spark, base, "runs")
     asked = resolutions.join(F.broadcast(targets.select("market", F.col("target").alias("session"))), ["market", "session"], "left_semi")
@@ -76,11 +87,16 @@ def run_market(spark: SparkSession, base: str, instruments: DataFrame, resolutio
     state = F.coalesce(F.last("signal", ignorenulls=True).over(upto) == 1, F.col("_prior"), F.lit(False))
     new_members = held.withColumn("_m", state).filter("_m").select("market", "session", "symbol")
     tables.append_once(spark, base, "universe", new_members)
+    if fetched is not None:
+        members = tables.read(spark, base, "universe").join(F.broadcast(good.withColumnRenamed("target", "session")), ["market", "session"], "left_semi")
+        labels = tables.replace(spark, base, "labels", label_rules.refresh(members, labels, fetched, params))
     own = lambda t: tables.read(spark, base, t).join(F.broadcast(nights), ["market", "session"], "left_semi")
     tables.append_once(spark, base, "ranks", ranks.ranks(own("universe"), bars))
+    tables.prune(spark, base, "ranks", params.retention_months)
     tables.append_once(spark, base, "detections", detection.detections(own("universe"), own("ranks"), bars, params))
     tables.append_once(spark, base, "follow_through", regime.follow_through(bars, params).join(F.broadcast(nights), ["market", "session"], "left_semi"))
-    report = digest.digest(tables.read(spark, base, "detections"), bars, tables.read(spark, base, "ranks"), labels, nights, tables.read(spark, base, "digest_breaks"), params)
+    report = shared.stored(digest.digest(tables.read(spark, base, "detections"), bars, tables.read(spark, base, "ranks"), labels, nights, tables.read(spark, base, "digest_breaks"), params), "digest")
+    digest.write_report(digest.report(report, nights), tables.path(base, "reports"))
     tables.append_once(spark, base, "digest_breaks", report.select("market", "session", "symbol"))
     counts = gate.select("market", "status", "symbols_enumerated", "symbols_resolved")
     filled = nights.join(F.broadcast(counts.filter("status = 'published'")), "market")

@@ -15,6 +15,7 @@ from tidemark.params import DERIVED, LOOKBACKS
 from tidemark.plans import nights
 from tidemark.sources import bars as bar_source
 from tidemark.sources import derived, listings
+from tidemark.sources.shared import stored
 
 #: An instant inside the last sessions: the US bar of that day isn't final yet, the IDX bar is.
 NOW = "2001-10-22 20:15:00"
@@ -26,7 +27,7 @@ def r(name: str, value: Column | None = None) -> Column:
 
 
 class Tables:
-    """The relations that queries share. Plans only: nothing is computed or kept here."""
+    """The relations that queries share. What others are derived from is written once, at its first use, and read after that."""
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.sf_dir, self.params = spark, sf_dir, DERIVED
@@ -37,7 +38,7 @@ class Tables:
 
     @cached_property
     def bars(self) -> DataFrame:
-        return derived.bars(self.spark, self.sf_dir)
+        return stored(derived.bars(self.spark, self.sf_dir), "bars")
 
     @cached_property
     def instruments(self) -> DataFrame:
@@ -45,27 +46,27 @@ class Tables:
 
     @cached_property
     def resolutions(self) -> DataFrame:
-        return derived.resolutions(self.spark, self.sf_dir)
+        return derived.resolutions(self.spark, self.sf_dir, self.bars)
 
     @cached_property
     def labels(self) -> DataFrame:
-        return derived.labels(self.spark, self.sf_dir)
+        return derived.labels(self.spark, self.sf_dir, self.bars)
 
     @cached_property
     def runs(self) -> DataFrame:
-        return derived.runs(self.spark, self.sf_dir)
+        return derived.runs(self.spark, self.sf_dir, self.bars)
 
     @cached_property
     def universe(self) -> DataFrame:
-        return universe.universe(self.instruments, self.bars, self.resolutions, self.params)
+        return stored(universe.universe(self.instruments, self.bars, self.resolutions, self.params), "universe")
 
     @cached_property
     def ranks(self) -> DataFrame:
-        return ranks.ranks(self.universe, self.bars)
+        return stored(ranks.ranks(self.universe, self.bars), "ranks")
 
     @cached_property
     def detections(self) -> DataFrame:
-        return detection.detections(self.universe, self.ranks, self.bars, self.params)
+        return stored(detection.detections(self.universe, self.ranks, self.bars, self.params), "detections")
 
     @cached_property
     def gates(self) -> DataFrame:
@@ -77,7 +78,7 @@ class Tables:
 
     @cached_property
     def digest(self) -> DataFrame:
-        return digest.digest(self.detections, self.bars, self.ranks, self.labels, self.sessions, None, self.params)
+        return stored(digest.digest(self.detections, self.bars, self.ranks, self.labels, self.sessions, None, self.params), "digest")
 
 
 def _symbol_key(k: Column) -> Column:

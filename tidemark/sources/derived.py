@@ -61,24 +61,24 @@ def instruments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return own.unionByName(refs)
 
 
-def resolutions(spark: SparkSession, sf_dir: str) -> DataFrame:
+def resolutions(spark: SparkSession, sf_dir: str, traded: DataFrame) -> DataFrame:
     """market, symbol, session, status: the fetch outcome of every candidate on every session of its market."""
-    days = bars(spark, sf_dir).select("market", "session").distinct()
+    days = traded.select("market", "session").distinct()
     own = _read(spark, sf_dir, "supplier").selectExpr("s_suppkey AS k").selectExpr("k", f"{MARKET} AS market", f"{SYMBOL} AS symbol")
     status = f"CASE WHEN k % 50 = 49 THEN 'refused' WHEN (k * 31 + {WEEK}) % 17 = 0 THEN 'unresolved' ELSE 'resolved' END"
     return own.join(F.broadcast(days), "market").selectExpr("market", "symbol", "session", f"{status} AS status")
 
 
-def labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+def labels(spark: SparkSession, sf_dir: str, traded: DataFrame) -> DataFrame:
     """market, symbol, sector, industry, as_of: region and nation of the supplier."""
-    last = bars(spark, sf_dir).groupBy("market").agg(F.max("session").alias("last"))
+    last = traded.groupBy("market").agg(F.max("session").alias("last"))
     s, n, r = (_read(spark, sf_dir, x) for x in ("supplier", "nation", "region"))
     own = s.join(n, s["s_nationkey"] == n["n_nationkey"]).join(r, n["n_regionkey"] == r["r_regionkey"]).withColumnRenamed("s_suppkey", "k").filter("k % 20 <> 3")
     own = own.selectExpr("k", f"{MARKET} AS market", f"{SYMBOL} AS symbol", "r_name AS sector", "n_name AS industry")
     return own.join(F.broadcast(last), "market").selectExpr("market", "symbol", "sector", "industry", "date_sub(last, CAST(k % 30 AS INT)) AS as_of")
 
 
-def runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+def runs(spark: SparkSession, sf_dir: str, traded: DataFrame) -> DataFrame:
     """One run per market and session; every thirteenth week is quarantined."""
-    counts = resolutions(spark, sf_dir).groupBy("market", "session").agg(F.count_if(F.col("status") != "refused").cast("int").alias("symbols_enumerated"), F.count_if(F.col("status") == "resolved").cast("int").alias("symbols_resolved"))
+    counts = resolutions(spark, sf_dir, traded).groupBy("market", "session").agg(F.count_if(F.col("status") != "refused").cast("int").alias("symbols_enumerated"), F.count_if(F.col("status") == "resolved").cast("int").alias("symbols_resolved"))
     return counts.selectExpr("market", "session", f"CASE WHEN {WEEK} % 13 = 0 THEN 'quarantined' ELSE 'published' END AS status", "symbols_enumerated", "symbols_resolved", "CAST(date_add(session, 1) AS TIMESTAMP) AS created_at")
