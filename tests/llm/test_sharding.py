@@ -45,3 +45,15 @@ def test_edge_rows(spark):
     got = sharding.shard(df, 4).collect()
     assert len(got) == 4 and len({(r["shard"], r["slot"]) for r in got}) == 4
     assert sharding.shard(df.limit(0), 4).count() == 0
+
+
+def test_one_key_with_most_rows_is_ranked_in_parts(spark, monkeypatch):
+    monkeypatch.setattr(sharding, "BUCKET_ROWS", 1)
+    rows = [(None, f"t{i % 40}") for i in range(800)] + [(None, None)] * 400 + [(i, "x") for i in range(100)]
+    got = sharding.shard(spark.createDataFrame(rows, "doc_id long, text string"), 2).collect()
+    assert len(got) == 1300
+    for s in range(2):
+        assert sorted(r["slot"] for r in got if r["shard"] == s) == list(range(sum(r["shard"] == s for r in got)))
+    same = sorted((r["slot"], r["text_crc32"]) for r in got if r["doc_id"] is None)
+    crcs = [-1 if c is None else c for _, c in same]
+    assert crcs == sorted(crcs) and same[-1][0] - same[0][0] == 1199

@@ -12,6 +12,7 @@ from pyspark.sql.window import Window
 
 #: Words are runs of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
+HOT = 500_000  #: oversize buckets up to this many are sent to all tasks; more are joined by a shuffle
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -61,21 +62,31 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
-def ranked_by_hash(rows: DataFrame, group: str, digest: str, ties: list[str], per_bucket: int, total: int) -> DataFrame:
-    """rows with place: the place of each in its group, from 0, in the order of a hex digest (then of ties).
+def ranked_by_hash(rows: DataFrame, group: str, digest: str, tie: str, per_bucket: int, total: int) -> DataFrame:
+    """rows with place: the place of each in its group, from 0, by a hex digest (32 digits), then by tie (a checksum of 32 bits, nulls first).
 
     No group is sorted in one task: rows are ranked within buckets of the digest's first digits, of about
-    per_bucket rows, and a bucket starts where the ones before it end. The buckets' counts are added up in
-    two steps, by the first half of those digits and within it.
+    per_bucket rows, and a bucket starts where the ones before it end. A bucket that is far larger holds rows
+    of one digest; it is split by the tie's first digits, and where the ties are equal too by a salt, since
+    the order of equal rows isn't defined. The buckets' counts are added up in two steps, by the first half
+    of the digits and within it.
     """
     digits = min(8, max(1, math.ceil(math.log(max(2, total / per_bucket), 16))))
     half = digits // 2
-    b, c, n, first = fresh(rows, "_bucket", "_coarse", "_n", "_first")
-    rows = rows.withColumn(b, F.substring(digest, 1, digits))
+    o, b, c, n, first = fresh(rows, "_order", "_bucket", "_coarse", "_n", "_first")
+    # "-" stands before all digits. The salt is written with the rows, so that every later step sees the same.
+    checksum = F.coalesce(F.lpad(F.hex(F.col(tie).cast("long")), 8, "0"), F.lit("-" * 8))
+    salt = F.lpad(F.hex(F.xxhash64(F.monotonically_increasing_id())), 16, "0")
+    rows = checkpointed(rows.withColumn(o, F.concat(F.col(digest), checksum, salt)).withColumn(b, F.substring(o, 1, digits)))
+    for cut in (32 + digits, 40 + digits):
+        hot = checkpointed(rows.groupBy(group, b).agg(F.count("*").alias(n)).filter(F.col(n) > 8 * per_bucket))
+        if hot.isEmpty():
+            break
+        rows = rows.join(small(hot, HOT), [group, b], "left").withColumn(b, F.when(F.col(n).isNull(), F.col(b)).otherwise(F.substring(o, 1, cut))).drop(n)
     fine = rows.groupBy(group, b).agg(F.count("*").alias(n)).withColumn(c, F.substring(b, 1, half))
     coarse = fine.groupBy(group, c).agg(F.sum(n).alias(n))
     before = lambda *by: F.sum(n).over(Window.partitionBy(*by).orderBy(c if by == (group,) else b)) - F.col(n)
     coarse = coarse.select(group, c, before(group).alias("_a"))
     fine = fine.select(group, b, c, before(group, c).alias("_b")).join(coarse, [group, c]).select(group, b, (F.col("_a") + F.col("_b")).alias(first))
-    own = F.row_number().over(Window.partitionBy(group, b).orderBy(digest, *ties)) - 1
-    return rows.withColumn("place", own).join(fine, [group, b]).withColumn("place", (F.col("place") + F.col(first)).cast("long")).drop(b, first)
+    own = F.row_number().over(Window.partitionBy(group, b).orderBy(o)) - 1
+    return rows.withColumn("place", own).join(fine, [group, b]).withColumn("place", (F.col("place") + F.col(first)).cast("long")).drop(o, b, first)

@@ -26,9 +26,9 @@ from pyspark.sql.window import Window
 
 from tidemark.llm.common import fresh, ranked_by_hash, table
 
-#: Parts of 100 for the sources of the test tables; every other source is in the rest.
-PARTS = {"src0": 20, "src1": 15, "src2": 12, "src3": 10, "src4": 8, "src5": 5}
-REST = 30
+#: Parts of 100 for the twenty sources of the test tables, falling slowly; any other source is in the rest.
+PARTS = {"src0": 16, "src1": 12, "src2": 10, "src3": 8, "src4": 6, "src5": 5} | {f"src{i}": 3 for i in range(6, 20)}
+REST = 1
 BLOCK_ROWS = 8
 BUCKET_ROWS = 2_000  #: rows that are ranked in one task, about
 
@@ -41,7 +41,7 @@ def ranked(docs: DataFrame, parts: dict[str, int], doc: str, text: str, source:
         docs[doc].alias("doc_id"), docs[source].alias("source"), F.coalesce(src, F.lit("*")).alias("src"), F.xxhash64(docs[text]).alias("th"),
         F.md5(F.coalesce(docs[doc].cast("string"), F.lit("")).cast("binary")).alias("h"), F.crc32(docs[text]).alias("crc"),
     )
-    placed = ranked_by_hash(rows, "src", "h", ["doc_id", "crc"], BUCKET_ROWS, docs.count())
+    placed = ranked_by_hash(rows, "src", "h", "crc", BUCKET_ROWS, docs.count())
     return placed.select("doc_id", "source", "src", "th", F.col("place").alias("rank"))
 
 

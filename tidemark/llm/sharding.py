@@ -5,7 +5,7 @@ Each (key, shard) pair hashes to a number u in (0, 1), and a record goes to the
 itself, and so many as its weight asks for; a shard that goes gives its records to the others.
 
 Within a shard, rows have gapless slots in the order of a hash of the key, numbered in buckets of that
-hash so that no shard is sorted in one task.
+hash so that neither a shard nor a key is sorted in one task.
 
 Edge cases: a null key is a key of its own. A null text has no bytes: size 1, checksum null. Rows with the
 same key share a shard and have a slot each; which of equal rows comes first isn't defined. An empty table
@@ -23,15 +23,17 @@ SHARDS = 16
 BUCKET_ROWS = 1_000  #: rows of a shard that are ranked in one task, about
 
 
+def _score(key: Column, shard: int, weight: float) -> Column:
+    """The pair's -ln(u) / weight, with the shard; the least one wins."""
+    if not weight > 0:
+        raise ValueError("weights must be positive")
+    u = (F.conv(F.substring(F.md5(F.concat(key, F.lit(f"/{shard}")).cast("binary")), 1, 13), 16, 10).cast("double") + 0.5) / float(2**52)
+    return F.struct((-F.log(u) / F.lit(float(weight))).alias("x"), F.lit(shard).alias("s"))
+
+
 def rendezvous(key: Column, weights: list[float]) -> Column:
-    """The shard (an int from 0) that the key, a string, goes to."""
-    scores = []
-    for s, w in enumerate(weights):
-        if not w > 0:
-            raise ValueError("weights must be positive")
-        u = (F.conv(F.substring(F.md5(F.concat(key, F.lit(f"/{s}")).cast("binary")), 1, 13), 16, 10).cast("double") + 0.5) / float(2**52)
-        scores.append(F.struct((-F.log(u) / F.lit(float(w))).alias("x"), F.lit(s).alias("s")))
-    return F.array_min(F.array(*scores))["s"]
+    """The best score of the key, a string: x and s, the shard (an int from 0) that it goes to."""
+    return F.array_min(F.array(*[_score(key, s, w) for s, w in enumerate(weights)]))
 
 
 def shard(docs: DataFrame, weights: list[float] | int = SHARDS, doc: str = "doc_id", text: str = "text") -> DataFrame:
@@ -40,9 +42,11 @@ def shard(docs: DataFrame, weights: list[float] | int = SHARDS, doc: str = "doc_
     key = F.coalesce(docs[doc].cast("string"), F.lit("null"))
     rows = docs.select(
         docs[doc].alias("doc_id"), (F.coalesce(F.octet_length(docs[text]), F.lit(0)) + 1).cast("long").alias("size"), F.crc32(docs[text]).alias("text_crc32"),
-        rendezvous(key, weights).alias("shard"), rendezvous(key, [*weights, sum(weights) / len(weights)]).alias("grown_shard"), F.md5(key.cast("binary")).alias("h"),
+        rendezvous(key, weights).alias("best"), _score(key, len(weights), sum(weights) / len(weights)).alias("further"), F.md5(key.cast("binary")).alias("h"),
     )
-    out = ranked_by_hash(rows, "shard", "h", ["doc_id", "text_crc32"], BUCKET_ROWS * len(weights), docs.count())
+    # A further shard takes just the keys that score better with it than with all that there are.
+    rows = rows.withColumn("shard", F.col("best.s")).withColumn("grown_shard", F.least("best", "further")["s"]).drop("best", "further")
+    out = ranked_by_hash(rows, "shard", "h", "text_crc32", BUCKET_ROWS * len(weights), docs.count())
     return out.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", F.col("place").alias("slot"), "grown_shard")
 
 
