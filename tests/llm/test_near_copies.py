@@ -10,7 +10,7 @@ from tidemark.llm.simhash import shingles
 
 def plain_groups(texts):
     """{id: least id reachable} and the number of links, by comparing all pairs."""
-    sets = {i: frozenset(shingles(t, 5)) for i, t in texts.items()}
+    sets = {i: frozenset(x for p in shingles(t, 5) for x in p) for i, t in texts.items()}
     ids, n = sorted(texts), 0
     root = {i: i for i in ids}
 

@@ -21,7 +21,7 @@ def plain_rules(rows):
 
 def plain_first_of_each(texts):
     """The least id of each group that links at a similarity of 0.8 or more connect; sets of five-word shingles, all pairs."""
-    sets, root = {i: frozenset(shingles(t, 5)) for i, t in texts.items()}, {i: i for i in texts}
+    sets, root = {i: frozenset(x for p in shingles(t, 5) for x in p) for i, t in texts.items()}, {i: i for i in texts}
 
     def find(i):
         while root[i] != i:

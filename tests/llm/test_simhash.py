@@ -70,32 +70,38 @@ def test_whole_table_against_brute_force(spark):
 
 
 @pytest.mark.parametrize("bucket", [4096, 8])
-def test_links_in_small_and_oversize_buckets(spark, monkeypatch, bucket):
-    monkeypatch.setattr(simhash, "BUCKET", bucket)
+def test_links_in_small_and_oversize_buckets(spark, bucket):
     rng = np.random.default_rng(2)
     base = rng.integers(-(2**63), 2**63, 20)
     fps = {int(b) ^ (int(rng.integers(0, 2**10)) << int(rng.integers(0, 4)) * 10) for b in base for _ in range(40)}
     fps = {x - 2**64 if x >= 2**63 else x + 2**64 if x < -(2**63) else x for x in fps}
     df = spark.createDataFrame([(x,) for x in fps], "fp long").repartition(1)
-    monkeypatch.setattr(simhash, "_compare", _with_bucket(bucket))
-    got = {r["a"]: r["root"] for r in simhash.components(simhash.links(df)).collect()}
+    got = {r["a"]: r["root"] for r in simhash.components(simhash.links(df, bucket=bucket)).collect()}
     want = plain_components({x: x & (2**64 - 1) for x in fps})
     assert {x: got.get(x, x) for x in fps} == want
 
 
-def _with_bucket(bucket):
-    plain = simhash._compare
-
-    def run(batches):
-        from tidemark.llm import simhash as s
+def test_one_bucket_of_20_000_against_all_pairs(spark):
+    """Fingerprints that agree in 36 bits, so that some buckets are split once and more."""
+    rng = np.random.default_rng(5)
+    fps = np.unique(rng.integers(0, 2**28, 20_000))
+    left, right = [], []
+    for i in range(len(fps)):
+        j = np.flatnonzero(np.bitwise_count(fps[i + 1 :] ^ fps[i]) <= 2) + i + 1
+        left.append(np.full(len(j), i))
+        right.append(j)
+    want = simhash._stars(len(fps), np.concatenate(left), np.concatenate(right))
+    df = spark.createDataFrame([(int(x),) for x in fps], "fp long")
+    got = {r["a"]: r["root"] for r in simhash.components(simhash.links(df)).collect()}
+    assert [got.get(int(x), int(x)) for x in fps] == fps[want].tolist()
 
-        s.BUCKET = bucket
-        try:
-            yield from plain(batches)
-        finally:
-            s.BUCKET = 4096
 
-    return run
+def test_shingles_by_piece(monkeypatch):
+    text = " ".join(f"w{i % 7}" for i in range(40))
+    want = simhash.fingerprint(text)
+    monkeypatch.setattr(simhash, "PIECE", 6)
+    assert max(map(len, simhash.shingles(text))) == 6 and sum(map(len, simhash.shingles(text))) == 38
+    assert simhash.fingerprint(text) == want == plain_fingerprint(text)
 
 
 def test_edge_rows(spark):

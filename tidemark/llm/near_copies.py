@@ -45,8 +45,8 @@ _PLUS = _RNG.integers(0, 2**64, (BANDS * ROWS, 1), dtype=np.uint64)
 
 def shingle_set(text: str | None, words: int = WORDS) -> np.ndarray:
     """The hashes of the text's different shingles, in order."""
-    parts = simhash.shingles(text, words)
-    return np.unique(np.frombuffer(b"".join([xxhash.xxh64_digest(x, simhash.SEED) for x in parts]), np.uint64))
+    parts = [np.unique(np.frombuffer(b"".join([xxhash.xxh64_digest(x, simhash.SEED) for x in p]), np.uint64)) for p in simhash.shingles(text, words)]
+    return np.unique(np.concatenate([np.empty(0, np.uint64), *parts]))
 
 
 def band_keys(s: np.ndarray) -> np.ndarray:

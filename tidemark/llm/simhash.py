@@ -8,12 +8,13 @@ bit planes are stored vertically, 64 fingerprints to a machine word; a fingerpri
 when every distance in it is above the radius. Each bucket hands on a star for each group it finds, never
 all pairs, and the groups are joined across buckets by alternating large and small stars.
 
-A bucket is read as a stream. One with more than ``BUCKET`` fingerprints isn't compared; its fingerprints
-are linked exactly by another way, with groups of at most 65: each stands under itself and under each of
-its 64 one-bit changes, and two fingerprints differ in at most two bits just if they share such a key.
+A bucket of more than ``BUCKET`` fingerprints is split before it is shuffled, by the same rule: of the 32
+bits that its fingerprints don't share yet, two of four bytes agree, and of the 16 bits that are left after
+that, two of four half bytes. So all links come from the bit-sliced comparison, no link is lost, and no
+bucket of the last step can hold more than 256 fingerprints.
 
-Edge cases: null, empty and blank texts have fingerprint zero and are linked like any other. Repeated rows
-give a row each. A null id is never a component's id unless the component has no other. An empty table
+Edge cases: null, empty and blank texts have fingerprint zero and are linked like any other. Very long texts
+are counted piece by piece. Repeated rows give a row each. A null id is never a component's id unless the component has no other. An empty table
 gives an empty result. Further columns of the input are not looked at.
 """
 
@@ -28,35 +29,39 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import checkpointed, fresh, table
+from tidemark.llm.common import checkpointed, fresh, small, table
 
 RADIUS = 2
-BUCKET = 4096  #: more distinct fingerprints than this in a bucket are linked by their one-bit changes instead
+BUCKET = 4096  #: a bucket of more distinct fingerprints than this is split by further bits before it is compared
+SMALL = 500_000  #: oversize buckets up to this many (8 MB) are sent to all tasks; more are joined by a shuffle
 SEED = 42
 PIECE = 65536  #: shingles of a text that are counted together
 ROWS = 8192  #: comparisons of one fingerprint with 64 that are carried on together
 
 
-def shingles(text: str | None, words: int = 3) -> list[bytes]:
-    """The word shingles of a text, repeats included; the whole of it if it has fewer words, none if it has none."""
+def shingles(text: str | None, words: int = 3) -> Iterator[list[bytes]]:
+    """The word shingles of a text piece by piece, repeats included; the whole of it if it has fewer words, nothing if it has none."""
     w = (text or "").encode("utf-8", "surrogatepass").lower().split()  # of bytes, both are ASCII only
-    if len(w) <= words:
-        return [b" ".join(w)] if w else []
+    if 0 < len(w) <= words:
+        yield [b" ".join(w)]
+        return
     line = b" ".join(w)
     ends = np.cumsum(np.fromiter(map(len, w), np.int64, len(w)) + 1)
-    starts = np.concatenate(([0], ends[:-words])).tolist()
-    return [line[a:b] for a, b in zip(starts, (ends[words - 1 :] - 1).tolist(), strict=True)]
+    starts = np.concatenate(([0], ends[:-words])) if w else ends
+    del w
+    for i in range(0, len(starts), PIECE):
+        yield [line[a:b] for a, b in zip(starts[i : i + PIECE].tolist(), (ends[words - 1 :][i : i + PIECE] - 1).tolist(), strict=True)]
 
 
 def fingerprint(text: str | None, words: int = 3) -> int:
     """Bit i is set if it is set in over half of the shingles' hashes. Long texts are counted piece by piece."""
-    parts = shingles(text, words)
-    ones = np.zeros(64, np.int64)
-    for i in range(0, len(parts), PIECE):
-        h = np.frombuffer(b"".join([xxhash.xxh64_digest(x, SEED) for x in parts[i : i + PIECE]]), np.uint8)
+    ones, n = np.zeros(64, np.int64), 0
+    for part in shingles(text, words):
+        h = np.frombuffer(b"".join([xxhash.xxh64_digest(x, SEED) for x in part]), np.uint8)
         bits = np.unpackbits(h.reshape(-1, 8), axis=1)
         ones += np.add.reduceat(bits, np.arange(0, len(bits), 255), axis=0, dtype=np.uint8).sum(axis=0, dtype=np.int64)
-    return int.from_bytes(np.packbits(2 * ones > len(parts)).tobytes(), "big") if parts else 0
+        n += len(part)
+    return int.from_bytes(np.packbits(2 * ones > n).tobytes(), "big")
 
 
 def fingerprints(docs: DataFrame, doc: str = "doc_id", text: str = "text", words: int = 3) -> DataFrame:
@@ -146,83 +151,71 @@ def _stars(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return label
 
 
-def _pairs(a: np.ndarray, b: np.ndarray) -> pd.DataFrame:
-    return pd.DataFrame({"a": a.view(np.int64), "b": b.view(np.int64)})
-
-
-def _linked(fps: np.ndarray, runs: np.ndarray) -> Iterator[pd.DataFrame]:
-    """A star for each group of each run."""
-    label = _stars(len(fps), *near(fps, runs))
-    linked = label != np.arange(len(fps))
-    if linked.any():
-        yield _pairs(fps[linked], fps[label[linked]])
-
-
 def _compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Stars within the buckets of a sorted partition; a bucket that is too large gives links of a fingerprint to itself."""
-
-    tail_k = tail_p = None  # the key and pair of blocks of a bucket that may go on in the next batch
-    tail: list[np.ndarray] = []
-    size = 0
-
-    def flush() -> Iterator[pd.DataFrame]:
-        if 2 <= size <= BUCKET:
-            f = np.concatenate(tail)
-            yield from _linked(f, np.zeros(len(f), int))
-
-    for x in batches:
-        if not len(x):
-            continue
-        k, p, f = x["key"].to_numpy(), x["pair"].to_numpy(), x["fp"].to_numpy().view(np.uint64)
-        start = np.flatnonzero(np.r_[True, (k[1:] != k[:-1]) | (p[1:] != p[:-1])])
-        stop = np.r_[start[1:], len(f)]
-        if tail_k is not None and (k[0], p[0]) == (tail_k, tail_p):
-            head, start, stop = f[: stop[0]], start[1:], stop[1:]
-        else:
-            head = f[:0]
-        if len(head):
-            if size <= BUCKET < size + len(head):
-                for y in tail:
-                    yield _pairs(y, y)
-                tail = []
-            size += len(head)
-            if size > BUCKET:
-                yield _pairs(head, head)
-            else:
-                tail.append(head)
-        if not len(start):
-            continue
-        yield from flush()
-        length = stop - start
-        inner = np.arange(len(start)) < len(start) - 1
-        for at in np.flatnonzero(inner & (length > BUCKET)):
-            y = f[start[at] : stop[at]]
-            yield _pairs(y, y)
-        take = inner & (length > 1) & (length <= BUCKET)
-        if take.any():
-            rows = np.repeat(take, length)
-            g = f[start[0] :][rows]
-            runs = np.repeat(np.arange(take.sum()), length[take])
-            yield from _linked(g, runs)
-        tail_k, tail_p, tail, size = k[-1], p[-1], [f[start[-1] :].copy()], int(length[-1])
-        if size > BUCKET:
-            yield _pairs(tail[0], tail[0])
-            tail = []
-    yield from flush()
-
-
-def links(distinct: DataFrame, fp: str = "fp") -> DataFrame:
-    """Columns a, b: links between distinct fingerprints that span every group within the radius."""
-    pairs = [(i, j) for i in range(4) for j in range(i)]
-    block = [F.shiftrightunsigned(F.col(fp), 16 * i).bitwiseAND(F.lit(0xFFFF)) for i in range(4)]
-    dealt = distinct.select(F.col(fp).alias("fp"), F.explode(F.array(*[F.struct(F.lit(n).alias("pair"), F.shiftleft(block[i], 16).bitwiseOR(block[j]).alias("key")) for n, (i, j) in enumerate(pairs)])).alias("x"))
-    dealt = dealt.select("fp", "x.pair", "x.key").repartition("pair", "key").sortWithinPartitions("pair", "key")
-    found = checkpointed(dealt.mapInPandas(_compare, "a long, b long"))
-    # What stands in a bucket that was too large, under its one-bit changes: at most 65 share a key.
-    hot = found.filter("a = b").select(F.col("a").alias("fp")).distinct()
-    changed = hot.select("fp", F.explode(F.expr("concat(array(fp), transform(sequence(0, 63), i -> fp ^ shiftleft(1L, i)))")).alias("key"))
-    centre = changed.groupBy("key").agg(F.min("fp").alias("b"), F.count("*").alias("n")).filter("n > 1")
-    return found.filter("a <> b").union(changed.join(centre, "key").filter("fp <> b").select(F.col("fp").alias("a"), "b"))
+    """A star for each group within each bucket of a sorted partition. The last bucket of a batch waits for the next batch."""
+    held = np.empty((3, 0), np.int64)
+
+    def linked(x: np.ndarray) -> Iterator[pd.DataFrame]:
+        if x.shape[1]:
+            change = np.r_[True, (x[:2, 1:] != x[:2, :-1]).any(axis=0)]
+            run = np.cumsum(change) - 1
+            alone = np.bincount(run)[run] == 1
+            fps, runs = x[2][~alone].view(np.uint64), run[~alone]
+            if len(fps):
+                label = _stars(len(fps), *near(fps, runs))
+                i = np.flatnonzero(label != np.arange(len(fps)))
+                yield pd.DataFrame({"a": fps[i].view(np.int64), "b": fps[label[i]].view(np.int64)})
+
+    for batch in batches:
+        x = np.hstack([held, batch[["way", "key", "fp"]].to_numpy(np.int64).T])
+        same = (x[:2] == x[:2, -1:]).all(axis=0)  # of the last bucket
+        yield from linked(x[:, ~same])
+        held = x[:, same]
+    yield from linked(held)
+
+
+def _ways() -> list[list[int]]:
+    """For each step, the masks of the bits by which its ways deal: six for each way of the step before.
+
+    A step cuts the bits that its way has left open into four equal parts, and takes two of them.
+    """
+    steps, open_bits = [], [list(range(64))]
+    for _ in range(3):
+        masks, left = [], []
+        for bits in open_bits:
+            n = len(bits) // 4
+            for i in range(4):
+                for j in range(i):
+                    rest = [b for k in range(4) if k not in (i, j) for b in bits[k * n : (k + 1) * n]]
+                    mask = (1 << 64) - 1 - sum(1 << b for b in rest)
+                    masks.append(mask - (1 << 64) if mask >> 63 else mask)
+                    left.append(rest)
+        steps.append(masks)
+        open_bits = left
+    return steps
+
+
+def links(distinct: DataFrame, fp: str = "fp", bucket: int = BUCKET) -> DataFrame:
+    """Columns a, b: links between distinct fingerprints that span every group within the radius (of two)."""
+    rows = checkpointed(distinct.select(F.col(fp).alias("fp"), F.lit(0).alias("way")))
+    kept, steps = [], _ways()
+    for masks in steps:
+        dealt = rows.select("fp", F.explode(F.sequence(6 * F.col("way"), 6 * F.col("way") + 5)).alias("way"))
+        dealt = dealt.withColumn("key", F.col("fp").bitwiseAND(F.element_at(F.array(*map(F.lit, masks)), F.col("way") + 1)))
+        hot = None
+        if masks is not steps[-1]:
+            hot = checkpointed(dealt.groupBy("way", "key").agg(F.count("*").alias("n")).filter(F.col("n") > bucket).select("way", "key"))
+            hot = None if hot.isEmpty() else small(hot, SMALL)
+        here = dealt if hot is None else dealt.join(hot, ["way", "key"], "left_anti")
+        kept.append(here.select(F.col("way").cast("long").alias("way"), "key", "fp").repartition("way", "key").sortWithinPartitions("way", "key"))
+        if hot is None:
+            break
+        rows = checkpointed(dealt.join(hot, ["way", "key"], "left_semi").select("fp", "way"))
+    found = [x.mapInPandas(_compare, "a long, b long") for x in kept]
+    out = found[0]
+    for x in found[1:]:
+        out = out.union(x)
+    return out
 
 
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
