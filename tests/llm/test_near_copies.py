@@ -59,6 +59,25 @@ def test_recall_of_the_buckets_at_the_limit():
     assert all(set(near_copies.band_keys(a)) & set(near_copies.band_keys(b)) for a, b in pairs)
 
 
+def test_no_pair_at_the_limit_is_beyond_the_radius():
+    texts = variants(6, 800, 2, 7)
+    sets = [near_copies.shingle_set(t) for t in texts.values()]
+    short = [" ".join(f"v{i}w{j}" for j in range(n)) for i, n in enumerate(range(8, 40))]  # four shingles and more, one of them cut off
+    sets += [near_copies.shingle_set(x) for t in short for x in (t, t.rsplit(" ", 1)[0])]
+    marks = [near_copies.wide_fingerprint(x) for x in sets]
+    linked, far = [], []
+    for i in range(len(sets) - 1):
+        a, b = sets[i], sets[i + 1]
+        d = int(np.bitwise_count(marks[i] ^ marks[i + 1]).sum())
+        common = len(np.intersect1d(a, b))
+        if 5 * common >= 4 * len(np.union1d(a, b)):
+            linked.append(d)
+        elif not common:
+            far.append(d)
+    assert len(linked) > 100 and max(linked) < near_copies.RADIUS - 5
+    assert len(far) > 100 and min(far) > near_copies.RADIUS
+
+
 def test_edge_rows(spark):
     docs = spark.createDataFrame([(5, None, 1), (3, "", 2), (None, "   ", 3), (9, "a b c d", 4), (9, "a b c d", 5), (None, "q r s", 6)], "doc_id long, text string, n int")
     got = sorted(map(str, (tuple(r) for r in near_copies.near_copies(docs).select("doc_id", "component_id").collect())))

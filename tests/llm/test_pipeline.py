@@ -1,9 +1,12 @@
 import hashlib
+from collections import Counter
 
 import corpus_pipeline
 from test_byte_bpe import ENC
 from test_line_operators import plain_dedup, plain_stats
+from test_mixing import plain_mix
 
+from tidemark.llm import mixing
 from tidemark.llm.simhash import shingles
 
 DATA = "/root/testdata/sf0.001"
@@ -47,8 +50,17 @@ def test_run_against_plain_python(spark):
         if i in first:
             ids = ENC.encode_ordinary(t)
             want[i] = (len(ids), hashlib.sha256(t.encode()).hexdigest())
-    got = {r["doc_id"]: (r["n_tokens"], r["decoded_sha256"]) for r in corpus_pipeline.run(spark, DATA).collect()}
-    assert got == want
+    out = corpus_pipeline.run(spark, DATA).collect()
+    assert {r["doc_id"]: (r["n_tokens"], r["decoded_sha256"]) for r in out} == want
+    # The mix is in the last output: every source is near its share in each prefix, as the plain scheduler has it.
+    source = {i: s for i, _, s in rows}
+    order = [source[r["doc_id"]] for r in sorted(out, key=lambda r: r["mix_place"])]
+    assert sorted(r["mix_place"] for r in out) == list(range(len(out)))
+    left, blocks = Counter(order), []
+    for s, _, _ in plain_mix({s: -(-n // mixing.BLOCK_ROWS) for s, n in left.items()}, mixing.PARTS):
+        blocks += [s] * min(mixing.BLOCK_ROWS, left[s])
+        left[s] -= min(mixing.BLOCK_ROWS, left[s])
+    assert order == blocks
 
 
 def test_stages_return_the_columns_of_documents(spark):

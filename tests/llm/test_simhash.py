@@ -61,6 +61,16 @@ def test_near_against_all_pairs():
     assert got == want
 
 
+def test_wide_fingerprints_against_all_pairs():
+    rng = np.random.default_rng(3)
+    base = rng.integers(0, 2**64, (5, 4), dtype=np.uint64)
+    noise = np.packbits(rng.random((150, 256)) < rng.choice([0.1, 0.25, 0.32], (150, 1)), axis=1).view(np.uint64)
+    fps, runs = base[rng.integers(0, 5, 150)] ^ noise, np.sort(rng.integers(0, 3, 150))
+    got = set(zip(*(x.tolist() for x in simhash.near(fps, runs, 80)), strict=True))
+    want = {(i, j) for i in range(150) for j in range(i + 1, 150) if runs[i] == runs[j] and np.bitwise_count(fps[i] ^ fps[j]).sum() <= 80}
+    assert got == want and len(want) > 100
+
+
 def test_whole_table_against_brute_force(spark):
     docs = spark.read.parquet(f"{DATA}/documents.parquet")
     got = {r[0]: (int(r[1], 16), r[2]) for r in simhash.op8_simhash(spark, DATA).collect()}

@@ -71,9 +71,11 @@ def _encode_piece(part: str, enc: tiktoken.Encoding) -> list[int]:
     return ids + enc.encode_ordinary(part[at:])
 
 
-def round_trip(docs: DataFrame, ranks: str | None = None, pattern: str | None = None, doc: str = "doc_id", text: str = "text", with_ids: bool = False) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256, decoded_ok, and ids and decoded bytes if they are asked for."""
+def round_trip(docs: DataFrame, ranks: str | None = None, pattern: str | None = None, doc: str = "doc_id", text: str = "text", with_ids: bool = False, carry: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, n_tokens, ids_sha256, decoded_sha256, decoded_ok, ids and decoded bytes if they are asked for, and the columns to carry."""
     ranks, pattern = ranks or public_tokenizers.path(RANKS), pattern or public_tokenizers.PATTERN
+    if pattern != public_tokenizers.PATTERN:
+        raise ValueError("texts are cut where a match of public_tokenizers.PATTERN must end; another pattern needs other cuts")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoding(ranks, pattern)
@@ -96,10 +98,12 @@ def round_trip(docs: DataFrame, ranks: str | None = None, pattern: str | None =
             columns = {"doc_id": x.column("doc_id"), "n_tokens": pa.array(n, pa.int64()), "ids_sha256": pa.array(a, pa.string()), "decoded_sha256": pa.array(b, pa.string()), "decoded_ok": pa.array(ok, pa.bool_())}
             if with_ids:
                 columns |= {"ids": pa.array(ids, pa.list_(pa.int32())), "decoded": pa.array(out, pa.binary())}
+            columns |= {c: x.column(c) for c in carry}
             yield pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
 
     schema = f"doc_id {docs.schema[doc].dataType.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string, decoded_ok boolean"
-    return docs.select(docs[doc].alias("doc_id"), docs[text].alias("text")).mapInArrow(run, schema + ", ids array<int>, decoded binary" * with_ids)
+    schema += ", ids array<int>, decoded binary" * with_ids + "".join(f", {c} {docs.schema[c].dataType.simpleString()}" for c in carry)
+    return docs.select(docs[doc].alias("doc_id"), docs[text].alias("text"), *carry).mapInArrow(run, schema)
 
 
 def op6_byte_bpe(spark, sf_dir: str) -> DataFrame:

@@ -20,6 +20,7 @@ the input pass through :func:`mixed` unchanged.
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -101,6 +102,21 @@ def mixed(docs: DataFrame, parts: dict[str, int] | None = None, rest: int = REST
     return rows.orderBy("_m_at").drop("_m_doc", "_m_source", "_m_th", "_m_at", th)
 
 
+def with_place(docs: DataFrame, name: str) -> DataFrame:
+    """docs, as :func:`mixed` was written and is read again, with each row's place in the order of the files' names and rows, from 0.
+
+    Written tables sort by the names of their files. The places are null if docs isn't read from files directly.
+    """
+    file, row, n, first = fresh(docs, "_file", "_row", "_n", "_first")
+    try:
+        rows = docs.select("*", F.col("_metadata.file_name").alias(file), F.col("_metadata.row_index").alias(row))
+    except AnalysisException:
+        return docs.withColumn(name, F.lit(None).cast("long"))
+    sizes = rows.groupBy(file).agg(F.count("*").alias(n))  # a row for each file
+    sizes = sizes.select(F.col(file), (F.sum(n).over(Window.orderBy(file)) - F.col(n)).alias(first))
+    return rows.join(sizes, file).withColumn(name, F.col(first) + F.col(row)).drop(file, row, first)
+
+
 def op4_pfair_mix(spark, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents")).select("doc_id", "source", "src", "rank", "release", "deadline", "slot", "offset")
 

@@ -1,17 +1,22 @@
-"""Near copies by the share of word shingles that two texts have in common.
+"""SimHash near-dedup by five-word shingles at a similarity of 0.8.
 
 Two texts are linked if the sets of their five-word shingles have a Jaccard similarity of 0.8 or more, and
-the groups are what links connect. Candidates come from MinHash: a text's set is dealt to ``BANDS`` buckets,
+the groups are what links connect. Each set has a fingerprint of ``BITS`` bits, by majority over its
+shingles' hashes. Which fingerprints are compared is settled by MinHash: a set is dealt to ``BANDS`` buckets,
 each by the least values of ``ROWS`` hash functions, so that a pair at 0.8 misses all of them in 7 of 100,000
-cases, and a pair at 0.85 in one of a million. Every link is then verified by the exact similarity of the
-whole sets, within the bucket, where only a star for each group is handed on, never all pairs.
+cases, and a pair at 0.85 in one of a million. Within a bucket the fingerprints are compared bit-sliced, by
+:func:`simhash.near`, and blocks are abandoned once all distances are above ``RADIUS``; pairs within it are
+verified by the exact similarity of the whole sets. Only a star for each group is handed on, never all pairs.
+
+At 0.8, 39 of 256 bits differ on average with a deviation of 6, so the radius of 80 lies seven deviations
+away, and sets with nothing in common differ in 128. (For the same reason fingerprints can't be dealt by
+their own blocks, as operator 8 deals them at a radius of two: blocks that are sure to agree would be of
+three bits.)
 
 Texts with the same set are one before they are dealt. Buckets with the same members are compared once. A
 bucket of more than ``BLOCK`` sets is cut into blocks and each two blocks are compared in a task of their own,
-so that nothing of it is left out and no task holds more than two blocks.
-
-(Fingerprints by majority can't find these pairs exactly: at 0.8 about 39 of 256 bits differ, and blocks that
-are sure to agree would be of four or five bits.)
+so that nothing of it is left out and no task holds more than two blocks of it, beside ``TOGETHER`` sets of
+small buckets.
 
 Edge cases: texts of fewer words are one shingle; null, empty and blank texts have the empty set and are one
 group. Repeated rows give a row each. An empty table gives an empty result.
@@ -35,6 +40,9 @@ WORDS = 5
 PERCENT = 80  #: of the shingles of both texts that they have in common, to be linked
 BANDS = 24
 ROWS = 5
+BITS = 256
+RADIUS = 80  #: sets whose fingerprints differ in more bits aren't verified
+TOGETHER = 1024  #: sets of small buckets that are compared together, about
 BLOCK = 512  #: sets of a bucket that are compared in one task; of a larger bucket, each two blocks
 SMALL = 500_000  #: keys or texts up to this many (16 MB) are sent to all tasks; more are joined by a shuffle
 PIECE = 2048  #: shingles that meet all hash functions together
@@ -78,49 +86,70 @@ def marks(docs: DataFrame, doc: str = "doc_id", text: str = "text", words: int =
     return rows.mapInArrow(run, f"doc_id {kind}, th long, fp long, keys array<long>")
 
 
-def stars(sets: list[np.ndarray], percent: int = PERCENT) -> np.ndarray:
-    """For each set, the first one that it reaches over links among them."""
+def wide_fingerprint(s: np.ndarray) -> np.ndarray:
+    """BITS bits as integers of 64; a bit is set if it is set in over half of the hashes, each mixed anew for every integer."""
+    out = np.zeros(BITS // 64, np.uint64)
+    for k in range(len(out)):
+        ones = np.zeros(64, np.int64)
+        for i in range(0, len(s), PIECE):
+            x = s[i : i + PIECE] + np.uint64((k + 1) * 0x9E3779B97F4A7C15 % 2**64)
+            x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+            x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+            ones += np.unpackbits((x ^ (x >> np.uint64(31))).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+        out[k] = np.packbits(2 * ones > len(s), bitorder="little").view(np.uint64)[0]
+    return out
+
+
+def stars(sets: list[np.ndarray], marks: np.ndarray, runs: np.ndarray, percent: int = PERCENT) -> np.ndarray:
+    """For each set, the first one of its run that it reaches over links; marks are the fingerprints, a row each."""
+    a, b = simhash.near(marks, runs, RADIUS)
+    src, dst = np.r_[a, b], np.r_[b, a]
+    order = np.lexsort((dst, src))
+    dst, start = dst[order], np.searchsorted(src[order], np.arange(len(sets) + 1))
     n = np.array([len(x) for x in sets])
-    end = np.cumsum(n)
-    _, local = np.unique(np.concatenate(sets), return_inverse=True)
-    has = np.repeat(np.arange(len(sets)), n)[np.argsort(local, kind="stable")]  # the sets with each shingle, one shingle after another
-    times = np.bincount(local)
-    first = np.cumsum(times) - times
     label = np.full(len(sets), -1)
     for root in range(len(sets)):
         if label[root] >= 0:
             continue
         label[root], todo = root, [root]
-        while todo and (label < 0).any():
+        while todo:
             p = todo.pop()
-            mine = local[end[p] - n[p] : end[p]]
-            k = times[mine]
-            common = np.bincount(has[np.repeat(first[mine] - (np.cumsum(k) - k), k) + np.arange(k.sum())], minlength=len(sets))
-            new = np.flatnonzero((label < 0) & (100 * common >= percent * (n + n[p] - common)))
-            label[new] = root
-            todo += new.tolist()
+            c = dst[start[p] : start[p + 1]]
+            c = c[label[c] < 0]
+            if len(c):
+                theirs = np.concatenate([sets[i] for i in c])
+                at = np.minimum(np.searchsorted(sets[p], theirs), n[p] - 1)
+                common = np.add.reduceat(sets[p][at] == theirs, np.cumsum(n[c]) - n[c], dtype=np.int64)
+                new = c[100 * common >= percent * (n[c] + n[p] - common)]
+                label[new] = root
+                todo += new.tolist()
     return label
 
 
 def _verified(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
-    """Stars within the groups of a partition that is sorted by group."""
-    at, fps, sets = None, [], []
+    """Stars within the groups of a partition that is sorted by group; small groups are compared together."""
+    last, fps, marks, sets, runs = None, [], [], [], []
 
     def flush() -> Iterator[pa.RecordBatch]:
-        if len(sets) > 1:
-            f, label = np.array(fps, np.int64), stars(sets, percent)
-            i = np.flatnonzero(label != np.arange(len(f)))
-            if len(i):
-                yield pa.RecordBatch.from_arrays([pa.array(f[i]), pa.array(f[label[i]])], ["a", "b"])
+        f = np.array(fps, np.int64)
+        label = stars(sets, np.array(marks), np.array(runs), percent)
+        i = np.flatnonzero(label != np.arange(len(f)))
+        if len(i):
+            yield pa.RecordBatch.from_arrays([pa.array(f[i]), pa.array(f[label[i]])], ["a", "b"])
+        for x in (fps, marks, sets, runs):
+            x.clear()
 
     for x in batches:
-        for g, fp, s in zip(x.column("g").to_pylist(), x.column("fp").to_pylist(), x.column("s"), strict=True):
-            if g != at:
+        for g, fp, m, s in zip(x.column("g").to_pylist(), x.column("fp").to_pylist(), x.column("mark"), x.column("s"), strict=True):
+            if g != last and len(sets) >= TOGETHER:
                 yield from flush()
-                at, fps, sets = g, [], []
+            runs.append(runs[-1] + (g != last) if runs else 0)
+            last = g
             fps.append(fp)
+            marks.append(np.frombuffer(m.as_py(), np.uint64))
             sets.append(np.frombuffer(s.as_py(), np.uint64))
-    yield from flush()
+    if sets:
+        yield from flush()
 
 
 def links(docs: DataFrame, marked: DataFrame, text: str = "text", words: int = WORDS, percent: int = PERCENT) -> DataFrame:
@@ -136,12 +165,14 @@ def links(docs: DataFrame, marked: DataFrame, text: str = "text", words: int = W
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for x in batches:
-            yield pa.RecordBatch.from_arrays([x.column("fp"), pa.array([shingle_set(t.as_py(), words).tobytes() for t in x.column("text")], pa.binary())], ["fp", "s"])
+            sets = [shingle_set(t.as_py(), words) for t in x.column("text")]
+            marks = [wide_fingerprint(s).tobytes() for s in sets]
+            yield pa.RecordBatch.from_arrays([x.column("fp"), pa.array(marks, pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())], ["fp", "mark", "s"])
 
     need = checkpointed(met.select("fp", "th").distinct())
     texts = docs.select(F.xxhash64(docs[text]).alias("th"), docs[text].alias("text")).join(small(need, SMALL), "th").groupBy("fp").agg(F.first("text").alias("text"))
-    sets = texts.mapInArrow(run, "fp long, s binary")
-    grouped = few.union(many).join(sets, "fp").select("g", "fp", "s").repartition("g").sortWithinPartitions("g")
+    sets = texts.mapInArrow(run, "fp long, mark binary, s binary")
+    grouped = few.union(many).join(sets, "fp").select("g", "fp", "mark", "s").repartition("g").sortWithinPartitions("g")
     return checkpointed(grouped.mapInArrow(partial(_verified, percent=percent), "a long, b long"))
 
 

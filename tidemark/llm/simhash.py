@@ -81,17 +81,21 @@ def near(fps: np.ndarray, runs: np.ndarray, radius: int = RADIUS) -> tuple[np.nd
     """Index pairs (i < j) within radius among fps of the same run; runs are the sorted run numbers.
 
     Bit planes stand vertically: word w of plane b holds bit b of 64 neighbouring fingerprints of a run.
+    Wide fingerprints are rows of several integers.
     """
     n = len(fps)
+    fps = fps.reshape(n, -1)
+    n_bits = 64 * fps.shape[1]
+    bit = lambda b, rows=slice(None): (fps[rows, b // 64] >> np.uint64(b % 64)) & np.uint64(1)
     first = np.flatnonzero(np.r_[True, runs[1:] != runs[:-1]])
     length = np.diff(np.r_[first, n])
     place = np.arange(n) - np.repeat(first, length)
     word_start = np.flatnonzero(place % 64 == 0)  # where each word of 64 lanes begins
     word_of = np.cumsum(place % 64 == 0) - 1
     lane = (place % 64).astype(np.uint64)
-    planes = np.empty((64, len(word_start)), np.uint64)
-    for b in range(64):
-        planes[b] = np.bitwise_or.reduceat(((fps >> np.uint64(b)) & np.uint64(1)) << lane, word_start)
+    planes = np.empty((n_bits, len(word_start)), np.uint64)
+    for b in range(n_bits):
+        planes[b] = np.bitwise_or.reduceat(bit(b) << lane, word_start)
     held = np.bitwise_or.reduceat(np.uint64(1) << lane, word_start)
     # Each fingerprint meets its own word and the later words of its run.
     last_word = np.repeat(word_of[first + length - 1], length)
@@ -105,12 +109,12 @@ def near(fps: np.ndarray, runs: np.ndarray, radius: int = RADIUS) -> tuple[np.nd
         later = np.where(own, ~((np.uint64(2) << lane[i]) - np.uint64(1)), ~np.uint64(0))  # each pair once
         over = ~(held[w] & later)  # lanes out of the race
         sums = [np.zeros(len(i), np.uint64) for _ in range(int(radius).bit_length())]
-        for b in range(64):
-            carry = planes[b][w] ^ (np.uint64(0) - ((fps[i] >> np.uint64(b)) & np.uint64(1)))
+        for b in range(n_bits):
+            carry = planes[b][w] ^ (np.uint64(0) - bit(b, i))
             for k, s in enumerate(sums):
                 sums[k], carry = s ^ carry, s & carry
             over |= carry
-            if b % 4 == 3:
+            if b % (n_bits // 16) == n_bits // 16 - 1:
                 over |= _above(sums, radius)
                 if (alive := over != ~np.uint64(0)).sum() < 0.5 * len(i):
                     i, w, over, sums = i[alive], w[alive], over[alive], [s[alive] for s in sums]
