@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from tidemark.llm import byte_bpe, line_dedup, mixing, near_copies, quality_rules
-from tidemark.llm.common import shared_folder
+from tidemark.llm.common import fresh, shared_folder
 
 
 def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -27,7 +27,7 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: five-word shingles, a similarity of 0.8."""
+    """One document of each group of near copies: bit-sliced fingerprints of five-word shingles, a similarity of 0.8."""
     return near_copies.keep_one(docs)
 
 
@@ -37,8 +37,9 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document's token count, and digests of its ids and of what they decode to."""
-    return byte_bpe.round_trip(docs)
+    """Each document's token count, digests of its ids and of what they decode to, and mix_place, its place in the mix from 0."""
+    (place,) = fresh(docs, "mix_place")
+    return byte_bpe.round_trip(mixing.with_place(docs, place), carry=(place,)).withColumnRenamed(place, "mix_place")
 
 
 STAGES = [("quality rules", rules), ("line dedup", lines), ("simhash near-dedup", copies), ("source mix", mix), ("byte-level BPE", tokens)]
