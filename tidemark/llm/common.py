@@ -6,12 +6,13 @@ import math
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 #: Words are runs of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
+SPACE = " \t\n\v\f\r"
 HOT = 500_000  #: oversize buckets up to this many are sent to all tasks; more are joined by a shuffle
 
 
@@ -62,6 +63,26 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
+def lines_of(text: Column) -> Column:
+    return F.split(text, "\n")
+
+
+def has_word(line: Column) -> Column:
+    return line.rlike(r"[^\x20\x09-\x0D]")
+
+
+def normal(line: Column) -> Column:
+    """A line without the white space around it, lower-cased."""
+    return F.lower(F.btrim(line, F.lit(SPACE)))
+
+
+def without_lines(text: Column, gone: Column) -> Column:
+    """The text without the lines at these places (from 0), in time that grows with its length alone; where gone is null, as it is."""
+    keep = lambda x: F.transform(F.array_except(F.sequence(F.lit(0), F.size(x) - 1), gone), lambda i: F.get(x, i))
+    bound = F.transform(F.array(lines_of(text)), keep)  # split once, not for each line
+    return F.when(gone.isNull(), text).otherwise(F.array_join(F.get(bound, 0), "\n"))
+
+
 def ranked_by_hash(rows: DataFrame, group: str, digest: str, tie: str, per_bucket: int, total: int) -> DataFrame:
     """rows with place: the place of each in its group, from 0, by a hex digest (32 digits), then by tie (a checksum of 32 bits, nulls first).
 

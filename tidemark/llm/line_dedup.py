@@ -1,13 +1,14 @@
 """Removal of lines that are spread over many sites.
 
-Each line (trimmed, lower-cased, of a word or more) is hashed, and a HyperLogLog sketch of the sites that
+Each line (white space around it trimmed, lower-cased, of a word or more) is hashed, and a HyperLogLog sketch of the sites that
 have it is merged for each hash by aggregation. Lines estimated well above the threshold are boilerplate,
 lines well below aren't; the sites of those within ``band`` standard errors are counted exactly. A
 boilerplate line stays at its first place (least document id, then least position) and goes everywhere
 else, so that no line is lost to the corpus: neither a boilerplate line nor a copied article.
 
 Edge cases: a null text stays null, a text keeps its lines without words, and a text whose lines all go
-becomes empty; documents are never dropped. A null site counts for nothing. Rows that agree in id and text
+becomes empty; documents are never dropped. A very long text is cut in time that grows with its length alone,
+and its lines are grouped with all others', so no task holds more than the one text. A null site counts for nothing. Rows that agree in id and text
 are one document. Null ids come first in order. An empty table gives an empty result. Further columns of
 the input pass through :func:`dedup_lines` unchanged, whatever their names.
 """
@@ -16,10 +17,10 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import checkpointed, fresh, small, table
+from tidemark.llm.common import checkpointed, fresh, has_word, lines_of, normal, small, table, without_lines
 
 SMALL = 500_000  #: lines up to this many (16 MB) are sent to all tasks; more are joined by a shuffle
 
@@ -35,14 +36,10 @@ class Spread:
         return self.band * 1.04 / 2 ** (self.lg_k / 2)
 
 
-def _lines(text: Column) -> Column:
-    return F.split(text, "\n")
-
-
 def site_lines(docs: DataFrame, doc: str, text: str, site: str) -> DataFrame:
     """Columns doc_id, th, site, pos, line (hash), for each line with a word."""
-    lines = docs.select(docs[doc].alias("doc_id"), F.xxhash64(docs[text]).alias("th"), docs[site].cast("string").alias("site"), F.posexplode(_lines(docs[text])).alias("pos", "l"))
-    return lines.filter(F.col("l").rlike(r"[^\x20\x09-\x0D]")).select("doc_id", "th", "site", "pos", F.xxhash64(F.lower(F.trim("l"))).alias("line"))
+    lines = docs.select(docs[doc].alias("doc_id"), F.xxhash64(docs[text]).alias("th"), docs[site].cast("string").alias("site"), F.posexplode(lines_of(docs[text])).alias("pos", "l"))
+    return lines.filter(has_word(F.col("l"))).select("doc_id", "th", "site", "pos", F.xxhash64(normal(F.col("l"))).alias("line"))
 
 
 def spread_lines(lines: DataFrame, rule: Spread = Spread()) -> DataFrame:
@@ -72,9 +69,8 @@ def dedup_lines(docs: DataFrame, rule: Spread = Spread(), doc: str = "doc_id", t
     gone = removed_lines(docs, rule, doc, text, site).select(F.col("doc_id").alias("_g_doc"), F.col("th").alias("_g_th"), F.col("gone").alias("_g_gone"))
     rows = docs.withColumn(th, F.xxhash64(docs[text]))
     rows = rows.join(gone, rows[doc].eqNullSafe(gone["_g_doc"]) & (rows[th] == gone["_g_th"]), "left")
-    left = F.filter(F.transform(_lines(F.col(text)), lambda x, i: F.struct(x.alias("x"), i.alias("i"))), lambda y: ~F.array_contains("_g_gone", y["i"]))
-    cut = F.when(F.col("_g_gone").isNull(), F.col(text)).otherwise(F.array_join(F.transform(left, lambda y: y["x"]), "\n"))
-    rows = rows.withColumn(n_lines, F.coalesce(F.size(_lines(F.col(text))), F.lit(0)).cast("long")).withColumn(n_removed, F.coalesce(F.size("_g_gone"), F.lit(0)).cast("long"))
+    cut = without_lines(F.col(text), F.col("_g_gone"))
+    rows = rows.withColumn(n_lines, F.coalesce(F.size(lines_of(F.col(text))), F.lit(0)).cast("long")).withColumn(n_removed, F.coalesce(F.size("_g_gone"), F.lit(0)).cast("long"))
     rows = rows.withColumn(n_lines, F.when(F.col(text).isNull(), F.lit(0)).otherwise(F.col(n_lines)).cast("long"))
     rows = rows.withColumn(n_removed, F.when(F.col("_g_gone").isNull(), F.lit(0)).otherwise(F.col(n_removed)).cast("long")).withColumn(text, cut)
     if n_chars:
@@ -91,7 +87,7 @@ ORACLE = r"""
 WITH raw AS (
   SELECT doc_id, source, i - 1 AS pos, l[i] AS raw
   FROM (SELECT doc_id, source, l, unnest(range(1, len(l) + 1)) AS i FROM (SELECT doc_id, source, string_split(text, chr(10)) AS l FROM documents))),
-lines AS (SELECT *, lower(trim(raw, ' ')) AS line FROM raw WHERE regexp_matches(raw, '[^\x20\x09-\x0D]')),
+lines AS (SELECT *, lower(trim(raw, ' ' || chr(9) || chr(11) || chr(12) || chr(13))) AS line FROM raw WHERE regexp_matches(raw, '[^\x20\x09-\x0D]')),
 bad AS (SELECT line FROM lines GROUP BY line HAVING count(DISTINCT source) >= 10),
 gone AS (SELECT doc_id, pos FROM (SELECT doc_id, pos, row_number() OVER (PARTITION BY line ORDER BY doc_id, pos) AS n FROM lines SEMI JOIN bad USING (line)) WHERE n > 1),
 kept AS (SELECT doc_id, count(*) AS n_lines, count(g.pos) AS n_removed, string_agg(raw, chr(10) ORDER BY r.pos) FILTER (WHERE g.pos IS NULL) AS t

@@ -1,7 +1,7 @@
 """Quality rules with cross-document line frequency.
 
 Every text is measured by itself (word count, symbols, repeated lines, repeated five-word windows), and
-every line is hashed after trimming and lower-casing. A line is boilerplate of a host if the number of
+every line is hashed after its white space is trimmed and it is lower-cased. A line is boilerplate of a host if the number of
 the host's distinct texts that hold it is above both an absolute limit and a share of the host's distinct
 texts. Boilerplate lines are taken out; a document that loses more than ``max_lost`` of its characters is
 depleted and rejected. :func:`judge` gives measures and verdicts, :func:`keep_good` the rows that are kept,
@@ -9,6 +9,9 @@ as they are, and :func:`clean_good` the rows that are kept, without their boiler
 
 Copies of one text count once, so that a much copied article isn't mistaken for boilerplate.
 
+Very long texts are measured whole, each in one row; the work grows with the length, but for a sort of its windows
+where some of them repeat.
+
 Edge cases: a null text has no words and fails the base rules; an empty text likewise. Null hosts are one
 host of their own. Rows that agree in id and text are one document and get the same verdict, a row each.
 An empty table gives an empty result. Further columns of the input are not looked at.
@@ -21,7 +24,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import WORD, fresh, table
+from tidemark.llm.common import WORD, fresh, has_word, lines_of, normal, table, without_lines
 
 
 @dataclass(frozen=True)
@@ -31,11 +34,6 @@ class LineLimits:
     max_lost: float = 0.5  #: a document that loses more of its characters to boilerplate is rejected
 
 
-def _lines(text: Column) -> Column:
-    """The trimmed, lower-cased lines that hold a word."""
-    return F.filter(F.transform(F.split(text, "\n"), lambda x: F.lower(F.trim(x))), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
-
-
 def _repeated_words(windows: str, size: int) -> Column:
     """How many words lie in a window of which windows, the hashes by place, has another."""
     # Hashes sorted with their places: a neighbour with the same hash makes both places repeated.
@@ -61,7 +59,7 @@ def text_stats(docs: DataFrame, doc: str = "doc_id", text: str = "text", host: s
         F.expr("CASE WHEN size(wh) < 5 THEN array() ELSE transform(sequence(0, size(wh) - 5), i -> xxhash64(wh[i], wh[i + 1], wh[i + 2], wh[i + 3], wh[i + 4])) END"),
     )
     lined = F.col("_lines")
-    return windows.withColumn("_lines", F.filter(F.split("t", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))).select(
+    return windows.withColumn("_lines", F.filter(lines_of(F.col("t")), has_word)).select(
         "doc_id",
         "th",
         "host",
@@ -70,13 +68,14 @@ def text_stats(docs: DataFrame, doc: str = "doc_id", text: str = "text", host: s
         F.regexp_count("t", F.lit(r"[#*$%&|<>]")).cast("long").alias("n_symbols"),
         (F.size(lined) - F.size(F.array_distinct(lined))).cast("long").alias("n_dup_lines"),
         _repeated_words("win", 5).cast("long").alias("n_repeat_words"),
-        F.expr("aggregate(transform(_lines, x -> length(lower(trim(x)))), 0L, (a, x) -> a + x)").alias("line_chars"),
+        F.aggregate(F.transform(lined, lambda x: F.length(normal(x))), F.lit(0).cast("long"), lambda a, x: a + x).alias("line_chars"),
     )
 
 
 def host_lines(docs: DataFrame, doc: str = "doc_id", text: str = "text", host: str = "source") -> DataFrame:
-    """Columns doc_id, th, host, pos, line (hash), chars: a row for each line with a word."""
-    lines = docs.select(docs[doc].alias("doc_id"), F.xxhash64(docs[text]).alias("th"), docs[host].alias("host"), F.posexplode(_lines(docs[text])).alias("pos", "l"))
+    """Columns doc_id, th, host, pos (place among all lines of the text), line (hash), chars: a row for each line with a word."""
+    lines = docs.select(docs[doc].alias("doc_id"), F.xxhash64(docs[text]).alias("th"), docs[host].alias("host"), F.posexplode(lines_of(docs[text])).alias("pos", "l"))
+    lines = lines.filter(has_word(F.col("l"))).withColumn("l", normal(F.col("l")))
     return lines.select("doc_id", "th", "host", "pos", F.xxhash64("l").alias("line"), F.length("l").cast("long").alias("chars"))
 
 
@@ -94,12 +93,12 @@ def frequent_lines(lines: DataFrame, limits: LineLimits = LineLimits()) -> DataF
 
 
 def judge(docs: DataFrame, limits: LineLimits = LineLimits(), doc: str = "doc_id", text: str = "text", host: str = "source") -> DataFrame:
-    """doc_id, th, host, the measures, line_chars, lost_chars, base_failed, kept and gone (hashes of the boilerplate lines, null if none), a row for each row."""
+    """doc_id, th, host, the measures, line_chars, lost_chars, base_failed, kept and gone (places of the boilerplate lines, null if none), a row for each row."""
     lines = host_lines(docs, doc, text, host)
     bad = frequent_lines(lines, limits)
     hit = lines.join(bad, lines["host"].eqNullSafe(bad["host"]) & (lines["line"] == bad["line"]), "left_semi")
     # Rows that are one document bring the same lines again.
-    lost = hit.select("doc_id", "th", "host", "pos", "line", "chars").distinct().groupBy("doc_id", "th", "host").agg(F.sum("chars").alias("lost"), F.collect_set("line").alias("gone"))
+    lost = hit.select("doc_id", "th", "host", "pos", "line", "chars").distinct().groupBy("doc_id", "th", "host").agg(F.sum("chars").alias("lost"), F.collect_set("pos").alias("gone"))
     lost = lost.select(F.col("doc_id").alias("l_doc"), F.col("th").alias("l_th"), F.col("host").alias("l_host"), "lost", "gone")
     stats = text_stats(docs, doc, text, host)
     out = stats.join(lost, stats["doc_id"].eqNullSafe(lost["l_doc"]) & (stats["th"] == lost["l_th"]) & stats["host"].eqNullSafe(lost["l_host"]), "left")
@@ -127,8 +126,7 @@ def clean_good(docs: DataFrame, limits: LineLimits = LineLimits(), doc: str = "d
     rows = docs.withColumn(th, F.xxhash64(docs[text]))
     rows = rows.join(judged, rows[doc].eqNullSafe(judged["_j_doc"]) & (rows[th] == judged["_j_th"]) & rows[host].eqNullSafe(judged["_j_host"]), "left")
     rows = rows.filter(F.coalesce("_j_kept", F.lit(True)))
-    left = F.filter(F.split(F.col(text), "\n"), lambda x: ~(x.rlike(r"[^\x20\x09-\x0D]") & F.array_contains("_j_gone", F.xxhash64(F.lower(F.trim(x))))))
-    rows = rows.withColumn(text, F.when(F.col("_j_gone").isNull(), F.col(text)).otherwise(F.array_join(left, "\n")))
+    rows = rows.withColumn(text, without_lines(F.col(text), F.col("_j_gone")))
     if n_chars:
         rows = rows.withColumn(n_chars, F.when(F.col("_j_gone").isNull(), F.col(n_chars)).otherwise(F.length(text)).cast(docs.schema[n_chars].dataType))
     return rows.select(*docs.columns)
@@ -146,7 +144,7 @@ wins AS (SELECT doc_id, i, array_to_string(w[i:i + 4], ' ') AS win FROM (SELECT
 again AS (SELECT doc_id, i FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, win) AS n FROM wins) WHERE n > 1),
 rep AS (SELECT doc_id, count(DISTINCT i + j) AS n FROM again, range(0, 5) r(j) GROUP BY doc_id),
 raw AS (SELECT doc_id, host, md5(t) AS th, unnest(string_split(t, chr(10))) AS raw FROM d),
-lines AS (SELECT doc_id, host, th, raw, lower(trim(raw, ' ')) AS line FROM raw WHERE regexp_matches(raw, '[^\x20\x09-\x0D]')),
+lines AS (SELECT doc_id, host, th, raw, lower(trim(raw, ' ' || chr(9) || chr(11) || chr(12) || chr(13))) AS line FROM raw WHERE regexp_matches(raw, '[^\x20\x09-\x0D]')),
 per_doc AS (SELECT doc_id, count(*) - count(DISTINCT raw) AS n_dup_lines FROM lines GROUP BY doc_id),
 hosts AS (SELECT host, count(DISTINCT th) AS host_docs FROM lines GROUP BY host),
 bad AS (
