@@ -285,6 +285,12 @@ FETCH = f"""asked AS (
 FRIDAY = "CAST(session + CASE WHEN market = 'US' AND d = 4 THEN 3 ELSE 4 END AS DATE)"
 LOOK = f"[{', '.join(repr(x) for x in LOOKBACKS)}]"
 
+ABSENT = f""", had AS (
+  SELECT market, session, status FROM runs WHERE session < DATE '2001-06-01' UNION ALL SELECT market, session, 'quarantined' FROM runs WHERE session >= DATE '2001-06-01' AND {WEEK} % 7 = 0),
+target AS (SELECT market, CAST(max(session) + 1 AS DATE) AS session FROM cal GROUP BY market),
+latest AS (SELECT market, max(session) AS latest FROM had WHERE status = 'published' GROUP BY market),
+absent AS (SELECT market, session FROM (SELECT c.market, c.session FROM cal c JOIN latest USING (market) WHERE c.session > latest UNION SELECT * FROM target) ANTI JOIN had USING (market, session))"""
+
 _SELECTS = {
     "boards": f""", k AS (SELECT market, symbol, session, adj_close AS end_close FROM bars WHERE symbol NOT LIKE '^%'),
 a AS (SELECT *, unnest([{", ".join(f"{{'lookback': '{x}', 'anchor': {anchor(x)}}}" for x in LOOKBACKS)}], recursive := true) FROM k),
@@ -366,11 +372,7 @@ SELECT market, session, CASE WHEN whole AND (prev IS NULL OR symbols_enumerated
        r.session < CASE r.market WHEN 'US' THEN DATE '2001-10-19' ELSE DATE '2001-10-22' END AS run_due, newest = 'quarantined' AS stale
 FROM (SELECT *, row_number() OVER (PARTITION BY market ORDER BY session DESC) AS n FROM runs WHERE status = 'published') r
 JOIN (SELECT market, arg_max(status, session) AS newest FROM runs GROUP BY market) USING (market) WHERE n = 1""",
-    "backfill_sessions": f""", had AS (
-  SELECT market, session, status FROM runs WHERE session < DATE '2001-06-01' UNION ALL SELECT market, session, 'quarantined' FROM runs WHERE session >= DATE '2001-06-01' AND {WEEK} % 7 = 0),
-target AS (SELECT market, CAST(max(session) + 1 AS DATE) AS session FROM cal GROUP BY market),
-latest AS (SELECT market, max(session) AS latest FROM had WHERE status = 'published' GROUP BY market)
-SELECT market, session FROM (SELECT c.market, c.session FROM cal c JOIN latest USING (market) WHERE c.session > latest UNION SELECT * FROM target) ANTI JOIN had USING (market, session)""",
+    "backfill_sessions": f"{ABSENT} SELECT * FROM absent",
     "labels_to_fetch": f", {FETCH} SELECT * FROM asked",
     "label_refresh": f""", {FETCH}, got AS (
   SELECT l.market, l.symbol, l.sector, upper(l.industry) AS industry, (SELECT max(session) FROM universe u WHERE u.market = l.market) AS as_of
@@ -385,10 +387,14 @@ SELECT market, session, key, label, unit, round(measured, 8) AS measured, expect
        CASE WHEN expected IS NULL THEN false WHEN expected = 0 THEN measured <> 0 ELSE abs(measured - expected) > {P.tolerance} * abs(expected) END AS deviates FROM long""",
     "spot_check": """, w AS (SELECT * FROM (SELECT DISTINCT market, session FROM universe), (VALUES ('S00001'), ('S00002'), ('S00003'), ('S00005'), ('S00008'), ('S00013')) v(symbol))
 SELECT w.market, w.session, w.symbol, u.symbol IS NOT NULL AS present FROM w LEFT JOIN universe u USING (market, session, symbol)""",
-    "backfill": """, days AS (SELECT c.market, c.session FROM cal c JOIN (SELECT market, max(session) AS last FROM cal GROUP BY market) USING (market) WHERE c.session > last - 70),
-a AS (SELECT market, session, 'universe' AS tab FROM universe UNION ALL SELECT market, session, 'ranks' FROM ranks UNION ALL SELECT market, session, 'detections' FROM dets
-      UNION ALL SELECT market, session, 'follow_through' FROM bars WHERE symbol LIKE '^%' UNION ALL SELECT market, session, 'digest' FROM digests)
-SELECT market, session, tab AS "table", count(*) AS n_rows FROM a SEMI JOIN days USING (market, session) GROUP BY ALL""",
+    "backfill": f"""{ABSENT}, days AS (SELECT market, session FROM absent),
+a AS (SELECT market, session, symbol, NULL AS lookback, NULL AS a, NULL AS b, 'universe' AS tab FROM universe
+      UNION ALL SELECT market, session, symbol, lookback, percentile, raw_return, 'ranks' FROM ranks
+      UNION ALL SELECT market, session, symbol, NULL, trigger, stopw_adr, 'detections' FROM dets
+      UNION ALL SELECT market, session, NULL, NULL, adj_close, CAST(CASE WHEN count(*) OVER w = {P.breakout} THEN adj_close > max(adj_close) OVER w END AS DOUBLE), 'follow_through'
+        FROM bars WHERE symbol LIKE '^%' WINDOW w AS ({W} ROWS BETWEEN {P.breakout} PRECEDING AND 1 PRECEDING)
+      UNION ALL SELECT market, session, symbol, NULL, position, pct_through, 'digest' FROM digests)
+SELECT tab AS "table", market, session, symbol, CAST(lookback AS VARCHAR) AS lookback, round(CAST(a AS DOUBLE), 8) AS a, round(CAST(b AS DOUBLE), 8) AS b FROM a SEMI JOIN days USING (market, session)""",
 }
 
 ORACLE_SQL = {name: BASE + text for name, text in _SELECTS.items()}

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import cached_property
+from functools import cached_property, reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -301,15 +301,18 @@ def acceptance_figures(t: Tables) -> DataFrame:
 
 
 def backfill(t: Tables) -> DataFrame:
-    """The nights of the last ten sessions of each market, computed as such: rows of each table."""
-    last = t.bars.groupBy("market").agg(F.max("session").alias("last"))
-    days = t.sessions.join(F.broadcast(last), "market").filter("session > date_sub(last, 70)").select("market", "session")
-    got = nights.compute(t.instruments, t.bars, t.resolutions, t.labels, days, None, t.params)
-    parts = [df.groupBy("market", "session").agg(F.count("*").alias("n_rows")).withColumn("table", F.lit(name)) for name, df in vars(got).items()]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    """Every session that backfill_sessions finds absent, computed as a night: the rows of each table, told by two figures."""
+    got = nights.compute(t.instruments, t.bars, t.resolutions, t.labels, backfill_sessions(t), None, t.params)
+    none = F.lit(None)
+    rows = lambda name, df, symbol, lookback, a, b: df.select(F.lit(name).alias("table"), "market", "session", symbol.cast("string").alias("symbol"), lookback.cast("string").alias("lookback"), r("a", a.cast("double")), r("b", b.cast("double")))
+    parts = [
+        rows("universe", got.universe, F.col("symbol"), none, none, none),
+        rows("ranks", got.ranks, F.col("symbol"), F.col("lookback"), F.col("percentile"), F.col("raw_return")),
+        rows("detections", got.detections, F.col("symbol"), none, F.col("trigger"), F.col("stopw_adr")),
+        rows("follow_through", got.follow_through, none, none, F.col("index_close"), F.col("broke_out")),
+        rows("digest", got.digest, F.col("symbol"), none, F.col("position"), F.col("pct_through")),
+    ]
+    return reduce(DataFrame.unionByName, parts)
 
 
 _QUERIES: dict[str, Callable[[Tables], DataFrame]] = {
