@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidemark.llm import byte_bpe, fill_in_middle, line_dedup, lm_score, mixing, one_bit_search, ppm_lang, quality_rules, sharding, simhash, url_reputation
+from tidemark.llm import byte_bpe, fill_in_middle, line_dedup, lm_score, mixing, one_bit_search, ppm_lang, quality_rules, secrets, sharding, simhash, url_reputation
 
 QUERIES = {
     "op1_url_reputation": url_reputation.op1_url_reputation,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_ppm_lang": ppm_lang.op9_ppm_lang,
     "op10_quality_rules": quality_rules.op10_quality_rules,
     "op12_fill_in_middle": fill_in_middle.op12_fill_in_middle,
+    "op13_secret_scan": secrets.op13_secret_scan,
 }
 
 #: The others are held against plain Python in tests/llm.
@@ -28,4 +29,5 @@ ORACLE_SQL = {
     "op7_line_dedup": line_dedup.ORACLE,
     "op10_quality_rules": quality_rules.ORACLE,
     "op12_fill_in_middle": fill_in_middle.ORACLE,
+    "op13_secret_scan": secrets.ORACLE,
 }
