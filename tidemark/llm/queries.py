@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidemark.llm import byte_bpe, fill_in_middle, line_dedup, lm_score, mixing, one_bit_search, ppm_lang, quality_rules, secrets, sharding, simhash, url_reputation
+from tidemark.llm import byte_bpe, fill_in_middle, line_dedup, lm_score, mixing, one_bit_search, ppm_lang, quality_rules, secrets, sharding, simhash, source_audit, url_reputation
 
 QUERIES = {
     "op1_url_reputation": url_reputation.op1_url_reputation,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_simhash": simhash.op8_simhash,
     "op9_ppm_lang": ppm_lang.op9_ppm_lang,
     "op10_quality_rules": quality_rules.op10_quality_rules,
+    "op11_source_audit": source_audit.op11_source_audit,
     "op12_fill_in_middle": fill_in_middle.op12_fill_in_middle,
     "op13_secret_scan": secrets.op13_secret_scan,
 }
@@ -28,6 +29,7 @@ ORACLE_SQL = {
     "op5_rendezvous_shards": sharding.ORACLE,
     "op7_line_dedup": line_dedup.ORACLE,
     "op10_quality_rules": quality_rules.ORACLE,
+    "op11_source_audit": source_audit.ORACLE,
     "op12_fill_in_middle": fill_in_middle.ORACLE,
     "op13_secret_scan": secrets.ORACLE,
 }
