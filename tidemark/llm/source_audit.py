@@ -39,11 +39,11 @@ MIN_DOCS = 30  #: of its language's documents that a kept term is in
 TOP = 50  #: terms of each group that are reported
 UNIT = 1_000_000_000  #: weights are in parts of this
 SMOOTHING = 5
-BLOCK = 4096  #: terms that are compared together, about
+BLOCK = 512  #: terms that are compared together, about
 SOURCES = 64  #: sources that are compared with as many others together
 PIECE = 1 << 20  #: bytes of text that are cut into terms at a time
 ROWS = 256  #: bitmaps that are compared with all others of their word at once
-COUNTED = 200_000  #: terms that a task counts before it hands them on, about
+COUNTED = 300_000  #: terms that a task counts before it hands them on, about
 #: Letters in lower case and all bytes of other characters stay, the rest parts terms.
 FOLD = bytes(b | 0x20 if 0x41 <= b <= 0x5A else b if 0x61 <= b <= 0x7A or b >= 0x80 else 0x20 for b in range(256))
 
@@ -66,37 +66,33 @@ def terms(text: bytes) -> Iterator[list[bytes]]:
 
 
 def tallied(docs: DataFrame, by: tuple[str, ...], documents: bool) -> DataFrame:
-    """The columns by, term, n and, if documents are asked for, docs: counted within tasks; a term may come again in a later row."""
+    """The columns by, term and n: occurrences or, if so, documents, counted within tasks; a term may come again in a later row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: dict[tuple, tuple[Counter, Counter]] = {}
+        counts: dict[tuple, Counter] = {}
 
         def rows() -> Iterator[pa.RecordBatch]:
-            for key, (n, d) in counts.items():
-                names = [k.decode() for k in n]
-                columns = [*(pa.array([k] * len(names), pa.string()) for k in key), pa.array(names, pa.string()), pa.array(n.values(), pa.int64())]
-                yield pa.RecordBatch.from_arrays(columns + ([pa.array([d[k] for k in n], pa.int64())] if documents else []), schema)
+            for key, n in counts.items():
+                columns = [*(pa.array([k] * len(n), pa.string()) for k in key), pa.array([k.decode() for k in n], pa.string()), pa.array(n.values(), pa.int64())]
+                yield pa.RecordBatch.from_arrays(columns, [*by, "term", "n"])
             counts.clear()
 
         size = 0
         for x in batches:
-            keys, texts = [x.column(c) for c in by], x.column("text").cast(pa.binary())
-            for i, text in enumerate(texts):
-                n, d = counts.setdefault(tuple(k[i].as_py() for k in keys), (Counter(), Counter()))
-                before, seen = len(n), set()
-                for part in terms(text.as_py()):
+            keys = [x.column(c) for c in by]
+            for i, text in enumerate(x.column("text").cast(pa.binary())):
+                n = counts.setdefault(tuple(k[i].as_py() for k in keys), Counter())
+                before = len(n)
+                parts = terms(text.as_py())
+                for part in [set().union(*parts)] if documents else parts:
                     n.update(part)
-                    if documents:
-                        seen.update(part)
-                d.update(seen)
                 size += len(n) - before
                 if size > COUNTED:
                     yield from rows()
                     size = 0
         yield from rows()
 
-    schema = [*by, "term", "n", *(["docs"] * documents)]
-    return docs.select(*by, "text").mapInArrow(run, ", ".join(f"{c} string" for c in (*by, "term")) + ", n long" + ", docs long" * documents)
+    return docs.select(*by, "text").mapInArrow(run, ", ".join(f"{c} string" for c in (*by, "term")) + ", n long")
 
 
 def weight(n: str, total: str, kept: str) -> Column:
@@ -154,11 +150,11 @@ def audit(docs: DataFrame, min_docs: int = MIN_DOCS, top: int = TOP, text: str =
     """lang, source, part, item, value, rank: a row for each other source of the language, and for the terms that the source has most in excess."""
     plain = lambda c, a: F.coalesce(docs[c].cast("string"), F.lit("")).alias(a)
     rows = docs.select(plain(lang, "lang"), plain(source, "source"), plain(text, "text"))
-    kept = tallied(rows, ("lang",), True).groupBy("lang", "term").agg(F.sum("n").alias("lang_n"), F.sum("docs").alias("docs"))
-    kept = checkpointed(kept.filter(F.col("docs") >= min_docs).drop("docs"))
-    known = small(kept, HOT)
-    counts = tallied(rows, ("lang", "source"), False).join(known.select("lang", "term"), ["lang", "term"], "left_semi")
+    known = tallied(rows, ("lang",), True).groupBy("lang", "term").agg(F.sum("n").alias("n")).filter(F.col("n") >= min_docs)
+    known = small(checkpointed(known.select("lang", "term")), HOT)
+    counts = tallied(rows, ("lang", "source"), False).join(known, ["lang", "term"], "left_semi")
     counts = checkpointed(counts.groupBy("lang", "source", "term").agg(F.sum("n").alias("n")))
+    kept = checkpointed(counts.groupBy("lang", "term").agg(F.sum("n").alias("lang_n")))
 
     groups = rows.select("lang", "source").distinct().join(counts.groupBy("lang", "source").agg(F.sum("n").alias("total")), ["lang", "source"], "left")
     langs = groups.groupBy("lang").agg(F.count("*").alias("sources")).join(kept.groupBy("lang").agg(F.count("*").alias("v"), F.sum("lang_n").alias("lang_total")), "lang", "left")
