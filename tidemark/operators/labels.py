@@ -22,13 +22,14 @@ def to_fetch(members: DataFrame, labels: DataFrame, params: Params = Params()) -
     return new.unionByName(stale.select(*key, F.lit(False).alias("is_new")))
 
 
-def refresh(members: DataFrame, labels: DataFrame, fetched: DataFrame, params: Params = Params()) -> DataFrame:
-    """labels after the night's fetches; fetched: market, symbol, status, sector, industry, as_of.
+def resolved(members: DataFrame, labels: DataFrame, fetched: DataFrame, params: Params = Params()) -> DataFrame:
+    """Of fetched (market, symbol, status, sector, industry, as_of), what was to be fetched and resolved: a failed fetch leaves the cached label."""
+    return fetched.join(to_fetch(members, labels, params).select("market", "symbol"), ["market", "symbol"], "left_semi").filter("status = 'resolved'")
+
 
-    Only what was to be fetched counts, and only if it resolved: a failed fetch leaves the cached label.
-    """
-    got = fetched.join(to_fetch(members, labels, params).select("market", "symbol"), ["market", "symbol"], "left_semi").filter("status = 'resolved'")
-    return upsert(labels, got.select(*labels.columns))
+def refresh(members: DataFrame, labels: DataFrame, fetched: DataFrame, params: Params = Params()) -> DataFrame:
+    """labels after the night's fetches."""
+    return upsert(labels, resolved(members, labels, fetched, params).select(*labels.columns))
 
 
 def coverage(members: DataFrame, labels: DataFrame) -> DataFrame:
