@@ -91,7 +91,7 @@ def test_shared_relations_are_read_once(spark):
     """Composite queries read the order tables through bars that are written once."""
     from tidemark.queries import QUERIES
 
-    for name in ("candidates", "digest", "acceptance", "chart_bundle"):
+    for name in ("candidates", "digest", "acceptance", "chart_bundle", "backfill"):
         plan = QUERIES[name](spark, DATA)._jdf.queryExecution().executedPlan().toString()
         assert "lineitem" not in plan and plan.count("Exchange ") <= 40, name
 

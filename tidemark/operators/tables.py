@@ -21,6 +21,9 @@ from tidemark.sources import files, versions
 from tidemark.sources.shared import stored
 
 
+FEW = 64  #: sessions whose folders are looked up one by one
+
+
 def keep_first(delivered: DataFrame, stored: DataFrame | None = None, order: str = "delivery") -> DataFrame:
     """What an append adds: the first delivery of each bar that isn't stored yet.
 
@@ -137,12 +140,16 @@ def append_counted(spark: SparkSession, base: str, delivered: DataFrame) -> Data
 
 def stage(spark: SparkSession, base: str, table: str, rows: DataFrame, attempt: str) -> None:
     """Writes rows of sessions as part of an attempt: nobody sees them until it is committed."""
-    rows = schemas.reconcile(rows, table).withColumn("attempt", F.lit(attempt))
+    rows = schemas.reconcile(rows, table).withColumn("attempt", F.lit(attempt)).repartition("market", "session")  # a session has a row or a few a symbol
     rows.write.mode("append").partitionBy(*_partitions(table)).parquet(path(base, table))
 
 
 def staged(spark: SparkSession, base: str, table: str, attempt: str, days: list[tuple[str, date]]) -> DataFrame:
-    """What an attempt has staged for these (market, session); only their folders are listed."""
+    """What an attempt has staged for these (market, session); of few, only their folders are listed."""
+    if len(days) > FEW:
+        whole = schemas.schema(table).add("attempt", "string")
+        rows = spark.read.schema(whole).parquet(path(base, table)) if exists(spark, path(base, table)) else spark.createDataFrame([], whole)
+        return rows.filter(F.col("attempt") == attempt).select(*schemas.schema(table).names)
     folders = [f"{path(base, table)}/market={m}/session={d}/attempt={attempt}" for m, d in days]
     folders = [f for f in folders if exists(spark, f)]
     whole = schemas.schema(table).add("attempt", "string")

@@ -398,3 +398,5 @@ SELECT tab AS "table", market, session, symbol, CAST(lookback AS VARCHAR) AS loo
 }
 
 ORACLE_SQL = {name: BASE + text for name, text in _SELECTS.items()}
+
+ORACLE_SQL["ingest_counts"] = BASE + f" SELECT market, symbol, count(*) AS delivered, count(*) FILTER (WHERE {WEEK} % 5 <> 0) AS added FROM bars GROUP BY market, symbol"

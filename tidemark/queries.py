@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from functools import cached_property, reduce
 
@@ -15,7 +16,7 @@ from tidemark.params import DERIVED, LOOKBACKS
 from tidemark.plans import nights
 from tidemark.sources import bars as bar_source
 from tidemark.sources import derived, listings
-from tidemark.sources.shared import stored
+from tidemark.sources.shared import folder, stored
 
 #: An instant inside the last sessions: the US bar of that day isn't final yet, the IDX bar is.
 NOW = "2001-10-22 20:15:00"
@@ -315,6 +316,13 @@ def backfill(t: Tables) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
+def ingest_counts(t: Tables) -> DataFrame:
+    """All bars are delivered to a store that has those of every fifth week."""
+    base = f"{folder(t.spark)}/ingest-{uuid.uuid4().hex}"
+    tables.append_bars(t.spark, base, t.bars.filter(F.expr(derived.WEEK) % 5 == 0))
+    return tables.append_counted(t.spark, base, t.bars)
+
+
 _QUERIES: dict[str, Callable[[Tables], DataFrame]] = {
     "boards": flagship,
     "listing_source": listing_source,
@@ -367,6 +375,7 @@ _QUERIES: dict[str, Callable[[Tables], DataFrame]] = {
     "acceptance": acceptance_figures,
     "spot_check": lambda t: acceptance.spot_check(t.universe, ("S00001", "S00002", "S00003", "S00005", "S00008", "S00013")),
     "backfill": backfill,
+    "ingest_counts": ingest_counts,
 }
 
 
