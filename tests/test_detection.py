@@ -97,3 +97,46 @@ def test_fit_against_brute_force():
 def test_last_slope_is_plain_zero():
     slope = detection.fit_envelope(np.array([10.0, 1.0, 10.0, 10.0, 10.0]), 1.0, 1, 3)[0]
     assert str(slope) in ("0.0",) or slope < 0
+
+
+def brute_run_up(series, i, n):
+    """low, its place, the highest high from there on and its place; the first of each."""
+    span = series[max(0, i - n + 1) : i + 1]
+    start = i - len(span) + 1
+    at = min(range(len(span)), key=lambda j: (span[j][1], j))
+    peak = min(range(at, len(span)), key=lambda j: (-span[j][0], j))
+    top = min(range(len(span)), key=lambda j: (-span[j][0], j))
+    return span[at][1], start + at, span[peak][0], start + peak, start + top
+
+
+def test_run_ups_against_brute_force(spark):
+    rng = np.random.default_rng(5)
+    groups = {}
+    for name, n, top in (("TIES", 300, 4), ("WIDE", 260, 400), ("FEW", 7, 9), ("ONE", 1, 9), ("FLAT", 150, 1)):
+        low = rng.integers(1, top + 1, n)
+        groups[name] = [(float(x + rng.integers(0, top)), float(x), float(x)) for x in low]
+    sizes = {"a": 1, "b": 2, "c": 22, "d": 45, "e": 64, "f": 127}
+    df = detection.ind.numbered(bars(spark, *[rows(s, x, START) for s, x in groups.items()]))
+    got = detection.run_ups(df, sizes).collect()
+    assert len(got) == sum(map(len, groups.values()))
+    for r in got:
+        for name, n in sizes.items():
+            x = r[name]
+            assert (x["low"], x["at"], x["peak"]["high"], -x["peak"]["back"], -x["top"]["back"]) == brute_run_up(groups[r["symbol"]], r["idx"], n), (r["symbol"], r["idx"], n)
+
+
+def test_bars_of_bases_are_bounded(spark):
+    p = Params()
+    reach = p.base_max + p.dryup_bars
+    series = [float(i + 1) for i in range(4 * reach)]
+    df = detection.ind.numbered(bars(spark, rows("A", series, START), rows("B", series[:3], START)))
+    wanted = df.filter(df["idx"].isin(0, 2, reach - 1, reach, 2 * reach + 7)).selectExpr("market", "symbol", "session", "idx", "greatest(idx - 2, 0) AS base_start")
+    got = {(r["symbol"], r["idx"]): ([x["idx"] for x in r["win"]], [x["idx"] for x in r["base"]]) for r in detection.with_bars(wanted, df, p).collect()}
+    ends = [("A", i) for i in (0, 2, reach - 1, reach, 2 * reach + 7)] + [("B", 0), ("B", 2)]
+    assert got == {(s, i): (list(range(max(0, i - reach + 1), i + 1)), list(range(max(0, i - 2), i + 1))) for s, i in ends}
+
+
+def test_one_sort_for_gates_and_run_ups(spark):
+    """Bars are exchanged by symbol once, and sorted once, for all of the window columns."""
+    plan = detection.bar_gates(bars(spark, rows("A", textbook(), START)))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and plan.count("Sort [") == 1

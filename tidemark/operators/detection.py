@@ -1,8 +1,8 @@
 """Consolidation bases: prior move, base, catch-up, cluster, envelope and the signals read from them.
 
-The gates on a name are independent, so the cheap ones, columns of one window pass, come first; the bars of
-what survives are attached as an array, and the geometry is array expressions over it. Only the envelope's
-grid search runs in pandas, on the survivors' arrays.
+The gates on a name are independent, so the cheap ones, columns of one window pass, come first; the run-up and
+the base's span are columns of the same sort. Only the bars of bases that are left are attached as an array,
+for medians and the envelope's grid search; that search alone runs in pandas.
 """
 
 from __future__ import annotations
@@ -38,32 +38,74 @@ def catch_up(bars: DataFrame, params: Params = Params()) -> DataFrame:
     return bars.withColumn("caught_up", F.coalesce(near, F.lit(False)))
 
 
-def with_bars(rows: DataFrame, bars: DataFrame, params: Params = Params()) -> DataFrame:
-    """rows (with idx) with win: the bars (idx, high, low, volume, session) that a detection at idx looks at, in order."""
-    reach = max(params.move_windows) + 1
-    history = bars.groupBy("market", "symbol").agg(F.array_sort(F.collect_list(F.struct("idx", "high", "low", "volume", "session"))).alias("_all"))
-    first = F.greatest(F.col("idx") - (reach - 1), F.lit(0))
-    win = F.slice("_all", first + 1, F.col("idx") - first + 1)
-    return rows.join(history, ["market", "symbol"]).withColumn("win", win).drop("_all")
+def _both(earlier: Column, later: Column) -> Column:
+    """The run-up over two spans that follow each other or overlap: later ends last.
+
+    A low that lies in later is later's own first lowest, and later's peak is the whole one; another lies before
+    later, so that every bar of later comes after it. Hence an overlap does no harm.
+    """
+    top = F.greatest(earlier["top"], later["top"])
+    mine = F.struct(later["low"], later["at"]) <= F.struct(earlier["low"], earlier["at"])
+    kept = F.struct(earlier["low"].alias("low"), earlier["at"].alias("at"), F.greatest(earlier["peak"], later["top"]).alias("peak"), top.alias("top"))
+    return F.when(earlier.isNull(), later).when(mine, F.struct(later["low"].alias("low"), later["at"].alias("at"), later["peak"].alias("peak"), top.alias("top"))).otherwise(kept)
 
 
-def prior_move(rows: DataFrame, params: Params = Params()) -> DataFrame:
-    """rows (with win) with move: (gain, peak idx) of the best run-up from a window's first lowest low to its first highest high after it, or null."""
+def run_ups(bars: DataFrame, sizes: dict[str, int]) -> DataFrame:
+    """bars (with idx) with a column for each size: the run-up of the last so many bars, (low, at, peak, top).
+
+    low and at are the first lowest low and its idx, peak the first highest high from there on, top that of the
+    whole span; both highs as (high, back), where back is the negative idx. Spans of 1, 2, 4, ... bars are built
+    by doubling, and two of them that overlap make any other, so a bar costs a row of each power of two and all
+    sizes share one sort. Where a symbol has fewer bars, a span begins with the first.
+    """
+    w = ind.by_symbol()
+    high = F.struct(F.col("high"), (-F.col("idx")).alias("back"))
+    out = bars.withColumn("_up0", F.struct(F.col("low"), F.col("idx").alias("at"), high.alias("peak"), high.alias("top")))
+    level = {name: n.bit_length() - 1 for name, n in sizes.items()}
+    for k in range(max(level.values())):
+        before = F.lag(f"_up{k}", 1 << k).over(w)
+        out = out.withColumn("_before", before).withColumn(f"_up{k + 1}", _both(F.col("_before"), F.col(f"_up{k}")))
+    lags = {f"_{name}": F.lag(f"_up{level[name]}", n - (1 << level[name])).over(w) for name, n in sizes.items()}
+    out = out.withColumns(lags).withColumns({name: _both(F.col(f"_{name}"), F.col(f"_up{level[name]}")) for name in sizes})
+    return out.select(*bars.columns, *sizes)
+
+
+def prior_move(bars: DataFrame, params: Params = Params()) -> DataFrame:
+    """bars (with idx) with move: (gain, peak idx) of the best run-up from a window's first lowest low to its first highest high after it, or null.
+
+    Also with recent: the idx of the first highest high of the last base_max bars.
+    """
+    out = run_ups(bars, {f"_move{n}": n + 1 for n in params.move_windows} | {"_recent": params.base_max})
     moves = []
-    for place, w in enumerate(params.move_windows):
-        moves.append(f"""
-            element_at(transform(array(filter(win, x -> x.idx >= idx - {w})), s ->
-              element_at(transform(array(array_min(transform(s, x -> struct(x.low AS low, x.idx AS idx)))), o ->
-                element_at(transform(array(array_max(transform(filter(s, x -> x.idx >= o.idx), x -> struct(x.high AS high, -x.idx AS back)))), p ->
-                  CASE WHEN size(s) > 5 AND o.low > 0 THEN struct((p.high / o.low - 1D) * 100D AS gain, {-place} AS place, -p.back AS peak) END), 1)), 1)), 1)""")
-    return rows.withColumn("move", F.expr(f"array_max(array({', '.join(moves)}))"))
+    for place, n in enumerate(params.move_windows):
+        up = F.col(f"_move{n}")
+        gain = (up["peak"]["high"] / up["low"] - 1.0) * 100.0
+        fine = (F.least(F.col("idx"), F.lit(n)) + 1 > 5) & (up["low"] > 0)
+        moves.append(F.when(fine, F.struct(gain.alias("gain"), F.lit(-place).alias("place"), (-up["peak"]["back"]).alias("peak"))))
+    return out.withColumn("move", F.greatest(*moves)).withColumn("recent", -F.col("_recent")["top"]["back"]).select(*bars.columns, "move", "recent")
 
 
 def base_span(rows: DataFrame, params: Params = Params()) -> DataFrame:
-    """rows (with win, move) with base_start (idx): the peak, or the first highest high of the last base_max bars if that is too long ago."""
-    recent = f"-array_max(transform(filter(win, x -> x.idx > idx - {params.base_max}), x -> struct(x.high AS high, -x.idx AS back))).back"
-    out = rows.withColumn("base_start", F.expr(f"CASE WHEN idx - move.peak + 1 > {params.base_max} THEN {recent} ELSE move.peak END"))
-    return out.withColumn("base_len", (F.col("idx") - F.col("base_start") + 1).cast("int")).withColumn("base", F.expr("filter(win, x -> x.idx >= base_start)"))
+    """rows (with move, recent) with base_start (idx) and base_len: the base begins at the peak, or at recent if that is over base_max bars ago."""
+    out = rows.withColumn("base_start", F.when(F.col("idx") - F.col("move.peak") + 1 > params.base_max, F.col("recent")).otherwise(F.col("move.peak")))
+    return out.withColumn("base_len", (F.col("idx") - F.col("base_start") + 1).cast("int"))
+
+
+def with_bars(rows: DataFrame, bars: DataFrame, params: Params = Params()) -> DataFrame:
+    """rows (with idx, base_start) with win, the bars (idx, high, low, volume, session) of a base at most and of the quiet before it, in order; and base, those of the base.
+
+    Bars go by blocks of a symbol's history, those of a block and the one before it as one array: of bounded
+    size however long the history is, and only of blocks that some row ends in.
+    """
+    reach = params.base_max + params.dryup_bars
+    block = lambda idx: F.floor(idx / reach).cast("int")
+    key = ["market", "symbol", "_block"]
+    rows = rows.withColumn("_block", block(F.col("idx")))
+    at = block(F.col("idx"))
+    held = bars.withColumn("_block", F.explode(F.array(at, at + 1))).join(rows.select(*key).distinct(), key, "left_semi")
+    arrays = held.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("idx", "high", "low", "volume", "session"))).alias("_all"))
+    out = rows.join(arrays, key).withColumn("win", F.expr(f"filter(_all, x -> x.idx > idx - {reach} AND x.idx <= idx)"))
+    return out.withColumn("base", F.expr("filter(win, x -> x.idx >= base_start)")).drop("_all", "_block")
 
 
 def _median(values: str) -> str:
@@ -120,16 +162,17 @@ def envelope(rows: DataFrame, params: Params = Params()) -> DataFrame:
 
 
 def bar_gates(bars: DataFrame, params: Params = Params()) -> DataFrame:
-    """All bars with the window columns, whether they pass the cheap gates, and idx."""
-    out = catch_up(clusters(ind.rolling(bars, params), params), params)
+    """All bars with the window columns, whether they pass the cheap gates, idx, move and recent."""
+    ups = prior_move(ind.numbered(bars), params)  # below the other windows, so that no filter is pushed into its expressions
+    out = catch_up(clusters(ind.rolling(ups, params), params), params)
     fine = (F.col("idx") >= params.history) & (F.col("adr") > 0) & F.col("caught_up") & F.col("cluster").isNotNull()
     return out.withColumn("passes", F.coalesce(fine, F.lit(False)))
 
 
 def geometry(rows: DataFrame, bars: DataFrame, params: Params = Params()) -> DataFrame:
-    """rows that passed the cheap gates, with the base and everything that is read from it."""
-    out = base_span(prior_move(with_bars(rows, bars, params), params).filter("move IS NOT NULL"), params).filter(F.col("base_len") >= params.base_min)
-    return envelope(churn_dryup(out, params), params)
+    """rows (of bar_gates) that passed the cheap gates, with the base and everything that is read from it."""
+    out = base_span(rows.filter("move IS NOT NULL"), params).filter(F.col("base_len") >= params.base_min)
+    return envelope(churn_dryup(with_bars(out, bars, params), params), params)
 
 
 def stop_width(stop: Column, trigger: Column, adr: Column) -> Column:
@@ -140,9 +183,9 @@ def detections(universe: DataFrame, ranks: DataFrame, bars: DataFrame, params: P
     """The detection of every gated member on every session of universe, as of its last bar on or before it."""
     gated = universe.join(detection_gate(ranks, params), ["market", "session", "symbol"], "left_semi")
     gates = bar_gates(bars, params)
-    keep = ["idx", "adr", "adr_abs", "close", "cluster", "sma20_rising", "passes"]
+    keep = ["idx", "adr", "adr_abs", "close", "cluster", "sma20_rising", "passes", "move", "recent"]
     at = ind.as_of(gates, gated.select("market", "symbol", F.col("session").alias("day")), keep).filter("passes").withColumnRenamed("day", "session")
-    rows = geometry(at, gates.select("market", "symbol", "idx", "high", "low", "volume", "session"), params)
+    rows = geometry(at, ind.numbered(bars).select("market", "symbol", "idx", "high", "low", "volume", "session"), params)
     c, f = F.col("cluster"), F.col("fit")
     stop = c["high"] - c["low"]
     out = rows.select(

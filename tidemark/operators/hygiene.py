@@ -24,6 +24,11 @@ def keep_final(bars: DataFrame, now: Column, params: Params = Params()) -> DataF
     return bars.filter(is_final(F.col("session"), F.col("market"), now, params))
 
 
+def is_usable(now: Column, params: Params = Params()) -> Column:
+    """The test that clean goes by."""
+    return (F.col("volume") > 0) & is_final(F.col("session"), F.col("market"), now, params)
+
+
 def clean(bars: DataFrame, now: Column, params: Params = Params()) -> DataFrame:
     """Traded and final bars."""
     return keep_final(drop_phantoms(bars), now, params)

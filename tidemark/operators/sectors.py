@@ -45,7 +45,11 @@ def leave_one_out(ranks: DataFrame, labels: DataFrame, params: Params = Params()
 
 
 def sector_board(ranks: DataFrame, labels: DataFrame, params: Params = Params()) -> DataFrame:
-    """Every sector of the axis on every session of ranks, dead ones at 0, in board order (position from 1)."""
+    """Every sector of the axis on every session of ranks, dead ones at 0, in board order (position from 1).
+
+    first_ineligible is the place (from 0) of the first sector that can't rotate, -1 if all can; it is the same
+    in both orders.
+    """
     axis = F.posexplode(F.array(*[F.lit(x) for x in params.sectors])).alias("axis", "label")
     grid = session_before(ranks, params.delta_sessions).select("market", "session", "before", axis)
     counts = fold(ranks, labels, "sector", params)
@@ -60,7 +64,9 @@ def sector_board(ranks: DataFrame, labels: DataFrame, params: Params = Params())
     )
     order = Window.partitionBy("market", "session").orderBy(F.desc("rotation_eligible"), F.desc("shape_differential"), "axis")
     by_delta = Window.partitionBy("market", "session").orderBy(F.desc("rotation_eligible"), F.desc_nulls_last("temporal_delta"), "axis")
-    return out.withColumn("position", F.row_number().over(order)).withColumn("delta_position", F.row_number().over(by_delta)).drop("axis")
+    out = out.withColumn("position", F.row_number().over(order)).withColumn("delta_position", F.row_number().over(by_delta)).drop("axis")
+    first = F.min(F.when(~F.col("rotation_eligible"), F.col("position") - 1)).over(Window.partitionBy("market", "session"))
+    return out.withColumn("first_ineligible", F.coalesce(first, F.lit(-1)))
 
 
 def industry_board(ranks: DataFrame, labels: DataFrame, params: Params = Params()) -> DataFrame:

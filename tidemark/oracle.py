@@ -250,7 +250,8 @@ AXIS = "(VALUES " + ", ".join(f"({i}, '{x}')" for i, x in enumerate(P.sectors))
 SECTOR = f"""
 SELECT market, session, label AS sector, CAST(members AS BIGINT) AS members, {SHARES}, round(shape, 8) AS shape_differential, round(delta, 8) AS temporal_delta, coalesce(eligible, false) AS rotation_eligible,
        coalesce(k_{P.delta_lookback}, 0) < {P.rotation_min} AS delta_low_confidence, CAST(row_number() OVER (PARTITION BY market, session ORDER BY eligible DESC, shape DESC, axis) AS INT) AS position,
-       CAST(row_number() OVER (PARTITION BY market, session ORDER BY eligible DESC, delta DESC NULLS LAST, axis) AS INT) AS delta_position
+       CAST(row_number() OVER (PARTITION BY market, session ORDER BY eligible DESC, delta DESC NULLS LAST, axis) AS INT) AS delta_position,
+       CAST(CASE WHEN bool_and(eligible) OVER (PARTITION BY market, session) THEN -1 ELSE count(*) FILTER (WHERE eligible) OVER (PARTITION BY market, session) END AS INT) AS first_ineligible
 FROM (SELECT d.market, d.session, axis, label, coalesce(s.members, 0) AS members, {", ".join(f"coalesce(s.k_{x}, 0) AS k_{x}" for x in LOOKBACKS)}, coalesce(s.k_{P.short_lookback}, 0) >= {P.rotation_min} AS eligible,
              {SHAPE.replace("k_", "s.k_").replace("members", "s.members")} AS shape,
              CASE WHEN before20 IS NOT NULL THEN coalesce(s.k_{P.delta_lookback} / nullif(s.members, 0), 0.0) - coalesce(o.k_{P.delta_lookback} / nullif(o.members, 0), 0.0) END AS delta
@@ -400,3 +401,6 @@ SELECT tab AS "table", market, session, symbol, CAST(lookback AS VARCHAR) AS loo
 ORACLE_SQL = {name: BASE + text for name, text in _SELECTS.items()}
 
 ORACLE_SQL["ingest_counts"] = BASE + f" SELECT market, symbol, count(*) AS delivered, count(*) FILTER (WHERE {WEEK} % 5 <> 0) AS added FROM bars GROUP BY market, symbol"
+ORACLE_SQL["stream_bars"] = BASE + f""", clean AS (SELECT * FROM raw WHERE volume > 0 AND (session < DATE '2001-10-22' OR (session = DATE '2001-10-22' AND market = 'IDX')))
+SELECT market, symbol, session, CASE WHEN {WEEK} % 2 = 0 THEN close ELSE close + 1 END AS close, volume, delivered, added, total, last_session
+FROM clean JOIN (SELECT market, symbol, CAST(sum(CASE WHEN {WEEK} % 2 = 0 THEN 3 ELSE 2 END) AS BIGINT) AS delivered, count(*) AS added, count(*) AS total, max(session) AS last_session FROM clean GROUP BY market, symbol) USING (market, symbol)"""

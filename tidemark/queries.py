@@ -17,6 +17,7 @@ from tidemark.plans import nights
 from tidemark.sources import bars as bar_source
 from tidemark.sources import derived, listings
 from tidemark.sources.shared import folder, stored
+from tidemark.streaming import ingest
 
 #: An instant inside the last sessions: the US bar of that day isn't final yet, the IDX bar is.
 NOW = "2001-10-22 20:15:00"
@@ -177,17 +178,20 @@ def catch_up(t: Tables) -> DataFrame:
 
 
 def _passing(t: Tables) -> DataFrame:
-    return t.gates.filter("passes").select("market", "symbol", "session", "idx", "adr", "adr_abs", "close", "cluster", "sma20_rising")
+    return t.gates.filter("passes").select("market", "symbol", "session", "idx", "adr", "adr_abs", "close", "cluster", "sma20_rising", "move", "recent")
 
 
 def _bases(t: Tables) -> DataFrame:
-    rows = detection.prior_move(detection.with_bars(_passing(t), t.gates, t.params), t.params).filter("move IS NOT NULL")
-    return detection.base_span(rows, t.params).filter(F.col("base_len") >= t.params.base_min)
+    rows = detection.base_span(_passing(t).filter("move IS NOT NULL"), t.params)
+    return rows.filter(F.col("base_len") >= t.params.base_min)
+
+
+def _shapes(t: Tables) -> DataFrame:
+    return detection.with_bars(_bases(t), ind.numbered(t.bars), t.params)
 
 
 def prior_move(t: Tables) -> DataFrame:
-    rows = detection.prior_move(detection.with_bars(_passing(t), t.gates, t.params), t.params)
-    return rows.select("market", "symbol", "session", r("gain", F.col("move.gain")), F.col("move.peak").alias("peak"))
+    return _passing(t).select("market", "symbol", "session", r("gain", F.col("move.gain")), F.col("move.peak").alias("peak"))
 
 
 def base_span(t: Tables) -> DataFrame:
@@ -195,12 +199,12 @@ def base_span(t: Tables) -> DataFrame:
 
 
 def churn_dryup(t: Tables) -> DataFrame:
-    return detection.churn_dryup(_bases(t), t.params).select("market", "symbol", "session", "base_low", r("churn_l"), r("dryup"))
+    return detection.churn_dryup(_shapes(t), t.params).select("market", "symbol", "session", "base_low", r("churn_l"), r("dryup"))
 
 
 def envelope(t: Tables) -> DataFrame:
     f = F.col("fit")
-    rows = detection.envelope(_bases(t), t.params)
+    rows = detection.envelope(_shapes(t), t.params)
     return rows.select("market", "symbol", "session", *[r(c, f[c]) for c in ("slope", "overshoot_adr", "line_end")], f["line_ok"].alias("line_ok"), f["touch_zones"].alias("touch_zones"))
 
 
@@ -323,6 +327,23 @@ def ingest_counts(t: Tables) -> DataFrame:
     return tables.append_counted(t.spark, base, t.bars)
 
 
+def stream_bars(t: Tables) -> DataFrame:
+    """Even weeks are delivered, then all with other closes, in one batch; after a restart all once more. The stored bars, with their symbol's counts."""
+    base = f"{folder(t.spark)}/stream-{uuid.uuid4().hex}"
+    names = {v: k for k, v in bar_source.RAW.items()}
+    own = t.raw.select("market", "symbol", F.col("session").cast("string").alias("Date"), *[F.col(c).alias(names[c]) for c in names], F.col("volume").alias("Volume"))
+    own = stored(own, "raw")
+    put = lambda rows, more: rows.withColumn("Close", F.col("Close") + more).write.mode("append").parquet(f"{base}/raw")
+    go = lambda: ingest.start(t.spark, f"{base}/raw", f"{base}/bars", f"{base}/check", F.lit(NOW).cast("timestamp"), t.params).awaitTermination()
+    put(own.filter(F.expr(derived.WEEK.replace("session", "CAST(Date AS DATE)")) % 2 == 0), 0)
+    put(own, 1)
+    go()
+    put(own, 2)
+    go()
+    counts = ingest.feed(t.spark, f"{base}/bars").groupBy("market", "symbol").agg(*[F.sum(c).alias(c) for c in ("delivered", "added")], *[F.max(c).alias(c) for c in ("total", "last_session")])
+    return tables.read(t.spark, f"{base}/bars", "bars").select("market", "symbol", "session", "close", "volume").join(counts, ["market", "symbol"])
+
+
 _QUERIES: dict[str, Callable[[Tables], DataFrame]] = {
     "boards": flagship,
     "listing_source": listing_source,
@@ -376,6 +397,7 @@ _QUERIES: dict[str, Callable[[Tables], DataFrame]] = {
     "spot_check": lambda t: acceptance.spot_check(t.universe, ("S00001", "S00002", "S00003", "S00005", "S00008", "S00013")),
     "backfill": backfill,
     "ingest_counts": ingest_counts,
+    "stream_bars": stream_bars,
 }
 
 

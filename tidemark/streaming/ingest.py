@@ -1,28 +1,137 @@
-"""Bars as a stream: raw files arrive, clean bars are appended, and what came before stays as it was."""
+"""Bars as a stream: raw files arrive, and of every bar the first delivery that counts is stored and stays.
+
+What has been delivered is kept as keyed state, one whole number a symbol and month whose bits are days, so a
+batch costs what it brings and not what is stored. Deliveries are in the order of their files' times, names
+and rows.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
+from tidemark import schemas
 from tidemark.operators import hygiene, tables
 from tidemark.params import Params
 from tidemark.sources.bars import parse_bars
 
 RAW = "market string, symbol string, Date string, Open double, High double, Low double, Close double, `Adj Close` double, Volume bigint"
+ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+KEY = ["market", "symbol"]
+FEED = "market string, symbol string, delivered bigint, added bigint, total bigint, last_session date"
+#: A bar that is new, or (without session) the symbol's counts in this batch and since the beginning.
+OUT = f"{schemas.TABLES['bars']}, delivered bigint, added bigint, total bigint, last_session date"
+BAR = [x.split()[0] for x in schemas.TABLES["bars"].split(", ")]
+ORDER = ["_time", "_file", "_row"]
+
+
+def _months(sessions: pd.Series) -> pd.Series:
+    return sessions.dt.year * 12 + sessions.dt.month - 1
+
+
+class FirstDelivered(StatefulProcessor):
+    """Of one symbol: the days of each month that have a bar already, and how many bars there are and up to when."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.days = handle.getMapState("days", "month int", "days bigint")
+        self.sums = handle.getValueState("sums", "total bigint, last_session date")
+
+    def _add(self, sessions: pd.Series) -> pd.Series:
+        """Notes sessions (no repeats) and tells which of them are new."""
+        month, bit = _months(sessions), sessions.dt.day.rsub(0).mul(-1)
+        new = pd.Series(False, index=sessions.index)
+        for m, bits in bit.groupby(month):
+            had = self.days.getValue((int(m),))
+            known = had[0] if had else 0
+            fresh = bits.map(lambda b, known=known: not known >> int(b) & 1)
+            new[bits.index] = fresh
+            if fresh.any():
+                self.days.updateValue((int(m),), (known | sum(1 << int(b) for b in bits[fresh]),))
+        if new.any():
+            total, last = self.sums.get() if self.sums.exists() else (0, None)
+            latest = sessions[new].max().date()
+            self.sums.update((int(total) + int(new.sum()), latest if last is None else max(last, latest)))
+        return new
 
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        first, delivered = None, 0
+        for part in rows:  # holds the symbol's distinct bars of this batch
+            if not len(part):
+                continue  # a symbol of the initial state alone
+            part.columns = [*BAR, *ORDER, "usable"]  # by place: Spark renames columns made of file metadata from the second batch on
+            part["session"] = pd.to_datetime(part["session"])
+            usable = part[part["usable"].astype(bool)]
+            delivered += len(usable)
+            both = usable if first is None else pd.concat([first, usable])
+            first = both.sort_values(ORDER).drop_duplicates("session")
+        if first is None:
+            return
+        new = first[self._add(first["session"])] if len(first) else first
+        if len(new):
+            out = new[BAR].assign(delivered=None, added=None, total=None, last_session=None)
+            yield out.assign(session=out["session"].dt.date)
+        total, last = self.sums.get() if self.sums.exists() else (0, None)
+        counts = dict.fromkeys(BAR) | {"market": key[0], "symbol": key[1], "delivered": delivered, "added": len(new), "total": total, "last_session": last}
+        yield pd.DataFrame([counts])
 
-def start(spark: SparkSession, source: str, base: str, checkpoint: str, now: Column | None = None, params: Params = Params()) -> StreamingQuery:
+    def handleInitialState(self, key, initialState: pd.DataFrame, timerValues) -> None:
+        self._add(pd.to_datetime(initialState["session"]).reset_index(drop=True))
+
+
+def first_delivered(rows: DataFrame, stored: DataFrame | None = None) -> DataFrame:
+    """OUT of a stream of bars with usable and ORDER; stored: the bars (market, symbol, session) that the state begins with."""
+    begun = None if stored is None else stored.select(*KEY, "session").distinct().groupBy(*KEY)
+    return rows.groupBy(*KEY).transformWithStateInPandas(FirstDelivered(), OUT, "Append", "None", initialState=begun)
+
+
+def start(spark: SparkSession, source: str, base: str, checkpoint: str, now: Column | None = None, params: Params = Params(), files_per_batch: int = 1000) -> StreamingQuery:
     """Appends all that is available under source (Parquet files of raw rows) and stops.
 
-    Each batch is cleaned and appended keep-first, so that a bar that is delivered again, or a batch that is
-    repeated after a failure, changes nothing. Bars that aren't final are left out, and come with a later delivery.
+    Of a bar that is delivered again, in the same batch, a later one or after a restart, the first delivery
+    stays. Bars that aren't final or weren't traded are no deliveries, and may come later. The bars that are
+    stored when the stream begins are part of its state. A batch that is repeated after a failure changes
+    nothing: it is appended keep-first, and its counts (:func:`feed`) take the place of its earlier ones.
+    One stream fills a base. What others store in the meantime stays too, but its bars count as the stream's if they come again.
     """
+    now = F.current_timestamp() if now is None else now
+
+    def append(batch: DataFrame, n: int) -> None:
+        batch = batch.persist()
+        session = batch.sparkSession
+        tables.append_bars(session, base, batch.filter("session IS NOT NULL").select(*BAR))
+        counts = batch.filter("session IS NULL").select("market", "symbol", "delivered", "added", "total", "last_session")
+        counts.write.mode("overwrite").parquet(f"{tables.path(base, 'feed')}/batch={n}")
+        batch.unpersist()
+
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)  # keyed state by month needs a store that isn't a whole map in memory
+    m = F.col("_metadata")
+    raw = spark.readStream.schema(RAW).option("maxFilesPerTrigger", files_per_batch).parquet(source)
+    raw = raw.select("*", m["file_modification_time"].alias("_time"), m["file_path"].alias("_file"), m["row_index"].alias("_row"))
+    usable = F.coalesce(hygiene.is_usable(now, params), F.lit(False))
+    rows = parse_bars(raw, *ORDER).withColumn("usable", usable).select(*BAR, *ORDER, "usable")
+    begun = f"{checkpoint.rstrip('/')}-begun"  # written once, so that a first batch that is repeated begins with the same state
+    if not tables.exists(spark, f"{begun}/_SUCCESS"):
+        tables.read(spark, base, "bars").select(*KEY, "session").write.mode("overwrite").parquet(begun)
+    known = spark.read.schema("market string, symbol string, session date").parquet(begun)
+    return first_delivered(rows, known).writeStream.foreachBatch(append).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def feed(spark: SparkSession, base: str) -> DataFrame:
+    """batch, market, symbol, delivered, added, total, last_session: what each batch had of each symbol, and all so far."""
+    where = tables.path(base, "feed")
+    kind = f"{FEED}, batch bigint"
+    rows = spark.read.schema(kind).parquet(where) if tables.exists(spark, where) else spark.createDataFrame([], kind)
+    return rows.select("batch", *[x.split()[0] for x in FEED.split(", ")])
 
-    def append(batch: DataFrame, _: int) -> None:
-        clean = hygiene.clean(parse_bars(batch), F.current_timestamp() if now is None else now, params)
-        tables.append_bars(batch.sparkSession, base, clean)
 
-    rows = spark.readStream.schema(RAW).parquet(source)
-    return rows.writeStream.foreachBatch(append).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def quiet(spark: SparkSession, base: str, sessions: int = 1) -> DataFrame:
+    """market, symbol, last_session, market_session of symbols whose last bar lies so many sessions of their market or more behind its last one."""
+    last = feed(spark, base).groupBy("market", "symbol").agg(F.max("last_session").alias("last_session"))
+    days = last.groupBy("market").agg(F.sort_array(F.collect_set("last_session"), asc=False).alias("_days"))  # at most the market's sessions
+    out = last.join(F.broadcast(days), "market")
+    behind = F.when(F.col("last_session").isNull(), F.size("_days")).otherwise(F.array_position("_days", F.col("last_session")) - 1)
+    return out.filter(behind >= sessions).select("market", "symbol", "last_session", F.col("_days")[0].alias("market_session"))
