@@ -1,8 +1,10 @@
+import random
 from datetime import date, timedelta
 
 import pytest
 from helpers import bars, rows
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from tidemark.operators import acceptance, candidates, digest, ranks, regime, sectors
 from tidemark.params import DIMENSIONS, Params
@@ -76,6 +78,39 @@ def test_leave_one_out(spark):
     assert got == {"A": 0.5, "B": 0.5, "C": 1.0, "D": 0.0}
 
 
+def shares_of(df):
+    return sorted((r["g"], str(r["v"]), r["n"], r["percentile"]) for r in df.collect())
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_shares_by_ranges_equal_those_of_a_window(spark, seed):
+    rng = random.Random(seed)
+    odd = [0.0, -0.0, float("inf"), float("-inf"), float("nan"), 1e300, -1e300, 5e-324, 0.1, 0.1 + 2**-40]
+    data = [("big", rng.choice(odd) if rng.random() < 0.2 else rng.gauss(0, 0.3) if rng.random() < 0.5 else 0.5 + rng.random() * 2**-21, i) for i in range(3000)]
+    data += [("ties", 0.25, i) for i in range(500)] + [("one", -3.0, 0)]
+    df = spark.createDataFrame(data, "g string, v double, n int").repartition(4)
+    want = df.withColumn("percentile", F.cume_dist().over(Window.partitionBy("g").orderBy("v")))
+    assert shares_of(ranks.spread_cume_dist(df, ["g"], "v")) == shares_of(want)
+    assert ranks.spread_cume_dist(df.limit(0), ["g"], "v").count() == 0
+
+
+def test_large_sessions_are_ranked_alike(spark):
+    series = bars(spark, *[rows(f"S{i:03}", [100.0] * 10 + [100.0 + i % 40] * 10) for i in range(120)])
+    members = series.select("market", "session", "symbol")
+    a, b = (ranks.ranks(members, series, Params(sorted_rows=n)) for n in (10**6, 100))
+    assert "cume_dist" in plan_of(a) and "cume_dist" not in plan_of(b)
+    assert a.count() and a.exceptAll(b).isEmpty() and b.exceptAll(a).isEmpty()
+
+
+def test_tasks_send_the_best_of_their_rows_only(spark):
+    df = spark.createDataFrame([("US", DAY, "A", "1w", 1.0, 0.1)], RANKS)
+    assert "Partial" in plan_of(ranks.board_rows(df)) and "WindowGroupLimit" in plan_of(ranks.board_rows(df))
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
 def stars(spark, change, prior=True, share=0.10):
     score, rows_ = candidates.star_score(F.lit(prior), F.lit(share))
     r = detections(spark, change).select(score.alias("s"), rows_.alias("b")).first()

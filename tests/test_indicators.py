@@ -1,3 +1,4 @@
+import random
 from datetime import date, timedelta
 
 import pytest
@@ -35,6 +36,30 @@ def test_ema_is_seeded_with_the_mean(spark):
     assert [r["ema"] for r in short] == [None, None]
 
 
+@pytest.mark.parametrize("n", [1, 3, 65, 400])
+def test_ema_against_the_recursion(spark, n):
+    rng = random.Random(n)
+    closes = {s: [rng.uniform(1, 1e6) if rng.random() < 0.1 else rng.uniform(1, 50) for _ in range(size)] for s, size in {"A": 3000, "B": 700, "C": n, "D": max(1, n - 1)}.items()}
+    got = {}
+    for r in ind.ema(bars(spark, *[rows(s, x) for s, x in closes.items()]), n).orderBy("symbol", "session").collect():
+        got.setdefault(r["symbol"], []).append(r["ema"])
+    for s, x in closes.items():
+        want = [None] * min(n - 1, len(x))
+        for i in range(n - 1, len(x)):
+            want.append(sum(x[:n]) / n if i == n - 1 else 2 / (n + 1) * x[i] + (n - 1) / (n + 1) * want[-1])
+        assert got[s] == [None if y is None else pytest.approx(y, rel=1e-12) for y in want]
+
+
+def test_ema_leaves_out_null_closes(spark):
+    df = bars(spark, rows("A", [1, 2, 3, 4, 5])).withColumn("close", F.expr("CASE WHEN close <> 2 THEN close END"))
+    assert [r["ema"] for r in ind.ema(df, 2).orderBy("session").collect()] == [None, 2.0, pytest.approx(10 / 3), pytest.approx(40 / 9)]
+
+
+def test_ema_is_one_sort_without_python(spark):
+    plan = ind.ema(bars(spark, rows("A", [1.0] * 5)), 65)._jdf.queryExecution().executedPlan().toString()
+    assert "Pandas" not in plan and plan.count("Exchange") == 1 and plan.count("Sort [") == 1
+
+
 def test_median_dollar_volume(spark):
     df = bars(spark, rows("A", list(range(1, 26)), volumes=[1] * 25))
     assert last(df.select("session", ind.median_dollar_volume().alias("x")), "x") == 15.5

@@ -6,7 +6,9 @@ Each function takes bars (market, symbol, session, prices, volume) and adds colu
 
 from __future__ import annotations
 
-import pandas as pd
+from functools import reduce
+from operator import add
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window, WindowSpec
@@ -15,6 +17,10 @@ from tidemark.functions.dates import anchors
 from tidemark.operators.hygiene import dollar_volume
 from tidemark.params import Params
 
+EMA_RADIX = 8
+EMA_NOTHING = 1e-24  #: the weight of what is left out, far below a double's last place
+
+
 def by_symbol() -> WindowSpec:
     return Window.partitionBy("market", "symbol").orderBy("session")
 
@@ -74,18 +80,20 @@ def rolling(bars: DataFrame, params: Params = Params()) -> DataFrame:
 def ema(bars: DataFrame, n: int = Params().ema) -> DataFrame:
     """market, symbol, session, ema of close: seeded with the first full mean, then alpha = 2 / (n + 1).
 
-    The recursion is sequential in a symbol's history, so it runs in pandas, one symbol at a time.
+    A scan of the affine maps e -> keep * e + alpha * close: each pass joins EMA_RADIX spans of equal length into
+    one, all passes share one sort, and they end when what lies before the spans weighs nothing. Closes that are
+    null or no bar take no part: a session without one has no ema.
     """
-
-    def run(x: pd.DataFrame) -> pd.DataFrame:
-        x = x.sort_values("session", ignore_index=True)
-        seeded = x["close"].where(x.index >= n - 1)
-        if len(x) >= n:
-            seeded[n - 1] = x["close"][:n].mean()
-        x["ema"] = seeded[n - 1 :].ewm(alpha=2 / (n + 1), adjust=False).mean()
-        return x[["market", "symbol", "session", "ema"]]
-
-    return bars.select("market", "symbol", "session", "close").groupBy("market", "symbol").applyInPandas(run, "market string, symbol string, session date, ema double")
+    w, alpha = by_symbol(), 2 / (n + 1)
+    out = bars.filter("close IS NOT NULL").select("market", "symbol", "session", "close")
+    out = out.withColumn("_no", F.row_number().over(w)).withColumn("_first", F.avg("close").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    out = out.withColumn("ema", F.when(F.col("_no") < n, 0.0).when(F.col("_no") == n, F.col("_first")).otherwise(alpha * F.col("close"))).drop("_first", "close")
+    span = 1
+    while (1 - alpha) ** span > EMA_NOTHING:
+        earlier = [(1 - alpha) ** (i * span) * F.lag("ema", i * span, 0.0).over(w) for i in range(EMA_RADIX - 1, 0, -1)]
+        out = out.withColumn("ema", reduce(add, [*earlier, F.col("ema")]))
+        span *= EMA_RADIX
+    return out.select("market", "symbol", "session", F.when(F.col("_no") >= n, F.col("ema")).alias("ema"))
 
 
 def as_of(bars: DataFrame, probes: DataFrame, columns: list[str]) -> DataFrame:

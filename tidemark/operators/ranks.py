@@ -9,15 +9,50 @@ from pyspark.sql.window import Window
 from tidemark.operators import indicators as ind
 from tidemark.operators.calendar import session_before
 from tidemark.params import LOOKBACKS, Params
+from tidemark.sources.shared import stored
 
 KEY = ["market", "session", "symbol"]
 
 
-def ranks(universe: DataFrame, bars: DataFrame) -> DataFrame:
-    """market, session, symbol, lookback, percentile, raw_return: the share of members with a return that is no greater."""
-    got = ind.calendar_returns(bars, universe)
-    share = F.cume_dist().over(Window.partitionBy("market", "session", "lookback").orderBy("raw_return"))
-    return got.withColumn("percentile", share).select(*KEY, "lookback", "percentile", "raw_return")
+def large(members: DataFrame, rows: int) -> bool:
+    """Whether a session has more members than one task should sort."""
+    return not members.groupBy("market", "session").agg(F.count("*").alias("n")).filter(F.col("n") > rows).isEmpty()
+
+
+def spread_cume_dist(rows: DataFrame, by: list[str], value: str) -> DataFrame:
+    """rows with percentile: the cume_dist of value (a double, no nulls) in its group by by, without sorting a group in one task.
+
+    Equal values are counted once before they are shuffled. The different ones go into ranges of 2^-10, which are
+    split into ranges of 2^-22; counts of ranges are carried from the finer to the coarser and added back, so that
+    what one task sorts are the ranges of a group, the at most 4,096 parts of one, or the values in one part.
+    Infinite values and NaN have ranges of their own, at the ends.
+    """
+    part = lambda scale: F.when(F.isnan(value), F.lit(2**63 - 1)).otherwise(F.floor(F.col(value) * float(scale)))
+    upto = lambda keys, order: F.sum("_n").over(Window.partitionBy(*keys).orderBy(order))
+    keys = [[*by, "_range"], [*by, "_range", "_part"]]
+    rows = stored(rows, "ranked")  # read twice: for the counts, and to be given its shares
+    values = rows.groupBy(*by, value).agg(F.count("*").alias("_n")).withColumn("_range", part(1 << 10)).withColumn("_part", part(1 << 22))
+    values = stored(values, "values")
+    parts = values.groupBy(*keys[1]).agg(F.sum("_n").alias("_n"))
+    ranges = parts.groupBy(*keys[0]).agg(F.sum("_n").alias("_n"))
+    ranges = ranges.select(*keys[0], (upto(by, "_range") - F.col("_n")).alias("_a"), F.sum("_n").over(Window.partitionBy(*by)).alias("_all"))
+    parts = parts.select(*keys[1], (upto(keys[0], "_part") - F.col("_n")).alias("_b")).join(ranges, keys[0])
+    shares = values.select(*keys[1], value, upto(keys[1], value).alias("_c")).join(parts, keys[1])
+    shares = shares.select(*by, value, ((F.col("_a") + F.col("_b") + F.col("_c")) / F.col("_all")).alias("percentile"))
+    return rows.join(shares, [*by, value]).select(*rows.columns, "percentile")
+
+
+def ranks(universe: DataFrame, bars: DataFrame, params: Params = Params()) -> DataFrame:
+    """market, session, symbol, lookback, percentile, raw_return: the share of members with a return that is no greater.
+
+    Sessions of more than sorted_rows members are ranked by ranges, others by a window each; the shares are the same.
+    """
+    got, by = ind.calendar_returns(bars, universe), ["market", "session", "lookback"]
+    if large(universe, params.sorted_rows):
+        got = spread_cume_dist(got, by, "raw_return")
+    else:
+        got = got.withColumn("percentile", F.cume_dist().over(Window.partitionBy(*by).orderBy("raw_return")))
+    return got.select(*KEY, "lookback", "percentile", "raw_return")
 
 
 def breadth_counts(ranks: DataFrame, params: Params = Params()) -> DataFrame:
@@ -35,7 +70,7 @@ def detection_gate(ranks: DataFrame, params: Params = Params()) -> DataFrame:
 
 
 def board_rows(ranks: DataFrame, params: Params = Params()) -> DataFrame:
-    """The best of each lookback by return, with rank from 1."""
+    """The best of each lookback by return, with rank from 1. Tasks send the best of their own rows only, so a large group isn't sorted in one."""
     order = Window.partitionBy("market", "session", "lookback").orderBy(F.desc("raw_return"), "symbol")
     return ranks.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= params.board_size)
 

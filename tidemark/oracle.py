@@ -319,6 +319,7 @@ SELECT a.market, a.symbol, a.session, a.lookback, round(a.end_close / b.adj_clos
     "universe": "SELECT * FROM universe",
     "unresolved": "SELECT market, session, symbol FROM outcomes WHERE status <> 'resolved'",
     "rank_table": f"SELECT {KEY}, lookback, {rd('percentile', 'raw_return')} FROM ranks",
+    "rank_ranges": f"SELECT {KEY}, lookback, {rd('percentile', 'raw_return')} FROM ranks",
     "decile_gate": f"SELECT DISTINCT {KEY} FROM ranks WHERE percentile >= {P.top_decile}",
     "detection_gate": "SELECT * FROM gate",
     "breadth_counts": "SELECT * FROM breadth",

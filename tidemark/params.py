@@ -47,6 +47,7 @@ class Params:
     top_decile: float = 0.90
     gate_lookbacks: tuple = ("1m", "3m", "6m")
     board_size: int = 30
+    sorted_rows: int = 250_000  #: a session with more members is ranked by ranges of returns
     surge: float = 0.30
     low_adr: float = 0.04
     sectors: tuple = SECTORS

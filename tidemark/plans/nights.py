@@ -51,7 +51,7 @@ def compute(instruments: DataFrame, bars: DataFrame, resolutions: DataFrame, lab
         last = own.groupBy("market").agg(F.max("session").alias("_last"))
         wanted = members.join(F.broadcast(last), "market").filter(F.col("session") <= F.col("_last")).drop("_last")
     limit = (lambda x: x) if own is None else (lambda x: x.join(F.broadcast(own), ["market", "session"], "left_semi"))
-    all_ranks = shared.stored(ranks.ranks(wanted, bars), "ranks")
+    all_ranks = shared.stored(ranks.ranks(wanted, bars, params), "ranks")
     found = shared.stored(detection.detections(wanted, all_ranks, bars, params), "detections")
     days = calendar.sessions(bars).select("market", "session") if own is None else own
     return Nights(limit(members), limit(all_ranks), limit(found), limit(regime.follow_through(bars, params)), digest.digest(found, bars, all_ranks, labels, days, reported, params))
@@ -202,7 +202,7 @@ def night(spark, base: str, attempt: str, instruments, asked, labels, nights, da
         members = own("universe").join(F.broadcast(targets), ["market", "session"], "left_semi")
         kept(label_rules.resolved(members, labels, fetched, params).select(*labels.columns))
         labels = tables.read(spark, base, "labels")
-    put("ranks", ranks.ranks(own("universe"), bars))
+    put("ranks", ranks.ranks(own("universe"), bars, params))
     put("detections", detection.detections(own("universe"), own("ranks"), bars, params))
     put("follow_through", regime.follow_through(bars, params).join(F.broadcast(nights), ["market", "session"], "left_semi"))
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
+from dataclasses import replace
 from functools import cached_property, reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -64,7 +65,7 @@ class Tables:
 
     @cached_property
     def ranks(self) -> DataFrame:
-        return stored(ranks.ranks(self.universe, self.bars), "ranks")
+        return stored(ranks.ranks(self.universe, self.bars, self.params), "ranks")
 
     @cached_property
     def detections(self) -> DataFrame:
@@ -134,14 +135,23 @@ def calendar_returns(t: Tables) -> DataFrame:
     return ind.calendar_returns(t.bars, t.bars.select("market", "symbol", "session")).withColumn("raw_return", F.round("raw_return", DIGITS))
 
 
+def _rounded_ranks(rows: DataFrame) -> DataFrame:
+    return rows.withColumn("raw_return", F.round("raw_return", DIGITS)).withColumn("percentile", F.round("percentile", DIGITS))
+
+
 def rank_table(t: Tables) -> DataFrame:
-    return t.ranks.withColumn("raw_return", F.round("raw_return", DIGITS)).withColumn("percentile", F.round("percentile", DIGITS))
+    return _rounded_ranks(t.ranks)
+
+
+def rank_ranges(t: Tables) -> DataFrame:
+    """rank_table, as it is ranked where a session has too many members for one task."""
+    return _rounded_ranks(ranks.ranks(t.universe, t.bars, replace(t.params, sorted_rows=0)))
 
 
 def flagship(t: Tables) -> DataFrame:
     """Boards of the names that traded on a session: bars, calendar returns, ranks, top 30."""
     keys = t.bars.filter("symbol NOT LIKE '^%'").select("market", "session", "symbol")
-    return ranks.board_rows(ranks.ranks(keys, t.bars), t.params).withColumn("raw_return", F.round("raw_return", DIGITS)).withColumn("percentile", F.round("percentile", DIGITS))
+    return ranks.board_rows(ranks.ranks(keys, t.bars, t.params), t.params).withColumn("raw_return", F.round("raw_return", DIGITS)).withColumn("percentile", F.round("percentile", DIGITS))
 
 
 def leaderboards(t: Tables) -> DataFrame:
@@ -359,6 +369,7 @@ _QUERIES: dict[str, Callable[[Tables], DataFrame]] = {
     "universe": lambda t: t.universe,
     "unresolved": lambda t: runs.unresolved(t.instruments, t.resolutions),
     "rank_table": rank_table,
+    "rank_ranges": rank_ranges,
     "decile_gate": lambda t: ranks.decile_gate(t.ranks, t.params),
     "detection_gate": lambda t: ranks.detection_gate(t.ranks, t.params),
     "breadth_counts": lambda t: ranks.breadth_counts(t.ranks, t.params),
