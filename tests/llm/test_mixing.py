@@ -57,6 +57,26 @@ def test_blocks_and_order(spark):
     assert [r["doc_id"] for r in out] == want and out[0].asDict().keys() == set(df.columns)
 
 
+def test_schedules_that_are_too_long_to_send(spark, monkeypatch):
+    df = spark.createDataFrame([(i, "t", "abc"[i % 3]) for i in range(300)], "doc_id long, text string, source string")
+    parts = {"a": 5, "b": 3, "c": 1}
+    want = sorted(map(tuple, mixing.mix(df, parts, 1, 2).collect()))
+    monkeypatch.setattr(mixing, "SLOTS_SENT", 0)
+    assert sorted(map(tuple, mixing.mix(df, parts, 1, 2).collect())) == want
+
+
+def test_places_go_by_the_numbers_of_files(spark, tmp_path):
+    for name, n in {"part-100000-x": 4, "part-99999-x": 3, "part-00002-x": 2, "part-00002-a": 1}.items():
+        spark.createDataFrame([(n,)], "n int").coalesce(1).write.parquet(str(tmp_path / "one" / name))
+        (made,) = (tmp_path / "one" / name).glob("part-*.parquet")
+        (tmp_path / "all").mkdir(exist_ok=True)
+        made.rename(tmp_path / "all" / f"{name}.parquet")
+    got = mixing.with_place(spark.read.parquet(str(tmp_path / "all")), "place").orderBy("place").collect()
+    assert [r["n"] for r in got] == [1, 2, 3, 4]
+    nowhere = mixing.with_place(spark.createDataFrame([(1,)], "n int"), "place").collect()
+    assert [(r["n"], r["place"]) for r in nowhere] == [(1, None)]
+
+
 def test_edge_rows(spark):
     df = spark.createDataFrame([(None, None, None), (1, "x", "src1"), (1, "x", "src1"), (2, None, "src0")], "doc_id long, text string, source string")
     assert mixing.mix(df).count() == 4 and mixing.mixed(df).count() == 4

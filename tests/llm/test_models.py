@@ -43,6 +43,27 @@ def test_lm_score_against_plain_models(spark, monkeypatch, head, sent, pairs):
     assert lm_score.score(df.limit(0), ids.limit(0)).count() == 0
 
 
+def test_lm_score_with_a_target_that_is_joined_by_a_shuffle(spark, monkeypatch):
+    monkeypatch.setattr(lm_score, "SMALL_SET", 0)
+    monkeypatch.setattr(lm_score, "TOKENS", 50)
+    texts = {i: " ".join(f"w{(i * j) % 13}" for j in range(i % 29)) for i in range(60)}
+    df = spark.createDataFrame([*texts.items()], "doc_id long, text string").repartition(5)
+    want = plain_losses(texts, [3, 5, 40])
+    for r in lm_score.score(df, spark.createDataFrame([(3,), (5,), (40,)], "x long"), head=2, words_sent=4, pairs_sent=3).collect():
+        n, a, b = want[r["doc_id"]]
+        assert r["n_tokens"] == n and (not n or (r["target_loss"], r["background_loss"]) == (pytest.approx(a), pytest.approx(b)))
+
+
+def test_a_task_that_is_run_again_numbers_documents_alike(spark):
+    data = [(i % 40 if i % 7 else None, f"t{i % 90}", int(i % 40 < 5)) for i in range(400)]
+    seen = []
+    for way in (1, -1):
+        df = spark.createDataFrame(data[::way], "doc long, text string, target int").repartition(4, "doc")  # as a shuffle that fetches in another order
+        parts = lm_score.in_order(df).withColumn("p", F.spark_partition_id()).collect()
+        seen.append([tuple(r) for r in parts])
+    assert seen[0] == seen[1]
+
+
 def test_words_are_those_of_the_pattern():
     for t in [None, "", "".join(map(chr, range(256))) * 2, "A_b-C \u00c0\u00df\u00b5x\u00aa", "\u0130x \u0416y \u03a3"]:
         assert lm_score.words(t) == re.findall(r"\w+", (t or "").lower())

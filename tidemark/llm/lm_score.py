@@ -21,6 +21,9 @@ Edge cases: null and texts without a word have no tokens and null losses. Repeat
 scored each, so that each is known from the other. A word of over ``LONG`` characters stands as its digest.
 Very long texts are read whole. Without a target document the target model is uniform. An empty table gives
 an empty result. Further columns of the input are not looked at.
+
+The documents should come from files or a checkpoint, so that a task that is run again meets its rows in the
+same order; what this module shuffles itself it brings into order (:func:`in_order`).
 """
 
 from __future__ import annotations
@@ -341,6 +344,15 @@ def _runs(batches: Iterator[pa.RecordBatch], by: str) -> Iterator[tuple[int, lis
         yield value, kept
 
 
+def in_order(rows: DataFrame) -> DataFrame:
+    """rows (doc, text, ...), with those of a task in an order that depends on the rows alone.
+
+    Tasks number documents as they come. Behind a scan a task that is run again, after its executor was lost,
+    meets them in the same order; behind a shuffle it need not, while others have gone on with its first numbers.
+    """
+    return rows.sortWithinPartitions("doc", "text")
+
+
 def asked(rows: DataFrame, models, buckets: int) -> DataFrame:
     """For documents (doc, text, target): what is known of each, and what must be looked up, in bundles by bucket; see ASKED."""
     form = ASKED.format(rows.schema["doc"].dataType.simpleString())
@@ -432,7 +444,8 @@ def score(docs: DataFrame, target_ids: DataFrame, doc: str = "doc_id", text: str
     texts = np.array([texts["n_target"], texts["n"]] if texts else [0, 0], np.float64)
     models = spark.sparkContext.broadcast(Models(sent, pairs, tokens, texts, total["v"], vocabulary))
     buckets = max(LEAST_BUCKETS, int(tokens[1]) // BUCKET)
-    known = answered(asked(_marked(rows, text, flag, docs[doc].alias("doc")), models, buckets), buckets)
+    rows = _marked(rows, text, flag, docs[doc].alias("doc"))
+    known = answered(asked(rows if few else in_order(rows), models, buckets), buckets)
     loss = lambda c: F.when(F.col("n_tokens") > 0, F.col(c) / F.col("n_tokens"))
     out = summed(known, models, buckets).select(F.col("doc").alias("doc_id"), "n_tokens", loss("a").alias("target_loss"), loss("b").alias("background_loss"))
     return out.withColumn("difference", F.col("target_loss") - F.col("background_loss"))

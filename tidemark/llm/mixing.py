@@ -25,12 +25,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tidemark.llm.common import fresh, ranked_by_hash, table
+from tidemark.llm.common import checkpointed, fresh, ranked_by_hash, small, table
 
 #: Parts of 100 for the twenty sources of the test tables, falling slowly; any other source is in the rest.
 PARTS = {"src0": 16, "src1": 12, "src2": 10, "src3": 8, "src4": 6, "src5": 5} | {f"src{i}": 3 for i in range(6, 20)}
 REST = 1
 BLOCK_ROWS = 8
+SLOTS_SENT = 200_000  #: slots of all schedules that are sent to all tasks (about 10 MB); more are joined by a shuffle
 BUCKET_ROWS = 2_000  #: rows that are ranked in one task, about
 
 
@@ -69,10 +70,11 @@ def schedule(blocks: DataFrame, parts: dict[str, int], rest: int) -> tuple[DataF
     took = period.select("k", "m", "len", "all", F.posexplode(F.expr(fold)).alias("slot", "i"))
     idx = F.row_number().over(Window.partitionBy("k", "i").orderBy("slot")) - 1
     took = took.withColumn("idx", idx.cast("long")).withColumn("of", F.expr("m[i]"))
-    return by_source, took.select(
+    slots = took.select(
         F.col("k").alias("from_period"), F.expr("all[i].src").alias("src"), "idx",
         F.expr("(idx * len) div of").alias("release"), F.expr("((idx + 1) * len + of - 1) div of").alias("deadline"), F.col("slot").cast("long").alias("slot"),
     )
+    return by_source, small(checkpointed(slots), SLOTS_SENT)
 
 
 def mix(docs: DataFrame, parts: dict[str, int] | None = None, rest: int = REST, block_rows: int = BLOCK_ROWS, doc: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
@@ -86,7 +88,7 @@ def mix(docs: DataFrame, parts: dict[str, int] | None = None, rest: int = REST,
     placed = rows.withColumn("block", F.expr(f"rank div {block_rows}")).join(F.broadcast(by_source), "src")
     placed = placed.withColumn("period", F.expr("block div p")).withColumn("idx", F.expr("block % p"))
     placed = placed.withColumn("from_period", F.expr("array_max(filter(first, k -> k <= period))")).withColumn("start", F.expr("aggregate(all, 0L, (a, s) -> a + least(s.n, period * s.p))"))
-    placed = placed.drop("first", "all").join(F.broadcast(slots), ["src", "from_period", "idx"])
+    placed = placed.drop("first", "all").join(slots, ["src", "from_period", "idx"])
     at = [(F.col("start") + F.col(c)).alias(c) for c in ("release", "deadline", "slot")]
     return placed.select("doc_id", "source", "th", "src", "rank", *at, F.expr(f"rank % {block_rows}").alias("offset"))
 
@@ -105,7 +107,8 @@ def mixed(docs: DataFrame, parts: dict[str, int] | None = None, rest: int = REST
 def with_place(docs: DataFrame, name: str) -> DataFrame:
     """docs, as :func:`mixed` was written and is read again, with each row's place in the order of the files' names and rows, from 0.
 
-    Written tables sort by the names of their files. The places are null if docs isn't read from files directly.
+    Written tables go by the numbers in the names of their files (``part-<number>``), then by the names. The
+    places are null if docs isn't read from files directly.
     """
     file, row, n, first = fresh(docs, "_file", "_row", "_n", "_first")
     try:
@@ -113,7 +116,8 @@ def with_place(docs: DataFrame, name: str) -> DataFrame:
     except AnalysisException:
         return docs.withColumn(name, F.lit(None).cast("long"))
     sizes = rows.groupBy(file).agg(F.count("*").alias(n))  # a row for each file
-    sizes = sizes.select(F.col(file), (F.sum(n).over(Window.orderBy(file)) - F.col(n)).alias(first))
+    number = F.regexp_extract(file, r"^part-(\d+)", 1).try_cast("long")  # has five digits or more, so names sort by it only up to 99,999
+    sizes = sizes.select(F.col(file), (F.sum(n).over(Window.orderBy(number.asc_nulls_last(), file)) - F.col(n)).alias(first))
     return rows.join(sizes, file).withColumn(name, F.col(first) + F.col(row)).drop(file, row, first)
 
 
