@@ -402,6 +402,7 @@ SELECT tab AS "table", market, session, symbol, CAST(lookback AS VARCHAR) AS loo
 ORACLE_SQL = {name: BASE + text for name, text in _SELECTS.items()}
 
 ORACLE_SQL["ingest_counts"] = BASE + f" SELECT market, symbol, count(*) AS delivered, count(*) FILTER (WHERE {WEEK} % 5 <> 0) AS added FROM bars GROUP BY market, symbol"
+ORACLE_SQL |= {"stream_universe": ORACLE_SQL["universe"], "stream_digest": ORACLE_SQL["digest"]}
 ORACLE_SQL["stream_bars"] = BASE + f""", clean AS (SELECT * FROM raw WHERE volume > 0 AND (session < DATE '2001-10-22' OR (session = DATE '2001-10-22' AND market = 'IDX')))
 SELECT market, symbol, session, CASE WHEN {WEEK} % 2 = 0 THEN close ELSE close + 1 END AS close, volume, delivered, added, total, last_session
 FROM clean JOIN (SELECT market, symbol, CAST(sum(CASE WHEN {WEEK} % 2 = 0 THEN 3 ELSE 2 END) AS BIGINT) AS delivered, count(*) AS added, count(*) AS total, max(session) AS last_session FROM clean GROUP BY market, symbol) USING (market, symbol)"""

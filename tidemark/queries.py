@@ -18,7 +18,7 @@ from tidemark.plans import nights
 from tidemark.sources import bars as bar_source
 from tidemark.sources import derived, listings
 from tidemark.sources.shared import folder, stored
-from tidemark.streaming import ingest
+from tidemark.streaming import ingest, members
 
 #: An instant inside the last sessions: the US bar of that day isn't final yet, the IDX bar is.
 NOW = "2001-10-22 20:15:00"
@@ -239,8 +239,12 @@ def candidate_list(t: Tables) -> DataFrame:
     return rows.withColumn("breakdown", _hits()).withColumn("dist_adr", F.round("dist_adr", DIGITS)).withColumn("stopw_adr", F.round("stopw_adr", DIGITS))
 
 
+def _rounded_digest(rows: DataFrame) -> DataFrame:
+    return rows.withColumn("stopw_adr", F.round("stopw_adr", DIGITS)).withColumn("pct_through", F.round("pct_through", DIGITS))
+
+
 def digest_rows(t: Tables) -> DataFrame:
-    return t.digest.withColumn("stopw_adr", F.round("stopw_adr", DIGITS)).withColumn("pct_through", F.round("pct_through", DIGITS))
+    return _rounded_digest(t.digest)
 
 
 def digest_report(t: Tables) -> DataFrame:
@@ -354,6 +358,35 @@ def stream_bars(t: Tables) -> DataFrame:
     return tables.read(t.spark, f"{base}/bars", "bars").select("market", "symbol", "session", "close", "volume").join(counts, ["market", "symbol"])
 
 
+def _by_thirds(t: Tables, rows: DataFrame, name: str) -> tuple[str, DataFrame, list[DataFrame]]:
+    """A new folder, the rows of a first third of the weeks' range, and those of the other two, one by one."""
+    rows = stored(rows, name)
+    week = F.expr(derived.WEEK)
+    a, b = rows.agg(F.coalesce(F.min(week), F.lit(0)), F.coalesce(F.max(week), F.lit(0))).first()
+    first, *later = [rows.filter(F.floor((week - a) * 3 / (b - a + 1)) == i) for i in range(3)]
+    return f"{folder(t.spark)}/{name}-{uuid.uuid4().hex}", first, later
+
+
+def stream_universe(t: Tables) -> DataFrame:
+    """The universe with the sessions of a first third as the stored state, and the others as a stream that is stopped and started once."""
+    base, first, later = _by_thirds(t, members.grid(t.instruments, t.bars, t.resolutions, t.params), "grid")
+    for rows in later:
+        rows.write.mode("append").parquet(f"{base}/raw")
+        members.start_members(t.spark, f"{base}/raw", f"{base}/members", f"{base}/check", first, t.params).awaitTermination()
+    before = first.select("market", "session").distinct()
+    return t.universe.join(F.broadcast(before), ["market", "session"], "left_semi").unionByName(members.read(t.spark, f"{base}/members", members.MEMBERS))
+
+
+def stream_digest(t: Tables) -> DataFrame:
+    """The digest with its repeat markers from a stream of reports; those of a first third are the stored state."""
+    base, first, later = _by_thirds(t, t.digest, "reports")
+    for rows in later:
+        rows.select("market", "symbol", "session").write.mode("append").parquet(f"{base}/raw")
+        members.start_repeats(t.spark, f"{base}/raw", f"{base}/marks", f"{base}/check", first).awaitTermination()
+    streamed = reduce(DataFrame.unionByName, later).drop("repeat", "last_reported").join(members.read(t.spark, f"{base}/marks", members.REPEATS), ["market", "symbol", "session"])
+    return _rounded_digest(first.unionByName(streamed))
+
+
 _QUERIES: dict[str, Callable[[Tables], DataFrame]] = {
     "boards": flagship,
     "listing_source": listing_source,
@@ -409,6 +442,8 @@ _QUERIES: dict[str, Callable[[Tables], DataFrame]] = {
     "backfill": backfill,
     "ingest_counts": ingest_counts,
     "stream_bars": stream_bars,
+    "stream_universe": stream_universe,
+    "stream_digest": stream_digest,
 }
 
 
