@@ -97,3 +97,39 @@ def test_quiet_names(spark, store):
     go()
     got = {(r["symbol"], r["last_session"]) for r in ingest.quiet(spark, base).collect()}
     assert got == {("B", START), ("C", None)}
+
+
+def test_a_symbol_costs_a_batch_one_write_of_state_and_a_month_one_file(spark, store):
+    base, deliver, go, closes = store
+    days = [START - timedelta(days=9 * i) for i in range(40)]  # a year, in eleven months and more
+    for d in days:
+        deliver(row("A", d, 1.0), row("B", d, 2.0))
+    go()
+    assert closes() == {(s, d): 1.0 + (s == "B") for s in "AB" for d in days}
+    files = [r[0] for r in tables.read(spark, base, "bars").select(F.input_file_name()).distinct().collect()]
+    assert len(files) == len({(d.year, d.month) for d in days})
+
+    class Value:
+        known, calls = None, 0
+
+        def get(self):
+            return self.known
+
+        def update(self, value):
+            self.known, self.calls = value, self.calls + 1
+
+    class Handle:
+        value = Value()
+
+        def getValueState(self, *_):
+            return self.value
+
+    import pandas as pd
+
+    one = ingest.FirstDelivered()
+    one.init(Handle())
+    new, _ = one._add(pd.to_datetime(pd.Series(days)), one._get())
+    assert new.all() and Handle.value.calls == 1
+    new, known = one._add(pd.to_datetime(pd.Series([days[0] + timedelta(days=1), *days[3:7], days[-1] - timedelta(days=40)])), one._get())
+    assert new.tolist() == [True, *[False] * 4, True] and Handle.value.calls == 2
+    assert known[2:] == (42, days[0] + timedelta(days=1))

@@ -132,7 +132,7 @@ def append_counted(spark: SparkSession, base: str, delivered: DataFrame) -> Data
     late = new.join(F.broadcast(last), "market").filter(F.col("session") <= F.col("_last")).select("market", "symbol").distinct()
     if late.take(1):
         late.write.mode("append").partitionBy("market").parquet(path(base, "late"))  # before the bars: to be noted twice does no harm
-    new.write.mode("append").partitionBy(*_partitions("bars")).parquet(path(base, "bars"))
+    new.repartition(*_partitions("bars")).write.mode("append").partitionBy(*_partitions("bars")).parquet(path(base, "bars"))  # a file a month, not one of each task
     asked = delivered.groupBy("market", "symbol").agg(F.count("*").alias("delivered"))
     got = new.groupBy("market", "symbol").agg(F.count("*").alias("added"))
     return asked.join(got, ["market", "symbol"], "left").na.fill(0, ["added"])

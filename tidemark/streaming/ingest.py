@@ -1,7 +1,7 @@
 """Bars as a stream: raw files arrive, and of every bar the first delivery that counts is stored and stays.
 
-What has been delivered is kept as keyed state, one whole number a symbol and month whose bits are days, so a
-batch costs what it brings and not what is stored. Deliveries are in the order of their files' times, names
+What has been delivered is kept as keyed state, for each symbol a whole number a month whose bits are days, so a
+batch costs what it brings and 12 bytes for each month of the symbols that it brings, not the stored bars. Deliveries are in the order of their files' times, names
 and rows.
 """
 
@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -29,33 +30,35 @@ BAR = [x.split()[0] for x in schemas.TABLES["bars"].split(", ")]
 ORDER = ["_time", "_file", "_row"]
 
 
-def _months(sessions: pd.Series) -> pd.Series:
-    return sessions.dt.year * 12 + sessions.dt.month - 1
-
-
 class FirstDelivered(StatefulProcessor):
-    """Of one symbol: the days of each month that have a bar already, and how many bars there are and up to when."""
+    """Of one symbol: the months that have a bar already, in order, with the days of each, and how many bars there are and up to when.
+
+    All of it is one value, so that a symbol costs a batch one read and one write of state however many months it brings.
+    """
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.days = handle.getMapState("days", "month int", "days bigint")
-        self.sums = handle.getValueState("sums", "total bigint, last_session date")
-
-    def _add(self, sessions: pd.Series) -> pd.Series:
-        """Notes sessions (no repeats) and tells which of them are new."""
-        month, bit = _months(sessions), sessions.dt.day.rsub(0).mul(-1)
-        new = pd.Series(False, index=sessions.index)
-        for m, bits in bit.groupby(month):
-            had = self.days.getValue((int(m),))
-            known = had[0] if had else 0
-            fresh = bits.map(lambda b, known=known: not known >> int(b) & 1)
-            new[bits.index] = fresh
-            if fresh.any():
-                self.days.updateValue((int(m),), (known | sum(1 << int(b) for b in bits[fresh]),))
+        self.state = handle.getValueState("state", "months array<int>, days array<bigint>, total bigint, last_session date")
+
+    def _get(self) -> tuple:
+        return self.state.get() or ([], [], 0, None)
+
+    def _add(self, sessions: pd.Series, known: tuple) -> tuple[np.ndarray, tuple]:
+        """Notes sessions (no repeats); gives which of them are new, and what is known then."""
+        at = pd.DatetimeIndex(sessions)
+        month, bit = (at.year * 12 + at.month - 1).to_numpy(), np.left_shift(np.int64(1), at.day.to_numpy().astype(np.int64))
+        months, had, total, last = known
+        months, had = np.asarray(months, np.int64), np.asarray(had, np.int64)
+        every = np.union1d(months, month)
+        days = np.zeros(len(every), np.int64)
+        days[np.searchsorted(every, months)] = had
+        place = np.searchsorted(every, month)
+        new = days[place] & bit == 0
         if new.any():
-            total, last = self.sums.get() if self.sums.exists() else (0, None)
-            latest = sessions[new].max().date()
-            self.sums.update((int(total) + int(new.sum()), latest if last is None else max(last, latest)))
-        return new
+            np.bitwise_or.at(days, place[new], bit[new])
+            latest = at[new].max().date()
+            known = (every.tolist(), days.tolist(), int(total) + int(new.sum()), latest if last is None else max(last, latest))
+            self.state.update(known)
+        return new, known
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         first, delivered = None, 0
@@ -70,16 +73,19 @@ class FirstDelivered(StatefulProcessor):
             first = both.sort_values(ORDER).drop_duplicates("session")
         if first is None:
             return
-        new = first[self._add(first["session"])] if len(first) else first
+        known = self._get()
+        new = first
+        if len(first):
+            fresh, known = self._add(first["session"], known)
+            new = first[fresh]
         if len(new):
             out = new[BAR].assign(delivered=None, added=None, total=None, last_session=None)
             yield out.assign(session=out["session"].dt.date)
-        total, last = self.sums.get() if self.sums.exists() else (0, None)
-        counts = dict.fromkeys(BAR) | {"market": key[0], "symbol": key[1], "delivered": delivered, "added": len(new), "total": total, "last_session": last}
+        counts = dict.fromkeys(BAR) | {"market": key[0], "symbol": key[1], "delivered": delivered, "added": len(new), "total": known[2], "last_session": known[3]}
         yield pd.DataFrame([counts])
 
     def handleInitialState(self, key, initialState: pd.DataFrame, timerValues) -> None:
-        self._add(pd.to_datetime(initialState["session"]).reset_index(drop=True))
+        self._add(pd.to_datetime(initialState["session"]), self._get())
 
 
 def first_delivered(rows: DataFrame, stored: DataFrame | None = None) -> DataFrame:
@@ -107,7 +113,7 @@ def start(spark: SparkSession, source: str, base: str, checkpoint: str, now: Col
         counts.write.mode("overwrite").parquet(f"{tables.path(base, 'feed')}/batch={n}")
         batch.unpersist()
 
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)  # keyed state by month needs a store that isn't a whole map in memory
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)  # keyed state of all symbols needs a store that isn't a whole map in memory
     m = F.col("_metadata")
     raw = spark.readStream.schema(RAW).option("maxFilesPerTrigger", files_per_batch).parquet(source)
     raw = raw.select("*", m["file_modification_time"].alias("_time"), m["file_path"].alias("_file"), m["row_index"].alias("_row"))
