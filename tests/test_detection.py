@@ -140,3 +140,27 @@ def test_one_sort_for_gates_and_run_ups(spark):
     """Bars are exchanged by symbol once, and sorted once, for all of the window columns."""
     plan = detection.bar_gates(bars(spark, rows("A", textbook(), START)))._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") == 1 and plan.count("Sort [") == 1
+
+
+def test_fits_together_equal_fits_one_by_one():
+    r, p = np.random.default_rng(1), Params()
+    bases = []
+    for i in range(400):
+        n, k = int(r.integers(3, 46)), int(r.integers(3, 8))
+        high = np.full(n + 1, 9.5) if i % 7 == 0 else np.round(100 + np.cumsum(r.normal(0, 1.5, n + 1)), 4)
+        bases.append((high, round(float(r.uniform(0.2, 4)), 4), int(n - r.integers(1, k + 1)), k))
+    high, adr_abs, anchor, k = zip(*bases, strict=True)
+    got = detection.fit_envelopes(list(high), np.array(adr_abs), np.array(anchor), np.array(k), p)
+    assert [tuple(x) for x in got.itertuples(index=False)] == [detection.fit_envelope(*x, p) for x in bases]
+    assert len(detection.fit_envelopes([], np.array([]), np.array([]), np.array([]), p)) == 0
+
+
+def test_bars_of_bases_are_cut_not_searched(spark):
+    """The rows are computed once, and no function is called for each bar of an array to find those of a base."""
+    df = bars(spark, rows("A", textbook(), START))
+    base = detection.base_span(detection.bar_gates(df).filter("passes AND move IS NOT NULL"))
+    out = detection.with_bars(base, df.selectExpr("*", "0 AS idx"))
+    spark.conf.set("spark.sql.debug.maxToStringFields", 1000)
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    spark.conf.unset("spark.sql.debug.maxToStringFields")
+    assert "slice(" in plan and " filter(" not in plan and "Window" not in plan

@@ -16,6 +16,7 @@ from tidemark import schemas
 from tidemark.operators import indicators as ind
 from tidemark.operators.ranks import detection_gate
 from tidemark.params import Params
+from tidemark.sources.shared import stored
 
 SEEN = ["market", "symbol", "session"]
 
@@ -100,30 +101,35 @@ def with_bars(rows: DataFrame, bars: DataFrame, params: Params = Params()) -> Da
     reach = params.base_max + params.dryup_bars
     block = lambda idx: F.floor(idx / reach).cast("int")
     key = ["market", "symbol", "_block"]
-    rows = rows.withColumn("_block", block(F.col("idx")))
+    rows = stored(rows.withColumn("_block", block(F.col("idx"))), "bases")  # read twice: for their blocks, and to be given their bars
     at = block(F.col("idx"))
     held = bars.withColumn("_block", F.explode(F.array(at, at + 1))).join(rows.select(*key).distinct(), key, "left_semi")
     arrays = held.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("idx", "high", "low", "volume", "session"))).alias("_all"))
-    out = rows.join(arrays, key).withColumn("win", F.expr(f"filter(_all, x -> x.idx > idx - {reach} AND x.idx <= idx)"))
-    return out.withColumn("base", F.expr("filter(win, x -> x.idx >= base_start)")).drop("_all", "_block")
+    # idx has no gaps, so a bar's place in its array is told by the first one's: arrays are cut, not searched.
+    start = f"greatest(idx - {reach} + 1 - _all[0].idx, 0)"
+    out = rows.join(arrays, key).withColumn("win", F.expr(f"slice(_all, {start} + 1, idx - _all[0].idx - {start} + 1)"))
+    return out.withColumn("base", F.expr("slice(win, greatest(size(win) - (idx - base_start), 1), size(win))")).drop("_all", "_block")
 
 
 def _median(values: str) -> str:
-    return f"element_at(transform(array(array_sort({values})), v -> (v[(size(v) - 1) div 2] + v[size(v) div 2]) / 2D), 1)"
+    return f"element_at(transform(array(sort_array({values})), v -> (v[(size(v) - 1) div 2] + v[size(v) div 2]) / 2D), 1)"
 
 
 def churn_dryup(rows: DataFrame, params: Params = Params()) -> DataFrame:
     """rows (with base) with base_low, churn_l (sum of ranges by span by length) and dryup (median volume by that of the bars before)."""
-    out = rows.withColumn("base_low", F.expr("array_min(transform(base, x -> x.low))")).withColumn("_span", F.expr("array_max(transform(base, x -> x.high))") - F.col("base_low"))
+    out = rows.withColumn("base_low", F.expr("array_min(base.low)")).withColumn("_span", F.expr("array_max(base.high)") - F.col("base_low"))
     total = F.expr("aggregate(base, 0D, (a, x) -> a + (x.high - x.low))")
     out = out.withColumn("churn_l", F.when(F.col("_span") > 0, total / F.col("_span") / F.col("base_len")).otherwise(0.0))
-    out = out.withColumn("_before", F.expr(f"transform(filter(win, x -> x.idx < base_start AND x.idx >= base_start - {params.dryup_bars}), x -> x.volume)"))
+    out = out.withColumn("_before", F.expr(f"slice(win.volume, greatest(size(win) - size(base) - {params.dryup_bars}, 0) + 1, least(size(win) - size(base), {params.dryup_bars}))"))
     out = out.withColumn("_quiet", F.expr(f"CASE WHEN size(_before) > 0 THEN {_median('_before')} END"))
-    dry = F.when(F.coalesce("_quiet", F.lit(0.0)) <= 0, 1.0).otherwise(F.expr(_median("transform(base, x -> x.volume)")) / F.col("_quiet"))
+    dry = F.when(F.coalesce("_quiet", F.lit(0.0)) <= 0, 1.0).otherwise(F.expr(_median("base.volume")) / F.col("_quiet"))
     return out.withColumn("dryup", dry).drop("_span", "_before", "_quiet")
 
 
 FIT = "slope double, line_ok boolean, touch_zones int, overshoot_adr double, line_end double"
+FIT_COLUMNS = [x.split()[0] for x in FIT.split(", ")]
+FIT_CELLS = 1 << 16  #: slopes by bars of a portion of bases: 512 KB an array, which caches hold
+FIT_STEP = 14  #: of so many slopes one is tried first
 
 
 def fit_envelope(high: np.ndarray, adr_abs: float, anchor: int, cluster_k: int, params: Params = Params()) -> tuple[float, bool, int, float, float]:
@@ -147,16 +153,58 @@ def fit_envelope(high: np.ndarray, adr_abs: float, anchor: int, cluster_k: int,
     return slope, bool((zones >= params.zones_min or back) and over <= params.max_overshoot), zones, over, float(top + slope * (len(base) - anchor))
 
 
+def fit_envelopes(highs: list, adr_abs: np.ndarray, anchor: np.ndarray, cluster_k: np.ndarray, params: Params = Params()) -> pd.DataFrame:
+    """:func:`fit_envelope` of many bases: those of one length at once, in portions of bounded size, and only slopes near the best."""
+    sizes, found = np.fromiter(map(len, highs), int, len(highs)), []
+    for size in np.unique(sizes):
+        same, n = np.flatnonzero(sizes == size), int(size) - 1
+        portion = max(1, FIT_CELLS // (2 * FIT_STEP * max(n, 1)))
+        for at in range(0, len(same), portion):
+            found.append(_fit_equal(same[at : at + portion], n, highs, adr_abs, anchor, cluster_k, params))
+    return pd.concat(found).sort_index() if found else pd.DataFrame(columns=FIT_COLUMNS)
+
+
+def _fit_equal(own: np.ndarray, n: int, highs: list, adr_abs: np.ndarray, anchor: np.ndarray, cluster_k: np.ndarray, params: Params) -> pd.DataFrame:
+    """The fits of bases own (places in highs), all of n bars, by place."""
+    high = np.array([highs[i] for i in own], float)
+    top, base, adr = high[:, :1], high[:, 1:], adr_abs[own].astype(float)[:, None]
+    t, length = np.arange(n), n - anchor[own].astype(int)
+    back = t - anchor[own].astype(int)[:, None]
+    slopes = -params.max_slope * adr * (1.0 - np.arange(params.slopes) / (params.slopes - 1)) + 0.0
+
+    def least(places: np.ndarray) -> np.ndarray:
+        """The first of these places in slopes (a row a base) with the least loss."""
+        gap = np.take_along_axis(slopes, places, axis=1)[:, :, None] * back[:, None, :]
+        gap += top[:, :, None]
+        np.subtract(base[:, None, :], gap, out=gap)
+        # The weighted gap is the greater of the two above the line only, as over_weight is positive.
+        loss = np.round(np.maximum(params.over_weight * gap, -gap).sum(axis=2), 9)
+        return np.take_along_axis(places, loss.argmin(axis=1)[:, None], axis=1)
+
+    # The loss is convex in the slope: the first least one lies between the neighbours of the first least of every FIT_STEP-th.
+    near_it = least(np.tile(np.arange(0, params.slopes, FIT_STEP), (len(own), 1))) + np.arange(1 - FIT_STEP, FIT_STEP)
+    slope = np.take_along_axis(slopes, least(np.clip(near_it, 0, params.slopes - 1)), axis=1)
+    gap = base - (top + slope * back)
+    near = params.touch * adr
+    touches = (np.abs(gap) <= near) & (t < n - cluster_k[own].astype(int)[:, None])
+    last = np.maximum.accumulate(np.where(touches, t, -n - params.touch_gap), axis=1)
+    before = np.concatenate([np.full((len(own), 1), -n - params.touch_gap), last[:, :-1]], axis=1)[:, :n]
+    zones = (touches & (t - before >= params.touch_gap)).sum(axis=1)
+    over = np.where(gap > near, gap / adr, 0.0).max(axis=1, initial=0.0)
+    soon = (zones >= 1) & ((touches.argmax(axis=1) if n else 0) <= params.reach * n)
+    fine = ((zones >= params.zones_min) | soon) & (over <= params.max_overshoot)
+    return pd.DataFrame(dict(zip(FIT_COLUMNS, (slope[:, 0], fine, zones, over, top[:, 0] + slope[:, 0] * length), strict=True)), index=own)
+
+
 def envelope(rows: DataFrame, params: Params = Params()) -> DataFrame:
     """rows (with base, win, cluster, adr_abs) with fit."""
 
     @F.pandas_udf(FIT)
     def fit(highs: pd.Series, adr_abs: pd.Series, anchor: pd.Series, k: pd.Series) -> pd.DataFrame:
-        got = [fit_envelope(np.asarray(h, float), a, int(n), int(c), params) for h, a, n, c in zip(highs, adr_abs, anchor, k, strict=True)]
-        return pd.DataFrame(got, columns=[x.split()[0] for x in FIT.split(", ")])
+        return fit_envelopes(highs.to_list(), adr_abs.to_numpy(), anchor.to_numpy(), k.to_numpy(), params)
 
-    first = F.expr("-array_max(transform(filter(win, x -> x.idx > idx - cluster.k), x -> struct(x.high AS high, -x.idx AS back))).back")
-    highs = F.expr("concat(array(cluster.high), transform(base, x -> x.high))")
+    first = F.expr("-array_max(transform(slice(win, greatest(size(win) - cluster.k, 0) + 1, cluster.k), x -> struct(x.high AS high, -x.idx AS back))).back")
+    highs = F.expr("concat(array(cluster.high), base.high)")
     out = rows.withColumn("anchor", first)
     return out.withColumn("fit", fit(highs, F.col("adr_abs"), F.col("anchor") - F.col("base_start"), F.col("cluster.k")))
 
