@@ -112,3 +112,14 @@ def test_many_symbols_stay_apart(spark):
     df = bars(spark, rows("A", [1, 2, 3]), rows("A", [10, 20, 30], market="IDX"), rows("B", [7] * 3, start=date(2026, 1, 1) + timedelta(days=1)))
     got = {(r["market"], r["symbol"]): r["x"] for r in df.select("market", "symbol", "session", ind.sma("close", 3).alias("x")).filter("x IS NOT NULL").collect()}
     assert got == {("US", "A"): 2.0, ("IDX", "A"): 20.0, ("US", "B"): 7.0}
+
+
+def test_returns_sort_no_row_a_lookback(spark):
+    """Keys meet bars as they are, not once for each lookback; month ends clamp, and keys need no bar of their own day."""
+    days = [date(2024, 1, 31), date(2024, 2, 27), date(2024, 2, 29), date(2024, 3, 30)]
+    df = spark.createDataFrame([("US", "A", d, float(2**i)) for i, d in enumerate(days)], "market string, symbol string, session date, adj_close double")
+    keys = spark.createDataFrame([("US", "A", date(2024, 3, 31)), ("US", "A", date(2024, 3, 28)), ("US", "A", date(2023, 1, 1))], "market string, symbol string, session date")
+    got = ind.calendar_returns(df, keys)
+    assert {(r["session"].day, r["lookback"]): r["raw_return"] for r in got.collect()} == {(31, "1w"): 1.0, (31, "1m"): 1.0, (28, "1w"): 0.0, (28, "1m"): 1.0}
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Generate") < plan.index("Window") and plan.count("Generate") == 1

@@ -13,9 +13,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window, WindowSpec
 
-from tidemark.functions.dates import anchors
+from tidemark.functions.dates import places
 from tidemark.operators.hygiene import dollar_volume
-from tidemark.params import Params
+from tidemark.params import LOOKBACKS, Params
 
 EMA_RADIX = 8
 EMA_NOTHING = 1e-24  #: the weight of what is left out, far below a double's last place
@@ -51,7 +51,9 @@ def sma(value: str, n: int) -> Column:
 
 def median_dollar_volume(params: Params = Params()) -> Column:
     """Over as many of the last bars as there are, up to the window."""
-    return F.percentile(dollar_volume(), F.lit(0.5)).over(last_rows(params.window))
+    known = F.sort_array(F.collect_list(dollar_volume()).over(last_rows(params.window)))
+    middle = lambda v: 0.5 * F.get(v, F.floor((F.size(v) - 1) / 2).cast("int")) + 0.5 * F.get(v, F.floor(F.size(v) / 2).cast("int"))
+    return F.transform(F.array(known), middle)[0]
 
 
 def steady(value: Column) -> Column:
@@ -113,12 +115,19 @@ def as_of(bars: DataFrame, probes: DataFrame, columns: list[str]) -> DataFrame:
 def calendar_returns(bars: DataFrame, keys: DataFrame) -> DataFrame:
     """market, symbol, session, lookback, raw_return for each key (market, symbol, session) and lookback that has one.
 
-    From the last adjusted close on or before the anchor day to the last on or before the session.
+    From the last adjusted close on or before the anchor day to the last on or before the session. Keys are sorted
+    with bars once for each unit of lookbacks, and a window's range ends at the anchor: no row a lookback is sorted.
     """
-    ends = F.concat(F.array(F.struct(F.lit("end").alias("lookback"), F.col("session").alias("anchor"))), anchors(F.col("session")))
-    probes = keys.select("market", "symbol", "session", F.explode(ends).alias("x")).select("market", "symbol", F.col("x.anchor").alias("day"), "session", F.col("x.lookback").alias("lookback"))
-    at = as_of(bars, probes, ["adj_close"])
-    by_key = Window.partitionBy("market", "symbol", "session")
-    at = at.withColumn("end", F.max(F.when(F.col("lookback") == "end", F.col("adj_close"))).over(by_key)).filter("lookback <> 'end'")
-    return at.withColumn("raw_return", F.try_divide("end", "adj_close") - 1).filter("raw_return IS NOT NULL").select("market", "symbol", "session", "lookback", "raw_return")
-
+    bar = F.struct("adj_close")
+    b = bars.select("market", "symbol", "session", F.lit(False).alias("_key"), bar.alias("_bar"))
+    k = keys.select("market", "symbol", "session", F.lit(True).alias("_key"), F.lit(None).cast(b.schema["_bar"].dataType).alias("_bar"))
+    order = places(F.col("session"))
+
+    def close(unit: str, n: int) -> Column:
+        place, step = order[unit]
+        w = Window.partitionBy("market", "symbol").orderBy(place).rangeBetween(Window.unboundedPreceding, -n * step)
+        return F.last("_bar", ignorenulls=True).over(w)["adj_close"]
+
+    at = b.unionByName(k).select("market", "symbol", "session", "_key", close("days", 0).alias("end"), *[close(*x).alias(name) for name, x in LOOKBACKS.items()]).filter("_key")
+    long = F.explode(F.array(*[F.struct(F.lit(x).alias("lookback"), (F.try_divide("end", x) - 1).alias("raw_return")) for x in LOOKBACKS]))
+    return at.select("market", "symbol", "session", long.alias("x")).select("market", "symbol", "session", "x.*").filter("raw_return IS NOT NULL")
