@@ -88,7 +88,7 @@ def leaderboards(ranks: DataFrame, bars: DataFrame, params: Params = Params()) -
     before = session_before(ranks).select("market", "session", "before")
     earlier = rows.select("market", F.col("session").alias("before"), "lookback", "symbol", F.lit(True).alias("_was"))
     out = rows.join(F.broadcast(before), ["market", "session"]).join(earlier, ["market", "before", "lookback", "symbol"], "left")
-    out = out.join(breadth_counts(ranks, params), KEY, "left")
+    out = out.join(breadth_counts(ranks.filter(F.col("percentile") >= params.top_decile), params), KEY, "left")  # a tenth of the ranks; none is 0
     own = bars.select("market", "symbol", "session", ind.adr(params).alias("adr"))
     out = out.join(own, ["market", "symbol", "session"], "left")
     surge = (F.col("lookback") == params.short_lookback) & (F.col("raw_return") >= params.surge)
