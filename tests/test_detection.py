@@ -164,3 +164,38 @@ def test_bars_of_bases_are_cut_not_searched(spark):
     plan = out._jdf.queryExecution().optimizedPlan().toString()
     spark.conf.unset("spark.sql.debug.maxToStringFields")
     assert "slice(" in plan and " filter(" not in plan and "Window" not in plan
+
+
+def test_moves_of_few_rows_equal_those_of_every_bar(spark):
+    rng, p = np.random.default_rng(7), Params()
+    series = {name: [(float(x + rng.integers(0, top)), float(x), float(x)) for x in rng.integers(0, top + 1, n)] for name, n, top in (("TIES", 300, 4), ("WIDE", 260, 400), ("FEW", 4, 9), ("SIX", 6, 9))}
+    df = detection.ind.numbered(bars(spark, *[rows(s, x, START) for s, x in series.items()]))
+    want = detection.prior_move(df, p).selectExpr("symbol", "idx", "move.gain AS gain", "move.peak AS peak", "recent").collect()
+    got = detection.moves(detection.last_bars(df.select("market", "symbol", "session", "idx"), df, 127), p).selectExpr("symbol", "idx", "move.gain AS gain", "move.peak AS peak", "recent").collect()
+    assert len(want) == 570 and set(got) == set(want)
+
+
+def test_run_ups_of_detections_are_those_of_few_rows(spark):
+    """No bar that isn't gated and passing has its run-ups computed: the windows of detections have no doubled spans."""
+    plan = detection.cheap_gates(bars(spark, rows("A", textbook(), START)))._jdf.queryExecution().executedPlan().toString()
+    assert "_up1" not in plan and "_move" not in plan and plan.count("Exchange hashpartitioning") == 1 and plan.count("Sort [") == 1
+
+
+def test_stages_are_compiled_by_parts(spark):
+    from tidemark.queries import Tables
+    from tidemark.sources.shared import LIMIT
+
+    before = spark.conf.get(LIMIT)
+    try:
+        spark.conf.set(LIMIT, "65535")
+        Tables(spark, "/root/testdata/sf0.001")
+        assert spark.conf.get(LIMIT) == "8000"
+    finally:
+        spark.conf.set(LIMIT, before)
+
+
+def test_order_tables_are_read_once_for_bars(spark):
+    from tidemark.sources import derived
+
+    got = derived.bars(spark, "/root/testdata/sf0.001")
+    assert "l_suppkey" not in got._jdf.queryExecution().optimizedPlan().toString() and got.filter("symbol LIKE '^%'").count() > 0

@@ -23,14 +23,16 @@ SEEN = ["market", "symbol", "session"]
 
 def clusters(bars: DataFrame, params: Params = Params()) -> DataFrame:
     """bars (with adr_abs) with cluster: the widest trailing window that is tight, as (k, high, low, range_adr), or null."""
-    found = []
+    w, found = ind.by_symbol(), []
+    back = {f"_{x}{i}": F.lag(x, i).over(w) for x in ("high", "low") for i in range(1, max(params.cluster_ks))}
+    rows = bars.withColumns(back | {"_bars": F.row_number().over(w)})
     for k in params.cluster_ks:
-        w = ind.last_rows(k)
-        high, low = F.max("high").over(w), F.min("low").over(w)
+        own = lambda x: [F.col(x), *[F.col(f"_{x}{i}") for i in range(1, k)]]  # noqa: B023, E731
+        high, low = F.greatest(*own("high")), F.least(*own("low"))
         spread = F.try_divide(high - low, F.col("adr_abs"))
-        fits = (F.count("*").over(w) == k) & (F.col("adr_abs") > 0) & (spread <= params.tight)
+        fits = (F.col("_bars") >= k) & (F.col("adr_abs") > 0) & (spread <= params.tight)
         found.append(F.when(fits, F.struct(F.lit(k).alias("k"), high.alias("high"), low.alias("low"), spread.alias("range_adr"))))
-    return bars.withColumn("cluster", F.coalesce(*found))
+    return rows.withColumn("cluster", F.coalesce(*found)).drop(*back, "_bars")
 
 
 def catch_up(bars: DataFrame, params: Params = Params()) -> DataFrame:
@@ -92,13 +94,64 @@ def base_span(rows: DataFrame, params: Params = Params()) -> DataFrame:
     return out.withColumn("base_len", (F.col("idx") - F.col("base_start") + 1).cast("int"))
 
 
+MOVE = "gain double, peak int, recent int"
+
+
+def best_moves(highs: list, lows: list, params: Params = Params()) -> pd.DataFrame:
+    """Of each series of last bars: gain of the best run-up, and its peak and the first highest high of the last base_max bars, in places back from the end."""
+    reach = max(params.base_max, *[n + 1 for n in params.move_windows])
+    size = np.fromiter(map(len, highs), int, len(highs))
+    high, low = np.full((len(highs), reach), -np.inf), np.full((len(highs), reach), np.inf)
+    for i, (h, x) in enumerate(zip(highs, lows, strict=True)):
+        n = min(len(h), reach)
+        high[i, reach - n :], low[i, reach - n :] = h[-n:], x[-n:]
+    own, place, gains, peaks = np.arange(len(highs)), np.arange(reach), [], []
+    for n in params.move_windows:
+        at = low[:, reach - n - 1 :].argmin(axis=1) + reach - n - 1  # the first lowest
+        peak = np.where(place >= at[:, None], high, -np.inf).argmax(axis=1)  # the first highest from there on
+        least = low[own, at]
+        fine = (np.minimum(size, n + 1) > 5) & (least > 0)
+        gains.append(np.where(fine, (high[own, peak] / np.where(fine, least, 1.0) - 1.0) * 100.0, -np.inf))
+        peaks.append(reach - 1 - peak)
+    gain, peak = np.array(gains), np.array(peaks)
+    best = gain.argmax(axis=0)  # of equal gains that of the first window
+    gain = gain[best, own]
+    recent = reach - 1 - (high[:, reach - params.base_max :].argmax(axis=1) + reach - params.base_max)
+    return pd.DataFrame({"gain": np.where(np.isneginf(gain), np.nan, gain), "peak": peak[best, own], "recent": recent})
+
+
+def moves(rows: DataFrame, params: Params = Params()) -> DataFrame:
+    """rows (with idx, win) with move and recent, as :func:`prior_move` has them for every bar: for few rows, whose bars are at hand.
+
+    In pandas, so that a filter by them isn't pushed below, which would cut and search the arrays twice.
+    """
+
+    @F.pandas_udf(MOVE)
+    def best(highs: pd.Series, lows: pd.Series) -> pd.DataFrame:
+        return best_moves(highs.to_list(), lows.to_list(), params)
+
+    # A null is less than any value; a high that is none doesn't count, and neither does a window whose low isn't known.
+    known = lambda x: F.transform("win", lambda b: F.coalesce(b[x].cast("double"), F.lit(float("-inf"))))
+    out = rows.withColumn("_best", best(known("high"), known("low")))
+    move = F.when(F.col("_best.gain").isNotNull(), F.struct(F.col("_best.gain").alias("gain"), (F.col("idx") - F.col("_best.peak")).alias("peak")))
+    return out.withColumn("move", move).withColumn("recent", F.col("idx") - F.col("_best.recent")).drop("_best")
+
+
 def with_bars(rows: DataFrame, bars: DataFrame, params: Params = Params()) -> DataFrame:
-    """rows (with idx, base_start) with win, the bars (idx, high, low, volume, session) of a base at most and of the quiet before it, in order; and base, those of the base.
+    """rows (with idx, base_start) with win, the bars (idx, high, low, volume, session) of a base at most and of the quiet before it, in order; and base, those of the base."""
+    return with_base(last_bars(rows, bars, params.base_max + params.dryup_bars))
+
+
+def with_base(rows: DataFrame) -> DataFrame:
+    return rows.withColumn("base", F.expr("slice(win, greatest(size(win) - (idx - base_start), 1), size(win))"))
+
+
+def last_bars(rows: DataFrame, bars: DataFrame, reach: int) -> DataFrame:
+    """rows (with idx) with win, the last reach bars (idx, high, low, volume, session) up to idx, in order.
 
     Bars go by blocks of a symbol's history, those of a block and the one before it as one array: of bounded
     size however long the history is, and only of blocks that some row ends in.
     """
-    reach = params.base_max + params.dryup_bars
     block = lambda idx: F.floor(idx / reach).cast("int")
     key = ["market", "symbol", "_block"]
     rows = stored(rows.withColumn("_block", block(F.col("idx"))), "bases")  # read twice: for their blocks, and to be given their bars
@@ -107,8 +160,7 @@ def with_bars(rows: DataFrame, bars: DataFrame, params: Params = Params()) -> Da
     arrays = held.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("idx", "high", "low", "volume", "session"))).alias("_all"))
     # idx has no gaps, so a bar's place in its array is told by the first one's: arrays are cut, not searched.
     start = f"greatest(idx - {reach} + 1 - _all[0].idx, 0)"
-    out = rows.join(arrays, key).withColumn("win", F.expr(f"slice(_all, {start} + 1, idx - _all[0].idx - {start} + 1)"))
-    return out.withColumn("base", F.expr("slice(win, greatest(size(win) - (idx - base_start), 1), size(win))")).drop("_all", "_block")
+    return rows.join(arrays, key).withColumn("win", F.expr(f"slice(_all, {start} + 1, idx - _all[0].idx - {start} + 1)")).drop("_all", "_block")
 
 
 def _median(values: str) -> str:
@@ -211,16 +263,21 @@ def envelope(rows: DataFrame, params: Params = Params()) -> DataFrame:
 
 def bar_gates(bars: DataFrame, params: Params = Params()) -> DataFrame:
     """All bars with the window columns, whether they pass the cheap gates, idx, move and recent."""
-    ups = prior_move(ind.numbered(bars), params)  # below the other windows, so that no filter is pushed into its expressions
-    out = catch_up(clusters(ind.rolling(ups, params), params), params)
+    return cheap_gates(prior_move(ind.numbered(bars), params), params)  # below the other windows, so that no filter is pushed into its expressions
+
+
+def cheap_gates(bars: DataFrame, params: Params = Params()) -> DataFrame:
+    """All bars with the window columns, idx, and whether they pass the cheap gates."""
+    out = catch_up(clusters(ind.rolling(bars, params), params), params)
     fine = (F.col("idx") >= params.history) & (F.col("adr") > 0) & F.col("caught_up") & F.col("cluster").isNotNull()
     return out.withColumn("passes", F.coalesce(fine, F.lit(False)))
 
 
 def geometry(rows: DataFrame, bars: DataFrame, params: Params = Params()) -> DataFrame:
-    """rows (of bar_gates) that passed the cheap gates, with the base and everything that is read from it."""
-    out = base_span(rows.filter("move IS NOT NULL"), params).filter(F.col("base_len") >= params.base_min)
-    return envelope(churn_dryup(with_bars(out, bars, params), params), params)
+    """rows (of cheap_gates) that passed the cheap gates, with the base and everything that is read from it. Run-ups are those of these rows, a few of the bars."""
+    out = moves(last_bars(rows, bars, max(params.base_max + params.dryup_bars, *[n + 1 for n in params.move_windows])), params)
+    out = base_span(out.filter("move IS NOT NULL"), params).filter(F.col("base_len") >= params.base_min)
+    return envelope(churn_dryup(with_base(out), params), params)
 
 
 def stop_width(stop: Column, trigger: Column, adr: Column) -> Column:
@@ -230,8 +287,8 @@ def stop_width(stop: Column, trigger: Column, adr: Column) -> Column:
 def detections(universe: DataFrame, ranks: DataFrame, bars: DataFrame, params: Params = Params()) -> DataFrame:
     """The detection of every gated member on every session of universe, as of its last bar on or before it."""
     gated = universe.join(detection_gate(ranks, params), ["market", "session", "symbol"], "left_semi")
-    gates = bar_gates(bars, params)
-    keep = ["idx", "adr", "adr_abs", "close", "cluster", "sma20_rising", "passes", "move", "recent"]
+    gates = cheap_gates(bars, params)
+    keep = ["idx", "adr", "adr_abs", "close", "cluster", "sma20_rising", "passes"]
     at = ind.as_of(gates, gated.select("market", "symbol", F.col("session").alias("day")), keep).filter("passes").withColumnRenamed("day", "session")
     rows = geometry(at, ind.numbered(bars).select("market", "symbol", "idx", "high", "low", "volume", "session"), params)
     c, f = F.col("cluster"), F.col("fit")

@@ -42,6 +42,7 @@ def compute(instruments: DataFrame, bars: DataFrame, resolutions: DataFrame, lab
     with detections, however long ago: so everything is computed up to the last night of each market.
     :func:`run_market` reads what has been stored instead.
     """
+    shared.compiled_by_parts(bars.sparkSession)
     bars = shared.stored(bars, "bars")
     members = shared.stored(universe.universe(instruments, bars, resolutions, params), "universe")
     if nights is None:
@@ -144,6 +145,7 @@ def run_market(spark: SparkSession, base: str, instruments: DataFrame, resolutio
     resolutions: the fetch outcomes of the target sessions, which hold for every session that is filled in.
     A market whose pull is incomplete gets a quarantined run for its target and nothing else. Bars must be stored already.
     """
+    shared.compiled_by_parts(spark)
     seen, attempt = tables.last_commits(spark, base), uuid.uuid4().hex
     write_out(spark, base)
     labels_at = tables.path(base, "labels")

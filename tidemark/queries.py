@@ -17,7 +17,7 @@ from tidemark.params import DERIVED, LOOKBACKS
 from tidemark.plans import nights
 from tidemark.sources import bars as bar_source
 from tidemark.sources import derived, listings
-from tidemark.sources.shared import folder, stored
+from tidemark.sources.shared import compiled_by_parts, folder, stored
 from tidemark.streaming import ingest, members
 
 #: An instant inside the last sessions: the US bar of that day isn't final yet, the IDX bar is.
@@ -34,6 +34,7 @@ class Tables:
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.sf_dir, self.params = spark, sf_dir, DERIVED
+        compiled_by_parts(spark)
 
     @cached_property
     def raw(self) -> DataFrame:
@@ -41,7 +42,7 @@ class Tables:
 
     @cached_property
     def bars(self) -> DataFrame:
-        return stored(derived.bars(self.spark, self.sf_dir), "bars")
+        return derived.bars(self.spark, self.sf_dir)
 
     @cached_property
     def instruments(self) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.params import INDEXES
+from tidemark.sources.shared import stored
 
 MARKET = "CASE WHEN k % 2 = 0 THEN 'US' ELSE 'IDX' END"
 SYMBOL = "concat('S', lpad(CAST(k AS STRING), 5, '0'))"
@@ -49,9 +50,9 @@ def index_bars(bars: DataFrame) -> DataFrame:
 
 
 def bars(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Traded bars of all instruments, the indexes included."""
-    traded = raw_bars(spark, sf_dir).filter("volume > 0")
-    return traded.unionByName(index_bars(traded))
+    """Traded bars of all instruments, the indexes included. Stored, as the indexes are read from those of the others: the order tables are read once."""
+    traded = stored(raw_bars(spark, sf_dir).filter("volume > 0"), "bars")
+    return traded.unionByName(stored(index_bars(traded), "index_bars"))
 
 
 def instruments(spark: SparkSession, sf_dir: str) -> DataFrame:

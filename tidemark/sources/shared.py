@@ -7,6 +7,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+LIMIT = "spark.sql.codegen.hugeMethodLimit"
+
 
 def folder(spark: SparkSession) -> str:
     """The folder in spark.checkpoint.dir; only a session that runs in one process, as in tests, may name none."""
@@ -19,6 +21,12 @@ def folder(spark: SparkSession) -> str:
     return named.rstrip("/")
 
 
+def compiled_by_parts(spark: SparkSession) -> None:
+    """Has a session's projections compiled as many small methods where one for a whole stage would be larger than the JVM compiles: it would interpret that one, which takes several times as long."""
+    if spark.conf.get(LIMIT) == "65535":
+        spark.conf.set(LIMIT, "8000")
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """df as Parquet in the shared folder: computed once, pruned by column at every use."""
     where = f"{folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
