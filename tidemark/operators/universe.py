@@ -39,8 +39,9 @@ def membership(instruments: DataFrame, bars: DataFrame, resolutions: DataFrame,
 
     A candidate session without an outcome counts as resolved.
     """
-    grid = density(candidate_sessions(instruments, bars), bars, params)
-    out = grid.join(resolutions.select("market", "symbol", "session", "status"), ["market", "symbol", "session"], "left")
+    # Outcomes are joined before any window, so that both joins share one exchange and all windows another.
+    grid = candidate_sessions(instruments, bars).join(resolutions.select("market", "symbol", "session", "status"), ["market", "symbol", "session"], "left")
+    out = density(grid, bars, params)
     least = floor(F.col("market"), params)
     hard = is_common_stock(F.col("name")) & (F.col("age") >= params.min_bars) & F.col("dense")
     signal = F.when(F.col("status") != "resolved", F.lit(None)).when(~hard, 0).when(F.col("liquidity") >= least, 1).when(F.col("liquidity") < params.exit_share * least, 0)
