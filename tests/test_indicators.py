@@ -123,3 +123,20 @@ def test_returns_sort_no_row_a_lookback(spark):
     assert {(r["session"].day, r["lookback"]): r["raw_return"] for r in got.collect()} == {(31, "1w"): 1.0, (31, "1m"): 1.0, (28, "1w"): 0.0, (28, "1m"): 1.0}
     plan = got._jdf.queryExecution().optimizedPlan().toString()
     assert plan.index("Generate") < plan.index("Window") and plan.count("Generate") == 1
+
+
+def test_ema_beside_bars_without_a_close(spark):
+    df = bars(spark, rows("A", [float(i % 7 + 1) for i in range(40)]), rows("B", [3.0] * 4)).withColumn("close", F.when(F.col("session") != date(2026, 1, 10), F.col("close")))
+    got = {(r["symbol"], r["session"]): r["ema"] for r in ind.with_ema(df, 5).collect()}
+    want = {(r["symbol"], r["session"]): r["ema"] for r in ind.ema(df, 5).collect()}
+    assert len(got) == 44 and got.pop(("A", date(2026, 1, 10))) is None and got == want
+
+
+def test_chart_exchanges_bars_once(spark):
+    from tidemark.operators import chart
+
+    df = bars(spark, rows("A", [float(i % 7 + 1) for i in range(40)]))
+    symbols = spark.createDataFrame([("US", "A", date(2026, 2, 1))], "market string, symbol string, as_of date")
+    found = spark.createDataFrame([], "market string, symbol string, session date, base_len int, cluster_k int, cluster_high double, slope double")
+    plan = chart.chart_rows(df, symbols, found)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") <= 4  # bars, symbols, setups and their join; ten before

@@ -86,16 +86,26 @@ def ema(bars: DataFrame, n: int = Params().ema) -> DataFrame:
     one, all passes share one sort, and they end when what lies before the spans weighs nothing. Closes that are
     null or no bar take no part: a session without one has no ema.
     """
-    w, alpha = by_symbol(), 2 / (n + 1)
-    out = bars.filter("close IS NOT NULL").select("market", "symbol", "session", "close")
-    out = out.withColumn("_no", F.row_number().over(w)).withColumn("_first", F.avg("close").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    out = out.withColumn("ema", F.when(F.col("_no") < n, 0.0).when(F.col("_no") == n, F.col("_first")).otherwise(alpha * F.col("close"))).drop("_first", "close")
+    return _scanned(bars.filter("close IS NOT NULL").select("market", "symbol", "session", "close"), by_symbol(), n).select("market", "symbol", "session", "ema")
+
+
+def with_ema(bars: DataFrame, n: int = Params().ema) -> DataFrame:
+    """bars with ema, null where close is: bars without a close are windowed by themselves, so that the rest needs no join to come back to them."""
+    out = _scanned(bars.withColumn("_none", F.col("close").isNull()), Window.partitionBy("market", "symbol", "_none").orderBy("session"), n)
+    return out.withColumn("ema", F.when(~F.col("_none"), F.col("ema"))).drop("_none")
+
+
+def _scanned(bars: DataFrame, w: WindowSpec, n: int) -> DataFrame:
+    """bars with ema over w."""
+    alpha = 2 / (n + 1)
+    out = bars.withColumn("_no", F.row_number().over(w)).withColumn("_first", F.avg("close").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    out = out.withColumn("ema", F.when(F.col("_no") < n, 0.0).when(F.col("_no") == n, F.col("_first")).otherwise(alpha * F.col("close"))).drop("_first")
     span = 1
     while (1 - alpha) ** span > EMA_NOTHING:
         earlier = [(1 - alpha) ** (i * span) * F.lag("ema", i * span, 0.0).over(w) for i in range(EMA_RADIX - 1, 0, -1)]
         out = out.withColumn("ema", reduce(add, [*earlier, F.col("ema")]))
         span *= EMA_RADIX
-    return out.select("market", "symbol", "session", F.when(F.col("_no") >= n, F.col("ema")).alias("ema"))
+    return out.withColumn("ema", F.when(F.col("_no") >= n, F.col("ema"))).drop("_no")
 
 
 def as_of(bars: DataFrame, probes: DataFrame, columns: list[str]) -> DataFrame:
