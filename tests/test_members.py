@@ -1,6 +1,8 @@
 import random
+import statistics
 from datetime import timedelta
 
+import pandas as pd
 import pytest
 from helpers import bars, rows, weekdays
 from pyspark.sql import functions as F
@@ -58,3 +60,76 @@ def test_repeats_of_a_stream(spark, tmp_path):
         members.start_repeats(spark, raw, where, check, reports(("B", 1), ("B", 0), ("D", 1))).awaitTermination()
     got = {(r["symbol"], r["session"]): (r["repeat"], r["last_reported"]) for r in members.read(spark, where, members.REPEATS).collect()}
     assert got == {("A", DAYS[3]): (False, None), ("A", DAYS[5]): (True, DAYS[3]), ("B", DAYS[4]): (True, DAYS[1]), ("B", DAYS[9]): (True, DAYS[4]), ("C", DAYS[9]): (False, None)}
+
+
+class Kept:
+    """A value of state that counts its reads and writes."""
+
+    def __init__(self):
+        self.value, self.reads, self.writes = None, 0, 0
+
+    def get(self):
+        self.reads += 1
+        return self.value
+
+    def update(self, value):
+        self.value, self.writes = value, self.writes + 1
+
+
+def begun(processor):
+    kept = Kept()
+    processor.init(type("Handle", (), {"getValueState": lambda self, *_: kept})())
+    return processor, kept
+
+
+def plain_members(rows, params):
+    """Row by row: a block's members, of rows in order of days, the first of a day counting."""
+    found, state = set(), {}
+    for x in sorted(rows, key=lambda x: x["day"]):
+        s = state.setdefault(x["symbol"], {"day": -1, "traded": [], "volumes": [], "age": 0, "liquidity": 0.0, "member": False})
+        if x["day"] <= s["day"]:
+            continue
+        s["day"], s["traded"] = x["day"], [*s["traded"], x["traded"]]
+        if x["traded"]:
+            s["age"], s["volumes"] = s["age"] + 1, [*s["volumes"], x["dollar_volume"]][-params.window :]
+            known = [v for v in s["volumes"] if v is not None]
+            s["liquidity"] = statistics.median(known) if known else s["liquidity"]
+        if x["settled"]:
+            dense = sum(s["traded"][-params.window :]) >= params.density_min and any(s["traded"][-params.density_recent :])
+            hard = x["common"] and s["age"] >= params.min_bars and dense
+            if not hard or s["liquidity"] < params.exit_share * x["least"]:
+                s["member"] = False
+            elif s["liquidity"] >= x["least"]:
+                s["member"] = True
+        if s["member"]:
+            found.add((x["symbol"], x["day"]))
+    return found
+
+
+def test_a_block_of_symbols_costs_a_batch_one_read_and_one_write_of_state():
+    params, rng, rows = Params(window=6, min_bars=5, density_min=4, density_recent=2), random.Random(7), []
+    for i in range(40):
+        for day in range(90):
+            if rng.random() < 0.95:
+                traded = rng.random() < (0.85 if day % 30 < 22 else 0.3)
+                volume = rng.choice([700.0, 900.0, 1000.0, 1200.0, None]) if i else None
+                rows.append({"symbol": f"N{i}", "day": day, "traded": traded, "dollar_volume": volume if traded else None, "common": i % 9 != 5, "least": 950.0, "settled": rng.random() < 0.9})
+    rows.append(rows[-1] | {"traded": False, "settled": True})  # a day that comes twice: the first counts
+    want = plain_members(rows, params)
+    assert 200 < len(want) < 3000
+    one, kept = begun(members.Membership(params))
+    got = set()
+    for n, (a, b) in enumerate(((0, 30), (30, 31), (20, 60), (60, 90), (0, 90)), 1):
+        batch = [x for x in rows if a <= x["day"] < b and not (n == 2 and x["symbol"] > "N3")] + ([x for x in rows if x["day"] == 30 and x["symbol"] > "N3"] if n == 3 else [])
+        symbols, days = one._members(pd.DataFrame(batch).sample(frac=1, random_state=n) if n < 4 else pd.DataFrame(batch))
+        new = set(zip(symbols, days.tolist()))
+        assert not new & got and len(new) == len(days) and kept.reads == n
+        got |= new
+    assert got == want and kept.writes == 4  # the last batch brought nothing new
+    assert {len(x) for x in kept.value} == {40, 40 * params.window}
+
+    marks, kept = begun(members.Repeats())
+    out = marks._marked(pd.DataFrame({"symbol": ["B", "A", "B", "A"], "day": [9, 5, 4, 5]}))
+    assert out.astype(object).where(out.notna(), None).values.tolist() == [["B", 4, None], ["B", 9, 4], ["A", 5, None]]
+    out = marks._marked(pd.DataFrame({"symbol": ["C", "A", "B"], "day": [1, 6, 9]}))
+    assert sorted(out.astype(object).where(out.notna(), None).values.tolist()) == [["A", 6, 5], ["C", 1, None]] and (kept.reads, kept.writes) == (2, 2)

@@ -359,28 +359,28 @@ def stream_bars(t: Tables) -> DataFrame:
     return tables.read(t.spark, f"{base}/bars", "bars").select("market", "symbol", "session", "close", "volume").join(counts, ["market", "symbol"])
 
 
-def _by_thirds(t: Tables, rows: DataFrame, name: str) -> tuple[str, DataFrame, list[DataFrame]]:
-    """A new folder, the rows of a first third of the weeks' range, and those of the other two, one by one."""
-    rows = stored(rows, name)
+def _by_thirds(t: Tables, rows: DataFrame, name: str) -> tuple[str, Column, list[DataFrame]]:
+    """A new folder, whether a session is in the first third of the weeks' range, and the rows (stored) of each third."""
     week = F.expr(derived.WEEK)
     a, b = rows.agg(F.coalesce(F.min(week), F.lit(0)), F.coalesce(F.max(week), F.lit(0))).first()
-    first, *later = [rows.filter(F.floor((week - a) * 3 / (b - a + 1)) == i) for i in range(3)]
-    return f"{folder(t.spark)}/{name}-{uuid.uuid4().hex}", first, later
+    third = F.floor((week - a) * 3 / (b - a + 1))
+    return f"{folder(t.spark)}/{name}-{uuid.uuid4().hex}", third == 0, [rows.filter(third == i) for i in range(3)]
 
 
 def stream_universe(t: Tables) -> DataFrame:
     """The universe with the sessions of a first third as the stored state, and the others as a stream that is stopped and started once."""
-    base, first, later = _by_thirds(t, members.grid(t.instruments, t.bars, t.resolutions, t.params), "grid")
+    rows = stored(members.grid(t.instruments, t.bars, t.resolutions, t.params), "grid")
+    base, early, (first, *later) = _by_thirds(t, rows, "grid")
     for rows in later:
         rows.write.mode("append").parquet(f"{base}/raw")
         members.start_members(t.spark, f"{base}/raw", f"{base}/members", f"{base}/check", first, t.params).awaitTermination()
-    before = first.select("market", "session").distinct()
-    return t.universe.join(F.broadcast(before), ["market", "session"], "left_semi").unionByName(members.read(t.spark, f"{base}/members", members.MEMBERS))
+    before = universe.universe(t.instruments, t.bars.filter(early), t.resolutions.filter(early), t.params)  # a session's members depend on no later one
+    return before.unionByName(members.read(t.spark, f"{base}/members", members.MEMBERS))
 
 
 def stream_digest(t: Tables) -> DataFrame:
     """The digest with its repeat markers from a stream of reports; those of a first third are the stored state."""
-    base, first, later = _by_thirds(t, t.digest, "reports")
+    base, _, (first, *later) = _by_thirds(t, t.digest, "reports")
     for rows in later:
         rows.select("market", "symbol", "session").write.mode("append").parquet(f"{base}/raw")
         members.start_repeats(t.spark, f"{base}/raw", f"{base}/marks", f"{base}/check", first).awaitTermination()

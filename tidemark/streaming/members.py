@@ -3,14 +3,18 @@
 A symbol's state is of bounded size: what the gates look back on, the last signal, the last report. It can begin
 with what is stored. Sessions come in order; one that isn't after the last that its symbol had is a repeat
 and changes nothing. A batch's rows take the place of what an earlier try of it wrote.
+
+Symbols are kept in BLOCKS a market, one value of state each: a batch calls Python and reads and writes state
+once a block, and all symbols of a block are computed together.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
@@ -25,6 +29,9 @@ from tidemark.streaming.ingest import KEY, ROCKS
 GRID = "market string, symbol string, session date, traded boolean, dollar_volume double, status string, common boolean, least double"
 MEMBERS = "market string, symbol string, session date"
 REPORTS = "market string, symbol string, session date"
+#: Fixed value: a checkpoint is bound to it.
+BLOCKS = 2048
+GROUP = ["market", "block"]
 REPEATS = "market string, symbol string, session date, repeat boolean, last_reported date"
 
 
@@ -36,105 +43,165 @@ def grid(instruments: DataFrame, bars: DataFrame, resolutions: DataFrame, params
     return out.select(*on, F.coalesce("traded", F.lit(False)).alias("traded"), "dollar_volume", "status", is_common_stock(F.col("name")).alias("common"), floor(F.col("market"), params).cast("double").alias("least"))
 
 
-def _in_order(rows: Iterator[pd.DataFrame]) -> pd.DataFrame | None:
-    """A symbol's rows of one batch by session; None if there are none (a symbol of the initial state alone)."""
+def _blocked(rows: DataFrame, *columns: Column | str) -> DataFrame:
+    """market, block, symbol, day (a whole number) and the columns."""
+    return rows.select("market", F.pmod(F.hash("symbol"), F.lit(BLOCKS)).alias("block"), "symbol", F.unix_date("session").alias("day"), *columns)
+
+
+def _whole(rows: Iterator[pd.DataFrame]) -> pd.DataFrame | None:
+    """A block's rows of one batch; None if there are none (a block of the initial state alone)."""
     parts = [x for x in rows if len(x)]
-    return _by_session(pd.concat(parts)) if parts else None
+    return pd.concat(parts) if parts else None
+
 
+def _unpacked(rows: pd.DataFrame) -> pd.DataFrame:
+    """One row for each element of the arrays of symbols' rows."""
+    packed = [c for c in rows.columns if c not in ("market", "block", "symbol")]
+    return pd.DataFrame({"symbol": np.repeat(rows["symbol"].to_numpy(), [len(x) for x in rows["day"]])} | {c: np.concatenate(list(rows[c])) for c in packed})
+
+
+class News:
+    """The rows of a batch that come after the last session of their symbol, in order: place among the given rows, code of the symbol, and day.
+
+    Known symbols have the first codes, in their order. upto is each symbol's last day with these rows.
+    """
 
-def _by_session(rows: pd.DataFrame) -> pd.DataFrame:
-    return rows.assign(session=pd.to_datetime(rows["session"]).dt.date).sort_values("session", ignore_index=True)
+    def __init__(self, symbols: list, last: list, rows: pd.DataFrame):
+        k = len(symbols)
+        code, self.symbols = pd.factorize(np.concatenate([np.array(symbols, object), rows["symbol"].to_numpy(object)]))
+        code, day = code[k:], rows["day"].to_numpy(np.int64)
+        self.upto = self.padded(last, np.iinfo(np.int32).min)
+        order = np.lexsort((day, code))
+        same = np.append(False, (np.diff(code[order]) == 0) & (np.diff(day[order]) == 0))
+        self.place = order[~same & (day[order] > self.upto[code[order]])]
+        self.code, self.day = code[self.place], day[self.place]
+        self.counts = np.bincount(self.code, minlength=len(self.symbols))
+        self.first = (np.cumsum(self.counts) - self.counts)[self.code]  # of each row, its symbol's first one
+        self.ends = np.append(np.flatnonzero(np.diff(self.code)), len(self.code) - 1) if len(self.code) else np.array([], int)
+        self.upto[self.code[self.ends]] = self.day[self.ends]
+
+    def padded(self, known, empty) -> np.ndarray:
+        """A value for each symbol: the known one, or empty."""
+        known = np.asarray(known)
+        return np.concatenate([known, np.full((len(self.symbols) - len(known), *known.shape[1:]), empty)]) if len(known) else np.full((len(self.symbols), *known.shape[1:]), empty)
+
+    def carried(self, value: np.ndarray, known: np.ndarray, start: np.ndarray) -> np.ndarray:
+        """Of each row, the value of the last known one up to it; before that its symbol's start."""
+        at = np.maximum.accumulate(np.where(known, np.arange(len(value)), -1))
+        return np.where(at >= self.first, value[at], start[self.code])
+
+
+def _after(history: np.ndarray, code: np.ndarray, value: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each symbol's history (a row of the matrix) and, after it, its values, as one array; and where in it the values are."""
+    at = np.arange(len(code)) + history.shape[1] * (code + 1)
+    out = np.empty(len(code) + history.size, history.dtype)
+    rest = np.ones(len(out), bool)
+    rest[at] = False
+    out[at], out[rest] = value, history.ravel()
+    return out, at
 
 
 class Membership(StatefulProcessor):
-    """Of one symbol: the last session, a bit for each recent one that traded, recent dollar volumes, the number of bars, the last liquidity, and whether it is a member."""
+    """Of each symbol of a block: the last session, a bit for each recent one that traded, recent dollar volumes, the number of bars, the last liquidity, and whether it is a member."""
 
     def __init__(self, params: Params = Params()):
         self.params = params
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("state", "session date, traded bigint, volumes array<double>, age bigint, liquidity double, member boolean")
-
-    def _signal(self, row, traded: int, age: int, liquidity: float) -> bool | None:
-        p = self.params
-        if row.status is not None and row.status == row.status and row.status != "resolved":
-            return None
-        dense = traded.bit_count() >= p.density_min and traded & ((1 << p.density_recent) - 1)
-        if not (row.common and age >= p.min_bars and dense):
-            return False
-        return True if liquidity >= row.least else False if liquidity < p.exit_share * row.least else None
-
-    def _members(self, rows: pd.DataFrame) -> list:
-        last, traded, volumes, age, liquidity, member = self.state.get() if self.state.exists() else (None, 0, [], 0, 0.0, False)
-        traded, volumes, age, found = int(traded), list(volumes), int(age), []
-        for row in rows.itertuples(index=False):
-            if last is not None and row.session <= last:
-                continue
-            last = row.session
-            traded = (traded << 1 | bool(row.traded)) & ((1 << self.params.window) - 1)
-            if row.traded:
-                age += 1
-                volumes = [*volumes, row.dollar_volume][-self.params.window :]
-                known = sorted(v for v in volumes if v is not None and v == v)
-                if known:
-                    liquidity = 0.5 * known[(len(known) - 1) // 2] + 0.5 * known[len(known) // 2]
-            signal = self._signal(row, traded, age, liquidity)
-            member = bool(member) if signal is None else signal
-            if member:
-                found.append(last)
-        if last is not None:
-            self.state.update((last, traded, [None if v is None or v != v else float(v) for v in volumes], age, float(liquidity), bool(member)))
-        return found
+        self.state = handle.getValueState("state", "symbols array<string>, last array<int>, traded array<bigint>, volumes array<double>, age array<bigint>, liquidity array<double>, member array<boolean>")
+
+    def _members(self, rows: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+        """Symbol and day of the members on the sessions that are new."""
+        p, w = self.params, self.params.window
+        symbols, last, traded, volumes, age, liquidity, member = self.state.get() or ([], [], [], [], [], [], [])
+        new = News(symbols, last, rows)
+        if not len(new.code):
+            return new.symbols[:0], new.day
+        bits = 1 << np.arange(w - 1, -1, -1, dtype=np.int64)  # a symbol's last session has the lowest one
+        recent = (new.padded(np.asarray(traded, np.int64), 0)[:, None] & bits > 0).astype(np.int64)
+        recent_volumes = new.padded(np.asarray(volumes, float).reshape(-1, w), np.nan)
+        age, liquidity, member = new.padded(np.asarray(age, np.int64), 0), new.padded(np.asarray(liquidity, float), 0.0), new.padded(np.asarray(member, bool), False)
+        own = lambda c, kind: rows[c].to_numpy(kind)[new.place]
+        trades, least = own("traded", bool), own("least", float)
+
+        sessions, at = _after(recent, new.code, trades)
+        total = np.append(0, np.cumsum(sessions))
+        dense = (total[at + 1] - total[at + 1 - w] >= p.density_min) & (total[at + 1] > total[at + 1 - p.density_recent])
+        ages = age[new.code] + total[at + 1] - total[at[new.first]]
+
+        bars, bar_at = _after(recent_volumes, new.code[trades], own("dollar_volume", float)[trades])
+        last_bars = np.lib.stride_tricks.sliding_window_view(bars, w)
+        known = np.sort(last_bars[bar_at - w + 1], axis=1)  # what isn't known is at the end
+        n, each = (~np.isnan(known)).sum(axis=1), np.arange(len(known))
+        middle = np.full(len(new.code), np.nan)
+        middle[trades] = 0.5 * known[each, (n - 1) // 2] + 0.5 * known[each, n // 2]
+        liquid = new.carried(middle, ~np.isnan(middle), liquidity)
+
+        hard = own("common", bool) & (ages >= p.min_bars) & dense
+        signal = np.select([~own("settled", bool), ~hard, liquid >= least, liquid < p.exit_share * least], [-1, 0, 1, 0], -1)
+        members = new.carried(signal == 1, signal >= 0, member)
+
+        ends, who = new.ends, new.code[new.ends]
+        recent[who] = np.lib.stride_tricks.sliding_window_view(sessions, w)[at[ends] - w + 1]
+        recent_volumes = last_bars[w * np.arange(len(new.symbols)) + np.cumsum(np.bincount(new.code[trades], minlength=len(new.symbols)))]
+        age[who], liquidity[who], member[who] = ages[ends], liquid[ends], members[ends]
+        self.state.update(tuple(x.tolist() for x in (new.symbols, new.upto, recent @ bits, recent_volumes.ravel(), age, liquidity, member)))
+        return new.symbols[new.code[members]], new.day[members]
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        got = _in_order(rows)
-        found = [] if got is None else self._members(got)
-        if found:
-            yield pd.DataFrame({"market": key[0], "symbol": key[1], "session": found})
+        got = _whole(rows)
+        symbols, days = ([], []) if got is None else self._members(got)
+        if len(days):
+            yield pd.DataFrame({"market": key[0], "symbol": symbols, "day": days})
 
     def handleInitialState(self, key, initialState: pd.DataFrame, timerValues) -> None:
-        self._members(_by_session(initialState))
+        self._members(_unpacked(initialState))
 
 
 class Repeats(StatefulProcessor):
-    """Of one symbol: the session of its last report."""
+    """Of each symbol of a block: the session of its last report."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.last = handle.getValueState("last", "session date")
-
-    def _marked(self, sessions) -> list[tuple]:
-        last, out = self.last.get()[0] if self.last.exists() else None, []
-        for x in sessions:
-            if last is None or x > last:
-                out.append((x, last is not None, last))
-                last = x
-        if out:
-            self.last.update((last,))
-        return out
+        self.state = handle.getValueState("state", "symbols array<string>, last array<int>")
+
+    def _marked(self, rows: pd.DataFrame) -> pd.DataFrame:
+        """symbol, day, before of the reports that are new; before: the day of the symbol's last report, or null."""
+        symbols, last = self.state.get() or ([], [])
+        new = News(symbols, last, rows)
+        if len(new.code):
+            self.state.update((new.symbols.tolist(), new.upto.tolist()))
+        had = new.padded(np.asarray(last, float), np.nan)
+        before = np.where(np.arange(len(new.code)) > new.first, np.append(0, new.day[:-1]), had[new.code]) if len(new.code) else new.day
+        return pd.DataFrame({"symbol": new.symbols[new.code], "day": new.day, "before": pd.array(before, "Int64")})
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        got = _in_order(rows)
-        out = [] if got is None else self._marked(got["session"])
-        if out:
-            yield pd.DataFrame([(*key, *x) for x in out], columns=[x.split()[0] for x in REPEATS.split(", ")])
+        got = _whole(rows)
+        out = None if got is None else self._marked(got)
+        if out is not None and len(out):
+            out.insert(0, "market", key[0])
+            yield out
 
     def handleInitialState(self, key, initialState: pd.DataFrame, timerValues) -> None:
-        self._marked(_by_session(initialState)["session"])
+        self._marked(_unpacked(initialState))
 
 
-def _start(spark: SparkSession, source: str, schema: str, keep: StatefulProcessor, out: str, where: str, checkpoint: str, stored: DataFrame | None, files_per_batch: int) -> StreamingQuery:
+def _start(spark: SparkSession, source: str, schema: str, columns: list, keep: StatefulProcessor, out: str, result: list, where: str, checkpoint: str, stored: DataFrame | None, files_per_batch: int) -> StreamingQuery:
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
-    names = [x.split()[0] for x in schema.split(", ")]
     begun = None
     if stored is not None:
         first = f"{checkpoint.rstrip('/')}-begun"  # written once, so that a first batch that is repeated begins with the same state
+        old = _blocked(stored, *columns)
         if not exists(spark, f"{first}/_SUCCESS"):
-            stored.select(*names).write.mode("overwrite").parquet(first)
-        begun = spark.read.schema(schema).parquet(first).groupBy(*KEY)
+            # A symbol's rows are one: they come to the state together, in whatever order.
+            names = old.columns[3:]
+            packed = old.groupBy(*GROUP, "symbol").agg(F.collect_list(F.struct(*names)).alias("_x")).select(*GROUP, "symbol", *[F.col(f"_x.{c}").alias(c) for c in names])
+            packed.write.mode("overwrite").parquet(first)
+        kinds = ", ".join(f"{x.name} {x.dataType.simpleString() if i < 3 else 'array<' + x.dataType.simpleString() + '>'}" for i, x in enumerate(old.schema))
+        begun = spark.read.schema(kinds).parquet(first).groupBy(*GROUP)
     rows = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(source)
-    found = rows.groupBy(*KEY).transformWithStateInPandas(keep, out, "Append", "None", initialState=begun)
+    found = _blocked(rows, *columns).groupBy(*GROUP).transformWithStateInPandas(keep, out, "Append", "None", initialState=begun)
     put = lambda batch, n: batch.write.mode("overwrite").parquet(f"{where}/batch={n}")
-    return found.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return found.select("market", "symbol", F.date_from_unix_date("day").alias("session"), *result).writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def start_members(spark: SparkSession, source: str, where: str, checkpoint: str, stored: DataFrame | None = None, params: Params = Params(), files_per_batch: int = 1000) -> StreamingQuery:
@@ -142,12 +209,15 @@ def start_members(spark: SparkSession, source: str, where: str, checkpoint: str,
 
     stored: the rows of GRID of earlier sessions, which the state begins with.
     """
-    return _start(spark, source, GRID, Membership(params), MEMBERS, where, checkpoint, stored, files_per_batch)
+    settled = F.coalesce(F.col("status") == "resolved", F.lit(True)).alias("settled")
+    columns = [*[F.coalesce(c, F.lit(False)).alias(c) for c in ("traded", "common")], "dollar_volume", "least", settled]
+    return _start(spark, source, GRID, columns, Membership(params), "market string, symbol string, day int", [], where, checkpoint, stored, files_per_batch)
 
 
 def start_repeats(spark: SparkSession, source: str, where: str, checkpoint: str, stored: DataFrame | None = None, files_per_batch: int = 1000) -> StreamingQuery:
     """Marks all reports (REPORTS) that are available under source by the last report of their symbol; stored: earlier reports."""
-    return _start(spark, source, REPORTS, Repeats(), REPEATS, where, checkpoint, stored, files_per_batch)
+    result = [F.col("before").isNotNull().alias("repeat"), F.date_from_unix_date("before").alias("last_reported")]
+    return _start(spark, source, REPORTS, [], Repeats(), "market string, symbol string, day int, before int", result, where, checkpoint, stored, files_per_batch)
 
 
 def read(spark: SparkSession, where: str, schema: str) -> DataFrame:
