@@ -6,7 +6,7 @@ from helpers import bars, rows
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tidemark.operators import acceptance, candidates, digest, ranks, regime, sectors
+from tidemark.operators import acceptance, candidates, digest, indicators, ranks, regime, sectors
 from tidemark.params import DIMENSIONS, Params
 
 DAY = date(2026, 7, 15)
@@ -192,3 +192,31 @@ def test_report_files(spark, tmp_path):
     files = list((tmp_path / "digests" / "market=US" / "session=2026-07-15").glob("*.txt"))
     text = files[0].read_text()
     assert len(files) == 1 and text.startswith("# US digest — 2026-07-15\n\n") and text.endswith("\nNo breaks tonight.\n")
+
+
+def test_boards_of_returns_equal_those_of_ranks(spark):
+    rng, data = random.Random(3), []
+    for day, n in ((date(2026, 1, 5), 400), (date(2026, 1, 6), 31), (date(2026, 1, 7), 7)):
+        for lookback, odd in (("1w", [0.0, -0.0, 0.5]), ("1m", [float("inf"), float("nan"), -1.0]), ("12m", [2.0] * 3)):
+            values = [rng.choice([rng.gauss(0, 0.4), round(rng.gauss(0, 0.4), 1), *odd]) for _ in range(n)]
+            data += [("US", f"S{i:03d}", day, lookback, x) for i, x in enumerate(values)]
+    data += [("IDX", f"S{i}", date(2026, 1, 5), "1w", 0.25) for i in range(50)]  # all alike
+    returns = spark.createDataFrame(data, "market string, symbol string, session date, lookback string, raw_return double")
+    share = F.cume_dist().over(Window.partitionBy("market", "session", "lookback").orderBy("raw_return"))
+    want = ranks.board_rows(returns.withColumn("percentile", share)).select("market", "session", "symbol", "lookback", "percentile", "raw_return", "rank")
+    got = ranks.boards(returns)
+    assert got.columns == want.columns
+    text = lambda df: sorted(str(tuple(x)).replace("-0.0,", "0.0,") for x in df.collect())
+    assert text(got) == text(want) and len(text(got)) == 3 * (30 + 30 + 7) + 30
+
+
+def test_bars_are_sorted_once_for_returns_and_no_group_for_boards(spark):
+    day = date(2026, 1, 5)
+    df = spark.createDataFrame([("US", f"S{i}", day + timedelta(days=7 * k), 1.0 + i * k) for i in range(3) for k in range(60)], "market string, symbol string, session date, adj_close double")
+    returns = indicators.calendar_returns(df)
+    plan = lambda x: x._jdf.queryExecution().sparkPlan().toString()
+    assert plan(returns).count("Window [") == 1 and "Union" not in plan(returns)
+    assert plan(indicators.calendar_returns(df, df.select("market", "symbol", "session"))).count("Window [") == 1
+    assert "cume_dist" not in plan(ranks.boards(returns))
+    keyed = indicators.calendar_returns(df, df.select("market", "symbol", "session"))
+    assert sorted(map(tuple, keyed.collect())) == sorted(map(tuple, returns.collect())) and returns.count() > 500

@@ -19,14 +19,6 @@ def anchors(day: Column) -> Column:
     return F.array(*[F.struct(F.lit(k).alias("lookback"), anchor_date(day, k).alias("anchor")) for k in LOOKBACKS])
 
 
-def places(day: Column) -> dict[str, tuple[Column, int]]:
-    """Of each unit of lookbacks, a whole number that grows with the day, and how much less it is a unit earlier: days up to that place are those up to the anchor.
-
-    Months have 32 places, so that an anchor that would lie beyond its month's end is at that end.
-    """
-    return {"days": (F.unix_date(day), 1), "months": ((F.year(day) * 12 + F.month(day)) * 32 + F.day(day), 32)}
-
-
 def _by_market(market: Column, values: dict) -> Column:
     return F.coalesce(*[F.when(market == k, F.lit(v)) for k, v in values.items()])
 

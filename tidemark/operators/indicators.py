@@ -13,7 +13,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window, WindowSpec
 
-from tidemark.functions.dates import places
 from tidemark.operators.hygiene import dollar_volume
 from tidemark.params import LOOKBACKS, Params
 
@@ -122,22 +121,24 @@ def as_of(bars: DataFrame, probes: DataFrame, columns: list[str]) -> DataFrame:
     return found.select(*probes.columns, *[F.col(f"_bar.{c}").alias(c) for c in columns])
 
 
-def calendar_returns(bars: DataFrame, keys: DataFrame) -> DataFrame:
-    """market, symbol, session, lookback, raw_return for each key (market, symbol, session) and lookback that has one.
+def calendar_returns(bars: DataFrame, keys: DataFrame | None = None) -> DataFrame:
+    """market, symbol, session, lookback, raw_return for each key (market, symbol, session) and lookback that has one; without keys, for each bar.
 
     From the last adjusted close on or before the anchor day to the last on or before the session. Keys are sorted
-    with bars once for each unit of lookbacks, and a window's range ends at the anchor: no row a lookback is sorted.
+    with bars once, and a window's range of days or months ends at the anchor: no row a lookback is sorted.
     """
-    bar = F.struct("adj_close")
-    b = bars.select("market", "symbol", "session", F.lit(False).alias("_key"), bar.alias("_bar"))
-    k = keys.select("market", "symbol", "session", F.lit(True).alias("_key"), F.lit(None).cast(b.schema["_bar"].dataType).alias("_bar"))
-    order = places(F.col("session"))
-
-    def close(unit: str, n: int) -> Column:
-        place, step = order[unit]
-        w = Window.partitionBy("market", "symbol").orderBy(place).rangeBetween(Window.unboundedPreceding, -n * step)
-        return F.last("_bar", ignorenulls=True).over(w)["adj_close"]
-
-    at = b.unionByName(k).select("market", "symbol", "session", "_key", close("days", 0).alias("end"), *[close(*x).alias(name) for name, x in LOOKBACKS.items()]).filter("_key")
+    rows = bars.select("market", "symbol", "session", F.lit(True).alias("_key"), F.struct("adj_close").alias("_bar"))
+    end = F.col("_bar")["adj_close"]
+    if keys is not None:
+        none = F.lit(None).cast(rows.schema["_bar"].dataType)
+        rows = rows.withColumn("_key", F.lit(False)).unionByName(keys.select("market", "symbol", "session", F.lit(True).alias("_key"), none.alias("_bar")))
+        end = _last_bar("CURRENT ROW")
+    starts = [_last_bar(f"{n} PRECEDING" if unit == "days" else f"INTERVAL '{n}' MONTH PRECEDING").alias(name) for name, (unit, n) in LOOKBACKS.items()]
+    at = rows.select("market", "symbol", "session", "_key", end.alias("end"), *starts).filter("_key")
     long = F.explode(F.array(*[F.struct(F.lit(x).alias("lookback"), (F.try_divide("end", x) - 1).alias("raw_return")) for x in LOOKBACKS]))
     return at.select("market", "symbol", "session", long.alias("x")).select("market", "symbol", "session", "x.*").filter("raw_return IS NOT NULL")
+
+
+def _last_bar(upto: str) -> Column:
+    """The adjusted close of the last bar up to there. In SQL, as a Window's ranges know no months; these clamp at their ends."""
+    return F.expr(f"last(_bar, true) OVER (PARTITION BY market, symbol ORDER BY session RANGE BETWEEN UNBOUNDED PRECEDING AND {upto})")["adj_close"]

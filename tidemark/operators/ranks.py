@@ -75,6 +75,23 @@ def board_rows(ranks: DataFrame, params: Params = Params()) -> DataFrame:
     return ranks.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= params.board_size)
 
 
+def boards(returns: DataFrame, params: Params = Params()) -> DataFrame:
+    """The board_rows of the ranks of returns (market, symbol, session, lookback, raw_return), for which no group is sorted or exchanged whole.
+
+    Returns are read twice: for each group's size and the range of 2^-4 in which its board ends, by counts, and for the
+    returns from that range on. All that are greater than one on a board are on it too, so their number gives its share.
+    """
+    by = ["market", "session", "lookback"]
+    part = F.when(F.isnan("raw_return"), F.lit(2**63 - 1)).otherwise(F.floor(F.col("raw_return") * 16.0))
+    rows = stored(returns, "returns").withColumn("_part", part)
+    counts = rows.groupBy(*by, "_part").agg(F.count("*").alias("_n"))
+    greater = F.coalesce(F.sum("_n").over(Window.partitionBy(*by).orderBy(F.desc("_part")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    ends = counts.withColumn("_greater", greater).groupBy(*by).agg(F.sum("_n").alias("_n"), F.min(F.when(F.col("_greater") < params.board_size, F.col("_part"))).alias("_end"))
+    best = board_rows(rows.join(F.broadcast(ends), by).filter(F.col("_part") >= F.col("_end")), params)  # a row a board, as many as sessions and lookbacks
+    above = F.rank().over(Window.partitionBy(*by).orderBy(F.desc("raw_return"))) - 1
+    return best.withColumn("percentile", (F.col("_n") - above) / F.col("_n")).select(*KEY, "lookback", "percentile", "raw_return", "rank")
+
+
 def board_names(ranks: DataFrame, params: Params = Params()) -> DataFrame:
     return board_rows(ranks, params).select(*KEY).distinct()
 

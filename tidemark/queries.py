@@ -133,7 +133,7 @@ def adr_sma(t: Tables) -> DataFrame:
 
 
 def calendar_returns(t: Tables) -> DataFrame:
-    return ind.calendar_returns(t.bars, t.bars.select("market", "symbol", "session")).withColumn("raw_return", F.round("raw_return", DIGITS))
+    return ind.calendar_returns(t.bars).withColumn("raw_return", F.round("raw_return", DIGITS))
 
 
 def _rounded_ranks(rows: DataFrame) -> DataFrame:
@@ -151,8 +151,8 @@ def rank_ranges(t: Tables) -> DataFrame:
 
 def flagship(t: Tables) -> DataFrame:
     """Boards of the names that traded on a session: bars, calendar returns, ranks, top 30."""
-    keys = t.bars.filter("symbol NOT LIKE '^%'").select("market", "session", "symbol")
-    return ranks.board_rows(ranks.ranks(keys, t.bars, t.params), t.params).withColumn("raw_return", F.round("raw_return", DIGITS)).withColumn("percentile", F.round("percentile", DIGITS))
+    returns = ind.calendar_returns(t.bars.filter("symbol NOT LIKE '^%'"))
+    return ranks.boards(returns, t.params).withColumn("raw_return", F.round("raw_return", DIGITS)).withColumn("percentile", F.round("percentile", DIGITS))
 
 
 def leaderboards(t: Tables) -> DataFrame:
