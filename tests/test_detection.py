@@ -199,3 +199,24 @@ def test_order_tables_are_read_once_for_bars(spark):
 
     got = derived.bars(spark, "/root/testdata/sf0.001")
     assert "l_suppkey" not in got._jdf.queryExecution().optimizedPlan().toString() and got.filter("symbol LIKE '^%'").count() > 0
+
+
+def test_only_bars_that_pass_are_sorted_with_sessions(spark):
+    rng = np.random.default_rng(11)
+    days = sorted(int(x) for x in rng.choice(400, 150, replace=False))
+    data = [("US", s, START + timedelta(days=d), i, 1.0, 1.0, float(d), (7, 1.0, 1.0, 1.0), True, bool(rng.random() < 0.4)) for s in "ABC" for i, d in enumerate(days)]
+    gates = spark.createDataFrame(data, "market string, symbol string, session date, idx int, adr double, adr_abs double, close double, cluster struct<k:int,high:double,low:double,range_adr:double>, sma20_rising boolean, passes boolean")
+    gated = spark.createDataFrame([("US", s, START + timedelta(days=d)) for s in "ABCD" for d in range(410)], "market string, symbol string, session date")
+    own = {(x[1], x[2]): x for x in data}
+    want = {}
+    for s in "ABC":
+        last = None
+        for d in range(410):
+            day = START + timedelta(days=d)
+            last = own.get((s, day), last)
+            if last and last[-1]:
+                want[s, day] = last[6]
+    got = detection.passing(gates, gated)
+    assert {(r["symbol"], r["session"]): r["close"] for r in got.collect()} == want and 300 < len(want) < 900
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "passes" in plan[plan.index("Union") :] and "passes" not in plan[: plan.index("Union")]

@@ -133,3 +133,22 @@ def test_a_block_of_symbols_costs_a_batch_one_read_and_one_write_of_state():
     assert out.astype(object).where(out.notna(), None).values.tolist() == [["B", 4, None], ["B", 9, 4], ["A", 5, None]]
     out = marks._marked(pd.DataFrame({"symbol": ["C", "A", "B"], "day": [1, 6, 9]}))
     assert sorted(out.astype(object).where(out.notna(), None).values.tolist()) == [["A", 6, 5], ["C", 1, None]] and (kept.reads, kept.writes) == (2, 2)
+
+
+def test_stores_of_reports_are_bounded_whatever_the_session_has(spark, tmp_path):
+    """A batch opens and commits each store, however little is in it: their number and that of blocks don't grow with a session's shuffles."""
+    before = spark.conf.get(members.PARTITIONS)
+    reports = spark.createDataFrame([("US", f"N{i}", DAYS[i % 3]) for i in range(900)], members.REPORTS)
+    raw, where, check = (str(tmp_path / x) for x in ("raw", "marks", "check"))
+    try:
+        spark.conf.set(members.PARTITIONS, "97")
+        reports.coalesce(1).write.parquet(raw)
+        query = members.start_repeats(spark, raw, where, check, reports.filter(F.col("session") < DAYS[1]))
+        query.awaitTermination()
+        assert spark.conf.get(members.PARTITIONS) == "97"
+        state = query.lastProgress["stateOperators"][0]
+        assert state["numShufflePartitions"] <= members.REPORT_STORES and state["numRowsTotal"] <= members.REPORT_BLOCKS
+    finally:
+        spark.conf.set(members.PARTITIONS, before)
+    got = {(r["symbol"], r["session"]) for r in members.read(spark, where, members.REPEATS).collect()}
+    assert got == {(f"N{i}", DAYS[i % 3]) for i in range(900) if i % 3}

@@ -89,3 +89,11 @@ def test_phantoms_and_finality(spark):
     got = [r["session"] for r in hygiene.clean(df, F.lit("2026-07-15 20:15:00").cast("timestamp")).collect()]
     assert got == [date(2026, 7, 13)]
     assert timedelta(0) == got[0] - date(2026, 7, 13)
+
+
+def test_sessions_of_candidates_are_made_by_all_tasks(spark):
+    """A small file of instruments is one partition; its rows, one for each session, aren't one task's."""
+    df = bars(spark, *[series(f"S{i}", DAYS, 5000) for i in range(60)])
+    who = spark.createDataFrame([("US", f"S{i}", "candidate", "Corp") for i in range(60)], "market string, symbol string, role string, name string").coalesce(1)
+    got = universe.candidate_sessions(who, df).withColumn("task", F.spark_partition_id()).groupBy("task").count().collect()
+    assert sum(r["count"] for r in got) == 60 * len(DAYS) and len(got) == spark.sparkContext.defaultParallelism

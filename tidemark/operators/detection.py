@@ -273,6 +273,18 @@ def cheap_gates(bars: DataFrame, params: Params = Params()) -> DataFrame:
     return out.withColumn("passes", F.coalesce(fine, F.lit(False)))
 
 
+def passing(gates: DataFrame, gated: DataFrame) -> DataFrame:
+    """gated (market, symbol, session) whose last bar on or before it passes the cheap gates, with what of cheap_gates the base is read from.
+
+    A bar holds until the next one. Only those that pass are sorted with sessions, and one whose next is not after the
+    session is none's last: the others, most bars, aren't exchanged again.
+    """
+    held = gates.withColumn("until", F.lead("session").over(ind.by_symbol())).filter("passes AND (until IS NULL OR until > session)")
+    keep = ["idx", "adr", "adr_abs", "close", "cluster", "sma20_rising", "until"]
+    at = ind.as_of(held, gated.select("market", "symbol", F.col("session").alias("day")), keep).withColumnRenamed("day", "session")
+    return at.filter("idx IS NOT NULL AND (until IS NULL OR session < until)").drop("until")
+
+
 def geometry(rows: DataFrame, bars: DataFrame, params: Params = Params()) -> DataFrame:
     """rows (of cheap_gates) that passed the cheap gates, with the base and everything that is read from it. Run-ups are those of these rows, a few of the bars."""
     out = moves(last_bars(rows, bars, max(params.base_max + params.dryup_bars, *[n + 1 for n in params.move_windows])), params)
@@ -287,9 +299,7 @@ def stop_width(stop: Column, trigger: Column, adr: Column) -> Column:
 def detections(universe: DataFrame, ranks: DataFrame, bars: DataFrame, params: Params = Params()) -> DataFrame:
     """The detection of every gated member on every session of universe, as of its last bar on or before it."""
     gated = universe.join(detection_gate(ranks, params), ["market", "session", "symbol"], "left_semi")
-    gates = cheap_gates(bars, params)
-    keep = ["idx", "adr", "adr_abs", "close", "cluster", "sma20_rising", "passes"]
-    at = ind.as_of(gates, gated.select("market", "symbol", F.col("session").alias("day")), keep).filter("passes").withColumnRenamed("day", "session")
+    at = passing(cheap_gates(bars, params), gated)
     rows = geometry(at, ind.numbered(bars).select("market", "symbol", "idx", "high", "low", "volume", "session"), params)
     c, f = F.col("cluster"), F.col("fit")
     stop = c["high"] - c["low"]

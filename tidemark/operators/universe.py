@@ -17,11 +17,12 @@ from tidemark.operators import indicators as ind
 from tidemark.operators.calendar import sessions
 from tidemark.operators.hygiene import is_common_stock
 from tidemark.params import Params
+from tidemark.sources.shared import dealt
 
 
 def candidate_sessions(instruments: DataFrame, bars: DataFrame) -> DataFrame:
     """market, symbol, name, session, n for every candidate on every session of its market, sent as a bounded calendar."""
-    who = instruments.filter("role = 'candidate'").select("market", "symbol", "name")
+    who = dealt(instruments.filter("role = 'candidate'").select("market", "symbol", "name"), "market", "symbol")
     return who.join(F.broadcast(sessions(bars)), "market")
 
 

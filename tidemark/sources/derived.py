@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.params import INDEXES
-from tidemark.sources.shared import stored
+from tidemark.sources.shared import dealt, stored
 
 MARKET = "CASE WHEN k % 2 = 0 THEN 'US' ELSE 'IDX' END"
 SYMBOL = "concat('S', lpad(CAST(k AS STRING), 5, '0'))"
@@ -29,13 +29,15 @@ def raw_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     weeks = lines.groupBy("k", "session").agg(F.sum("d").alias("d"), F.max("t").alias("t"), F.sum("q").alias("vol"))
     walk = weeks.selectExpr("*", f"(k * 7 + {WEEK}) % 23 AS ph", "sum(d) OVER (PARTITION BY k ORDER BY session) AS c").withColumn("p", F.col("c") - F.col("d"))
+    # Each exponential and the close are computed once a row. exp never falls, so the greater of two is that of the greater.
+    walk = walk.selectExpr("*", "100D * exp(p / 100D) AS a", "100D * exp(c / 100D) AS b").withColumn("close", F.round("b", 4))
     return walk.selectExpr(
         f"{MARKET} AS market", f"{SYMBOL} AS symbol", "session",
-        "round(100D * exp(p / 100D), 4) AS open",
-        "round(100D * exp(greatest(p, c) / 100D) * (1 + t / 200D), 4) AS high",
-        "round(100D * exp(least(p, c) / 100D) / (1 + t / 200D), 4) AS low",
-        "round(100D * exp(c / 100D), 4) AS close",
-        "CASE WHEN k % 7 = 0 AND session < DATE '1998-01-05' THEN round(100D * exp(c / 100D) * 0.5D, 4) ELSE round(100D * exp(c / 100D), 4) END AS adj_close",
+        "round(a, 4) AS open",
+        "round(greatest(a, b) * (1 + t / 200D), 4) AS high",
+        "round(least(a, b) / (1 + t / 200D), 4) AS low",
+        "close",
+        "CASE WHEN k % 7 = 0 AND session < DATE '1998-01-05' THEN round(b * 0.5D, 4) ELSE close END AS adj_close",
         "CAST(CASE WHEN ph = 0 THEN 0 ELSE vol END AS BIGINT) AS volume",
     )
 
@@ -66,6 +68,7 @@ def resolutions(spark: SparkSession, sf_dir: str, traded: DataFrame) -> DataFram
     """market, symbol, session, status: the fetch outcome of every candidate on every session of its market."""
     days = traded.select("market", "session").distinct()
     own = _read(spark, sf_dir, "supplier").selectExpr("s_suppkey AS k").selectExpr("k", f"{MARKET} AS market", f"{SYMBOL} AS symbol")
+    own = dealt(own, "market", "symbol")
     status = f"CASE WHEN k % 50 = 49 THEN 'refused' WHEN (k * 31 + {WEEK}) % 17 = 0 THEN 'unresolved' ELSE 'resolved' END"
     return own.join(F.broadcast(days), "market").selectExpr("market", "symbol", "session", f"{status} AS status")
 

@@ -27,6 +27,11 @@ def compiled_by_parts(spark: SparkSession) -> None:
         spark.conf.set(LIMIT, "8000")
 
 
+def dealt(rows: DataFrame, *keys: str) -> DataFrame:
+    """rows by hash of the keys over as many tasks as the session has cores: for a small file's rows that each become many."""
+    return rows.repartition(rows.sparkSession.sparkContext.defaultParallelism, *keys)
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """df as Parquet in the shared folder: computed once, pruned by column at every use."""
     where = f"{folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"

@@ -4,8 +4,8 @@ A symbol's state is of bounded size: what the gates look back on, the last signa
 with what is stored. Sessions come in order; one that isn't after the last that its symbol had is a repeat
 and changes nothing. A batch's rows take the place of what an earlier try of it wrote.
 
-Symbols are kept in BLOCKS a market, one value of state each: a batch calls Python and reads and writes state
-once a block, and all symbols of a block are computed together.
+Symbols are kept in BLOCKS a market (REPORT_BLOCKS for reports), one value of state each: a batch calls Python and
+reads and writes state once a block, and all symbols of a block are computed together.
 """
 
 from __future__ import annotations
@@ -29,8 +29,11 @@ from tidemark.streaming.ingest import KEY, ROCKS
 GRID = "market string, symbol string, session date, traded boolean, dollar_volume double, status string, common boolean, least double"
 MEMBERS = "market string, symbol string, session date"
 REPORTS = "market string, symbol string, session date"
-#: Fixed value: a checkpoint is bound to it.
-BLOCKS = 2048
+#: A checkpoint is bound to them. Reports are few and their state is a date a symbol, so theirs has fewer blocks.
+BLOCKS, REPORT_BLOCKS = 2048, 256
+#: The most stores that the state of reports is dealt over. A store costs a batch the same however little it holds.
+REPORT_STORES = 24
+PARTITIONS = "spark.sql.shuffle.partitions"
 GROUP = ["market", "block"]
 REPEATS = "market string, symbol string, session date, repeat boolean, last_reported date"
 
@@ -43,9 +46,9 @@ def grid(instruments: DataFrame, bars: DataFrame, resolutions: DataFrame, params
     return out.select(*on, F.coalesce("traded", F.lit(False)).alias("traded"), "dollar_volume", "status", is_common_stock(F.col("name")).alias("common"), floor(F.col("market"), params).cast("double").alias("least"))
 
 
-def _blocked(rows: DataFrame, *columns: Column | str) -> DataFrame:
+def _blocked(rows: DataFrame, blocks: int, *columns: Column | str) -> DataFrame:
     """market, block, symbol, day (a whole number) and the columns."""
-    return rows.select("market", F.pmod(F.hash("symbol"), F.lit(BLOCKS)).alias("block"), "symbol", F.unix_date("session").alias("day"), *columns)
+    return rows.select("market", F.pmod(F.hash("symbol"), F.lit(blocks)).alias("block"), "symbol", F.unix_date("session").alias("day"), *columns)
 
 
 def _whole(rows: Iterator[pd.DataFrame]) -> pd.DataFrame | None:
@@ -185,12 +188,13 @@ class Repeats(StatefulProcessor):
         self._marked(_unpacked(initialState))
 
 
-def _start(spark: SparkSession, source: str, schema: str, columns: list, keep: StatefulProcessor, out: str, result: list, where: str, checkpoint: str, stored: DataFrame | None, files_per_batch: int) -> StreamingQuery:
+def _start(spark: SparkSession, source: str, schema: str, columns: list, keep: StatefulProcessor, out: str, result: list, where: str, checkpoint: str, stored: DataFrame | None, files_per_batch: int, blocks: int, stores: int | None) -> StreamingQuery:
+    """stores: the most partitions of the state; None: as many as the session's shuffles have."""
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
     begun = None
     if stored is not None:
         first = f"{checkpoint.rstrip('/')}-begun"  # written once, so that a first batch that is repeated begins with the same state
-        old = _blocked(stored, *columns)
+        old = _blocked(stored, blocks, *columns)
         if not exists(spark, f"{first}/_SUCCESS"):
             # A symbol's rows are one: they come to the state together, in whatever order.
             names = old.columns[3:]
@@ -199,9 +203,16 @@ def _start(spark: SparkSession, source: str, schema: str, columns: list, keep: S
         kinds = ", ".join(f"{x.name} {x.dataType.simpleString() if i < 3 else 'array<' + x.dataType.simpleString() + '>'}" for i, x in enumerate(old.schema))
         begun = spark.read.schema(kinds).parquet(first).groupBy(*GROUP)
     rows = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(source)
-    found = _blocked(rows, *columns).groupBy(*GROUP).transformWithStateInPandas(keep, out, "Append", "None", initialState=begun)
+    found = _blocked(rows, blocks, *columns).groupBy(*GROUP).transformWithStateInPandas(keep, out, "Append", "None", initialState=begun)
     put = lambda batch, n: batch.write.mode("overwrite").parquet(f"{where}/batch={n}")
-    return found.select("market", "symbol", F.date_from_unix_date("day").alias("session"), *result).writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    out = found.select("market", "symbol", F.date_from_unix_date("day").alias("session"), *result).writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True)
+    partitions = spark.conf.get(PARTITIONS)
+    try:
+        if stores is not None:  # a stream takes the session's settings as they are when it starts, and its checkpoint keeps this one
+            spark.conf.set(PARTITIONS, str(min(stores, int(partitions))))
+        return out.start()
+    finally:
+        spark.conf.set(PARTITIONS, partitions)
 
 
 def start_members(spark: SparkSession, source: str, where: str, checkpoint: str, stored: DataFrame | None = None, params: Params = Params(), files_per_batch: int = 1000) -> StreamingQuery:
@@ -211,13 +222,13 @@ def start_members(spark: SparkSession, source: str, where: str, checkpoint: str,
     """
     settled = F.coalesce(F.col("status") == "resolved", F.lit(True)).alias("settled")
     columns = [*[F.coalesce(c, F.lit(False)).alias(c) for c in ("traded", "common")], "dollar_volume", "least", settled]
-    return _start(spark, source, GRID, columns, Membership(params), "market string, symbol string, day int", [], where, checkpoint, stored, files_per_batch)
+    return _start(spark, source, GRID, columns, Membership(params), "market string, symbol string, day int", [], where, checkpoint, stored, files_per_batch, BLOCKS, None)
 
 
 def start_repeats(spark: SparkSession, source: str, where: str, checkpoint: str, stored: DataFrame | None = None, files_per_batch: int = 1000) -> StreamingQuery:
     """Marks all reports (REPORTS) that are available under source by the last report of their symbol; stored: earlier reports."""
     result = [F.col("before").isNotNull().alias("repeat"), F.date_from_unix_date("before").alias("last_reported")]
-    return _start(spark, source, REPORTS, [], Repeats(), "market string, symbol string, day int, before int", result, where, checkpoint, stored, files_per_batch)
+    return _start(spark, source, REPORTS, [], Repeats(), "market string, symbol string, day int, before int", result, where, checkpoint, stored, files_per_batch, REPORT_BLOCKS, REPORT_STORES)
 
 
 def read(spark: SparkSession, where: str, schema: str) -> DataFrame:
