@@ -6,7 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tidemark.operators.copies import placed
 from tidemark.operators.detection import dist_adr
+from tidemark.operators.ranks import breadth
 from tidemark.params import DIMENSIONS, Params
 
 KEY = ["market", "session", "symbol"]
@@ -30,14 +32,14 @@ def star_score(prior_move: Column, sector_share: Column, params: Params = Params
 
 
 def scored(detections: DataFrame, ranks: DataFrame, labels: DataFrame, params: Params = Params()) -> DataFrame:
-    """detections with sector_share, prior_move, score, breakdown, breadth, industry and sector."""
+    """detections with sector_share, prior_move, score, breakdown, breadth, industry and sector; copies stay."""
     # One pass over ranks gives each name's breadth, gate and hit; a sector's other members are counted by window.
     top = F.col("percentile") >= params.top_decile
     own = ranks.groupBy(*KEY).agg(
-        F.count_if(top).cast("int").alias("breadth"), F.max(top & F.col("lookback").isin(*params.gate_lookbacks)).alias("_gate"),
+        breadth(ranks, params), F.max(top & F.col("lookback").isin(*params.gate_lookbacks)).alias("_gate"),
         F.max((top & (F.col("lookback") == params.delta_lookback)).cast("int")).alias("_hit"),
     )
-    named = labels.filter("sector <> ''").select("market", "symbol", F.col("sector").alias("_axis"))
+    named = labels.filter("sector <> ''").select("market", "symbol", F.col("sector").alias("_axis")).distinct()  # a symbol counts once in a sector
     w = Window.partitionBy("market", "session", "_axis")
     share = F.when(F.col("_axis").isNotNull(), F.try_divide(F.sum("_hit").over(w) - F.col("_hit"), F.count("*").over(w) - 1))
     own = own.join(named, ["market", "symbol"], "left").withColumn("_share", share).select(*KEY, "breadth", "_gate", "_share")
@@ -51,5 +53,5 @@ def candidates(detections: DataFrame, ranks: DataFrame, labels: DataFrame, param
     """market, session, position, symbol, score, breakdown, dist_adr, stopw_adr, affordable, industry, breadth."""
     out = scored(detections, ranks, labels, params)
     order = Window.partitionBy("market", "session").orderBy(F.desc("score"), F.desc("line_ok"), "symbol")
-    out = out.withColumn("position", F.row_number().over(order)).withColumn("affordable", F.coalesce(F.col("stopw_adr") <= params.affordable, F.lit(False)))
+    out = placed(out, order, "position").withColumn("affordable", F.coalesce(F.col("stopw_adr") <= params.affordable, F.lit(False)))
     return out.select("market", "session", "position", "symbol", "score", "breakdown", dist_adr().alias("dist_adr"), "stopw_adr", "affordable", "industry", "breadth")

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from tidemark import schemas
 from tidemark.operators import indicators as ind
+from tidemark.operators.copies import carried
 from tidemark.operators.ranks import detection_gate
 from tidemark.params import Params
 from tidemark.sources.shared import stored
@@ -281,7 +282,7 @@ def passing(gates: DataFrame, gated: DataFrame) -> DataFrame:
     """
     held = gates.withColumn("until", F.lead("session").over(ind.by_symbol())).filter("passes AND (until IS NULL OR until > session)")
     keep = ["idx", "adr", "adr_abs", "close", "cluster", "sma20_rising", "until"]
-    at = ind.as_of(held, gated.select("market", "symbol", F.col("session").alias("day")), keep).withColumnRenamed("day", "session")
+    at = ind.as_of(held, gated.select("market", "symbol", F.col("session").alias("day"), *carried(gated)), keep).withColumnRenamed("day", "session")
     return at.filter("idx IS NOT NULL AND (until IS NULL OR session < until)").drop("until")
 
 
@@ -297,7 +298,7 @@ def stop_width(stop: Column, trigger: Column, adr: Column) -> Column:
 
 
 def detections(universe: DataFrame, ranks: DataFrame, bars: DataFrame, params: Params = Params()) -> DataFrame:
-    """The detection of every gated member on every session of universe, as of its last bar on or before it."""
+    """The detection of every gated member on every session of universe, as of its last bar on or before it; copies of members stay."""
     gated = universe.join(detection_gate(ranks, params), ["market", "session", "symbol"], "left_semi")
     at = passing(cheap_gates(bars, params), gated)
     rows = geometry(at, ind.numbered(bars).select("market", "symbol", "idx", "high", "low", "volume", "session"), params)
@@ -307,9 +308,9 @@ def detections(universe: DataFrame, ranks: DataFrame, bars: DataFrame, params: P
         *SEEN, F.lit(params.detector_version).alias("detector_version"), c["high"].alias("trigger"), stop.alias("stop"), stop_width(stop, c["high"], F.col("adr")).alias("stopw_adr"),
         "base_len", F.col("move.gain").alias("move_gain"), "adr", "close", c["k"].alias("cluster_k"), c["high"].alias("cluster_high"), c["low"].alias("cluster_low"), c["range_adr"].alias("cluster_range_adr"),
         f["line_ok"].alias("line_ok"), f["touch_zones"].alias("touch_zones"), f["overshoot_adr"].alias("overshoot_adr"), f["slope"].alias("slope"), f["line_end"].alias("line_end"),
-        "base_low", "churn_l", "sma20_rising", "dryup",
+        "base_low", "churn_l", "sma20_rising", "dryup", *carried(rows),
     )
-    return out.select(*schemas.schema("detections").names)
+    return out.select(*schemas.schema("detections").names, *carried(out))
 
 
 def dist_adr() -> Column:

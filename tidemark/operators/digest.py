@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tidemark.operators.candidates import scored
+from tidemark.operators.copies import carried, placed
 from tidemark.operators.detection import stop_width
 from tidemark.params import Params
 
@@ -17,13 +18,13 @@ def breaks(detections: DataFrame, bars: DataFrame, nights: DataFrame) -> DataFra
     """market, session, symbol, before (the session of the trigger), trigger, adr, close, low, for every break.
 
     nights: market, session. Each night reads the latest earlier session with detections, so that a night
-    without any leaves older triggers live. Tested is the bar of the night itself.
+    without any leaves older triggers live. Tested is the bar of the night itself. Scores, industries and copies stay.
     """
     days = detections.select("market", F.col("session").alias("before")).distinct()
     w = Window.partitionBy("market").orderBy("session", "_kind").rowsBetween(Window.unboundedPreceding, 0)
     both = nights.select("market", "session", F.lit(None).cast("date").alias("before"), F.lit(0).alias("_kind")).unionByName(days.select("market", F.col("before").alias("session"), "before", F.lit(1).alias("_kind")))
     live = both.withColumn("before", F.last("before", ignorenulls=True).over(w)).filter("_kind = 0 AND before IS NOT NULL").select("market", "session", "before").distinct()
-    setups = detections.select("market", "symbol", F.col("session").alias("before"), "trigger", "adr", "line_ok")
+    setups = detections.select("market", "symbol", F.col("session").alias("before"), "trigger", "adr", "line_ok", *[c for c in ("score", "industry") if c in detections.columns], *carried(detections))
     today = bars.select("market", "symbol", "session", F.col("close"), F.col("low"))
     out = setups.join(F.broadcast(live), ["market", "before"]).join(today, ["market", "symbol", "session"])
     return out.filter(F.col("close") > F.col("trigger"))
@@ -34,9 +35,7 @@ def digest(detections: DataFrame, bars: DataFrame, ranks: DataFrame, labels: Dat
 
     reported: earlier reports (market, session, symbol) from before these nights.
     """
-    found = breaks(detections, bars, nights)
-    setup = scored(detections, ranks, labels, params).select("market", F.col("session").alias("before"), "symbol", "score", "industry")
-    out = found.join(setup, ["market", "before", "symbol"])
+    out = breaks(scored(detections, ranks, labels, params), bars, nights)  # each detection is scored once, so that equal ones don't meet each other
     seen = Window.partitionBy("market", "symbol").orderBy("session")
     if reported is None:
         out = out.withColumn("last_reported", F.lag("session").over(seen))
@@ -44,7 +43,8 @@ def digest(detections: DataFrame, bars: DataFrame, ranks: DataFrame, labels: Dat
         known = out.withColumn("_new", F.lit(True)).unionByName(reported.select("market", "session", "symbol"), allowMissingColumns=True)
         out = known.withColumn("last_reported", F.lag("session").over(seen)).filter("_new").drop("_new")
     order = Window.partitionBy("market", "session").orderBy(F.desc("score"), F.desc("line_ok"), "symbol")
-    out = out.withColumn("position", F.row_number().over(order)).withColumn("stopw_adr", stop_width(F.col("trigger") - F.col("low"), F.col("trigger"), F.col("adr")))
+    out = placed(out, order, "position").withColumn("last_reported", F.when(F.col("_copy") == 0, F.col("last_reported")).otherwise(F.col("session")))
+    out = out.withColumn("stopw_adr", stop_width(F.col("trigger") - F.col("low"), F.col("trigger"), F.col("adr")))
     through = F.try_divide(F.col("close") - F.col("trigger"), F.col("trigger")) * 100
     return out.select("market", "session", "position", "symbol", "score", "industry", "stopw_adr", "close", "trigger", through.alias("pct_through"), F.col("last_reported").isNotNull().alias("repeat"), "last_reported")
 

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window, WindowSpec
 
+from tidemark.operators.copies import carried
 from tidemark.operators.hygiene import dollar_volume
 from tidemark.params import LOOKBACKS, Params
 
@@ -125,18 +126,19 @@ def calendar_returns(bars: DataFrame, keys: DataFrame | None = None) -> DataFram
     """market, symbol, session, lookback, raw_return for each key (market, symbol, session) and lookback that has one; without keys, for each bar.
 
     From the last adjusted close on or before the anchor day to the last on or before the session. Keys are sorted
-    with bars once, and a window's range of days or months ends at the anchor: no row a lookback is sorted.
+    with bars once, and a window's range of days or months ends at the anchor: no row a lookback is sorted. Copies of keys stay.
     """
+    more = [] if keys is None else carried(keys)
     rows = bars.select("market", "symbol", "session", F.lit(True).alias("_key"), F.struct("adj_close").alias("_bar"))
     end = F.col("_bar")["adj_close"]
     if keys is not None:
         none = F.lit(None).cast(rows.schema["_bar"].dataType)
-        rows = rows.withColumn("_key", F.lit(False)).unionByName(keys.select("market", "symbol", "session", F.lit(True).alias("_key"), none.alias("_bar")))
+        rows = rows.withColumn("_key", F.lit(False)).unionByName(keys.select("market", "symbol", "session", F.lit(True).alias("_key"), none.alias("_bar"), *more), allowMissingColumns=True)
         end = _last_bar("CURRENT ROW")
     starts = [_last_bar(f"{n} PRECEDING" if unit == "days" else f"INTERVAL '{n}' MONTH PRECEDING").alias(name) for name, (unit, n) in LOOKBACKS.items()]
-    at = rows.select("market", "symbol", "session", "_key", end.alias("end"), *starts).filter("_key")
+    at = rows.select("market", "symbol", "session", *more, "_key", end.alias("end"), *starts).filter("_key")
     long = F.explode(F.array(*[F.struct(F.lit(x).alias("lookback"), (F.try_divide("end", x) - 1).alias("raw_return")) for x in LOOKBACKS]))
-    return at.select("market", "symbol", "session", long.alias("x")).select("market", "symbol", "session", "x.*").filter("raw_return IS NOT NULL")
+    return at.select("market", "symbol", "session", *more, long.alias("x")).select("market", "symbol", "session", "x.*", *more).filter("raw_return IS NOT NULL")
 
 
 def _last_bar(upto: str) -> Column:

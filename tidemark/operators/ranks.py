@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tidemark.operators import indicators as ind
 from tidemark.operators.calendar import session_before
+from tidemark.operators.copies import carried, placed, weight
 from tidemark.params import LOOKBACKS, Params
 from tidemark.sources.shared import stored
 
@@ -31,7 +32,7 @@ def spread_cume_dist(rows: DataFrame, by: list[str], value: str) -> DataFrame:
     upto = lambda keys, order: F.sum("_n").over(Window.partitionBy(*keys).orderBy(order))
     keys = [[*by, "_range"], [*by, "_range", "_part"]]
     rows = stored(rows, "ranked")  # read twice: for the counts, and to be given its shares
-    values = rows.groupBy(*by, value).agg(F.count("*").alias("_n")).withColumn("_range", part(1 << 10)).withColumn("_part", part(1 << 22))
+    values = rows.groupBy(*by, value).agg(F.sum(weight(rows)).alias("_n")).withColumn("_range", part(1 << 10)).withColumn("_part", part(1 << 22))
     values = stored(values, "values")
     parts = values.groupBy(*keys[1]).agg(F.sum("_n").alias("_n"))
     ranges = parts.groupBy(*keys[0]).agg(F.sum("_n").alias("_n"))
@@ -46,18 +47,27 @@ def ranks(universe: DataFrame, bars: DataFrame, params: Params = Params()) -> Da
     """market, session, symbol, lookback, percentile, raw_return: the share of members with a return that is no greater.
 
     Sessions of more than sorted_rows members are ranked by ranges, others by a window each; the shares are the same.
+    Copies of members stay, and count in the shares.
     """
     got, by = ind.calendar_returns(bars, universe), ["market", "session", "lookback"]
     if large(universe, params.sorted_rows):
         got = spread_cume_dist(got, by, "raw_return")
+    elif carried(got):
+        among = Window.partitionBy(*by)
+        got = got.withColumn("percentile", F.sum("copies").over(among.orderBy("raw_return").rangeBetween(Window.unboundedPreceding, 0)) / F.sum("copies").over(among))
     else:
         got = got.withColumn("percentile", F.cume_dist().over(Window.partitionBy(*by).orderBy("raw_return")))
-    return got.select(*KEY, "lookback", "percentile", "raw_return")
+    return got.select(*KEY, "lookback", "percentile", "raw_return", *carried(got))
 
 
 def breadth_counts(ranks: DataFrame, params: Params = Params()) -> DataFrame:
     """market, session, symbol, breadth: in how many lookbacks each is in the top decile."""
-    return ranks.groupBy(*KEY).agg(F.count_if(F.col("percentile") >= params.top_decile).cast("int").alias("breadth"))
+    return ranks.groupBy(*KEY).agg(breadth(ranks, params))
+
+
+def breadth(ranks: DataFrame, params: Params = Params()) -> Column:
+    """An aggregate of a name's ranks: how many are in the top decile, copies included."""
+    return F.sum(F.when(F.col("percentile") >= params.top_decile, weight(ranks)).otherwise(0)).cast("int").alias("breadth")
 
 
 def decile_gate(ranks: DataFrame, params: Params = Params(), lookbacks: tuple = tuple(LOOKBACKS)) -> DataFrame:
@@ -72,7 +82,7 @@ def detection_gate(ranks: DataFrame, params: Params = Params()) -> DataFrame:
 def board_rows(ranks: DataFrame, params: Params = Params()) -> DataFrame:
     """The best of each lookback by return, with rank from 1. Tasks send the best of their own rows only, so a large group isn't sorted in one."""
     order = Window.partitionBy("market", "session", "lookback").orderBy(F.desc("raw_return"), "symbol")
-    return ranks.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= params.board_size)
+    return placed(ranks, order, "rank", params.board_size).drop("_copy")
 
 
 def boards(returns: DataFrame, params: Params = Params()) -> DataFrame:

@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from tidemark import schemas
 from tidemark.operators import calendar, candidates, detection, digest, hygiene, ranks, regime, runs, tables, universe
 from tidemark.operators import labels as label_rules
+from tidemark.operators.copies import spread
 from tidemark.params import Params
 from tidemark.sources import files, shared, versions
 from tidemark.sources.bars import parse_bars
@@ -44,7 +45,7 @@ def compute(instruments: DataFrame, bars: DataFrame, resolutions: DataFrame, lab
     """
     shared.compiled_by_parts(bars.sparkSession)
     bars = shared.stored(bars, "bars")
-    members = shared.stored(universe.universe(instruments, bars, resolutions, params), "universe")
+    members = shared.stored(universe.counted(instruments, bars, resolutions, params), "universe")
     if nights is None:
         wanted, own = members, None
     else:
@@ -55,7 +56,7 @@ def compute(instruments: DataFrame, bars: DataFrame, resolutions: DataFrame, lab
     all_ranks = shared.stored(ranks.ranks(wanted, bars, params), "ranks")
     found = shared.stored(detection.detections(wanted, all_ranks, bars, params), "detections")
     days = calendar.sessions(bars).select("market", "session") if own is None else own
-    return Nights(limit(members), limit(all_ranks), limit(found), limit(regime.follow_through(bars, params)), digest.digest(found, bars, all_ranks, labels, days, reported, params))
+    return Nights(*[spread(limit(x)) for x in (members, all_ranks, found)], limit(regime.follow_through(bars, params)), digest.digest(found, bars, all_ranks, labels, days, reported, params))
 
 
 def ingest(spark: SparkSession, base: str, raw: DataFrame, now: Column, params: Params = Params()) -> DataFrame:

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from tidemark.functions import dates
 from tidemark.operators import acceptance, calendar, candidates, chart, detection, digest, hygiene, labels, ranks, regime, runs, sectors, tables, universe
 from tidemark.operators import indicators as ind
+from tidemark.operators.copies import carried, spread
 from tidemark.params import DERIVED, LOOKBACKS
 from tidemark.plans import nights
 from tidemark.sources import bars as bar_source
@@ -60,17 +61,30 @@ class Tables:
     def runs(self) -> DataFrame:
         return derived.runs(self.spark, self.sf_dir, self.bars)
 
+    @cached_property
+    def counted(self) -> DataFrame:
+        """The universe, and below ranks and detections, with copies where suppliers share a symbol."""
+        return stored(universe.counted(self.instruments, self.bars, self.resolutions, self.params), "universe")
+
+    @cached_property
+    def counted_ranks(self) -> DataFrame:
+        return stored(ranks.ranks(self.counted, self.bars, self.params), "ranks")
+
+    @cached_property
+    def counted_detections(self) -> DataFrame:
+        return stored(detection.detections(self.counted, self.counted_ranks, self.bars, self.params), "detections")
+
     @cached_property
     def universe(self) -> DataFrame:
-        return stored(universe.universe(self.instruments, self.bars, self.resolutions, self.params), "universe")
+        return spread(self.counted)
 
     @cached_property
     def ranks(self) -> DataFrame:
-        return stored(ranks.ranks(self.universe, self.bars, self.params), "ranks")
+        return spread(self.counted_ranks)
 
     @cached_property
     def detections(self) -> DataFrame:
-        return stored(detection.detections(self.universe, self.ranks, self.bars, self.params), "detections")
+        return spread(self.counted_detections)
 
     @cached_property
     def gates(self) -> DataFrame:
@@ -82,7 +96,7 @@ class Tables:
 
     @cached_property
     def digest(self) -> DataFrame:
-        return stored(digest.digest(self.detections, self.bars, self.ranks, self.labels, self.sessions, None, self.params), "digest")
+        return stored(digest.digest(self.counted_detections, self.bars, self.counted_ranks, self.labels, self.sessions, None, self.params), "digest")
 
 
 def _symbol_key(k: Column) -> Column:
@@ -146,7 +160,7 @@ def rank_table(t: Tables) -> DataFrame:
 
 def rank_ranges(t: Tables) -> DataFrame:
     """rank_table, as it is ranked where a session has too many members for one task."""
-    return _rounded_ranks(ranks.ranks(t.universe, t.bars, replace(t.params, sorted_rows=0)))
+    return _rounded_ranks(spread(ranks.ranks(t.counted, t.bars, replace(t.params, sorted_rows=0))))
 
 
 def flagship(t: Tables) -> DataFrame:
@@ -156,7 +170,7 @@ def flagship(t: Tables) -> DataFrame:
 
 
 def leaderboards(t: Tables) -> DataFrame:
-    return ranks.leaderboards(t.ranks, t.bars, t.params).withColumn("raw_return", F.round("raw_return", DIGITS)).withColumn("adr", F.round("adr", DIGITS))
+    return ranks.leaderboards(t.counted_ranks, t.bars, t.params).withColumn("raw_return", F.round("raw_return", DIGITS)).withColumn("adr", F.round("adr", DIGITS))
 
 
 def _flat(rows: DataFrame) -> DataFrame:
@@ -231,12 +245,12 @@ def _hits() -> Column:
 
 
 def star_score(t: Tables) -> DataFrame:
-    rows = candidates.scored(t.detections, t.ranks, t.labels, t.params)
+    rows = spread(candidates.scored(t.counted_detections, t.counted_ranks, t.labels, t.params))
     return rows.select("market", "session", "symbol", "score", _hits().alias("breakdown"), r("sector_share"), "prior_move")
 
 
 def candidate_list(t: Tables) -> DataFrame:
-    rows = candidates.candidates(t.detections, t.ranks, t.labels, t.params)
+    rows = candidates.candidates(t.counted_detections, t.counted_ranks, t.labels, t.params)
     return rows.withColumn("breakdown", _hits()).withColumn("dist_adr", F.round("dist_adr", DIGITS)).withColumn("stopw_adr", F.round("stopw_adr", DIGITS))
 
 
@@ -254,25 +268,25 @@ def digest_report(t: Tables) -> DataFrame:
 
 def _charted(t: Tables) -> DataFrame:
     """Every candidate symbol, as of its market's last session with a detection."""
-    last = t.detections.groupBy("market").agg(F.max("session").alias("as_of"))
+    last = t.counted_detections.groupBy("market").agg(F.max("session").alias("as_of"))
     return t.instruments.filter("role = 'candidate'").select("market", "symbol").join(F.broadcast(last), "market")
 
 
 def chart_rows(t: Tables) -> DataFrame:
-    rows = chart.chart_rows(t.bars, _charted(t), t.detections, t.params)
+    rows = spread(chart.chart_rows(t.bars, _charted(t), t.counted_detections, t.params))
     return rows.select("market", "symbol", "session", "as_of", "back", "close", *[r(c) for c in ("sma10", "sma20", "sma50", "ema65", "dollar_volume", "envelope")], "in_base", "in_cluster")
 
 
 def chart_bundle(t: Tables) -> DataFrame:
     """The nested bundle, told by a few of its figures."""
-    rows = chart.chart_bundle(t.bars, _charted(t), t.detections, t.ranks, t.labels, t.params)
+    rows = chart.chart_bundle(t.bars, _charted(t), t.counted_detections, t.counted_ranks, t.labels, t.params)
     s, f = F.col("setup"), F.col("facts")
     total = lambda c: F.round(F.aggregate(c, F.lit(0.0), lambda a, x: a + x["value"]), 4)
-    return rows.select(
+    return spread(rows.select(
         "market", "symbol", "as_of", F.size("candles").alias("n_candles"), F.col("candles")[0]["session"].alias("first_session"), total("sma50").alias("sma50_sum"), total("ema65").alias("ema65_sum"),
         s["base_start"].alias("base_start"), s["cluster_start"].alias("cluster_start"), s["trigger"].alias("trigger"), s["stop"].alias("stop"), F.coalesce(F.size(s["envelope"]), F.lit(0)).alias("n_envelope"),
-        s["score"].alias("score"), r("dist_adr", f["dist_adr"]), F.round(f["decile_ranks"]["1m"], DIGITS).alias("decile_1m"), f["sector"].alias("sector"),
-    ).withColumn("n_envelope", F.greatest("n_envelope", F.lit(0)))
+        s["score"].alias("score"), r("dist_adr", f["dist_adr"]), F.round(f["decile_ranks"]["1m"], DIGITS).alias("decile_1m"), f["sector"].alias("sector"), *carried(rows),
+    ).withColumn("n_envelope", F.greatest("n_envelope", F.lit(0))))
 
 
 def run_gate(t: Tables) -> DataFrame:
@@ -404,12 +418,12 @@ _QUERIES: dict[str, Callable[[Tables], DataFrame]] = {
     "unresolved": lambda t: runs.unresolved(t.instruments, t.resolutions),
     "rank_table": rank_table,
     "rank_ranges": rank_ranges,
-    "decile_gate": lambda t: ranks.decile_gate(t.ranks, t.params),
-    "detection_gate": lambda t: ranks.detection_gate(t.ranks, t.params),
-    "breadth_counts": lambda t: ranks.breadth_counts(t.ranks, t.params),
+    "decile_gate": lambda t: ranks.decile_gate(t.counted_ranks, t.params),
+    "detection_gate": lambda t: ranks.detection_gate(t.counted_ranks, t.params),
+    "breadth_counts": lambda t: ranks.breadth_counts(t.counted_ranks, t.params),
     "leaderboards": leaderboards,
     "leaderboards_without_low_adr": lambda t: ranks.without_low_adr(leaderboards(t), t.params),
-    "board_names": lambda t: ranks.board_names(t.ranks, t.params),
+    "board_names": lambda t: ranks.board_names(t.counted_ranks, t.params),
     "sector_board": sector_board,
     "industry_board": industry_board,
     "leave_one_out": leave_one_out,
