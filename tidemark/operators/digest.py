@@ -36,13 +36,15 @@ def digest(detections: DataFrame, bars: DataFrame, ranks: DataFrame, labels: Dat
     reported: earlier reports (market, session, symbol) from before these nights.
     """
     out = breaks(scored(detections, ranks, labels, params), bars, nights)  # each detection is scored once, so that equal ones don't meet each other
-    seen = Window.partitionBy("market", "symbol").orderBy("session")
+    best = (F.desc("score"), F.desc("line_ok"))
+    ties = ("industry", "close", "low", "trigger")  # only where symbols are shared does a session have several breaks of one; both windows take these in one order
+    seen = Window.partitionBy("market", "symbol").orderBy("session", *best, *ties)
     if reported is None:
         out = out.withColumn("last_reported", F.lag("session").over(seen))
     else:
         known = out.withColumn("_new", F.lit(True)).unionByName(reported.select("market", "session", "symbol"), allowMissingColumns=True)
         out = known.withColumn("last_reported", F.lag("session").over(seen)).filter("_new").drop("_new")
-    order = Window.partitionBy("market", "session").orderBy(F.desc("score"), F.desc("line_ok"), "symbol")
+    order = Window.partitionBy("market", "session").orderBy(*best, "symbol", *ties)
     out = placed(out, order, "position").withColumn("last_reported", F.when(F.col("_copy") == 0, F.col("last_reported")).otherwise(F.col("session")))
     out = out.withColumn("stopw_adr", stop_width(F.col("trigger") - F.col("low"), F.col("trigger"), F.col("adr")))
     through = F.try_divide(F.col("close") - F.col("trigger"), F.col("trigger")) * 100
