@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tidemark.operators import candidates, chart, copies, digest, ranks, universe
 from tidemark.params import Params
+from tidemark.streaming import members
 
 DAY = date(2026, 3, 2)
 PARAMS = Params(floors={"US": 1000.0}, window=4, density_min=3, density_recent=2, min_bars=3)
@@ -49,7 +50,8 @@ def members_of_rows(names, days, status, volumes):
     return got
 
 
-def test_shared_symbols_by_rows(spark):
+def shared_names(spark):
+    """Names with one and with several candidates, outcomes and bars a session: (instruments, bars, outcomes), and their members row by row."""
     days = [DAY + timedelta(days=i) for i in range(14)]
     names = {"ONE": ["Corp"], "TWO": ["Corp", "Corp"], "MIX": ["Corp", "Corp Warrant"], "BAD": ["Warrant"], "FEW": ["Corp", "Corp"]}
     traded = {
@@ -61,13 +63,30 @@ def test_shared_symbols_by_rows(spark):
     df = bars(spark, series)
     who = instruments(spark, *[(s, n) for s, x in names.items() for n in x])
     found = outcomes(spark, *[(s, d, x) for s, by in status.items() for d, xs in by.items() for x in xs])
+    return (who, df, found), {s: members_of_rows(names[s], days, status[s], traded[s]) for s in names}
+
+
+def test_shared_symbols_by_rows(spark):
+    (who, df, found), want = shared_names(spark)
     got = universe.counted(who, df, found, PARAMS)
-    have = {s: sorted((r["session"], r["copies"]) for r in got.filter(F.col("symbol") == s).collect()) for s in names}
-    want = {s: members_of_rows(names[s], days, status[s], traded[s]) for s in names}
+    have = {s: sorted((r["session"], r["copies"]) for r in got.filter(F.col("symbol") == s).collect()) for s in want}
     assert have == want and want["ONE"] and want["TWO"] and want["MIX"] and not want["BAD"]
     assert universe.universe(who, df, found, PARAMS).count() == sum(n for x in want.values() for _, n in x)
 
 
+def test_shared_symbols_in_a_stream(spark, tmp_path):
+    (who, df, found), want = shared_names(spark)
+    grid = members.grid(who, df, found, PARAMS).cache()
+    days = sorted({r["session"] for r in grid.select("session").distinct().collect()})
+    assert grid.count() == len(want) * len(days)  # a row for each symbol's session, however many share it
+    raw, where, check = (str(tmp_path / x) for x in ("raw", "members", "check"))
+    for a, b in ((4, 7), (5, 8), (8, 14)):
+        grid.filter((F.col("session") >= days[a]) & (F.col("session") <= days[b - 1])).write.mode("append").parquet(raw)
+        members.start_members(spark, raw, where, check, grid.filter(F.col("session") < days[4]), PARAMS, shared=True).awaitTermination()
+    got = members.read(spark, where, members.SHARED_MEMBERS)
+    assert bag(got.select("symbol", "session", "copies")) == bag(spark.createDataFrame([(s, d, n) for s, x in want.items() for d, n in x if d >= days[4]], "symbol string, session date, copies bigint"))
+
+
 def test_one_candidate_a_symbol_is_as_before(spark):
     who, df = instruments(spark, ("A", "Corp"), ("B", "Corp Warrant")), bars(spark, *[rows(s, [10.0 + i % 5 for i in range(30)], volumes=[100 + 7 * i % 40 for i in range(30)]) for s in "AB"])
     found = outcomes(spark, ("A", date(2026, 1, 20), "unresolved"))

@@ -49,9 +49,9 @@ def sma(value: str, n: int) -> Column:
     return full_mean(F.col(value), n)
 
 
-def median_dollar_volume(params: Params = Params()) -> Column:
-    """Over as many of the last bars as there are, up to the window."""
-    known = F.sort_array(F.collect_list(dollar_volume()).over(last_rows(params.window)))
+def median_dollar_volume(params: Params = Params(), by: WindowSpec | None = None) -> Column:
+    """Over as many of the last bars as there are, up to the window; by: a symbol's bars in another order than that of sessions."""
+    known = F.sort_array(F.collect_list(dollar_volume()).over(last_rows(params.window) if by is None else by.rowsBetween(-(params.window - 1), 0)))
     middle = lambda v: 0.5 * F.get(v, F.floor((F.size(v) - 1) / 2).cast("int")) + 0.5 * F.get(v, F.floor(F.size(v) / 2).cast("int"))
     return F.transform(F.array(known), middle)[0]
 

@@ -12,7 +12,7 @@ Where candidates share a symbol, a symbol's session is one row with the number o
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -20,7 +20,7 @@ from tidemark.functions.dates import floor
 from tidemark.operators import indicators as ind
 from tidemark.operators.calendar import sessions
 from tidemark.operators.copies import carried, spread
-from tidemark.operators.hygiene import is_common_stock
+from tidemark.operators.hygiene import dollar_volume, is_common_stock
 from tidemark.params import Params
 from tidemark.sources.shared import dealt
 
@@ -66,23 +66,32 @@ def symbols_shared(instruments: DataFrame) -> bool:
     return not n.filter("n > 1").isEmpty()
 
 
+def shared_sessions(instruments: DataFrame, bars: DataFrame, resolutions: DataFrame, *figures: Column) -> DataFrame:
+    """One row for each symbol of candidates and session of its market: copies, _common, _all_common (of its names), _settled, and _bars and figures of its bars (null if there are none)."""
+    key, on = ["market", "symbol"], ["market", "symbol", "session"]
+    names = [f(is_common_stock(F.col("name"))).alias(c) for f, c in ((F.bool_or, "_common"), (F.bool_and, "_all_common"))]
+    who = instruments.filter("role = 'candidate'").groupBy(*key).agg(F.count("*").alias("_who"), *names)
+    settled = F.bool_or(F.coalesce(F.col("status") == "resolved", F.lit(True)))
+    outcomes = resolutions.groupBy(*on).agg(F.count("*").alias("_outcomes"), settled.alias("_settled"))
+    own = bars.groupBy(*on).agg(F.count("*").alias("_bars"), *figures)
+    out = dealt(who, *key).join(F.broadcast(sessions(bars)), "market").join(outcomes, on, "left").join(own, on, "left")
+    one = lambda c: F.coalesce(F.col(c), F.lit(1))
+    return out.withColumn("copies", F.col("_who") * one("_outcomes") * one("_bars"))
+
+
 def shared_membership(instruments: DataFrame, bars: DataFrame, resolutions: DataFrame, params: Params = Params(), prior: DataFrame | None = None) -> DataFrame:
     """market, symbol, session, signal, member, copies: membership with one row for all rows of a symbol's session.
 
     The grid's rows of a session (candidates by outcomes by bars) have no order among themselves. Age and liquidity are
-    those of the last bar for all of them. The signal is that of the last one that has any, and that one is a common
+    those of the last bar for all of them, bars of a session going by their dollar volume. The signal is that of the last one that has any, and that one is a common
     stock's if there is one; between the floors it is 0 if another name or the density gate fails at any row. Density counts rows, so it goes by their
     places: a frame of so many rows is a range of places, less what the earliest session in it has before the frame.
     """
     key, on = ["market", "symbol"], ["market", "symbol", "session"]
-    who = instruments.filter("role = 'candidate'").groupBy(*key).agg(F.count("*").alias("_who"), *[f(is_common_stock(F.col("name"))).alias(c) for f, c in ((F.bool_or, "_common"), (F.bool_and, "_all_common"))])
-    settled = F.bool_or(F.coalesce(F.col("status") == "resolved", F.lit(True)))
-    outcomes = resolutions.groupBy(*on).agg(F.count("*").alias("_outcomes"), settled.alias("_settled"))
-    own = bars.select(*on, ind.median_dollar_volume(params).alias("dv"), F.row_number().over(ind.by_symbol()).alias("bar_no"))
-    own = own.groupBy(*on).agg(F.count("*").alias("_bars"), F.max("bar_no").alias("bar_no"), F.max_by("dv", "bar_no").alias("dv"))
-    out = dealt(who, *key).join(F.broadcast(sessions(bars)), "market").join(outcomes, on, "left").join(own, on, "left")
-    one = lambda c: F.coalesce(F.col(c), F.lit(1))
-    out = out.withColumn("copies", F.col("_who") * one("_outcomes") * one("_bars")).withColumn("traded", F.col("_bars").isNotNull().cast("int"))
+    by = Window.partitionBy(*key).orderBy("session", dollar_volume().asc_nulls_last())
+    own = bars.select(*on, ind.median_dollar_volume(params, by).alias("dv"), F.row_number().over(by).alias("bar_no"))
+    out = shared_sessions(instruments, own, resolutions, F.max("bar_no").alias("bar_no"), F.max_by("dv", "bar_no").alias("dv"))
+    out = out.withColumn("traded", F.col("_bars").isNotNull().cast("int"))
     upto = lambda by: Window.partitionBy(*key).orderBy(by).rowsBetween(Window.unboundedPreceding, 0)
     out = out.withColumn("_end", F.sum("copies").over(upto("session")))  # the place of a session's last row
     last = lambda n: Window.partitionBy(*key).orderBy("_end").rangeBetween(-(n - 1), 0)

@@ -9,6 +9,7 @@ from functools import cached_property, reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from tidemark.functions import dates
 from tidemark.operators import acceptance, calendar, candidates, chart, detection, digest, hygiene, labels, ranks, regime, runs, sectors, tables, universe
@@ -384,12 +385,13 @@ def _by_thirds(t: Tables, rows: DataFrame, name: str) -> tuple[str, Column, list
 def stream_universe(t: Tables) -> DataFrame:
     """The universe with the sessions of a first third as the stored state, and the others as a stream that is stopped and started once."""
     rows = stored(members.grid(t.instruments, t.bars, t.resolutions, t.params), "grid")
+    shared = bool(carried(rows))
     base, early, (first, *later) = _by_thirds(t, rows, "grid")
     for rows in later:
         rows.write.mode("append").parquet(f"{base}/raw")
-        members.start_members(t.spark, f"{base}/raw", f"{base}/members", f"{base}/check", first, t.params).awaitTermination()
-    before = universe.universe(t.instruments, t.bars.filter(early), t.resolutions.filter(early), t.params)  # a session's members depend on no later one
-    return before.unionByName(members.read(t.spark, f"{base}/members", members.MEMBERS))
+        members.start_members(t.spark, f"{base}/raw", f"{base}/members", f"{base}/check", first, t.params, shared=shared).awaitTermination()
+    before = universe.counted(t.instruments, t.bars.filter(early), t.resolutions.filter(early), t.params)  # a session's members depend on no later one
+    return spread(before.unionByName(members.read(t.spark, f"{base}/members", members.SHARED_MEMBERS if shared else members.MEMBERS)))
 
 
 def stream_digest(t: Tables) -> DataFrame:
@@ -399,6 +401,10 @@ def stream_digest(t: Tables) -> DataFrame:
         rows.select("market", "symbol", "session").write.mode("append").parquet(f"{base}/raw")
         members.start_repeats(t.spark, f"{base}/raw", f"{base}/marks", f"{base}/check", first).awaitTermination()
     streamed = reduce(DataFrame.unionByName, later).drop("repeat", "last_reported").join(members.read(t.spark, f"{base}/marks", members.REPEATS), ["market", "symbol", "session"])
+    # The stream marks a symbol's session once; what is reported more than once on it repeats itself.
+    again = F.row_number().over(Window.partitionBy("market", "symbol", "session").orderBy("position")) > 1
+    streamed = streamed.withColumn("_again", again).withColumn("repeat", F.col("repeat") | F.col("_again"))
+    streamed = streamed.withColumn("last_reported", F.when(F.col("_again"), F.col("session")).otherwise(F.col("last_reported"))).drop("_again")
     return _rounded_digest(first.unionByName(streamed))
 
 
