@@ -40,13 +40,13 @@ def density(grid: DataFrame, bars: DataFrame, params: Params = Params()) -> Data
     return out.withColumn("age", F.coalesce(F.last("bar_no", ignorenulls=True).over(upto), F.lit(0))).withColumn("liquidity", F.coalesce(F.last("dv", ignorenulls=True).over(upto), F.lit(0.0))).drop("dv", "bar_no")
 
 
-def membership(instruments: DataFrame, bars: DataFrame, resolutions: DataFrame, params: Params = Params(), prior: DataFrame | None = None) -> DataFrame:
+def membership(instruments: DataFrame, bars: DataFrame, resolutions: DataFrame, params: Params = Params(), prior: DataFrame | None = None, days: DataFrame | None = None) -> DataFrame:
     """market, symbol, session, signal, member on every session; prior: members (market, symbol) before the first session.
 
     A candidate session without an outcome counts as resolved.
     """
     # Outcomes are joined before any window, so that both joins share one exchange and all windows another.
-    grid = candidate_sessions(instruments, bars).join(resolutions.select("market", "symbol", "session", "status"), ["market", "symbol", "session"], "left")
+    grid = candidate_sessions(instruments, bars if days is None else days).join(resolutions.select("market", "symbol", "session", "status"), ["market", "symbol", "session"], "left")
     out = density(grid, bars, params)
     least = floor(F.col("market"), params)
     hard = is_common_stock(F.col("name")) & (F.col("age") >= params.min_bars) & F.col("dense")
@@ -66,7 +66,7 @@ def symbols_shared(instruments: DataFrame) -> bool:
     return not n.filter("n > 1").isEmpty()
 
 
-def shared_sessions(instruments: DataFrame, bars: DataFrame, resolutions: DataFrame, *figures: Column) -> DataFrame:
+def shared_sessions(instruments: DataFrame, bars: DataFrame, resolutions: DataFrame, days: DataFrame | None, *figures: Column) -> DataFrame:
     """One row for each symbol of candidates and session of its market: copies, _common, _all_common (of its names), _settled, and _bars and figures of its bars (null if there are none)."""
     key, on = ["market", "symbol"], ["market", "symbol", "session"]
     names = [f(is_common_stock(F.col("name"))).alias(c) for f, c in ((F.bool_or, "_common"), (F.bool_and, "_all_common"))]
@@ -74,12 +74,12 @@ def shared_sessions(instruments: DataFrame, bars: DataFrame, resolutions: DataFr
     settled = F.bool_or(F.coalesce(F.col("status") == "resolved", F.lit(True)))
     outcomes = resolutions.groupBy(*on).agg(F.count("*").alias("_outcomes"), settled.alias("_settled"))
     own = bars.groupBy(*on).agg(F.count("*").alias("_bars"), *figures)
-    out = dealt(who, *key).join(F.broadcast(sessions(bars)), "market").join(outcomes, on, "left").join(own, on, "left")
+    out = dealt(who, *key).join(F.broadcast(sessions(bars if days is None else days)), "market").join(outcomes, on, "left").join(own, on, "left")
     one = lambda c: F.coalesce(F.col(c), F.lit(1))
     return out.withColumn("copies", F.col("_who") * one("_outcomes") * one("_bars"))
 
 
-def shared_membership(instruments: DataFrame, bars: DataFrame, resolutions: DataFrame, params: Params = Params(), prior: DataFrame | None = None) -> DataFrame:
+def shared_membership(instruments: DataFrame, bars: DataFrame, resolutions: DataFrame, params: Params = Params(), prior: DataFrame | None = None, days: DataFrame | None = None) -> DataFrame:
     """market, symbol, session, signal, member, copies: membership with one row for all rows of a symbol's session.
 
     The grid's rows of a session (candidates by outcomes by bars) have no order among themselves. Age and liquidity are
@@ -90,7 +90,7 @@ def shared_membership(instruments: DataFrame, bars: DataFrame, resolutions: Data
     key, on = ["market", "symbol"], ["market", "symbol", "session"]
     by = Window.partitionBy(*key).orderBy("session", dollar_volume().asc_nulls_last())
     own = bars.select(*on, ind.median_dollar_volume(params, by).alias("dv"), F.row_number().over(by).alias("bar_no"))
-    out = shared_sessions(instruments, own, resolutions, F.max("bar_no").alias("bar_no"), F.max_by("dv", "bar_no").alias("dv"))
+    out = shared_sessions(instruments, own, resolutions, days, F.max("bar_no").alias("bar_no"), F.max_by("dv", "bar_no").alias("dv"))
     out = out.withColumn("traded", F.col("_bars").isNotNull().cast("int"))
     upto = lambda by: Window.partitionBy(*key).orderBy(by).rowsBetween(Window.unboundedPreceding, 0)
     out = out.withColumn("_end", F.sum("copies").over(upto("session")))  # the place of a session's last row
@@ -116,9 +116,9 @@ def shared_membership(instruments: DataFrame, bars: DataFrame, resolutions: Data
     return out.select(*on, "signal", "member", "copies")
 
 
-def counted(instruments: DataFrame, bars: DataFrame, resolutions: DataFrame, params: Params = Params(), prior: DataFrame | None = None) -> DataFrame:
-    """market, session, symbol of the members; where candidates share symbols, each once, with copies."""
-    got = (shared_membership if symbols_shared(instruments) else membership)(instruments, bars, resolutions, params, prior).filter("member")
+def counted(instruments: DataFrame, bars: DataFrame, resolutions: DataFrame, params: Params = Params(), prior: DataFrame | None = None, days: DataFrame | None = None) -> DataFrame:
+    """market, session, symbol of the members; where candidates share symbols, each once, with copies. days: market and session of all bars, if they are known."""
+    got = (shared_membership if symbols_shared(instruments) else membership)(instruments, bars, resolutions, params, prior, days).filter("member")
     return got.select("market", "session", "symbol", *carried(got))
 
 

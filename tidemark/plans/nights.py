@@ -36,16 +36,16 @@ class Nights:
     digest: DataFrame
 
 
-def compute(instruments: DataFrame, bars: DataFrame, resolutions: DataFrame, labels: DataFrame, nights: DataFrame | None = None, reported: DataFrame | None = None, params: Params = Params()) -> Nights:
+def compute(instruments: DataFrame, bars: DataFrame, resolutions: DataFrame, labels: DataFrame, nights: DataFrame | None = None, reported: DataFrame | None = None, params: Params = Params(), calendar_days: DataFrame | None = None) -> Nights:
     """Every derived table; nights (market, session) limits the sessions that are given back, not what they see.
 
     Membership carries over sessions, and the triggers that a night tests are those of the latest session
     with detections, however long ago: so everything is computed up to the last night of each market.
-    :func:`run_market` reads what has been stored instead.
+    :func:`run_market` reads what has been stored instead. calendar_days: the sessions of bars, if they are known.
     """
     shared.compiled_by_parts(bars.sparkSession)
     bars = shared.stored(bars, "bars")
-    members = shared.stored(universe.counted(instruments, bars, resolutions, params), "universe")
+    members = shared.stored(universe.counted(instruments, bars, resolutions, params, days=calendar_days), "universe")
     if nights is None:
         wanted, own = members, None
     else:

@@ -42,9 +42,18 @@ class Tables:
     def raw(self) -> DataFrame:
         return derived.raw_bars(self.spark, self.sf_dir)
 
+    @cached_property
+    def parts(self) -> tuple[DataFrame, DataFrame]:
+        return derived.traded_and_index(self.spark, self.sf_dir)
+
     @cached_property
     def bars(self) -> DataFrame:
-        return derived.bars(self.spark, self.sf_dir)
+        return DataFrame.unionByName(*self.parts)
+
+    @cached_property
+    def days(self) -> DataFrame:
+        """market, session of every session: an index has a bar on each, so that the calendar needs no scan of all bars."""
+        return self.parts[1].select("market", "session")
 
     @cached_property
     def instruments(self) -> DataFrame:
@@ -52,20 +61,20 @@ class Tables:
 
     @cached_property
     def resolutions(self) -> DataFrame:
-        return derived.resolutions(self.spark, self.sf_dir, self.bars)
+        return derived.resolutions(self.spark, self.sf_dir, self.days)
 
     @cached_property
     def labels(self) -> DataFrame:
-        return derived.labels(self.spark, self.sf_dir, self.bars)
+        return derived.labels(self.spark, self.sf_dir, self.days)
 
     @cached_property
     def runs(self) -> DataFrame:
-        return derived.runs(self.spark, self.sf_dir, self.bars)
+        return derived.runs(self.spark, self.sf_dir, self.days)
 
     @cached_property
     def counted(self) -> DataFrame:
         """The universe, and below ranks and detections, with copies where suppliers share a symbol."""
-        return stored(universe.counted(self.instruments, self.bars, self.resolutions, self.params), "universe")
+        return stored(universe.counted(self.instruments, self.bars, self.resolutions, self.params, days=self.days), "universe")
 
     @cached_property
     def counted_ranks(self) -> DataFrame:
@@ -93,7 +102,7 @@ class Tables:
 
     @cached_property
     def sessions(self) -> DataFrame:
-        return calendar.sessions(self.bars).select("market", "session")
+        return calendar.sessions(self.days).select("market", "session")
 
     @cached_property
     def digest(self) -> DataFrame:
@@ -304,7 +313,7 @@ def runs_summary(t: Tables) -> DataFrame:
 def backfill_sessions(t: Tables) -> DataFrame:
     """Runs up to 2001 but for every seventh week; target: a day after the last session."""
     had = t.runs.filter(F.col("session") < F.lit("2001-06-01").cast("date")).unionByName(t.runs.filter(F.col("session") >= F.lit("2001-06-01").cast("date")).filter(F.expr(derived.WEEK) % 7 == 0).withColumn("status", F.lit("quarantined")))
-    targets = t.bars.groupBy("market").agg(F.date_add(F.max("session"), 1).alias("target"))
+    targets = t.days.groupBy("market").agg(F.date_add(F.max("session"), 1).alias("target"))
     return calendar.to_backfill(had, t.sessions, targets)
 
 
@@ -337,7 +346,7 @@ def acceptance_figures(t: Tables) -> DataFrame:
 
 def backfill(t: Tables) -> DataFrame:
     """Every session that backfill_sessions finds absent, computed as a night: the rows of each table, told by two figures."""
-    got = nights.compute(t.instruments, t.bars, t.resolutions, t.labels, backfill_sessions(t), None, t.params)
+    got = nights.compute(t.instruments, t.bars, t.resolutions, t.labels, backfill_sessions(t), None, t.params, t.days)
     none = F.lit(None)
     rows = lambda name, df, symbol, lookback, a, b: df.select(F.lit(name).alias("table"), "market", "session", symbol.cast("string").alias("symbol"), lookback.cast("string").alias("lookback"), r("a", a.cast("double")), r("b", b.cast("double")))
     parts = [
@@ -384,13 +393,13 @@ def _by_thirds(t: Tables, rows: DataFrame, name: str) -> tuple[str, Column, list
 
 def stream_universe(t: Tables) -> DataFrame:
     """The universe with the sessions of a first third as the stored state, and the others as a stream that is stopped and started once."""
-    rows = stored(members.grid(t.instruments, t.bars, t.resolutions, t.params), "grid")
+    rows = stored(members.grid(t.instruments, t.bars, t.resolutions, t.params, t.days), "grid")
     shared = bool(carried(rows))
     base, early, (first, *later) = _by_thirds(t, rows, "grid")
     for rows in later:
         rows.write.mode("append").parquet(f"{base}/raw")
         members.start_members(t.spark, f"{base}/raw", f"{base}/members", f"{base}/check", first, t.params, shared=shared).awaitTermination()
-    before = universe.counted(t.instruments, t.bars.filter(early), t.resolutions.filter(early), t.params)  # a session's members depend on no later one
+    before = universe.counted(t.instruments, t.bars.filter(early), t.resolutions.filter(early), t.params, days=t.days.filter(early))  # a session's members depend on no later one
     return spread(before.unionByName(members.read(t.spark, f"{base}/members", members.SHARED_MEMBERS if shared else members.MEMBERS)))
 
 
@@ -413,7 +422,7 @@ _QUERIES: dict[str, Callable[[Tables], DataFrame]] = {
     "listing_source": listing_source,
     "clean_bars": clean_bars,
     "keep_first_append": keep_first_append,
-    "calendar": lambda t: calendar.sessions(t.bars),
+    "calendar": lambda t: calendar.sessions(t.days),
     "last_sessions": lambda t: calendar.last_session(t.bars),
     "last_final_session": last_final,
     "adr_sma": adr_sma,

@@ -51,10 +51,15 @@ def index_bars(bars: DataFrame) -> DataFrame:
     return level.select("market", name.alias("symbol"), "session", *[F.col("c").alias(x) for x in ("open", "high", "low", "close", "adj_close")], F.lit(1).cast("long").alias("volume"))
 
 
-def bars(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Traded bars of all instruments, the indexes included. Stored, as the indexes are read from those of the others: the order tables are read once."""
+def traded_and_index(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Traded bars of all instruments, and those of the indexes, one on every session. Stored, as the indexes are read from the others: the order tables are read once."""
     traded = stored(raw_bars(spark, sf_dir).filter("volume > 0"), "bars")
-    return traded.unionByName(stored(index_bars(traded), "index_bars"))
+    return traded, stored(index_bars(traded), "index_bars")
+
+
+def bars(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Traded bars of all instruments, the indexes included."""
+    return DataFrame.unionByName(*traded_and_index(spark, sf_dir))
 
 
 def instruments(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -43,16 +43,16 @@ GROUP = ["market", "block"]
 REPEATS = "market string, symbol string, session date, repeat boolean, last_reported date"
 
 
-def grid(instruments: DataFrame, bars: DataFrame, resolutions: DataFrame, params: Params = Params()) -> DataFrame:
+def grid(instruments: DataFrame, bars: DataFrame, resolutions: DataFrame, params: Params = Params(), days: DataFrame | None = None) -> DataFrame:
     """The rows of GRID of every candidate on every session of its market; with SHARED, and one for each symbol, where candidates share symbols."""
     on = [*KEY, "session"]
     if universe.symbols_shared(instruments):
-        out = universe.shared_sessions(instruments, bars, resolutions, F.array_sort(F.collect_list(F.struct(dollar_volume().isNull(), dollar_volume().alias("v")))).alias("_volumes"))
+        out = universe.shared_sessions(instruments, bars, resolutions, days, F.array_sort(F.collect_list(F.struct(dollar_volume().isNull(), dollar_volume().alias("v")))).alias("_volumes"))
         status = F.when(~F.coalesce("_settled", F.lit(True)), "unresolved").alias("status")
         own = [F.col("_bars").isNotNull().alias("traded"), F.lit(None).cast("double").alias("dollar_volume"), status, F.col("_common").alias("common"), floor(F.col("market"), params).cast("double").alias("least")]
         return out.select(*on, *own, F.coalesce("_volumes.v", F.array().cast("array<double>")).alias("volumes"), "copies", F.col("_all_common").alias("all_common"))
     own = bars.select(*on, F.lit(True).alias("traded"), dollar_volume().alias("dollar_volume"))
-    out = universe.candidate_sessions(instruments, bars).join(own, on, "left").join(resolutions.select(*on, "status"), on, "left")
+    out = universe.candidate_sessions(instruments, bars if days is None else days).join(own, on, "left").join(resolutions.select(*on, "status"), on, "left")
     return out.select(*on, F.coalesce("traded", F.lit(False)).alias("traded"), "dollar_volume", "status", is_common_stock(F.col("name")).alias("common"), floor(F.col("market"), params).cast("double").alias("least"))
 
 
